@@ -66,55 +66,70 @@ def sale_totals(items: DataFrame) -> DataFrame:
                           _money(F.col("subtotal") + tax).alias("total"), "cogs", "n_lines")
 
 
-def post_sales(transactions: DataFrame, items: DataFrame, skip_zero_revenue: bool = False) -> DataFrame:
-    """Journal lines of every sale (live-path rules: zero amounts post).
+def journal_line_array(receipt_no: Column, payment_method: Column, total: Column, tax: Column,
+                       cogs: Column, cats: Column) -> Column:
+    """The ordered journal lines of one sale as an array of structs.
 
-    ``transactions`` needs txn_id, transaction_date, receipt_no, payment_method,
-    tax, total.  Unknown payment methods post to 1010, unknown categories to 4010.
-    """
-    cats = category_lines(items)
-    per_txn = (cats.groupBy("txn_id")
-               .agg(_money(F.sum("cogs")).alias("cogs"),
-                    # bounded: one element per category present on the sale
-                    F.array_sort(F.collect_list(F.struct("first_seq", "category", "revenue")))
-                    .alias("cats")))
-    hdr = transactions.select("txn_id", "transaction_date", "receipt_no", "payment_method", "tax", "total")
-    j = hdr.join(per_txn, "txn_id", "left")
-    cat_arr = F.col("cats")
-    if skip_zero_revenue:
-        cat_arr = F.filter(cat_arr, lambda c: c["revenue"] > 0)
-    n = F.when(cat_arr.isNull(), F.lit(0)).otherwise(F.size(cat_arr))
-    rcp = F.col("receipt_no")
+    ``cats`` is an array of (category, revenue) structs in order of first
+    appearance on the sale (may be null or empty for a sale without lines).
+    Shared by the batch posting and the streaming posting."""
     zero = F.lit(0).cast(MONEY)
-    cogs = F.coalesce(F.col("cogs"), zero)
+    n = F.when(cats.isNull(), F.lit(0)).otherwise(F.size(cats))
+    cogs = F.coalesce(cogs, zero)
 
     def line(desc, acct, dr, cr, no):
         return F.struct(desc.alias("description"), acct.alias("account_code"), _money(dr).alias("debit"),
                         _money(cr).alias("credit"), no.cast("int").alias("line_no"))
 
-    cash = line(F.concat(F.lit("Sale "), rcp),
-                _map_lookup(F.col("payment_method"), seeds.CASH_ACCOUNT, seeds.DEFAULT_CASH_ACCOUNT),
-                F.col("total"), zero, F.lit(1))
-    revenue = F.transform(cat_arr, lambda c, i: line(
-        F.concat(c["category"], F.lit(" Revenue "), rcp),
+    cash = line(F.concat(F.lit("Sale "), receipt_no),
+                _map_lookup(payment_method, seeds.CASH_ACCOUNT, seeds.DEFAULT_CASH_ACCOUNT),
+                total, zero, F.lit(1))
+    revenue = F.transform(cats, lambda c, i: line(
+        F.concat(c["category"], F.lit(" Revenue "), receipt_no),
         _map_lookup(c["category"], seeds.REVENUE_ACCOUNT, seeds.DEFAULT_REVENUE_ACCOUNT),
         zero, c["revenue"], i + 2))
     revenue = F.coalesce(revenue, F.array().cast(
         "array<struct<description:string,account_code:string,debit:decimal(14,2),"
         "credit:decimal(14,2),line_no:int>>"))
     tail = F.array(
-        line(F.concat(F.lit("VAT "), rcp), F.lit(seeds.VAT_ACCOUNT), zero, F.col("tax"), n + 2),
-        line(F.concat(F.lit("COGS "), rcp), F.lit(seeds.COGS_ACCOUNT), cogs, zero, n + 3),
-        line(F.concat(F.lit("Inventory reduction "), rcp), F.lit(seeds.INVENTORY_ACCOUNT), zero, cogs, n + 4),
+        line(F.concat(F.lit("VAT "), receipt_no), F.lit(seeds.VAT_ACCOUNT), zero, tax, n + 2),
+        line(F.concat(F.lit("COGS "), receipt_no), F.lit(seeds.COGS_ACCOUNT), cogs, zero, n + 3),
+        line(F.concat(F.lit("Inventory reduction "), receipt_no), F.lit(seeds.INVENTORY_ACCOUNT), zero, cogs, n + 4),
     )
-    all_lines = F.concat(F.array(cash), revenue, tail)
-    return (j.select(F.col("transaction_date").alias("entry_date"), rcp.alias("reference_no"),
-                     F.explode(all_lines).alias("l"))
+    return F.concat(F.array(cash), revenue, tail)
+
+
+def explode_journal(df: DataFrame, date_col: str, lines: Column) -> DataFrame:
+    return (df.select(F.col(date_col).alias("entry_date"), F.col("receipt_no").alias("reference_no"),
+                      F.explode(lines).alias("l"))
             .select("entry_date", "l.description", "l.account_code", "l.debit", "l.credit",
                     "reference_no", F.lit("System").alias("posted_by"), "l.line_no",
                     F.lit("sale").alias("entry_kind")))
 
 
+def post_sales(transactions: DataFrame, items: DataFrame, skip_zero_revenue: bool = False) -> DataFrame:
+    """Journal lines of every sale (live-path rules: zero amounts post).
+
+    ``transactions`` needs txn_id, transaction_date, receipt_no, payment_method,
+    tax, total.  Unknown payment methods post to 1010, unknown categories to 4010.
+    """
+    cats = category_lines(items)
+    per_txn = (cats.groupBy("txn_id")
+               .agg(_money(F.sum("cogs")).alias("cogs"),
+                    # bounded: one element per category present on the sale
+                    F.array_sort(F.collect_list(F.struct("first_seq", "category", "revenue")))
+                    .alias("cats")))
+    hdr = transactions.select("txn_id", "transaction_date", "receipt_no", "payment_method", "tax", "total")
+    j = hdr.join(per_txn, "txn_id", "left")
+    cat_arr = F.transform(F.col("cats"), lambda c: F.struct(c["category"].alias("category"),
+                                                            c["revenue"].alias("revenue")))
+    if skip_zero_revenue:
+        cat_arr = F.filter(cat_arr, lambda c: c["revenue"] > 0)
+    lines = journal_line_array(F.col("receipt_no"), F.col("payment_method"), F.col("total"), F.col("tax"),
+                               F.col("cogs"), cat_arr)
+    return explode_journal(j, "transaction_date", lines)
+
+
 def accrue_fixed(months: DataFrame, as_of) -> DataFrame:
     """I4: two lines per fixed cost and month (expense Dr, counter account Cr).
 

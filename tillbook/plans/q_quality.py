@@ -1 +1,81 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: data-quality rules K1-K5."""
+
+from __future__ import annotations
+
+from tillbook.operators import quality as q
+from tillbook.plans.catalog import query
+from tillbook.plans.oracle_sql import oracle
+from tillbook.plans.q_ledger import journal
+
+
+def _with_journal(m):
+    t = dict(m)
+    t["journal"] = journal(m)
+    return t
+
+
+def enum_sql() -> str:
+    parts = []
+    for table, col, allowed in q.ENUM_RULES:
+        lst = ", ".join(f"'{a}'" for a in allowed)
+        parts.append(f"SELECT 'enum:{table}.{col}' AS rule, CAST({col} AS VARCHAR) AS key, COUNT(*) AS n FROM {table} "
+                     f"WHERE {col} IS NOT NULL AND {col} NOT IN ({lst}) GROUP BY {col}")
+    return "\nUNION ALL\n".join(parts)
+
+
+def dup_sql() -> str:
+    parts = []
+    for table, cols in q.UNIQUE_RULES:
+        key = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+        parts.append(f"SELECT 'unique:{table}.{'+'.join(cols)}' AS rule, {key} AS key, COUNT(*) AS n FROM {table} "
+                     f"GROUP BY {key} HAVING COUNT(*) > 1")
+    return "\nUNION ALL\n".join(parts)
+
+
+def orphan_sql() -> str:
+    parts = []
+    for rule, child, ck, parent, pk in q.FOREIGN_KEYS:
+        parts.append(f"SELECT 'orphan:{rule}' AS rule, CAST({ck} AS VARCHAR) AS key, COUNT(*) AS n FROM {child} "
+                     f"WHERE {ck} IS NOT NULL AND {ck} NOT IN (SELECT {pk} FROM {parent}) GROUP BY {ck}")
+    return "\nUNION ALL\n".join(parts)
+
+
+def null_sql() -> str:
+    parts = []
+    for table, cols in q.REQUIRED.items():
+        for c in cols:
+            parts.append(f"SELECT 'not_null:{table}' AS rule, '{c}' AS key, COUNT(*) - COUNT({c}) AS n FROM {table}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("enum_violations", oracle(enum_sql()))
+def q_enum(m, spark):
+    """K1 (the adapter's Promo category and Voucher method are flagged)."""
+    return q.enum_violations(m)
+
+
+@query("duplicate_keys", oracle(dup_sql()))
+def q_dups(m, spark):
+    """K2."""
+    return q.duplicate_keys(m)
+
+
+@query("orphans", oracle(orphan_sql()))
+def q_orphans(m, spark):
+    """K3 (journal included)."""
+    return q.orphans(_with_journal(m))
+
+
+@query("null_required", oracle(null_sql()))
+def q_nulls(m, spark):
+    """K4."""
+    return q.null_required(m)
+
+
+@query("header_vs_lines", oracle("""
+SELECT txn_id, receipt_no, CAST(supplied_total AS DOUBLE) AS supplied_total, CAST(total AS DOUBLE) AS recomputed_total,
+  CAST(supplied_total - total AS DOUBLE) AS diff
+FROM transactions WHERE supplied_total <> total"""))
+def q_header_vs_lines(m, spark):
+    """K5."""
+    return q.header_vs_lines(m)

@@ -1 +1,15 @@
-"""Registered queries (filled in below)."""
+"""Registered query: the streaming posting path (L1)."""
+
+from __future__ import annotations
+
+from tillbook.plans.catalog import query
+from tillbook.plans.oracle_sql import oracle
+from tillbook.plans.q_ledger import J_COLS, J_SQL
+from tillbook.streaming.sales_stream import replay_and_post
+
+
+@query("stream_post_sales", oracle(f"SELECT {J_SQL} FROM sales_journal"))
+def q_stream_post_sales(m, spark):
+    """L1: every sale delivered twice through the posting stream is posted
+    once; the journal equals the batch posting of the same sales."""
+    return replay_and_post(spark, m["transactions"], m["transaction_items"], copies=2).select(*J_COLS)
