@@ -71,12 +71,16 @@ def cash_receipt_day(t, day) -> DataFrame:
                                                           "line_total"])
 
 
-def transaction_detail(t, journal: DataFrame, ids: DataFrame) -> DataFrame:
+def transaction_detail(t, ids: DataFrame, journal: DataFrame | None = None) -> DataFrame:
     """Detail of a batch of sales: lines (``[]`` when none) with line
     margin round((price - cost) / price x 100, 1) (null for a zero price),
     and the debit / credit totals of the sale's journal lines.  Unknown ids
-    give no row."""
+    give no row.  Without a stored ``journal`` the selected sales are posted
+    on the fly (only they are aggregated, not the whole journal)."""
     hdr = t["transactions"].join(ids.select("txn_id").distinct(), "txn_id", "left_semi")
+    if journal is None:
+        from tillbook.operators.posting import post_sales
+        journal = post_sales(hdr, t["transaction_items"].join(hdr.select("txn_id"), "txn_id", "left_semi"))
     items = t["transaction_items"].withColumn(
         "margin", F.round(F.try_divide((F.col("unit_price") - F.col("unit_cost")) * 100,
                                        F.when(F.col("unit_price") != 0, F.col("unit_price"))), 1)

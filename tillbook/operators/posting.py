@@ -110,23 +110,29 @@ def explode_journal(df: DataFrame, date_col: str, lines: Column) -> DataFrame:
 def post_sales(transactions: DataFrame, items: DataFrame, skip_zero_revenue: bool = False) -> DataFrame:
     """Journal lines of every sale (live-path rules: zero amounts post).
 
-    ``transactions`` needs txn_id, transaction_date, receipt_no, payment_method,
-    tax, total.  Unknown payment methods post to 1010, unknown categories to 4010.
+    ``transactions`` needs txn_id, transaction_date, receipt_no and
+    payment_method.  Subtotal, VAT, total and COGS come from the lines (I1),
+    from the same per-(sale, category) aggregate that gives the revenue
+    lines, so the lines are scanned and shuffled once.  Unknown payment
+    methods post to 1010, unknown categories to 4010.
     """
     cats = category_lines(items)
     per_txn = (cats.groupBy("txn_id")
-               .agg(_money(F.sum("cogs")).alias("cogs"),
+               .agg(_money(F.sum("revenue")).alias("subtotal"),
+                    _money(F.sum("cogs")).alias("cogs"),
                     # bounded: one element per category present on the sale
                     F.array_sort(F.collect_list(F.struct("first_seq", "category", "revenue")))
                     .alias("cats")))
-    hdr = transactions.select("txn_id", "transaction_date", "receipt_no", "payment_method", "tax", "total")
+    hdr = transactions.select("txn_id", "transaction_date", "receipt_no", "payment_method")
     j = hdr.join(per_txn, "txn_id", "left")
+    subtotal = F.coalesce(F.col("subtotal"), F.lit(0).cast(MONEY))
+    tax = _money(F.round(subtotal * F.lit(seeds.VAT_RATE), 0))
+    total = _money(subtotal + tax)
     cat_arr = F.transform(F.col("cats"), lambda c: F.struct(c["category"].alias("category"),
                                                             c["revenue"].alias("revenue")))
     if skip_zero_revenue:
         cat_arr = F.filter(cat_arr, lambda c: c["revenue"] > 0)
-    lines = journal_line_array(F.col("receipt_no"), F.col("payment_method"), F.col("total"), F.col("tax"),
-                               F.col("cogs"), cat_arr)
+    lines = journal_line_array(F.col("receipt_no"), F.col("payment_method"), total, tax, F.col("cogs"), cat_arr)
     return explode_journal(j, "transaction_date", lines)
 
 

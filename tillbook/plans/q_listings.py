@@ -73,7 +73,7 @@ GROUP BY {HDR_GROUP}, jt.journal_lines, jt.journal_debit, jt.journal_credit"""))
 def q_transaction_detail(m, spark):
     """Detail of every sale of one day (batch over an id set)."""
     ids = on_date(m["transactions"], "transaction_date", AS_OF).select("txn_id")
-    d = ls.transaction_detail(m, journal(m), ids)
+    d = ls.transaction_detail(m, ids)
     return d.select(*HDR_COLS, F.size("items").alias("n_items"),
                     ls.items_digest(F.col("items"), DETAIL_FIELDS).alias("items_digest"),
                     "journal_lines", "journal_debit", "journal_credit")
