@@ -28,19 +28,41 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.periods import in_period, on_date
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(24,2)"  # width of sum(decimal(14,2)); totals of 100 TB fit
 
 
 def floored_ledger(moves: DataFrame, key: str, block: str, order: list, change: str,
-                   openings: DataFrame, opening_col: str, level_col: str = "stock_after") -> DataFrame:
+                   openings: DataFrame, opening_col: str, level_col: str = "stock_after",
+                   materialize: bool = False) -> DataFrame:
     """Generic floored running level (E1/E2) by a blocked scan.
 
-    ``order`` lists the columns that order rows inside a block; ``openings``
-    has ``key`` and ``opening_col`` (non-negative; missing keys open at 0).
+    ``block`` is the leading order key inside a ``key`` (a day), ``order``
+    orders rows inside a block; ``openings`` has ``key`` and ``opening_col``
+    (non-negative; missing keys open at 0).
+
+    One window pass over (key, block) yields the local running sum and
+    minimum *and* the block's total and minimum.  The block statistics are
+    read from that pass through a narrow projection (key, block, order,
+    change), so the plan has one shuffle of the full rows, one narrow
+    shuffle for the block table, and the join back finds the rows already
+    hash-partitioned on (key, block).  The upstream of ``moves`` is scanned
+    twice; with ``materialize=True`` the window pass is instead checkpointed
+    to the shared checkpoint folder (computed once, lineage cut), at the
+    price of one more shuffle of the rows, because a checkpoint does not
+    keep its partitioning.
     """
-    w1 = Window.partitionBy(key, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    lvl1 = moves.withColumn("_L", F.sum(change).over(w1)).withColumn("_M", F.min("_L").over(w1))
-    blocks = lvl1.groupBy(key, block).agg(F.sum(change).alias("_T"), F.min("_L").alias("_m"))
+    wb = Window.partitionBy(key, block)
+    w1 = wb.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    lvl1 = (moves.withColumn("_L", F.sum(change).over(w1))
+            .withColumn("_M", F.min("_L").over(w1))
+            .withColumn("_first", F.row_number().over(wb.orderBy(*order)) == 1)
+            .withColumn("_T", F.sum(change).over(wb))
+            .withColumn("_m", F.min("_L").over(wb)))
+    if materialize:
+        from tillbook.plans.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(moves.sparkSession)
+        lvl1 = lvl1.checkpoint(eager=True)
+    blocks = lvl1.filter(F.col("_first")).select(key, block, "_T", "_m")
     opening = openings.select(key, F.col(opening_col).alias("_open"))
     blocks = blocks.join(opening, key, "left").withColumn(
         "_open", F.coalesce(F.col("_open"), F.lit(0)))
@@ -52,7 +74,7 @@ def floored_ledger(moves: DataFrame, key: str, block: str, order: list, change:
     s = F.col("_O") + F.col("_L")
     low = F.least(F.col("_P"), F.col("_O") + F.col("_M"))
     return (out.withColumn(level_col, s - F.least(F.lit(0), low))
-            .drop("_L", "_M", "_O", "_P"))
+            .drop("_L", "_M", "_O", "_P", "_first", "_T", "_m"))
 
 
 def _order_cols(df: DataFrame, cols: list[str]) -> list[str]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.periods import in_period
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(24,2)"  # width of sum(decimal(14,2)); totals of 100 TB fit
 
 
 def general_ledger(coa: DataFrame, journal: DataFrame, month=None, year=None) -> DataFrame:

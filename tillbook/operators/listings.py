@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.periods import in_period, on_date
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(24,2)"  # width of sum(decimal(14,2)); totals of 100 TB fit
 
 ITEM_FIELDS = ["line_seq", "product_id", "product_name", "quantity", "unit_price", "unit_cost", "category",
                "line_total"]
@@ -85,7 +85,9 @@ def transaction_detail(t, ids: DataFrame, journal: DataFrame | None = None) -> D
         "margin", F.round(F.try_divide((F.col("unit_price") - F.col("unit_cost")) * 100,
                                        F.when(F.col("unit_price") != 0, F.col("unit_price"))), 1)
         .cast("decimal(10,1)"))
-    nested = nest_items(hdr, items, empty_as_null_element=False, fields=ITEM_FIELDS + ["margin"])
+    # A line margin above 40 % is flagged (null margin -> not flagged)
+    items = items.withColumn("high_margin", F.coalesce(F.col("margin") > 40, F.lit(False)))
+    nested = nest_items(hdr, items, empty_as_null_element=False, fields=ITEM_FIELDS + ["margin", "high_margin"])
     jt = (journal.join(hdr.select(F.col("receipt_no").alias("reference_no")), "reference_no", "left_semi")
           .groupBy("reference_no")
           .agg(F.count(F.lit(1)).alias("journal_lines"), F.sum("debit").cast(MONEY).alias("journal_debit"),

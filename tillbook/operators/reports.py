@@ -18,7 +18,7 @@ from tillbook.functions.periods import in_period, on_date, period_predicate
 from tillbook.operators.posting import category_lines
 from tillbook.sources import seeds
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(24,2)"  # width of sum(decimal(14,2)); totals of 100 TB fit
 FIXED_TOTAL = sum(a for _, a, _, _ in seeds.FIXED_COSTS)
 FIXED = {k: a for k, a, _, _ in seeds.FIXED_COSTS}
 

@@ -284,3 +284,20 @@ FROM psales s WHERE s.product_id IN (SELECT product_id FROM products WHERE activ
 def q_production_kpis(m, spark):
     """D33."""
     return inv.production_kpis(m["transaction_items"], m["transactions"], m["products"], AS_OF, MONTH, YEAR)
+
+
+@query("recipes_by_material_name", oracle("""
+SELECT r.product_id, r.material_name, n.raw_material_id, CAST(r.qty_per_unit AS DOUBLE) AS qty_per_unit,
+  n.raw_material_id IS NOT NULL AS resolved
+FROM (SELECT pi.product_id, rm.name AS material_name, pi.qty_per_unit
+      FROM product_ingredients pi JOIN raw_materials rm ON rm.id = pi.raw_material_id) r
+LEFT JOIN (SELECT name, CASE WHEN COUNT(*) = 1 THEN MIN(id) END AS raw_material_id FROM raw_materials GROUP BY name) n
+  ON n.name = r.material_name"""))
+def q_recipes_by_material_name(m, spark):
+    """Recipes written with material names (as the seed lists them)
+    resolved back to material ids by a join on the name."""
+    from tillbook.sources.adapter import resolve_material_ids
+    rm = m["raw_materials"]
+    by_name = m["product_ingredients"].join(rm.select(F.col("id").alias("raw_material_id"),
+                                                      F.col("name").alias("material_name")), "raw_material_id")
+    return resolve_material_ids(by_name.select("product_id", "material_name", "qty_per_unit"), rm)

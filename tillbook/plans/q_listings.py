@@ -56,7 +56,8 @@ def q_cash_receipt_day(m, spark):
                     ls.items_digest(F.col("items"), RECEIPT_FIELDS).alias("items_digest"))
 
 
-DETAIL_FIELDS = ["line_seq", "product_id", "category", "quantity", "unit_price", "unit_cost", "line_total", "margin"]
+DETAIL_FIELDS = ["line_seq", "product_id", "category", "quantity", "unit_price", "unit_cost", "line_total", "margin",
+                 "high_margin"]
 
 
 @query("transaction_detail", oracle(f"""
@@ -64,8 +65,9 @@ SELECT {HDR_SQL}, COUNT(i.line_seq) AS n_items,
   COALESCE({digest_sql(DETAIL_FIELDS)} FILTER (WHERE i.line_seq IS NOT NULL), '') AS items_digest,
   jt.journal_lines, CAST(jt.journal_debit AS DOUBLE) AS journal_debit, CAST(jt.journal_credit AS DOUBLE) AS journal_credit
 FROM transactions p
-LEFT JOIN (SELECT *, CAST(ROUND((unit_price - unit_cost) * 100 / NULLIF(unit_price, 0), 1) AS DECIMAL(10,1)) AS margin
-           FROM transaction_items) i ON i.txn_id = p.txn_id
+LEFT JOIN (SELECT *, COALESCE(margin > 40, FALSE) AS high_margin FROM (
+             SELECT *, CAST(ROUND((unit_price - unit_cost) * 100 / NULLIF(unit_price, 0), 1) AS DECIMAL(10,1)) AS margin
+             FROM transaction_items)) i ON i.txn_id = p.txn_id
 LEFT JOIN (SELECT reference_no, COUNT(*) AS journal_lines, SUM(debit) AS journal_debit, SUM(credit) AS journal_credit
            FROM journal GROUP BY reference_no) jt ON jt.reference_no = p.receipt_no
 WHERE p.transaction_date = DATE '{AS_OF}'

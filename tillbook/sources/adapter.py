@@ -182,6 +182,20 @@ def material_movements(lineitem: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def resolve_material_ids(recipe_rows: DataFrame, materials: DataFrame) -> DataFrame:
+    """Recipe rows that name their material get its id by a join on the
+    name.  An unknown name keeps a null id (caught by the not-null rule, as
+    the seed's insert would fail); a name shared by several materials is
+    ambiguous and resolves to null as well, instead of fanning out."""
+    names = (materials.groupBy("name")
+             .agg(F.min("id").alias("_id"), F.count(F.lit(1)).alias("_n"))
+             .select(F.col("name").alias("material_name"),
+                     F.when(F.col("_n") == 1, F.col("_id")).alias("raw_material_id")))
+    return (recipe_rows.join(names, "material_name", "left")
+            .select("product_id", "material_name", "raw_material_id", "qty_per_unit",
+                    F.col("raw_material_id").isNotNull().alias("resolved")))
+
+
 def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All model tables as lazy DataFrames keyed by model name."""
     from tillbook.operators.posting import sale_totals
