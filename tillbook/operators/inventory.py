@@ -41,7 +41,8 @@ def floored_ledger(moves: DataFrame, key: str, block: str, order: list, change:
     (non-negative; missing keys open at 0).
 
     One window pass over (key, block) yields the local running sum and
-    minimum *and* the block's total and minimum.  The block statistics are
+    minimum *and* the block's total and minimum.  (Helper column names are
+    distinct without regard to case: Spark resolves names case-insensitively.)  The block statistics are
     read from that pass through a narrow projection (key, block, order,
     change), so the plan has one shuffle of the full rows, one narrow
     shuffle for the block table, and the join back finds the rows already
@@ -53,28 +54,28 @@ def floored_ledger(moves: DataFrame, key: str, block: str, order: list, change:
     """
     wb = Window.partitionBy(key, block)
     w1 = wb.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    lvl1 = (moves.withColumn("_L", F.sum(change).over(w1))
-            .withColumn("_M", F.min("_L").over(w1))
-            .withColumn("_first", F.row_number().over(wb.orderBy(*order)) == 1)
-            .withColumn("_T", F.sum(change).over(wb))
-            .withColumn("_m", F.min("_L").over(wb)))
+    lvl1 = (moves.withColumn("_run", F.sum(change).over(w1))
+            .withColumn("_runmin", F.min("_run").over(w1))
+            .withColumn("_bfirst", F.row_number().over(wb.orderBy(*order)) == 1)
+            .withColumn("_btot", F.sum(change).over(wb))
+            .withColumn("_bmin", F.min("_run").over(wb)))
     if materialize:
         from tillbook.plans.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(moves.sparkSession)
         lvl1 = lvl1.checkpoint(eager=True)
-    blocks = lvl1.filter(F.col("_first")).select(key, block, "_T", "_m")
+    blocks = lvl1.filter(F.col("_bfirst")).select(key, block, "_btot", "_bmin")
     opening = openings.select(key, F.col(opening_col).alias("_open"))
     blocks = blocks.join(opening, key, "left").withColumn(
         "_open", F.coalesce(F.col("_open"), F.lit(0)))
     w2 = Window.partitionBy(key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (blocks.withColumn("_O", F.col("_open") + F.coalesce(F.sum("_T").over(w2), F.lit(0)))
-              .withColumn("_P", F.least(F.col("_open"),
-                                        F.coalesce(F.min(F.col("_O") + F.col("_m")).over(w2), F.col("_open")))))
-    out = lvl1.join(blocks.select(key, block, "_O", "_P"), [key, block], "inner")
-    s = F.col("_O") + F.col("_L")
-    low = F.least(F.col("_P"), F.col("_O") + F.col("_M"))
+    blocks = (blocks.withColumn("_boff", F.col("_open") + F.coalesce(F.sum("_btot").over(w2), F.lit(0)))
+              .withColumn("_prevmin", F.least(F.col("_open"),
+                                        F.coalesce(F.min(F.col("_boff") + F.col("_bmin")).over(w2), F.col("_open")))))
+    out = lvl1.join(blocks.select(key, block, "_boff", "_prevmin"), [key, block], "inner")
+    s = F.col("_boff") + F.col("_run")
+    low = F.least(F.col("_prevmin"), F.col("_boff") + F.col("_runmin"))
     return (out.withColumn(level_col, s - F.least(F.lit(0), low))
-            .drop("_L", "_M", "_O", "_P", "_first", "_T", "_m"))
+            .drop("_run", "_runmin", "_boff", "_prevmin", "_bfirst", "_btot", "_bmin"))
 
 
 def _order_cols(df: DataFrame, cols: list[str]) -> list[str]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions.periods import in_period, on_date
+from tillbook.sources.adapter import headers_for
 
 MONEY = "decimal(24,2)"  # width of sum(decimal(14,2)); totals of 100 TB fit
 
@@ -51,10 +52,15 @@ def nest_items(headers: DataFrame, items: DataFrame, empty_as_null_element: bool
 
 
 def transactions_page(t, date=None, month=None, year=None, limit: int = 500, offset: int = 0) -> DataFrame:
-    """Newest-first page of sales with their nested lines."""
-    hdr = transactions_query(t, date, month, year).orderBy(*newest_first(t["transactions"]))
-    page = hdr.offset(offset).limit(limit) if offset else hdr.limit(limit)
-    return nest_items(page, t["transaction_items"], empty_as_null_element=True)
+    """Newest-first page of sales with their nested lines.
+
+    The page is chosen on header columns only (a top-k over the period's
+    headers), then the full header rows and the lines of just those sales are
+    fetched by semi joins; nothing is aggregated for sales off the page."""
+    keys = transactions_query(t, date, month, year).select("txn_id", "transaction_date", "transaction_time")
+    ordered = keys.orderBy(*newest_first(keys))
+    ids = (ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)).select("txn_id")
+    return nest_items(headers_for(t, ids), t["transaction_items"], empty_as_null_element=True)
 
 
 def recent_transactions(t, n: int = 7) -> DataFrame:
@@ -66,7 +72,8 @@ def recent_transactions(t, n: int = 7) -> DataFrame:
 
 def cash_receipt_day(t, day) -> DataFrame:
     """The day's sales ordered by time with nested lines."""
-    hdr = on_date(t["transactions"], "transaction_date", day)
+    src = t.get("sale_headers", t["transactions"])
+    hdr = headers_for(t, on_date(src, "transaction_date", day))
     return nest_items(hdr, t["transaction_items"], True, ["line_seq", "product_name", "quantity", "unit_price",
                                                           "line_total"])
 
@@ -77,7 +84,7 @@ def transaction_detail(t, ids: DataFrame, journal: DataFrame | None = None) -> D
     and the debit / credit totals of the sale's journal lines.  Unknown ids
     give no row.  Without a stored ``journal`` the selected sales are posted
     on the fly (only they are aggregated, not the whole journal)."""
-    hdr = t["transactions"].join(ids.select("txn_id").distinct(), "txn_id", "left_semi")
+    hdr = headers_for(t, ids.select("txn_id").distinct())
     if journal is None:
         from tillbook.operators.posting import post_sales
         journal = post_sales(hdr, t["transaction_items"].join(hdr.select("txn_id"), "txn_id", "left_semi"))

@@ -85,17 +85,20 @@ def products_from_part(part: DataFrame) -> DataFrame:
 
 def items_from_lineitem(lineitem: DataFrame, products: DataFrame) -> DataFrame:
     """Sale lines.  The join to products is a plain equi-join: the product
-    dimension grows with the data, so no broadcast is forced; AQE converts it
-    to a broadcast join only after measuring the product side at runtime."""
-    w = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    dimension grows with the data, so no broadcast is forced; Spark's size
+    statistics or AQE (after measuring the product side at runtime) decide.
+
+    ``line_key`` holds the raw columns that order lines inside a sale;
+    ``line_seq`` numbers them with a window partitioned by ``txn_id``, so a
+    semi join on ``txn_id`` (a page of sales) is pushed below the window and
+    only the selected sales are numbered.  Plans that never read
+    ``line_seq`` lose the window entirely."""
     p = products.select("product_id", F.col("name").alias("product_name"), "category",
                         F.col("price").alias("unit_price"), F.col("cost").alias("unit_cost"))
     qty = F.col("l_quantity").cast("int")
-    return (lineitem.join(p, lineitem.l_partkey == p.product_id, "inner")
+    base = (lineitem.join(p, lineitem.l_partkey == p.product_id, "inner")
             .select(
                 F.col("l_orderkey").alias("txn_id"),
-                F.row_number().over(w).cast("int").alias("line_seq"),
                 F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                          "l_shipdate").alias("line_key"),
                 "product_id", "product_name", "category",
@@ -106,6 +109,9 @@ def items_from_lineitem(lineitem: DataFrame, products: DataFrame) -> DataFrame:
                 F.col("l_shipdate").cast("date").alias("ship_date"),
                 F.col("l_suppkey").alias("supp_id"),
             ))
+    w = Window.partitionBy("txn_id").orderBy("line_key")
+    return base.select("txn_id", F.row_number().over(w).cast("int").alias("line_seq"),
+                       *[c for c in base.columns if c != "txn_id"])
 
 
 def headers_from_orders(orders: DataFrame) -> DataFrame:
@@ -196,10 +202,30 @@ def resolve_material_ids(recipe_rows: DataFrame, materials: DataFrame) -> DataFr
                     F.col("raw_material_id").isNotNull().alias("resolved")))
 
 
-def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All model tables as lazy DataFrames keyed by model name."""
+def with_sale_totals(headers: DataFrame, items: DataFrame) -> DataFrame:
+    """Headers with subtotal, VAT and total computed from their lines (I1);
+    a header without lines gets zeros."""
     from tillbook.operators.posting import sale_totals
+    totals = sale_totals(items)
+    return (headers.join(totals, "txn_id", "left")
+            .select(headers["*"],
+                    *[F.coalesce(F.col(c), F.lit(0).cast("decimal(14,2)")).cast("decimal(14,2)").alias(c)
+                      for c in ("subtotal", "tax", "total")]))
+
+
+def headers_for(t: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
+    """Header rows (with totals) of a selected set of sales.  When totals are
+    derived from lines (``sale_headers`` present), only the selected sales'
+    lines are aggregated; a stored ``transactions`` table is just filtered."""
+    ids = ids.select("txn_id")
+    if "sale_headers" in t:
+        hdr = t["sale_headers"].join(ids, "txn_id", "left_semi")
+        return with_sale_totals(hdr, t["transaction_items"].join(ids, "txn_id", "left_semi"))
+    return t["transactions"].join(ids, "txn_id", "left_semi")
 
+
+def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All model tables as lazy DataFrames keyed by model name."""
     part = read_raw(spark, sf_dir, "part")
     lineitem = read_raw(spark, sf_dir, "lineitem")
     orders = read_raw(spark, sf_dir, "orders")
@@ -208,14 +234,11 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     products = products_from_part(part)
     items = items_from_lineitem(lineitem, products)
     headers = headers_from_orders(orders)
-    totals = sale_totals(items)
-    transactions = (headers.join(totals, "txn_id", "left")
-                    .select(headers["*"],
-                            *[F.coalesce(F.col(c), F.lit(0).cast("decimal(14,2)")).cast("decimal(14,2)").alias(c)
-                              for c in ("subtotal", "tax", "total")]))
+    transactions = with_sale_totals(headers, items)
     tables = {
         "products": products,
         "transaction_items": items,
+        "sale_headers": headers,
         "transactions": transactions,
         "raw_materials": materials_from_supplier(supplier),
         "product_ingredients": recipes_from_lineitem(lineitem),
