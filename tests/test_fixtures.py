@@ -198,3 +198,34 @@ def test_latest_wins_skew_safe_aggregate(spark):
     out = sorted((r.k, r.ts, r.v) for r in inventory.latest_wins(df, "k", ["ts"]).collect())
     assert out == [(1, 5, "e"), (2, 1, "a")]
     assert "Window" not in inventory.latest_wins(df, "k", ["ts"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quality_rules_find_injected_violations(spark):
+    from tillbook.operators import quality
+    it = items(spark, [(1, 1, 10, "Bread", 1, "1000", "100"), (9, 1, 99, "Bread", 1, "1000", "100")])
+    tx = txns(spark, [(1, "2026-05-20", "10:00:00", "Voucher"), (2, "2026-05-20", "10:00:00", "Cash")])
+    tx = with_totals(tx, it).withColumn("receipt_no", F.lit("RCP-1"))          # duplicate receipt numbers
+    tx = tx.withColumn("supplied_total", F.col("total") + F.lit(1))
+    p = products(spark, [(10, "bun", "Promo", "1000", "100", 3, 5, True)])
+    rm = spark.createDataFrame([(100, "flour", "Flour & Grain", "gram", D("1"), D("5"), D("2"))],
+                               "id long, name string, category string, unit string, stock_qty decimal(12,2), "
+                               "reorder_point decimal(12,2), unit_cost decimal(12,2)")
+    rec = spark.createDataFrame([(10, 100, D("1")), (10, 100, D("2")), (11, 101, None)],
+                                "product_id long, raw_material_id long, qty_per_unit decimal(10,3)")
+    mv = spark.createDataFrame([("Sale",), ("Theft",)], "movement_type string")
+    t = {"transactions": tx, "transaction_items": it, "products": p, "raw_materials": rm,
+         "product_ingredients": rec, "stock_movements": mv, "chart_of_accounts": seeds.chart_of_accounts(spark),
+         "journal": spark.createDataFrame([("9999",)], "account_code string")}
+    rules = {(r.rule, r.key): r.n for r in quality.quality_report(t).collect()}
+    assert rules[("enum:transactions.payment_method", "Voucher")] == 1
+    assert rules[("enum:products.category", "Promo")] == 1
+    assert rules[("enum:stock_movements.movement_type", "Theft")] == 1
+    assert rules[("unique:transactions.receipt_no", "RCP-1")] == 2
+    assert rules[("unique:product_ingredients.product_id+raw_material_id", "10|100")] == 2
+    assert rules[("orphan:line_without_sale", "9")] == 1
+    assert rules[("orphan:line_without_product", "99")] == 1
+    assert rules[("orphan:journal_without_account", "9999")] == 1
+    assert rules[("orphan:recipe_without_product", "11")] == 1
+    assert rules[("orphan:recipe_without_material", "101")] == 1
+    assert rules[("not_null:product_ingredients", "qty_per_unit")] == 1
+    assert rules[("header_vs_lines", "*")] == 2

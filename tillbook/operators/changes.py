@@ -151,19 +151,27 @@ def record_sales(spark, headers: DataFrame, lines: DataFrame, products: DataFram
                      F.concat(F.lit("Sale: "), F.col("receipt_no")).alias("reason")))
     log = floored_ledger(moves, "product_id", "log_date", ["log_time", "txn_id", "line_seq"], "quantity_change",
                          products.select("product_id", F.col("stock").cast("bigint").alias("opening")), "opening")
-    last = latest_wins(log.select("product_id", "log_date", "log_time", "txn_id", "line_seq", "stock_after"),
-                       "product_id", ["log_date", "log_time", "txn_id", "line_seq"])
-    stock = (products.join(last.select("product_id", F.col("stock_after").alias("_s")), "product_id", "left")
-             .select(*[F.coalesce(F.col("_s").cast("int"), F.col("stock")).alias("stock") if c == "stock"
-                       else F.col(c) for c in products.columns]))
     base = f"{out_dir.rstrip('/')}/{version}"
-    outputs = {"transactions": tx, "transaction_items": lines, "journal_entries": journal,
-               "inventory_logs": log, "products": stock}
     paths = {}
-    for name, df in outputs.items():
+
+    def write(name: str, df: DataFrame) -> DataFrame:
         p = f"{base}/{name}"
         df.write.mode("overwrite").parquet(p)
         paths[name] = p
+        return spark.read.parquet(p)
+
+    write("transactions", tx)
+    write("transaction_items", lines)
+    write("journal_entries", journal)
+    # the stock log is written once and the new stock is read from it: the
+    # ledger is not recomputed and the lineage of the products output is cut
+    log_t = write("inventory_logs", log)
+    last = latest_wins(log_t.select("product_id", "log_date", "log_time", "txn_id", "line_seq", "stock_after"),
+                       "product_id", ["log_date", "log_time", "txn_id", "line_seq"])
+    stock = (products.join(last.select("product_id", F.col("stock_after").alias("_s")), "product_id", "left")
+             .select(*[F.coalesce(F.col("_s").cast("int"), F.col("stock")).alias("stock") if c == "stock"
+                       else F.col(c) for c in products.columns]))
+    write("products", stock)
     manifest = spark.createDataFrame([(version, json.dumps(paths))], "version string, paths string")
     manifest.coalesce(1).write.mode("overwrite").json(f"{base}/_manifest")
     return paths
