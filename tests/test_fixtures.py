@@ -229,3 +229,17 @@ def test_quality_rules_find_injected_violations(spark):
     assert rules[("orphan:recipe_without_material", "101")] == 1
     assert rules[("not_null:product_ingredients", "qty_per_unit")] == 1
     assert rules[("header_vs_lines", "*")] == 2
+
+
+def test_scalar_helpers(spark):
+    from tillbook.functions.formatting import receipt_code, rupiah, strip_tags
+    from tillbook.functions.periods import local_date
+    df = spark.createDataFrame([(D("1234567.00"), "RCP-0000001", " <i>x</i> ", dt.datetime(2026, 5, 20, 18, 30))],
+                               "amt decimal(14,2), rcp string, txt string, ts timestamp")
+    r = df.select(rupiah(F.col("amt")).alias("a"), receipt_code(F.col("rcp")).alias("b"),
+                  strip_tags(F.col("txt")).alias("c"), local_date(F.col("ts")).alias("d")).collect()[0]
+    import hashlib
+    assert r.a == "Rp 1.234.567"
+    assert r.b == hashlib.md5(b"RCP-0000001").hexdigest()[:8].upper()
+    assert r.c == "x"
+    assert r.d == dt.date(2026, 5, 21)          # 18:30 UTC is already the next day at UTC+7

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillbook.functions.formatting import receipt_code  # noqa: F401  (H8, re-exported)
 from tillbook.functions.periods import in_period, on_date
 from tillbook.sources.adapter import headers_for
 
@@ -157,8 +158,3 @@ def row_counts(tables: dict[str, DataFrame], names: list[str]) -> DataFrame:
         c = tables[n].agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("rows"))
         out = c if out is None else out.unionByName(c)
     return out
-
-
-def receipt_code(key: Column) -> Column:
-    """H8: short receipt code from a key: upper(first 8 hex of md5)."""
-    return F.upper(F.substring(F.md5(key.cast("string")), 1, 8))

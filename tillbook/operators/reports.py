@@ -14,7 +14,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.functions.periods import in_period, on_date, period_predicate
+from tillbook.functions.formatting import rupiah  # noqa: F401  (H16, re-exported)
+from tillbook.functions.periods import in_period, on_date
 from tillbook.operators.posting import category_lines
 from tillbook.sources import seeds
 
@@ -354,8 +355,3 @@ def bar_ratio(df: DataFrame, value_col: str) -> DataFrame:
     mx = F.max(value_col).over(Window.partitionBy())
     r = F.when(mx > 0, F.least(F.lit(100), F.round(F.col(value_col) * 100 / mx, 1))).otherwise(F.lit(0))
     return df.withColumn("bar_pct", r.cast("decimal(10,1)"))
-
-
-def rupiah(c: Column) -> Column:
-    """``Rp 1.234.567`` (no decimals, dot grouping)."""
-    return F.concat(F.lit("Rp "), F.translate(F.format_number(c, 0), ",", "."))

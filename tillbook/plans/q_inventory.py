@@ -233,7 +233,7 @@ def q_ingredient_names(m, spark):
 
 
 @query("recipe_links", oracle("""
-SELECT COALESCE(SUM(n), 0) AS recipe_links
+SELECT CAST(COALESCE(SUM(n), 0) AS BIGINT) AS recipe_links
 FROM (SELECT raw_material_id, COUNT(DISTINCT product_id) AS n FROM product_ingredients GROUP BY 1)"""))
 def q_recipe_links(m, spark):
     """D26."""

@@ -122,7 +122,7 @@ def q_gl_empty(m, spark):
 
 
 @query("trial_balance", oracle("""
-SELECT 0 AS row_kind, code, name,
+SELECT CAST(0 AS BIGINT) AS row_kind, code, name,
   CAST(CASE WHEN normal = 'D' AND balance > 0 THEN balance END AS DOUBLE) AS debit,
   CAST(CASE WHEN normal = 'K' AND balance > 0 THEN balance END AS DOUBLE) AS credit
 FROM gl

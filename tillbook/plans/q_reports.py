@@ -218,7 +218,7 @@ def q_cash_flow(m, spark):
 
 
 @query("cash_position", oracle("""
-SELECT 1 AS line_no, 'Cash' AS payment_method, '1010' AS account_code, n_cash AS count,
+SELECT CAST(1 AS BIGINT) AS line_no, 'Cash' AS payment_method, '1010' AS account_code, n_cash AS count,
   CAST(cash AS DOUBLE) AS amount FROM pay
 UNION ALL SELECT 2, 'QRIS', '1030', n_qris, CAST(qris AS DOUBLE) FROM pay
 UNION ALL SELECT 3, 'GoPay', '1040', n_gopay, CAST(gopay AS DOUBLE) FROM pay

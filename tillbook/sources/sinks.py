@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TAG = r"<[^>]+>"
+from tillbook.functions.formatting import strip_tags
 
 
 def clean_text(df: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def clean_text(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
-            c = F.trim(F.regexp_replace(c, TAG, ""))
+            c = strip_tags(c)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
@@ -48,8 +48,3 @@ def append(df: DataFrame, path: str, date_col: str | None = None) -> None:
         out.write.mode("append").partitionBy("entry_month").parquet(path)
     else:
         out.write.mode("append").parquet(path)
-
-
-def rupiah(c) -> F.Column:
-    """``Rp 1.234.567`` display text (no decimals, dot grouping)."""
-    return F.concat(F.lit("Rp "), F.translate(F.format_number(c, 0), ",", "."))
