@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from tillbook.operators import reports
 from tillbook.plans.catalog import AS_OF, EMPTY_YEAR, MONTH, YEAR, YEAR_ONLY, query
