@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tillbook.sources import seeds
+
 TAG = r"<[^>]+>"
 
 
 def rupiah(c: Column) -> Column:
     """``Rp 1.234.567`` display text (no decimals, dot grouping)."""
-    return F.concat(F.lit("Rp "), F.translate(F.format_number(c, 0), ",", "."))
+    return F.concat(F.lit(seeds.CURRENCY_PREFIX), F.translate(F.format_number(c, 0), ",", "."))
 
 
 def receipt_code(key: Column) -> Column:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillbook.functions.periods import in_period, on_date
+from tillbook.sources import seeds
 
 MONEY = "decimal(24,2)"  # width of sum(decimal(14,2)); totals of 100 TB fit
 
@@ -286,7 +287,7 @@ def ingredients_overview(materials: DataFrame, recipes: DataFrame, products: Dat
             .agg(F.array_join(F.array_sort(F.collect_list("product_name")), ", ").alias("_first")))
     lbl = (F.when(F.col("n_product_names") > 3,
                   F.concat(F.col("_first"), F.lit(" +"), (F.col("n_product_names") - 3).cast("string"),
-                           F.lit(" lagi")))
+                           F.lit(seeds.MORE_NAMES_SUFFIX)))
            .otherwise(F.col("_first")))
     out = (materials.join(used, materials.id == used.raw_material_id, "left").drop("raw_material_id")
            .join(n_names, materials.id == n_names.raw_material_id, "left").drop("raw_material_id")

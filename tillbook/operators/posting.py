@@ -81,20 +81,21 @@ def journal_line_array(receipt_no: Column, payment_method: Column, total: Column
         return F.struct(desc.alias("description"), acct.alias("account_code"), _money(dr).alias("debit"),
                         _money(cr).alias("credit"), no.cast("int").alias("line_no"))
 
-    cash = line(F.concat(F.lit("Sale "), receipt_no),
+    cash = line(F.concat(F.lit(seeds.SALE_LINE_TEXT), receipt_no),
                 _map_lookup(payment_method, seeds.CASH_ACCOUNT, seeds.DEFAULT_CASH_ACCOUNT),
                 total, zero, F.lit(1))
     revenue = F.transform(cats, lambda c, i: line(
-        F.concat(c["category"], F.lit(" Revenue "), receipt_no),
+        F.concat(c["category"], F.lit(seeds.REVENUE_LINE_TEXT), receipt_no),
         _map_lookup(c["category"], seeds.REVENUE_ACCOUNT, seeds.DEFAULT_REVENUE_ACCOUNT),
         zero, c["revenue"], i + 2))
     revenue = F.coalesce(revenue, F.array().cast(
         "array<struct<description:string,account_code:string,debit:decimal(14,2),"
         "credit:decimal(14,2),line_no:int>>"))
     tail = F.array(
-        line(F.concat(F.lit("VAT "), receipt_no), F.lit(seeds.VAT_ACCOUNT), zero, tax, n + 2),
-        line(F.concat(F.lit("COGS "), receipt_no), F.lit(seeds.COGS_ACCOUNT), cogs, zero, n + 3),
-        line(F.concat(F.lit("Inventory reduction "), receipt_no), F.lit(seeds.INVENTORY_ACCOUNT), zero, cogs, n + 4),
+        line(F.concat(F.lit(seeds.VAT_LINE_TEXT), receipt_no), F.lit(seeds.VAT_ACCOUNT), zero, tax, n + 2),
+        line(F.concat(F.lit(seeds.COGS_LINE_TEXT), receipt_no), F.lit(seeds.COGS_ACCOUNT), cogs, zero, n + 3),
+        line(F.concat(F.lit(seeds.INVENTORY_LINE_TEXT), receipt_no), F.lit(seeds.INVENTORY_ACCOUNT), zero, cogs,
+             n + 4),
     )
     return F.concat(F.array(cash), revenue, tail)
 

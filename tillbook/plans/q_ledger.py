@@ -28,17 +28,18 @@ def month_pred(col: str, month=None, year=None) -> str:
 
 
 def gl_cte(month=None, year=None) -> str:
-    """The ledger as the reference states it: period predicate inside the ON."""
+    """Ledger of a period for the oracle: per-account sums of the period's
+    journal lines, named from the chart, accounts without activity dropped."""
     return f"""
+acct_sums AS (
+  SELECT account_code, SUM(debit) AS debit, SUM(credit) AS credit
+  FROM journal WHERE {month_pred('entry_date', month, year)}
+  GROUP BY account_code),
 gl AS (
-  SELECT c.code, c.name, c.account_type AS type, c.normal_balance AS normal,
-    COALESCE(SUM(j.debit), 0) AS debit, COALESCE(SUM(j.credit), 0) AS credit,
-    CASE WHEN c.normal_balance = 'D' THEN COALESCE(SUM(j.debit), 0) - COALESCE(SUM(j.credit), 0)
-      ELSE COALESCE(SUM(j.credit), 0) - COALESCE(SUM(j.debit), 0) END AS balance
-  FROM chart_of_accounts c
-  LEFT JOIN journal j ON j.account_code = c.code AND {month_pred('j.entry_date', month, year)}
-  GROUP BY c.code, c.name, c.account_type, c.normal_balance
-  HAVING COALESCE(SUM(j.debit), 0) > 0 OR COALESCE(SUM(j.credit), 0) > 0)"""
+  SELECT coa.code, coa.name, coa.account_type AS type, coa.normal_balance AS normal, a.debit, a.credit,
+    CASE coa.normal_balance WHEN 'D' THEN a.debit - a.credit ELSE a.credit - a.debit END AS balance
+  FROM acct_sums a JOIN chart_of_accounts coa ON coa.code = a.account_code
+  WHERE a.debit > 0 OR a.credit > 0)"""
 
 
 GL_SELECT = ("SELECT code, name, type, normal, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit, "

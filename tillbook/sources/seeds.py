@@ -79,6 +79,16 @@ NORMAL_SIDES = ["D", "K"]
 USER_ROLES = ["cashier", "supervisor", "accountant", "manager"]
 MATERIAL_CATEGORIES = ["Flour & Grain", "Dairy & Eggs", "Fat & Oil", "Sugar & Sweetener",
                        "Fruit & Filling", "Flavoring", "Packaging", "Beverage Base"]
+# Journal line descriptions of a posted sale (text around the receipt number / category).
+SALE_LINE_TEXT = "Sale "
+REVENUE_LINE_TEXT = " Revenue "
+VAT_LINE_TEXT = "VAT "
+COGS_LINE_TEXT = "COGS "
+INVENTORY_LINE_TEXT = "Inventory reduction "
+# Where-used label: first three names, then " +<n> lagi" for the rest.
+MORE_NAMES_SUFFIX = " lagi"
+# Currency display prefix.
+CURRENCY_PREFIX = "Rp "
 # Defaults applied when a new master row omits a value.
 PRODUCT_DEFAULTS = {"supplier": "", "stock": 0, "reorder_point": 5, "cost": Decimal("0")}
 MATERIAL_DEFAULTS = {"supplier": "", "stock_qty": Decimal("0"), "reorder_point": Decimal("5"),
