@@ -243,3 +243,23 @@ def test_scalar_helpers(spark):
     assert r.b == hashlib.md5(b"RCP-0000001").hexdigest()[:8].upper()
     assert r.c == "x"
     assert r.d == dt.date(2026, 5, 21)          # 18:30 UTC is already the next day at UTC+7
+
+
+def test_stream_late_sale_posted_and_redelivery_dropped(spark):
+    import uuid
+    from tillbook.plans.session import scratch_dir
+    from tillbook.streaming.sales_stream import nested_sales, start_posting_stream
+    base = scratch_dir(spark, f"stream-test-{uuid.uuid4().hex}")
+    src, sink, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
+    it = items(spark, [(1, 1, 10, "Bread", 1, "1000", "100"), (2, 1, 10, "Cake", 1, "5000", "100")])
+    recent = txns(spark, [(1, "2026-05-20", "10:00:00", "Cash")])
+    old = txns(spark, [(2, "2020-01-01", "09:00:00", "QRIS")])
+    nested_sales(recent, it).write.mode("append").parquet(src)
+    start_posting_stream(spark, src, sink, ckpt).awaitTermination()
+    # second upload: a sale rung up years ago, plus a re-delivery of receipt 1
+    nested_sales(old.unionByName(recent), it).write.mode("append").parquet(src)
+    start_posting_stream(spark, src, sink, ckpt).awaitTermination()
+    out = spark.read.parquet(sink)
+    refs = sorted(r.reference_no for r in out.filter("line_no = 1").collect())
+    assert refs == ["RCP-0000001", "RCP-0000002"]
+    assert out.count() == 10          # 5 lines per one-category sale, each posted once

@@ -10,10 +10,12 @@ own items, so no stateful aggregate is needed, and every sale becomes its
 journal lines with a single ``explode``.  Results equal the batch posting
 (``tillbook.operators.posting.post_sales``) line for line.
 
-Watermark: the delay is the replay horizon.  A duplicate that arrives later
-than the horizon is no longer recognised here (the K2 duplicate-key check
-reports it); a sale older than the watermark is late and not posted by this
-query, so the horizon should cover the terminals' upload delay.
+Watermark: on *arrival* time (the modification time of the uploaded file,
+from the file source's ``_metadata`` column), not on the sale's own time.
+Deduplication state then stays bounded by the replay horizon, and a sale that
+is uploaded days after it was rung up is still posted: only a re-delivery
+that arrives later than the horizon after the first copy escapes
+deduplication here (the K2 duplicate-key check reports it).
 """
 
 from __future__ import annotations
@@ -77,9 +79,9 @@ def post_sale_rows(sales: DataFrame) -> DataFrame:
     return explode_journal(sales, "transaction_date", lines)
 
 
-def sale_event_time(df: DataFrame) -> DataFrame:
-    return df.withColumn("event_ts", F.to_timestamp(F.concat_ws(" ", F.col("transaction_date").cast("string"),
-                                                                 F.col("transaction_time"))))
+def with_arrival_time(df: DataFrame) -> DataFrame:
+    """Arrival time of each record: the modification time of its file."""
+    return df.withColumn("arrived_at", F.col("_metadata.file_modification_time"))
 
 
 def start_posting_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
@@ -89,7 +91,7 @@ def start_posting_stream(spark: SparkSession, source_dir: str, sink_dir: str, ch
     (offsets, dedup state) lives in ``checkpoint_dir`` on shared storage, so a
     restarted or relocated driver resumes exactly where it stopped."""
     stream = (spark.readStream.schema(SALE_SCHEMA).parquet(source_dir))
-    deduped = (sale_event_time(stream).withWatermark("event_ts", horizon)
+    deduped = (with_arrival_time(stream).withWatermark("arrived_at", horizon)
                .dropDuplicatesWithinWatermark(["receipt_no"]))
     writer = (post_sale_rows(deduped).writeStream.format("parquet")
               .option("path", sink_dir).option("checkpointLocation", checkpoint_dir).outputMode("append"))
