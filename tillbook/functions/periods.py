@@ -35,16 +35,33 @@ def period_predicate(col: str | Column, month: int | None = None, year: int | No
     return (c >= F.lit(start)) & (c < F.lit(end))
 
 
+# Month partition column written next to a date column by the model store.
+MONTH_PARTITION = {"transaction_date": "sale_month", "log_date": "log_month", "entry_date": "entry_month"}
+
+
+def _month_prune(df: DataFrame, col: str, start: dt.date, end_exclusive: dt.date) -> DataFrame:
+    """Add the equivalent predicate on a 'yyyy-MM' partition column, if the
+    frame has one, so a stored table skips whole month folders."""
+    part = MONTH_PARTITION.get(col)
+    if part is None or part not in df.columns:
+        return df
+    last = end_exclusive - dt.timedelta(days=1)
+    return df.filter((F.col(part) >= F.lit(start.strftime("%Y-%m"))) &
+                     (F.col(part) <= F.lit(last.strftime("%Y-%m"))))
+
+
 def in_period(df: DataFrame, col: str, month: int | None = None, year: int | None = None) -> DataFrame:
     """B2."""
-    if period_bounds(month, year) is None:
+    bounds = period_bounds(month, year)
+    if bounds is None:
         return df
-    return df.filter(period_predicate(col, month, year))
+    return _month_prune(df.filter(period_predicate(col, month, year)), col, *bounds)
 
 
 def on_date(df: DataFrame, col: str, day) -> DataFrame:
     """B1: rows of one calendar day."""
-    return df.filter(F.col(col) == F.lit(_as_date(day)))
+    d = _as_date(day)
+    return _month_prune(df.filter(F.col(col) == F.lit(d)), col, d, d + dt.timedelta(days=1))
 
 
 def _as_date(day) -> dt.date:

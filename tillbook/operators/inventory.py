@@ -324,11 +324,17 @@ def addable_materials(product_id: int, materials: DataFrame, recipes: DataFrame)
 def product_sales(items: DataFrame, transactions: DataFrame, as_of, month=None, year=None) -> DataFrame:
     """Per product: units sold on ``as_of``, units and revenue (line price) in
     the period.  Lines are aggregated per (sale, product) first."""
-    hdr = in_period(transactions, "transaction_date", month, year).select(
-        "txn_id", (F.col("transaction_date") == F.lit(as_of)).alias("_today"))
-    per = items.groupBy("txn_id", "product_id").agg(
-        F.sum("quantity").alias("_q"), F.sum(F.col("quantity") * F.col("unit_price")).alias("_rev"))
-    j = per.join(hdr, "txn_id", "inner")
+    if "transaction_date" in items.columns:       # stored model: lines carry the sale date
+        lines = in_period(items, "transaction_date", month, year)
+        j = (lines.groupBy("txn_id", "product_id", "transaction_date")
+             .agg(F.sum("quantity").alias("_q"), F.sum(F.col("quantity") * F.col("unit_price")).alias("_rev"))
+             .withColumn("_today", F.col("transaction_date") == F.lit(as_of)))
+    else:
+        hdr = in_period(transactions, "transaction_date", month, year).select(
+            "txn_id", (F.col("transaction_date") == F.lit(as_of)).alias("_today"))
+        per = items.groupBy("txn_id", "product_id").agg(
+            F.sum("quantity").alias("_q"), F.sum(F.col("quantity") * F.col("unit_price")).alias("_rev"))
+        j = per.join(hdr, "txn_id", "inner")
     return j.groupBy("product_id").agg(
         F.sum(F.when(F.col("_today"), F.col("_q")).otherwise(0)).alias("sold_today"),
         F.sum("_q").alias("sold_period"), F.sum("_rev").cast(MONEY).alias("revenue"))

@@ -34,10 +34,16 @@ def _zero() -> Column:
 
 def period_sales(t: dict[str, DataFrame], month=None, year=None) -> DataFrame:
     """Per (sale, category) aggregates of the sales dated in the period.
-    The period filter runs on the headers (pushed to the scan) and reaches the
-    line aggregate through a semi join on the sale id."""
+
+    Lines that carry their sale's date (the stored model) are filtered
+    directly, which prunes month partitions.  Otherwise the period filter
+    runs on the headers (pushed to their scan) and reaches the line
+    aggregate through a semi join on the sale id."""
+    items = t["transaction_items"]
+    if "transaction_date" in items.columns:
+        return category_lines(in_period(items, "transaction_date", month, year))
     hdr = in_period(t["transactions"], "transaction_date", month, year).select("txn_id")
-    return category_lines(t["transaction_items"]).join(hdr, "txn_id", "left_semi")
+    return category_lines(items).join(hdr, "txn_id", "left_semi")
 
 
 def revenue_cogs(t, month=None, year=None) -> DataFrame:
