@@ -375,5 +375,5 @@ def production_kpis(items, transactions, products, as_of, month=None, year=None)
         F.coalesce(F.sum("sold_today"), F.lit(0)).alias("units_today"),
         F.coalesce(F.sum("sold_period"), F.lit(0)).alias("units_period"))
     n = act.agg(F.count(F.lit(1)).alias("active_products"))
-    from tillbook.operators.reports import _one_row_join
-    return _one_row_join(n, sold)
+    from tillbook.operators.reports import _side_by_side
+    return _side_by_side(n, sold)

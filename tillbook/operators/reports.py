@@ -94,7 +94,7 @@ def report_summary(t, month=None, year=None) -> DataFrame:
     the months in the period); gross = revenue - COGS; net = gross - opex."""
     rc = revenue_cogs(t, month, year)
     n = txn_count(t, month, year)
-    s = _one_row_join(rc, n)
+    s = _side_by_side(rc, n)
     fee = _m(F.round(F.col("total_revenue") * F.lit(seeds.PAYMENT_FEE_RATE), 0))
     opex = _m(F.lit(FIXED_TOTAL) + fee)
     gross = _m(F.col("total_revenue") - F.col("total_cogs"))
@@ -105,7 +105,7 @@ def report_summary(t, month=None, year=None) -> DataFrame:
         _m(gross - opex).alias("net_income"), "transaction_count")
 
 
-def _one_row_join(*frames: DataFrame) -> DataFrame:
+def _side_by_side(*frames: DataFrame) -> DataFrame:
     """Put one-row aggregates side by side without a join: union them (each
     column is non-null in exactly one input) and take each column's only
     non-null value in a global aggregate."""
@@ -138,7 +138,7 @@ def income_statement(t, month=None, year=None) -> DataFrame:
     cats = (by_category(t, month, year)
             .agg(F.array_sort(F.collect_list(F.struct((-F.col("revenue")).alias("neg"), "category", "revenue")))
                  .alias("cats")))  # bounded: one element per product category
-    s = _one_row_join(s, cats)
+    s = _side_by_side(s, cats)
     c = F.col
     cat_lines = F.transform(c("cats"), lambda x, i: F.struct(
         (i + 1).alias("line_no"), F.lit("Revenue").alias("section"),
@@ -187,7 +187,7 @@ def balance_sheet(t, month=None, year=None) -> DataFrame:
     separate lines."""
     hdr = in_period(t["transactions"], "transaction_date", month, year)
     pay = hdr.agg(*[_m(_method_total(mth)).alias(mth.lower()) for mth in seeds.PAYMENT_METHODS])
-    s = _one_row_join(report_summary(t, month, year), pay, stock_value(t["products"]))
+    s = _side_by_side(report_summary(t, month, year), pay, stock_value(t["products"]))
     c = F.col
     cur = [("Cash on Hand", c("cash")), ("Bank BCA", c("debit") + F.lit(seeds.BANK_BASE)),
            ("QRIS Receivable", c("qris")), ("GoPay Balance", c("gopay")), ("Inventory", c("stock_value"))]
@@ -278,7 +278,8 @@ def cash_by_method(t, day) -> DataFrame:
     day is listed too.  The total comes from a global aggregate, so an empty
     day still has its zero TOTAL row."""
     hdr = on_date(t["transactions"], "transaction_date", day)
-    spine = _method_rows(hdr, extra_bank=False).select("payment_method")
+    spine = hdr.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(mth) for mth in seeds.PAYMENT_METHODS])).alias("payment_method"))
     detail = hdr.groupBy("payment_method").agg(F.count(F.lit(1)).alias("count"), _m(F.sum("total")).alias("amount"))
     filled = (spine.join(detail, "payment_method", "full_outer")
               .select("payment_method", F.coalesce("count", F.lit(0)).alias("count"),
@@ -335,7 +336,7 @@ def dashboard_kpis(t, as_of, month=None, year=None) -> DataFrame:
     income with margin, and the low-stock count."""
     s = report_summary(t, month, year)
     low = low_stock(t["products"]).agg(F.count(F.lit(1)).alias("low_stock_count"))
-    s = _one_row_join(s, today_kpi(t, as_of), low)
+    s = _side_by_side(s, today_kpi(t, as_of), low)
     c = F.col
     return s.select("total_revenue", "transaction_count", "today_total", "today_count", "net_income",
                     _pct(c("net_income"), c("total_revenue")).alias("net_margin_pct"), "low_stock_count")

@@ -30,6 +30,23 @@ PLAN_CONF = {
 }
 
 
+# Settings for a large cluster reading ~100 TB (not used by the local tests):
+# scans read 512 MB splits; shuffles start wide and AQE coalesces them
+# towards ~256 MB partitions, so the post-shuffle partitions stay well inside
+# executor memory whatever the period or key skew; a partition 5x the median
+# (and > 512 MB) is split by the skew-join handling.
+CLUSTER_CONF = {
+    **PLAN_CONF,
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "100000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+}
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "tillbook", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)
