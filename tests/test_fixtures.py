@@ -263,3 +263,10 @@ def test_stream_late_sale_posted_and_redelivery_dropped(spark):
     refs = sorted(r.reference_no for r in out.filter("line_no = 1").collect())
     assert refs == ["RCP-0000001", "RCP-0000002"]
     assert out.count() == 10          # 5 lines per one-category sale, each posted once
+
+
+def test_period_label(spark):
+    from tillbook.functions.periods import period_label
+    r = spark.range(1).select(period_label(3, 1997).alias("a"), period_label(None, 1998).alias("b"),
+                              period_label(4, None).alias("c")).collect()[0]
+    assert (r.a, r.b, r.c) == ("March 1997", "Year 1998", "All periods")

@@ -95,3 +95,13 @@ def weekday_label(d: str | Column) -> Column:
 
 def days_in_month(year: int, month: int) -> int:
     return calendar.monthrange(year, month)[1]
+
+
+def period_label(month: int | None = None, year: int | None = None) -> Column:
+    """Statement heading of a period: ``March 1997``, ``Year 1998`` or
+    ``All periods`` (a month without a year is ignored, as in B2)."""
+    if year and month:
+        return F.date_format(F.make_date(F.lit(int(year)), F.lit(int(month)), F.lit(1)), "MMMM yyyy")
+    if year:
+        return F.lit(f"Year {int(year)}")
+    return F.lit("All periods")

@@ -91,6 +91,20 @@ def apply_stock_adjustments(products: DataFrame, adjustments: DataFrame, as_of,
     return new, log
 
 
+def apply_material_adjustments(materials: DataFrame, adjustments: DataFrame, as_of) -> DataFrame:
+    """J4 for raw materials: signed decimal changes applied in ``seq`` order,
+    floored at zero; the material table keeps no log row, so only the new
+    table is returned (stamped with ``as_of`` where changed)."""
+    adj = adjustments.select(F.col("raw_material_id"), F.col("qty_change").cast("decimal(12,2)").alias("qty_change"),
+                             "seq").withColumn("log_date", _date(as_of))
+    led = floored_ledger(adj, "raw_material_id", "log_date", ["seq"], "qty_change",
+                         materials.select(F.col("id").alias("raw_material_id"), F.col("stock_qty").alias("opening")),
+                         "opening", "qty_after")
+    final = latest_wins(led.select("raw_material_id", "seq", "qty_after"), "raw_material_id", ["seq"])
+    changes = final.select(F.col("raw_material_id").alias("id"), F.col("qty_after").alias("stock_qty"))
+    return update_rows(materials, changes, "id", as_of)
+
+
 def upsert_pairs(base: DataFrame, changes: DataFrame, keys: list[str], value_cols: list[str],
                  order: list[str]) -> DataFrame:
     """Insert-or-update on a composite key (ON CONFLICT DO UPDATE); the

@@ -183,3 +183,34 @@ def q_reset_stock_by_sku(m, spark):
     baseline = closing.join(p.select("product_id", "sku"), "product_id").select(
         "sku", F.col("closing_stock").alias("stock"))
     return ch.reset_stock_by_sku(p, baseline).select("product_id", "sku", "stock")
+
+
+@query("material_adjustments", oracle(f"""
+SELECT rm.id, rm.name, CAST(COALESCE(a.qty_after, rm.stock_qty) AS DOUBLE) AS stock_qty,
+  CASE WHEN a.id IS NOT NULL THEN '{AS_OF}' END AS updated_at
+FROM raw_materials rm LEFT JOIN (
+  SELECT id, qty_after FROM (
+    SELECT id, seq, s - LEAST(0, MIN(s) OVER (PARTITION BY id ORDER BY seq
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS qty_after,
+      row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn
+    FROM (SELECT c.id, c.seq, r.stock_qty + SUM(c.qty_change) OVER (PARTITION BY c.id ORDER BY c.seq
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s
+          FROM (SELECT id, 2 * reorder_point - stock_qty AS qty_change, 1 AS seq FROM raw_materials
+                WHERE stock_qty <= reorder_point
+                UNION ALL
+                SELECT id, -CAST(1000 AS DECIMAL(12,2)), 2 FROM raw_materials WHERE category = 'Packaging') c
+          JOIN raw_materials r ON r.id = c.id))
+  WHERE rn = 1) a ON a.id = rm.id"""))
+def q_material_adjustments(m, spark):
+    """J4 for materials: restock materials at or below their reorder point to
+    twice that point, then write off 1,000 of every packaging material
+    (floored at zero)."""
+    rm = m["raw_materials"]
+    restock = inv.low_stock_materials(rm).select(
+        F.col("id").alias("raw_material_id"),
+        (2 * F.col("reorder_point") - F.col("stock_qty")).alias("qty_change"), F.lit(1).alias("seq"))
+    writeoff = rm.filter(F.col("category") == "Packaging").select(
+        F.col("id").alias("raw_material_id"), F.lit(-1000).cast("decimal(12,2)").alias("qty_change"),
+        F.lit(2).alias("seq"))
+    new = ch.apply_material_adjustments(rm, restock.unionByName(writeoff), AS_OF)
+    return new.select("id", "name", "stock_qty", "updated_at")
