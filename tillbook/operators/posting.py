@@ -189,12 +189,18 @@ def opening_entries(anchor: DataFrame) -> DataFrame:
                     F.lit("opening").alias("entry_kind")))
 
 
-def build_journal(transactions: DataFrame, items: DataFrame, as_of=None) -> DataFrame:
+def build_journal(transactions: DataFrame, items: DataFrame, as_of=None, month=None, year=None) -> DataFrame:
     """The journal table: sales postings, monthly accruals and opening lines.
 
     The calendar of months and the opening date come from a one-row aggregate
     of the sales (first and last sale date); ``as_of`` defaults to the last
     sale date.  Nothing is collected to the driver.
+
+    With a period, only that period's sales are posted: the lines are
+    semi-joined to the period's headers, a join Catalyst moves below the
+    line aggregation when the period side can be broadcast (and otherwise
+    keeps after it); accruals and opening lines are produced in full for the
+    caller's own period filter.
     """
     bounds = transactions.agg(F.min("transaction_date").alias("first_day"),
                               F.max("transaction_date").alias("last_day"))
@@ -205,7 +211,12 @@ def build_journal(transactions: DataFrame, items: DataFrame, as_of=None) -> Data
         as_of_c.alias("as_of"))
     accruals = accrue_fixed(months, F.col("as_of"))
     opening = opening_entries(bounds.select(F.trunc("first_day", "MM").alias("opening_date")))
-    return (post_sales(transactions, items)
+    sales_hdr, sales_lines = transactions, items
+    if month or year:
+        from tillbook.functions.periods import in_period
+        sales_hdr = in_period(transactions, "transaction_date", month, year)
+        sales_lines = items.join(sales_hdr.select("txn_id"), "txn_id", "left_semi")
+    return (post_sales(sales_hdr, sales_lines)
             .unionByName(accruals).unionByName(opening))
 
 

@@ -15,8 +15,10 @@ J_SQL = ("CAST(entry_date AS VARCHAR) AS entry_date, description, account_code,
          "CAST(credit AS DOUBLE) AS credit, reference_no, CAST(line_no AS BIGINT) AS line_no, entry_kind")
 
 
-def journal(m, as_of=None):
-    return posting.build_journal(m["transactions"], m["transaction_items"], as_of)
+def journal(m, month=None, year=None):
+    """The journal of the model; with a period only that period's sales are
+    posted (accruals and opening lines are always complete)."""
+    return posting.build_journal(m["transactions"], m["transaction_items"], None, month, year)
 
 
 def month_pred(col: str, month=None, year=None) -> str:
@@ -95,13 +97,13 @@ def q_unbalanced(m, spark):
 @query("general_ledger", oracle(GL_SELECT, gl_cte(MONTH, YEAR)))
 def q_gl_month(m, spark):
     """I6 for one month."""
-    return ledger.general_ledger(m["chart_of_accounts"], journal(m), MONTH, YEAR)
+    return ledger.general_ledger(m["chart_of_accounts"], journal(m, MONTH, YEAR), MONTH, YEAR)
 
 
 @query("general_ledger_year", oracle(GL_SELECT, gl_cte(None, YEAR_ONLY)))
 def q_gl_year(m, spark):
     """I6 for one year."""
-    return ledger.general_ledger(m["chart_of_accounts"], journal(m), None, YEAR_ONLY)
+    return ledger.general_ledger(m["chart_of_accounts"], journal(m, None, YEAR_ONLY), None, YEAR_ONLY)
 
 
 @query("general_ledger_all", oracle(GL_SELECT, gl_cte(None, None)))
@@ -119,7 +121,7 @@ def q_gl_month_only(m, spark):
 @query("general_ledger_empty_period", oracle(GL_SELECT, gl_cte(None, EMPTY_YEAR)))
 def q_gl_empty(m, spark):
     """I6 for a year without activity: no rows."""
-    return ledger.general_ledger(m["chart_of_accounts"], journal(m), None, EMPTY_YEAR)
+    return ledger.general_ledger(m["chart_of_accounts"], journal(m, None, EMPTY_YEAR), None, EMPTY_YEAR)
 
 
 @query("trial_balance", oracle("""
@@ -133,7 +135,7 @@ SELECT 1, '', 'TOTAL', CAST(COALESCE(SUM(CASE WHEN normal = 'D' THEN balance END
 FROM gl""", gl_cte(MONTH, YEAR)))
 def q_trial_balance(m, spark):
     """I7 for one month."""
-    gl = ledger.general_ledger(m["chart_of_accounts"], journal(m), MONTH, YEAR)
+    gl = ledger.general_ledger(m["chart_of_accounts"], journal(m, MONTH, YEAR), MONTH, YEAR)
     return ledger.trial_balance(gl)
 
 
@@ -144,7 +146,7 @@ FROM (SELECT COALESCE(SUM(CASE WHEN normal = 'D' THEN balance END), 0) AS d,
              COALESCE(SUM(CASE WHEN normal = 'K' THEN balance END), 0) AS k FROM gl)""", gl_cte(None, YEAR_ONLY)))
 def q_tb_check(m, spark):
     """D9 for one year."""
-    gl = ledger.general_ledger(m["chart_of_accounts"], journal(m), None, YEAR_ONLY)
+    gl = ledger.general_ledger(m["chart_of_accounts"], journal(m, None, YEAR_ONLY), None, YEAR_ONLY)
     return ledger.trial_balance_check(gl)
 
 
@@ -164,7 +166,7 @@ SELECT COUNT(*) AS lines, CAST(COALESCE(SUM(debit), 0) AS DOUBLE) AS total_debit
 FROM journal WHERE {month_pred('entry_date', MONTH, YEAR)}"""))
 def q_journal_totals(m, spark):
     """D28 for one month."""
-    return ledger.journal_totals(journal(m), MONTH, YEAR)
+    return ledger.journal_totals(journal(m, MONTH, YEAR), MONTH, YEAR)
 
 
 @query("sales_journal", oracle(f"""
@@ -174,7 +176,7 @@ FROM journal WHERE {month_pred('entry_date', MONTH, YEAR)}
 ORDER BY entry_date DESC, reference_no DESC, line_no DESC LIMIT 500"""))
 def q_sales_journal(m, spark):
     """Newest 500 lines of one month (the listing size is the feature)."""
-    return ledger.sales_journal(journal(m), MONTH, YEAR, 500).select(*J_COLS, "debit_shown", "credit_shown")
+    return ledger.sales_journal(journal(m, MONTH, YEAR), MONTH, YEAR, 500).select(*J_COLS, "debit_shown", "credit_shown")
 
 
 @query("journal_for_receipts", oracle(f"""
