@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions.formatting import rupiah  # noqa: F401  (H16, re-exported)
-from tillbook.functions.periods import in_period, on_date
+from tillbook.functions.periods import in_period
 from tillbook.operators.posting import category_lines
+from tillbook.sources.adapter import period_transactions
 from tillbook.sources import seeds
 
 MONEY = "decimal(24,2)"  # width of sum(decimal(14,2)); totals of 100 TB fit
@@ -55,13 +56,12 @@ def revenue_cogs(t, month=None, year=None) -> DataFrame:
 
 def txn_count(t, month=None, year=None) -> DataFrame:
     """D3."""
-    return in_period(t["transactions"], "transaction_date", month, year).agg(
-        F.count(F.lit(1)).alias("transaction_count"))
+    return period_transactions(t, month, year).agg(F.count(F.lit(1)).alias("transaction_count"))
 
 
 def by_payment(t, month=None, year=None) -> DataFrame:
     """Count and gross total (tax included) per payment method."""
-    return (in_period(t["transactions"], "transaction_date", month, year)
+    return (period_transactions(t, month, year)
             .groupBy("payment_method")
             .agg(F.count(F.lit(1)).alias("count"), _m(F.sum("total")).alias("total")))
 
@@ -75,7 +75,7 @@ def by_category(t, month=None, year=None) -> DataFrame:
 
 def daily_sales(t, month=None, year=None) -> DataFrame:
     """Gross total and count per day."""
-    return (in_period(t["transactions"], "transaction_date", month, year)
+    return (period_transactions(t, month, year)
             .groupBy(F.col("transaction_date").alias("date"))
             .agg(_m(F.sum("total")).alias("total"), F.count(F.lit(1)).alias("count"))
             .orderBy("date"))
@@ -185,7 +185,7 @@ def balance_sheet(t, month=None, year=None) -> DataFrame:
     payable = round(revenue x 0.11 / 1.11) although revenue is already net.
     Sides are not forced equal: the side totals and their difference are
     separate lines."""
-    hdr = in_period(t["transactions"], "transaction_date", month, year)
+    hdr = period_transactions(t, month, year)
     pay = hdr.agg(*[_m(_method_total(mth)).alias(mth.lower()) for mth in seeds.PAYMENT_METHODS])
     s = _side_by_side(report_summary(t, month, year), pay, stock_value(t["products"]))
     c = F.col
@@ -264,7 +264,7 @@ def _method_rows(hdr: DataFrame, extra_bank: bool) -> DataFrame:
 def cash_position(t, month=None, year=None) -> DataFrame:
     """Per method gross receipts on its cash account (bank +45M) and the
     total of cash and equivalents."""
-    hdr = in_period(t["transactions"], "transaction_date", month, year)
+    hdr = period_transactions(t, month, year)
     rows = _method_rows(hdr, extra_bank=True)
     total = rows.agg(F.lit(5).alias("line_no"), F.lit("TOTAL").alias("payment_method"),
                      F.lit("").alias("account_code"), F.sum("count").alias("count"),
@@ -277,7 +277,7 @@ def cash_by_method(t, day) -> DataFrame:
     methods appear even without sales (C9), any other method present on the
     day is listed too.  The total comes from a global aggregate, so an empty
     day still has its zero TOTAL row."""
-    hdr = on_date(t["transactions"], "transaction_date", day)
+    hdr = period_transactions(t, day=day)
     spine = hdr.sparkSession.range(1).select(
         F.explode(F.array(*[F.lit(mth) for mth in seeds.PAYMENT_METHODS])).alias("payment_method"))
     detail = hdr.groupBy("payment_method").agg(F.count(F.lit(1)).alias("count"), _m(F.sum("total")).alias("amount"))
@@ -321,7 +321,7 @@ def txn_gross_margin(t) -> DataFrame:
 
 def today_kpi(t, as_of) -> DataFrame:
     """Total and count of the sales of ``as_of``."""
-    return on_date(t["transactions"], "transaction_date", as_of).agg(
+    return period_transactions(t, day=as_of).agg(
         _m(F.coalesce(F.sum("total"), _zero())).alias("today_total"),
         F.count(F.lit(1)).alias("today_count"))
 

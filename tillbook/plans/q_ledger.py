@@ -197,7 +197,8 @@ SELECT txn_id, CAST(transaction_date AS VARCHAR) AS transaction_date, receipt_no
 FROM transactions WHERE {month_pred('transaction_date', MONTH, YEAR)}"""))
 def q_cash_receipts_journal(m, spark):
     """I13 for one month."""
-    return ledger.cash_receipts_journal(m["transactions"], MONTH, YEAR)
+    from tillbook.sources.adapter import period_transactions
+    return ledger.cash_receipts_journal(period_transactions(m, MONTH, YEAR), MONTH, YEAR)
 
 
 @query("sale_category_revenue", oracle("""

@@ -224,6 +224,26 @@ def headers_for(t: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
     return t["transactions"].join(ids, "txn_id", "left_semi")
 
 
+def period_transactions(t: dict[str, DataFrame], month=None, year=None, day=None) -> DataFrame:
+    """Headers with totals of the sales of a period (month/year) or of one
+    day.  With derived totals only those sales' lines are aggregated (the
+    semi join moves below the aggregate when the period side is small enough
+    to broadcast); a stored ``transactions`` table is just filtered, with
+    month-partition pruning."""
+    from tillbook.functions.periods import in_period, on_date
+
+    def select(df):
+        df = in_period(df, "transaction_date", month, year)
+        return on_date(df, "transaction_date", day) if day is not None else df
+
+    if "sale_headers" not in t:
+        return select(t["transactions"])
+    if not (month or year or day is not None):
+        return t["transactions"]
+    hdr = select(t["sale_headers"])
+    return with_sale_totals(hdr, t["transaction_items"].join(hdr.select("txn_id"), "txn_id", "left_semi"))
+
+
 def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All model tables as lazy DataFrames keyed by model name."""
     part = read_raw(spark, sf_dir, "part")
