@@ -28,9 +28,9 @@ def test_stock_ledger_windows_are_blocked_by_day(model):
     plan = _plan(inventory.stock_ledger(model["stock_movements"], model["products"]))
     run_windows = [ln for ln in plan.splitlines() if "Window [" in ln and re.search(r"AS _run#\d+", ln)]
     assert run_windows
-    # the row-level running sum is partitioned by (product, day), never by product alone
+    # the row-level running sum is partitioned by (product, block), never by product alone
     for ln in run_windows:
-        assert re.search(r"\], \[product_id#\d+L?, log_date#\d+\]", ln), ln
+        assert re.search(r"\], \[product_id#\d+L?, _blk#\d+\]", ln), ln
 
 
 def test_page_selects_sales_before_numbering_lines(model):
