@@ -28,3 +28,55 @@ def test_blocked_scan_equals_fold(spark, products):
     op = spark.createDataFrame(openings, "product_id long, opening long")
     out = floored_ledger(mv, "product_id", "day", ["seq"], "change", op, "opening").collect()
     assert {(r.product_id, r.seq): r.stock_after for r in out} == expect
+
+
+cat_names = st.sampled_from(["Bread", "Pastry", "Cake", "Beverage", "Promo"])
+sales = st.lists(
+    st.tuples(st.sampled_from(["Cash", "QRIS", "GoPay", "Debit", "Voucher"]),
+              st.lists(st.tuples(cat_names, st.integers(1, 9), st.integers(0, 50000), st.integers(0, 20000)),
+                       min_size=0, max_size=6)),
+    min_size=1, max_size=8)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(sales)
+def test_posting_balances_and_line_counts(spark, sale_list):
+    import datetime as dt
+    from decimal import Decimal as D
+    from helpers import items, txns
+    from tillbook.operators.posting import post_sales, sale_totals
+    item_rows, txn_rows, cats = [], [], {}
+    for tid, (method, lines) in enumerate(sale_list, start=1):
+        txn_rows.append((tid, "2026-05-20", f"10:{tid:02d}:00", method))
+        cats[tid] = len({c for c, *_ in lines})
+        for seq, (cat, qty, price, cost) in enumerate(lines, start=1):
+            item_rows.append((tid, seq, 100 + seq, cat, qty, str(price), str(cost)))
+    it = items(spark, item_rows) if item_rows else items(spark, [(0, 1, 1, "Bread", 1, "1", "1")]).limit(0)
+    tx = txns(spark, txn_rows)
+    j = post_sales(tx, it).collect()
+    by_ref = {}
+    for r in j:
+        by_ref.setdefault(r.reference_no, []).append(r)
+    assert len(by_ref) == len(sale_list)
+    totals = {r.txn_id: r for r in sale_totals(it).collect()}
+    for tid in range(1, len(sale_list) + 1):
+        rows = by_ref[f"RCP-{tid:07d}"]
+        assert sum(r.debit for r in rows) == sum(r.credit for r in rows)
+        assert len(rows) == 4 + cats[tid]
+        assert sorted(r.line_no for r in rows) == list(range(1, 5 + cats[tid]))
+        revenue = sum(r.credit for r in rows if " Revenue " in r.description)
+        assert revenue == (totals[tid].subtotal if tid in totals else D("0"))
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 1000), st.text(max_size=3)), min_size=1, max_size=40,
+                unique_by=lambda t: (t[0], t[1])))
+def test_latest_wins_matches_python(spark, rows):
+    from tillbook.operators.inventory import latest_wins
+    df = spark.createDataFrame(rows, "k int, ts int, v string")
+    got = {(r.k, r.ts, r.v) for r in latest_wins(df, "k", ["ts"]).collect()}
+    best = {}
+    for k, ts, v in rows:
+        if k not in best or ts > best[k][0]:
+            best[k] = (ts, v)
+    assert got == {(k, ts, v) for k, (ts, v) in best.items()}
