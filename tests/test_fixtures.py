@@ -270,3 +270,13 @@ def test_period_label(spark):
     r = spark.range(1).select(period_label(3, 1997).alias("a"), period_label(None, 1998).alias("b"),
                               period_label(4, None).alias("c")).collect()[0]
     assert (r.a, r.b, r.c) == ("March 1997", "Year 1998", "All periods")
+
+
+def test_material_insert_defaults(spark):
+    base = spark.createDataFrame([(1, "flour", "Flour & Grain", "gram", D("10"), D("5"), D("2"), "x", True)],
+                                 "id long, name string, category string, unit string, stock_qty decimal(12,2), "
+                                 "reorder_point decimal(12,2), unit_cost decimal(12,2), supplier string, active boolean")
+    new = spark.createDataFrame([(2, "sugar", "Sugar & Sweetener", "gram", True)],
+                                "id long, name string, category string, unit string, active boolean")
+    r = changes.insert_rows(base, new, seeds.MATERIAL_DEFAULTS).filter("id = 2").collect()[0]
+    assert (r.supplier, r.stock_qty, r.reorder_point, r.unit_cost) == ("", D("0.00"), D("5.00"), D("0.00"))

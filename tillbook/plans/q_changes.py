@@ -214,3 +214,19 @@ def q_material_adjustments(m, spark):
         F.lit(2).alias("seq"))
     new = ch.apply_material_adjustments(rm, restock.unionByName(writeoff), AS_OF)
     return new.select("id", "name", "stock_qty", "updated_at")
+
+
+@query("materials_update", oracle(f"""
+SELECT rm.id, rm.name, rm.category, CAST(rm.stock_qty AS DOUBLE) AS stock_qty,
+  CAST(CASE WHEN rm.stock_qty < 2 * rm.reorder_point THEN 1000 ELSE rm.reorder_point END AS DOUBLE) AS reorder_point,
+  CAST(rm.unit_cost AS DOUBLE) AS unit_cost,
+  CASE WHEN rm.stock_qty < 2 * rm.reorder_point THEN '{AS_OF}' END AS updated_at
+FROM raw_materials rm"""))
+def q_materials_update(m, spark):
+    """J2 for materials: materials holding less than twice their reorder point
+    get a reorder point of 1,000; changed rows are stamped with the as-of date."""
+    rm = m["raw_materials"]
+    thin = rm.filter(F.col("stock_qty") < 2 * F.col("reorder_point")).select(
+        "id", F.lit(1000).cast("decimal(12,2)").alias("reorder_point"))
+    return ch.update_rows(rm, thin, "id", AS_OF).select("id", "name", "category", "stock_qty", "reorder_point",
+                                                       "unit_cost", "updated_at")
