@@ -59,3 +59,10 @@ def test_closing_stock_non_negative(model):
     cs = inventory.closing_stock(led, model["products"])
     assert cs.filter("closing_stock < 0").count() == 0
     assert cs.count() == model["products"].count()
+
+
+def test_closing_from_blocks_equals_last_ledger_row(model):
+    led = inventory.stock_ledger(model["stock_movements"], model["products"])
+    from_ledger = inventory.closing_stock(led, model["products"])
+    from_blocks = inventory.closing_stock(model["stock_movements"], model["products"])
+    assert sorted(from_ledger.collect()) == sorted(from_blocks.collect())

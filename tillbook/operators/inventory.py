@@ -32,6 +32,35 @@ from tillbook.sources import seeds
 MONEY = "decimal(24,2)"  # width of sum(decimal(14,2)); totals of 100 TB fit
 
 
+def _blocked_scan(moves: DataFrame, key: str, block: str, order: list, change: str,
+                  openings: DataFrame, opening_col: str, materialize: bool = False):
+    """Steps 1-3 of the blocked scan: the row-level window pass ``lvl1`` and
+    the per-block table with offset ``_boff`` and earlier minimum ``_prevmin``.
+    (Helper column names are distinct without regard to case: Spark resolves
+    names case-insensitively.)"""
+    wb = Window.partitionBy(key, block)
+    w1 = wb.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    lvl1 = (moves.withColumn("_run", F.sum(change).over(w1))
+            .withColumn("_runmin", F.min("_run").over(w1))
+            .withColumn("_bfirst", F.row_number().over(wb.orderBy(*order)) == 1)
+            .withColumn("_btot", F.sum(change).over(wb))
+            .withColumn("_bmin", F.min("_run").over(wb)))
+    if materialize:
+        from tillbook.plans.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(moves.sparkSession)
+        lvl1 = lvl1.checkpoint(eager=True)
+    blocks = lvl1.filter(F.col("_bfirst")).select(key, block, "_btot", "_bmin")
+    opening = openings.select(key, F.col(opening_col).alias("_open"))
+    blocks = blocks.join(opening, key, "left").withColumn(
+        "_open", F.coalesce(F.col("_open"), F.lit(0)))
+    w2 = Window.partitionBy(key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (blocks.withColumn("_boff", F.col("_open") + F.coalesce(F.sum("_btot").over(w2), F.lit(0)))
+              .withColumn("_prevmin", F.least(F.col("_open"),
+                                              F.coalesce(F.min(F.col("_boff") + F.col("_bmin")).over(w2),
+                                                         F.col("_open")))))
+    return lvl1, blocks
+
+
 def floored_ledger(moves: DataFrame, key: str, block: str, order: list, change: str,
                    openings: DataFrame, opening_col: str, level_col: str = "stock_after",
                    materialize: bool = False) -> DataFrame:
@@ -42,8 +71,7 @@ def floored_ledger(moves: DataFrame, key: str, block: str, order: list, change:
     (non-negative; missing keys open at 0).
 
     One window pass over (key, block) yields the local running sum and
-    minimum *and* the block's total and minimum.  (Helper column names are
-    distinct without regard to case: Spark resolves names case-insensitively.)  The block statistics are
+    minimum *and* the block's total and minimum.  The block statistics are
     read from that pass through a narrow projection (key, block, order,
     change), so the plan has one shuffle of the full rows, one narrow
     shuffle for the block table, and the join back finds the rows already
@@ -53,25 +81,7 @@ def floored_ledger(moves: DataFrame, key: str, block: str, order: list, change:
     price of one more shuffle of the rows, because a checkpoint does not
     keep its partitioning.
     """
-    wb = Window.partitionBy(key, block)
-    w1 = wb.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    lvl1 = (moves.withColumn("_run", F.sum(change).over(w1))
-            .withColumn("_runmin", F.min("_run").over(w1))
-            .withColumn("_bfirst", F.row_number().over(wb.orderBy(*order)) == 1)
-            .withColumn("_btot", F.sum(change).over(wb))
-            .withColumn("_bmin", F.min("_run").over(wb)))
-    if materialize:
-        from tillbook.plans.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(moves.sparkSession)
-        lvl1 = lvl1.checkpoint(eager=True)
-    blocks = lvl1.filter(F.col("_bfirst")).select(key, block, "_btot", "_bmin")
-    opening = openings.select(key, F.col(opening_col).alias("_open"))
-    blocks = blocks.join(opening, key, "left").withColumn(
-        "_open", F.coalesce(F.col("_open"), F.lit(0)))
-    w2 = Window.partitionBy(key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (blocks.withColumn("_boff", F.col("_open") + F.coalesce(F.sum("_btot").over(w2), F.lit(0)))
-              .withColumn("_prevmin", F.least(F.col("_open"),
-                                        F.coalesce(F.min(F.col("_boff") + F.col("_bmin")).over(w2), F.col("_open")))))
+    lvl1, blocks = _blocked_scan(moves, key, block, order, change, openings, opening_col, materialize)
     out = lvl1.join(blocks.select(key, block, "_boff", "_prevmin"), [key, block], "inner")
     s = F.col("_boff") + F.col("_run")
     low = F.least(F.col("_prevmin"), F.col("_boff") + F.col("_runmin"))
@@ -79,23 +89,43 @@ def floored_ledger(moves: DataFrame, key: str, block: str, order: list, change:
             .drop("_run", "_runmin", "_boff", "_prevmin", "_bfirst", "_btot", "_bmin"))
 
 
+def floored_closing(moves: DataFrame, key: str, block: str, order: list, change: str,
+                    openings: DataFrame, opening_col: str, level_col: str = "closing") -> DataFrame:
+    """The level after the last movement of every key that has movements.
+
+    Needs only the block table: after the last block the running sum is
+    ``_boff + _btot`` and the lowest level so far is
+    ``min(_prevmin, _boff + _bmin)``; no movement row is joined back.  The
+    last block per key is picked with ``latest_wins`` (a partial aggregate)."""
+    _, blocks = _blocked_scan(moves, key, block, order, change, openings, opening_col)
+    last = latest_wins(blocks.select(key, block, "_boff", "_btot", "_bmin", "_prevmin"), key, [block])
+    low = F.least(F.col("_prevmin"), F.col("_boff") + F.col("_bmin"))
+    return last.select(key, (F.col("_boff") + F.col("_btot") - F.least(F.lit(0), low)).alias(level_col))
+
+
 def _order_cols(df: DataFrame, cols: list[str]) -> list[str]:
     """Use the raw line key when present (no per-sale window needed)."""
     return [("line_key" if c == "line_seq" and "line_key" in df.columns else c) for c in cols]
 
 
+def _product_blocks(movements: DataFrame) -> DataFrame:
+    """Block = (day, hour): the hour is the prefix of log_time, so blocks stay
+    contiguous in the (date, time, ...) order; a product's busiest day is
+    spread over up to 24 tasks, and a product has at most 24 x days blocks."""
+    return movements.withColumn("_blk", F.struct(F.col("log_date").alias("d"),
+                                                 F.substring("log_time", 1, 2).alias("h")))
+
+
+def _openings(products: DataFrame) -> DataFrame:
+    return products.select("product_id", F.col("stock").cast("bigint").alias("opening"))
+
+
 def stock_ledger(movements: DataFrame, products: DataFrame) -> DataFrame:
     """Every movement with the floored stock after it; the unclamped
     change is kept.  Opening stock = the product's ``stock`` column."""
     order = _order_cols(movements, ["log_time", "txn_id", "line_seq", "kind"])
-    # block = (day, hour): the hour is the prefix of log_time, so blocks stay
-    # contiguous in the (date, time, ...) order; a product's busiest day is
-    # spread over up to 24 tasks, and a product has at most 24 x days blocks
-    mv = movements.withColumn("_blk", F.struct(F.col("log_date").alias("d"),
-                                               F.substring("log_time", 1, 2).alias("h")))
-    led = floored_ledger(mv, "product_id", "_blk", order, "quantity_change",
-                         products.select("product_id", F.col("stock").cast("bigint").alias("opening")),
-                         "opening")
+    led = floored_ledger(_product_blocks(movements), "product_id", "_blk", order, "quantity_change",
+                         _openings(products), "opening")
     return led.drop("_blk").withColumn("stock_after", F.col("stock_after").cast("bigint"))
 
 
@@ -123,15 +153,25 @@ def latest_wins(df: DataFrame, key: list[str] | str, order: list[str]) -> DataFr
     return agg.select(*keys, *sel).select(*df.columns)
 
 
-def closing_stock(ledger: DataFrame, products: DataFrame) -> DataFrame:
-    """Stock after all movements (the last ledger row per product);
-    products without movements keep their opening stock."""
-    order = _order_cols(ledger, ["log_date", "log_time", "txn_id", "line_seq", "kind"])
-    last = latest_wins(ledger.select("product_id", *order, "stock_after"), "product_id", order)
+def closing_stock(movements: DataFrame, products: DataFrame) -> DataFrame:
+    """Stock after all movements for every product (products without
+    movements keep their opening stock).
+
+    Given raw movements, only the block summaries of the scan are needed
+    (``floored_closing``).  Given a ledger (with ``stock_after``), its last
+    row per product is taken."""
+    if "stock_after" in movements.columns:
+        order = _order_cols(movements, ["log_date", "log_time", "txn_id", "line_seq", "kind"])
+        last = latest_wins(movements.select("product_id", *order, "stock_after"), "product_id", order)
+        last = last.select("product_id", F.col("stock_after").alias("closing"))
+    else:
+        order = _order_cols(movements, ["log_time", "txn_id", "line_seq", "kind"])
+        last = floored_closing(_product_blocks(movements), "product_id", "_blk", order, "quantity_change",
+                               _openings(products), "opening")
     return (products.select("product_id", "name", F.col("stock").cast("bigint").alias("opening_stock"))
-            .join(last.select("product_id", "stock_after"), "product_id", "left")
+            .join(last, "product_id", "left")
             .select("product_id", "name", "opening_stock",
-                    F.coalesce(F.col("stock_after"), F.col("opening_stock")).alias("closing_stock")))
+                    F.coalesce(F.col("closing").cast("bigint"), F.col("opening_stock")).alias("closing_stock")))
 
 
 # ---------------------------------------------------------------------------

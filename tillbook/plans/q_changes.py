@@ -179,7 +179,7 @@ def q_reset_stock_by_sku(m, spark):
     """Reset catalogue stock from a baseline by SKU (the baseline being
     the closing stock of the movement ledger)."""
     p = m["products"]
-    closing = inv.closing_stock(inv.stock_ledger(m["stock_movements"], p), p)
+    closing = inv.closing_stock(m["stock_movements"], p)
     baseline = closing.join(p.select("product_id", "sku"), "product_id").select(
         "sku", F.col("closing_stock").alias("stock"))
     return ch.reset_stock_by_sku(p, baseline).select("product_id", "sku", "stock")

@@ -42,7 +42,7 @@ FROM products p LEFT JOIN (
   ON l.product_id = p.product_id""", LEDGER_CTE))
 def q_closing_stock(m, spark):
     """Stock after all movements for every product."""
-    return inv.closing_stock(inv.stock_ledger(m["stock_movements"], m["products"]), m["products"])
+    return inv.closing_stock(m["stock_movements"], m["products"])
 
 
 @query("material_stock_ledger", oracle("""
