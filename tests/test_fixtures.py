@@ -280,3 +280,16 @@ def test_material_insert_defaults(spark):
                                 "id long, name string, category string, unit string, active boolean")
     r = changes.insert_rows(base, new, seeds.MATERIAL_DEFAULTS).filter("id = 2").collect()[0]
     assert (r.supplier, r.stock_qty, r.reorder_point, r.unit_cost) == ("", D("0.00"), D("5.00"), D("0.00"))
+
+
+def test_account_absent_from_chart(spark):
+    coa = seeds.chart_of_accounts(spark)
+    j = spark.createDataFrame(
+        [(dt.date(2026, 5, 1), "RCP-1", 1, "x", "9999", D("5"), D("0")),
+         (dt.date(2026, 5, 1), "RCP-1", 2, "y", "1010", D("0"), D("5"))],
+        "entry_date date, reference_no string, line_no int, description string, account_code string, "
+        "debit decimal(14,2), credit decimal(14,2)")
+    refs = spark.createDataFrame([("RCP-1",)], "reference_no string")
+    rows = {r.account_code: r.account_name for r in ledger.journal_for_receipts(j, coa, refs).collect()}
+    assert rows == {"9999": None, "1010": "Cash on Hand"}              # the line is kept, unnamed
+    assert [r.code for r in ledger.general_ledger(coa, j).collect()] == ["1010"]   # ledger lists chart accounts
