@@ -333,3 +333,17 @@ FROM (SELECT CAST(transaction_date AS VARCHAR) AS date, CAST(SUM(total) AS DOUBL
 def q_daily_sales_bars(m, spark):
     """Daily series with chart bar lengths relative to the largest day."""
     return reports.bar_ratio(reports.daily_sales(m, MONTH, YEAR), "total")
+
+
+@query("income_statement_empty_period", income_sql(None, EMPTY_YEAR))
+def q_income_statement_empty(m, spark):
+    """I9 edge: a period without sales has no category lines, zero revenue,
+    the flat operating expenses and 0 % margins."""
+    return reports.income_statement(m, None, EMPTY_YEAR)
+
+
+@query("balance_sheet_year", oracle(lines_sql(BALANCE_ROWS, "summary, pay, sv", ["side", "section", "label"]),
+                                    summary_ctes(None, YEAR_ONLY)))
+def q_balance_sheet_year(m, spark):
+    """I10 for one year."""
+    return reports.balance_sheet(m, None, YEAR_ONLY)
