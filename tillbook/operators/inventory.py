@@ -377,7 +377,8 @@ def product_sales(items: DataFrame, transactions: DataFrame, as_of, month=None,
     else:
         hdr = in_period(transactions, "transaction_date", month, year).select(
             "txn_id", (F.col("transaction_date") == F.lit(as_of)).alias("_today"))
-        per = items.groupBy("txn_id", "product_id").agg(
+        lines = items if not (month or year) else items.join(hdr.select("txn_id"), "txn_id", "left_semi")
+        per = lines.groupBy("txn_id", "product_id").agg(
             F.sum("quantity").alias("_q"), F.sum(F.col("quantity") * F.col("unit_price")).alias("_rev"))
         j = per.join(hdr, "txn_id", "inner")
     return j.groupBy("product_id").agg(
