@@ -187,8 +187,12 @@ FROM journal j LEFT JOIN chart_of_accounts c ON c.code = j.account_code
 WHERE j.reference_no IN (SELECT receipt_no FROM transactions WHERE transaction_date = DATE '{AS_OF}')"""))
 def q_journal_for_receipts(m, spark):
     """Journal lines (with account names) of every receipt of one day."""
-    refs = on_date(m["transactions"], "transaction_date", AS_OF).select(F.col("receipt_no").alias("reference_no"))
-    return ledger.journal_for_receipts(journal(m), m["chart_of_accounts"], refs)
+    from tillbook.sources.adapter import period_transactions
+    day = period_transactions(m, day=AS_OF)
+    refs = day.select(F.col("receipt_no").alias("reference_no"))
+    # only sale postings carry receipt numbers: posting that day's sales gives every line of those receipts
+    day_journal = posting.post_sales(day, m["transaction_items"].join(day.select("txn_id"), "txn_id", "left_semi"))
+    return ledger.journal_for_receipts(day_journal, m["chart_of_accounts"], refs)
 
 
 @query("cash_receipts_journal", oracle(f"""
