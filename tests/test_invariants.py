@@ -66,3 +66,14 @@ def test_closing_from_blocks_equals_last_ledger_row(model):
     from_ledger = inventory.closing_stock(led, model["products"])
     from_blocks = inventory.closing_stock(model["stock_movements"], model["products"])
     assert sorted(from_ledger.collect()) == sorted(from_blocks.collect())
+
+
+def test_day_movements_equal_filtered_movements(model):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from tillbook.sources.adapter import stock_movements_on
+    for day in [dt.date(1997, 3, 15), dt.date(1996, 1, 2)]:
+        cols = ["product_id", "log_date", "log_time", "txn_id", "kind", "quantity_change", "reason"]
+        a = stock_movements_on(model, day).select(*cols)
+        b = model["stock_movements"].filter(F.col("log_date") == F.lit(day)).select(*cols)
+        assert sorted(a.collect()) == sorted(b.collect())

@@ -175,7 +175,8 @@ SELECT movement_type, COUNT(*) AS movements FROM stock_movements WHERE log_date
 GROUP BY movement_type"""))
 def q_movements_on_day(m, spark):
     """D27."""
-    return inv.movements_on_day(m["stock_movements"], AS_OF)
+    from tillbook.sources.adapter import stock_movements_on
+    return inv.movements_on_day(stock_movements_on(m, AS_OF), AS_OF)
 
 
 @query("recipe_lines", oracle("""

@@ -178,6 +178,33 @@ def stock_movements(items: DataFrame, transactions: DataFrame) -> DataFrame:
                     "line_seq", "line_key", "m.kind", "m.movement_type", "m.quantity_change", "m.reason"))
 
 
+def stock_movements_on(t: dict[str, DataFrame], day) -> DataFrame:
+    """The stock movements logged on one day, built for that day only: the
+    day's sales (headers filtered at their scan, lines semi-joined) and the
+    returns shipped that day.  A stored model is simply filtered (its
+    movements are partitioned by month)."""
+    from tillbook.functions.periods import on_date
+    if "sale_headers" not in t:
+        return on_date(t["stock_movements"], "log_date", day)
+    hdr = on_date(t["sale_headers"], "transaction_date", day)
+    sold = t["transaction_items"].join(hdr.select("txn_id"), "txn_id", "left_semi")
+    returned = on_date(t["transaction_items"], "ship_date", day).filter(F.col("return_flag") == "R")
+    receipts = t["sale_headers"].select("txn_id", "transaction_date", "transaction_time", "receipt_no")
+    sales = (sold.join(hdr.select("txn_id", "transaction_date", "transaction_time", "receipt_no"), "txn_id")
+             .select("product_id", "product_name", F.col("transaction_date").alias("log_date"),
+                     F.col("transaction_time").alias("log_time"), "txn_id", "line_seq", "line_key",
+                     F.lit(0).alias("kind"), F.lit("Sale").alias("movement_type"),
+                     (-F.col("quantity")).alias("quantity_change"),
+                     F.concat(F.lit("Sale: "), F.col("receipt_no")).alias("reason")))
+    returns = (returned.join(receipts, "txn_id")
+               .select("product_id", "product_name", F.col("ship_date").alias("log_date"),
+                       F.lit(RETURN_TIME).alias("log_time"), "txn_id", "line_seq", "line_key",
+                       F.lit(1).alias("kind"), F.lit("Return").alias("movement_type"),
+                       F.col("quantity").alias("quantity_change"),
+                       F.concat(F.lit("Return: "), F.col("receipt_no")).alias("reason")))
+    return sales.unionByName(returns)
+
+
 def material_movements(lineitem: DataFrame, items: DataFrame) -> DataFrame:
     """E2 input: each sold line consumes its quantity of the supplier's material."""
     return items.select(
