@@ -65,6 +65,7 @@ def materialize_model(spark: SparkSession, model: dict[str, DataFrame], out_dir:
 def load_model(spark: SparkSession, model_dir: str) -> dict[str, DataFrame]:
     """The stored model as the same dictionary ``adapter.load`` returns."""
     base = model_dir.rstrip("/")
+    # the manifest is one row of folder paths (metadata, not table data)
     paths = json.loads(spark.read.json(f"{base}/_manifest").first()["paths"])
     tables = {name: spark.read.parquet(p) for name, p in paths.items()}
     tables["material_movements"] = tables["transaction_items"].select(
