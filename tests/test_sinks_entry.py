@@ -59,3 +59,11 @@ def test_entry_and_registry(spark):
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
     assert len(E.queries()) >= 90
+
+
+def test_runner_writes_a_registered_query(spark):
+    from tillbook.plans.run import main
+    out = _out(spark, "runner")
+    assert main(["cash_position", "/root/testdata/sf0.001", out, "json"]) == 0
+    rows = spark.read.json(out).collect()
+    assert {r.payment_method for r in rows} == {"Cash", "QRIS", "GoPay", "Debit", "TOTAL"}
