@@ -80,3 +80,36 @@ def test_latest_wins_matches_python(spark, rows):
         if k not in best or ts > best[k][0]:
             best[k] = (ts, v)
     assert got == {(k, ts, v) for k, (ts, v) in best.items()}
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.dates(min_value=__import__("datetime").date(1999, 1, 1),
+                         max_value=__import__("datetime").date(2001, 12, 31)), min_size=1, max_size=30),
+       st.one_of(st.none(), st.integers(1, 12)), st.one_of(st.none(), st.integers(1999, 2001)))
+def test_period_range_equals_extract(spark, days, month, year):
+    from tillbook.functions.periods import in_period
+    df = spark.createDataFrame([(d,) for d in days], "d date")
+    got = sorted(r.d for r in in_period(df, "d", month, year).collect())
+    if month and year:
+        want = [d for d in days if d.month == month and d.year == year]
+    elif year:
+        want = [d for d in days if d.year == year]
+    else:
+        want = list(days)                       # month without year is ignored
+    assert got == sorted(want)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.dates(min_value=__import__("datetime").date(2000, 1, 1), max_value=__import__("datetime").date(2030, 12, 31)))
+def test_accrual_proration(spark, as_of):
+    import calendar
+    import datetime as dt
+    from decimal import ROUND_HALF_UP, Decimal
+    from tillbook.operators.posting import accrue_fixed
+    from tillbook.sources import seeds
+    months = spark.createDataFrame([(as_of.replace(day=1),)], "month_start date")
+    got = {r.account_code: r.debit for r in accrue_fixed(months, as_of).filter("debit > 0").collect()}
+    dim = calendar.monthrange(as_of.year, as_of.month)[1]
+    for _, amount, expense, _ in seeds.FIXED_COSTS:
+        want = (amount * as_of.day / dim).quantize(Decimal("1"), rounding=ROUND_HALF_UP)
+        assert got[expense] == want
