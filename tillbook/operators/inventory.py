@@ -322,11 +322,16 @@ def ingredients_overview(materials: DataFrame, recipes: DataFrame, products: Dat
     it (inactive ones counted), the number of distinct *active* product names,
     and the label of the first three names (sorted) plus "+n lagi".
 
-    The full name list of a material is the long-format
+    Both counts come from one aggregate over the recipes joined once to the
+    products (two distinct counts, planned by Spark's expand-based distinct
+    aggregation).  The full name list of a material is the long-format
     ``ingredient_product_names``; here only bounded pieces are gathered."""
-    used = recipes.groupBy("raw_material_id").agg(F.countDistinct("product_id").alias("used_in_products"))
-    names = ingredient_product_names(recipes, products)
-    n_names = names.groupBy("raw_material_id").agg(F.count(F.lit(1)).alias("n_product_names"))
+    rp = recipes.select("raw_material_id", "product_id").join(
+        products.select("product_id", F.col("name").alias("product_name"), "active"), "product_id", "left")
+    counts = rp.groupBy("raw_material_id").agg(
+        F.countDistinct("product_id").alias("used_in_products"),
+        F.countDistinct(F.when(F.col("active"), F.col("product_name"))).alias("n_product_names"))
+    names = rp.filter(F.col("active")).select("raw_material_id", "product_name").distinct()
     top3 = (_salted_top_k(names, "raw_material_id", "product_name", 3)
             .groupBy("raw_material_id")
             .agg(F.array_join(F.array_sort(F.collect_list("product_name")), ", ").alias("_first")))
@@ -334,8 +339,7 @@ def ingredients_overview(materials: DataFrame, recipes: DataFrame, products: Dat
                   F.concat(F.col("_first"), F.lit(" +"), (F.col("n_product_names") - 3).cast("string"),
                            F.lit(seeds.MORE_NAMES_SUFFIX)))
            .otherwise(F.col("_first")))
-    out = (materials.join(used, materials.id == used.raw_material_id, "left").drop("raw_material_id")
-           .join(n_names, materials.id == n_names.raw_material_id, "left").drop("raw_material_id")
+    out = (materials.join(counts, materials.id == counts.raw_material_id, "left").drop("raw_material_id")
            .join(top3, materials.id == top3.raw_material_id, "left").drop("raw_material_id"))
     return out.select(*materials.columns,
                       F.coalesce("used_in_products", F.lit(0)).alias("used_in_products"),
