@@ -127,8 +127,14 @@ def txn_item_alignment(t) -> DataFrame:
     line totals and header total - lines x 1.11; lines are summed per sale
     before meeting the header, so header totals are counted once."""
     from tillbook.operators.posting import sale_totals
-    per = sale_totals(t["transaction_items"]).select("txn_id", F.col("subtotal").alias("items_total"), "n_lines")
-    j = t["transactions"].select("txn_id", "transaction_date", "total").join(per, "txn_id", "left")
+    per = sale_totals(t["transaction_items"])
+    if "sale_headers" in t:        # header totals are derived from these same lines: one pass
+        j = (t["sale_headers"].select("txn_id", "transaction_date")
+             .join(per.select("txn_id", F.col("subtotal").alias("items_total"), "n_lines", "total"), "txn_id", "left")
+             .withColumn("total", F.coalesce(F.col("total"), F.lit(0).cast("decimal(14,2)"))))
+    else:
+        per = per.select("txn_id", F.col("subtotal").alias("items_total"), "n_lines")
+        j = t["transactions"].select("txn_id", "transaction_date", "total").join(per, "txn_id", "left")
     d = F.col("transaction_date")
     return (j.groupBy(F.year(d).alias("year"), F.month(d).alias("month"))
             .agg(F.count(F.lit(1)).alias("transactions"),

@@ -310,13 +310,22 @@ def analytics(t, month=None, year=None) -> DataFrame:
 
 
 def txn_gross_margin(t) -> DataFrame:
-    """Per sale (subtotal - cost) / subtotal in %, 0 when subtotal is 0."""
-    tx = t["transactions"]
-    cogs = category_lines(t["transaction_items"]).groupBy("txn_id").agg(_m(F.sum("cogs")).alias("cogs"))
-    j = tx.select("txn_id", "receipt_no", "subtotal").join(cogs, "txn_id", "left")
+    """Per sale (subtotal - cost) / subtotal in %, 0 when subtotal is 0.
+    With totals derived from lines, subtotal and cost come from the same
+    per-sale aggregate (one pass over the lines)."""
+    from tillbook.operators.posting import sale_totals
+    per = sale_totals(t["transaction_items"])
+    if "sale_headers" in t:
+        j = t["sale_headers"].select("txn_id", "receipt_no").join(
+            per.select("txn_id", "subtotal", "cogs"), "txn_id", "left")
+        sub = F.coalesce(F.col("subtotal"), _zero())
+    else:
+        j = t["transactions"].select("txn_id", "receipt_no", "subtotal").join(
+            per.select("txn_id", "cogs"), "txn_id", "left")
+        sub = F.col("subtotal")
     cg = F.coalesce(F.col("cogs"), _zero())
-    return j.select("txn_id", "receipt_no", "subtotal", cg.alias("cogs"),
-                    _pct(F.col("subtotal") - cg, F.col("subtotal")).alias("gross_margin_pct"))
+    return j.select("txn_id", "receipt_no", sub.cast("decimal(14,2)").alias("subtotal"), _m(cg).alias("cogs"),
+                    _pct(sub - cg, sub).alias("gross_margin_pct"))
 
 
 def today_kpi(t, as_of) -> DataFrame:
