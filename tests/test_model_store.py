@@ -34,3 +34,16 @@ def test_stored_model_matches_lazy_model(spark, model):
     assert _rows(led1) == _rows(led2)
     plan = reports.by_payment(stored, 3, 1997)._jdf.queryExecution().executedPlan().toString()
     assert "sale_month" in plan and "PartitionFilters" in plan
+
+
+def test_stored_movements_prune_by_month(spark, model):
+    from tillbook.sources.adapter import stock_movements_on
+    out = scratch_dir(spark, f"model-{uuid.uuid4().hex}")
+    materialize_model(spark, model, out)
+    stored = load_model(spark, out)
+    day = dt.date(1997, 3, 15)
+    lazy = inventory.movements_on_day(stock_movements_on(model, day), day)
+    kept = inventory.movements_on_day(stock_movements_on(stored, day), day)
+    assert _rows(kept) == _rows(lazy)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "log_month" in plan and "PartitionFilters" in plan

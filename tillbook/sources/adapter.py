@@ -187,8 +187,10 @@ def stock_movements_on(t: dict[str, DataFrame], day) -> DataFrame:
     if "sale_headers" not in t:
         return on_date(t["stock_movements"], "log_date", day)
     hdr = on_date(t["sale_headers"], "transaction_date", day)
-    sold = t["transaction_items"].join(hdr.select("txn_id"), "txn_id", "left_semi")
-    returned = on_date(t["transaction_items"], "ship_date", day).filter(F.col("return_flag") == "R")
+    line_cols = ["txn_id", "line_seq", "line_key", "product_id", "product_name", "quantity"]
+    sold = t["transaction_items"].select(*line_cols).join(hdr.select("txn_id"), "txn_id", "left_semi")
+    returned = (on_date(t["transaction_items"], "ship_date", day).filter(F.col("return_flag") == "R")
+                .select(*line_cols, "ship_date"))
     receipts = t["sale_headers"].select("txn_id", "transaction_date", "transaction_time", "receipt_no")
     sales = (sold.join(hdr.select("txn_id", "transaction_date", "transaction_time", "receipt_no"), "txn_id")
              .select("product_id", "product_name", F.col("transaction_date").alias("log_date"),
