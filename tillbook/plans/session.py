@@ -63,18 +63,19 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(
-            spark.sparkContext, "getCheckpointDir") else None
+    """The shared checkpoint folder that the session names.
+
+    On a cluster an unset ``spark.checkpoint.dir`` is an error: executors and driver do not share a local disk.
+    Only a ``local`` master, where all of them are one process, gets a folder of its own."""
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
-        current = tempfile.mkdtemp(prefix="tillbook-ckpt-", dir="/tmp")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="tillbook-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    try:
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
-    except Exception:  # pragma: no cover - already set by the cluster
-        pass
     return current
 
 
