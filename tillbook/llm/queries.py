@@ -3,14 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillbook.llm import minhash
+from tillbook.llm import exact_topk, graph_ann, minhash
 from tillbook.llm.common import read_table
 
 
+def _asks():
+    """The query set of both searches."""
+    return F.col("vec_id") % 20 == 0
+
+
+def op1_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_ann.graph_top_k(read_table(spark, sf_dir, "embeddings"), _asks(), 20)
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.exact_top_k(read_table(spark, sf_dir, "embeddings"), _asks(), 20)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_minhash": op10_minhash}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_graph_ann": op1_graph_ann, "op6_exact_topk": op6_exact_topk, "op10_minhash": op10_minhash}
+
+ORACLE = {"op6_exact_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""}
