@@ -5,8 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm import minhash
-from tillbook.llm.common import pack
+from tillbook.llm import curriculum, line_chunks, minhash, sp_viterbi, toxicity
+from tillbook.llm.common import pack, read_table
+from tillbook.llm.tokenizer_files import public
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents graded toxic go; the model is fitted on the labelled documents."""
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    graded = pack(docs).withColumn("s", toxicity.severity(F.col("row.text"), model))
+    return graded.filter(~F.col("s.toxic")).select("row.*")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: texts lose the multi-line chunks another document holds already; a document of which nothing
+    is left goes."""
+    cleaned = line_chunks.dedup_lines(docs).filter("n_removed = 0 or length(cleaned) > 0")
+    return line_chunks.with_text(cleaned, docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +33,13 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return named.unionByName(rows.filter("row.doc_id is null")).select("row.*")
 
 
-def drop_toxic(spark, docs, sf_dir):
-    raise NotImplementedError
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: each document as often as the mix takes it, in training order."""
+    return curriculum.mix(docs)
 
 
-drop_repeated_lines = mix_sources = encode_pieces = drop_toxic
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: (doc_id, n_tokens, ids) of each document of the mix."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return (sp_viterbi.encode(named, public("piece_bpe_32k.model"))
+            .select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids"))
