@@ -34,6 +34,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, rows: int, per_task: int = 250_000) -> DataFrame:
+    """``df`` of about ``rows`` small rows in as few tasks as they need (never more than it has)."""
+    return df.coalesce(max(12, rows // per_task))
+
+
 def pack(docs: DataFrame) -> DataFrame:
     """All columns of a row as one struct ``row``, so that no helper column can clash with an extra column."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -123,6 +128,23 @@ class WordHasher:
             h = np.add.reduceat(part, begin) * self.down[begin]
             return mix64(h), begin, first
 
+    def words_and_prefixes(self, data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each word two hashes in a row, of the word and of its first ``size`` bytes (told apart by a salt),
+        and the index of each document's first one (and the total)."""
+        h, begin, first = self.words(data, offsets)
+        if not len(h):
+            return h, first * 2
+        word = ~self.separator[data]
+        doc_end = offsets[np.searchsorted(first, np.arange(len(begin)), "right")]
+        stop = np.minimum(np.append(begin[1:], len(data)), np.minimum(begin + size, doc_end))
+        with np.errstate(over="ignore"):
+            part = self.value[data]
+            part *= self.up[:len(data)]
+            part[~word] = 0            # a word shorter than its stop ends at a separator
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part)])
+            prefix = mix64((total[stop] - total[begin]) * self.down[begin] + np.uint64(0x632BE59BD9B4E019))
+        return np.stack([h, prefix], axis=1).reshape(-1), first * 2
+
 
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 NOT_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])

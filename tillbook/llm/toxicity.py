@@ -1,11 +1,12 @@
 """Operator 9: severity of toxicity by cumulative-link ordinal regression.
 
 Grades 0..3 are ordered; P(grade > j) = sigmoid(w.x - theta_j) with one weight vector for all thresholds and
-theta_0 < theta_1 < theta_2.  Features are sparse: log(1 + occurrences) of single words, named by 64-bit hashes.
+theta_0 < theta_1 < theta_2.  Features are sparse: log(1 + occurrences) of single words and of word beginnings
+(``PREFIX`` bytes, so that inflected forms share a feature), named by 64-bit hashes.
 
 The labels only say toxic or not.  Their grade is 0 for clean rows; toxic rows are graded by thirds of how many
-words they hold that mark toxic rows (a word marks them if its share of toxic rows exceeds its share of clean
-rows by ``Z`` standard errors).  These words are the features.
+features they hold that mark toxic rows (its share of toxic rows exceeds its share of clean rows by ``Z``
+standard errors and ``TIMES`` times).  Only marking features enter the model.
 
 The model is fitted on a bounded sample of labelled rows, ``SAMPLE`` of each label, drawn by a hash of doc_id.
 Scoring reads every whole text once.  The output is the expected grade, the most probable one and P(toxic).
@@ -29,10 +30,11 @@ from tillbook.llm.common import NOT_ALNUM, WordHasher, column, materialize, sche
 
 SAMPLE = {1: 4000, 0: 8000}            # labelled rows the model is fitted on, at most, by label
 MAX_FEATURES = 4096                    # the most telling words
-Z = 5.0
+PREFIX = 5                             # bytes of a word's beginning
+Z, TIMES = 5.0, 8.0                    # how clearly a feature marks toxic rows
 GRADES = 4
 REJECT_AT = 0.5                        # P(toxic) from which a document is rejected
-RIDGE, STEPS, RATE = 1e-3, 400, 0.2
+RIDGE, STEPS, RATE = 2e-5, 500, 0.1
 
 
 @dataclass
@@ -64,11 +66,11 @@ def _occurrences(words: np.ndarray, h: np.ndarray, first: np.ndarray) -> tuple[n
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct word hashes of each labelled text."""
+    """Distinct features of each labelled text."""
     hasher = WordHasher(NOT_ALNUM)
     for batch in batches:
         for toxic, data, offsets in text_slices(column(batch, "toxic"), column(batch, "text")):
-            h, _, first = hasher.words(data, offsets)
+            h, first = hasher.words_and_prefixes(data, offsets, PREFIX)
             flags = toxic.to_numpy()
             for d in range(len(flags)):
                 own = np.unique(h[first[d]:first[d + 1]]).view(np.int64)
@@ -81,7 +83,7 @@ def _feature_rows(words: np.ndarray):
         hasher = WordHasher(NOT_ALNUM)
         for batch in batches:
             for toxic, data, offsets in text_slices(column(batch, "toxic"), column(batch, "text")):
-                h, _, first = hasher.words(data, offsets)
+                h, first = hasher.words_and_prefixes(data, offsets, PREFIX)
                 doc, feature, n = _occurrences(words, h, first)
                 cuts = pa.array(np.searchsorted(doc, np.arange(len(toxic) + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -113,9 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
         F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     p, q = F.col("t") / size[1], F.col("c") / size[0]
     pooled = (F.col("t") + F.col("c")) / (size[0] + size[1])
-    # a pooled share of 1 has no spread: such a word tells nothing
-    z = (p - q) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / size[0] + 1 / size[1]))
-    marked = held.withColumn("z", z).filter((F.col("z") >= Z) & (pooled < 1)).orderBy(F.desc("z"), "word").limit(MAX_FEATURES)
+    z = (p - q) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / size[0] + 1 / size[1]))
+    marked = held.withColumn("z", z).filter((F.col("z") >= Z) & (p >= q * TIMES)).orderBy(F.desc("z"), "word").limit(MAX_FEATURES)
     words = np.sort(np.array([r["word"] for r in marked.select("word").collect()], np.int64).view(np.uint64))
     if not len(words):
         return none
@@ -163,7 +164,7 @@ def severity(text: Column, model: Model) -> Column:
         for text in texts:
             eta = []
             for part, data, offsets in text_slices(text, text):
-                h, _, first = hasher.words(data, offsets)
+                h, first = hasher.words_and_prefixes(data, offsets, PREFIX)
                 doc, feature, n = _occurrences(model.words, h, first)
                 eta.append(np.bincount(doc, np.log1p(n) * model.weights[feature], len(part)))
             expected, grade, p = model.predict(np.concatenate(eta) if eta else np.zeros(0))
