@@ -11,7 +11,7 @@
    already connected are not compared again, so no list of all pairs arises.  A bucket larger than ``TILE``
    is dealt into block tiles, whose blocks meet pairwise, so every pair of blocks is seen and no task holds
    more than two blocks.
-5. Links (at most one per member and tile) go to connected components by large-star / small-star.
+5. Links (at most one per component and tile) go to connected components by large-star / small-star.
 
 ``MINIMA`` = 128 with 4 rows a band misses a pair of similarity 0.75 with probability (1 - 0.75^4)^32 = 5e-6;
 a signature is passed on to exact verification from 0.58 up, 4.4 standard deviations below 0.75.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import (SPACES, WordHasher, column, map_groups, materialize, mix64, random_words, schema_of,
+from tillbook.llm.common import (SPACES, WordHasher, column, gathered, map_groups, materialize, mix64, random_words, schema_of,
                                  text_slices)
 from tillbook.llm.components import connected_components
 
@@ -65,9 +65,23 @@ def shingles(hasher: WordHasher, data: np.ndarray, offsets: np.ndarray, words: i
     return mix64(out), bounds
 
 
+def _minima(sets: list[np.ndarray]) -> np.ndarray:
+    """Universal hash minima (one row of ``MINIMA`` each) of non-empty shingle sets."""
+    scale, shift = random_words(MINIMA, 211), random_words(MINIMA, 307)
+    flat = np.concatenate(sets)
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in sets])[:-1]]).astype(np.int64)
+    out = np.zeros((len(sets), MINIMA), np.uint32)
+    with np.errstate(over="ignore"):
+        x, v = flat >> np.uint64(32), np.empty_like(flat)
+        for k in range(MINIMA):
+            np.multiply(x, scale[k], out=v)
+            v += shift[k]
+            out[:, k] = np.minimum.reduceat(v, begin) >> np.uint64(32)
+    return out
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher(SPACES)
-    scale, shift = random_words(MINIMA, 211), random_words(MINIMA, 307)
     for batch in batches:
         for ids, data, offsets in text_slices(column(batch, "doc_id"), column(batch, "text")):
             s, bounds = shingles(hasher, data, offsets)
@@ -83,11 +97,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     begin = np.concatenate([[0], np.cumsum(size[held])[:-1]])
                     d1[held] = np.add.reduceat(mix64(flat), begin)
                     d2[held] = np.add.reduceat(mix64(flat ^ np.uint64(0x5851F42D4C957F2D)), begin)
-                    x, v = flat >> np.uint64(32), np.empty_like(flat)
-                    for k in range(MINIMA):
-                        np.multiply(x, scale[k], out=v)
-                        v += shift[k]
-                        minima[held, k] = np.minimum.reduceat(v, begin) >> np.uint64(32)
+                    minima[held] = _minima(sets)
             rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(MINIMA * 4), docs, [None, pa.py_buffer(minima.tobytes())])
             yield pa.RecordBatch.from_arrays(
                 [ids.cast(pa.int64()), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
@@ -116,20 +126,19 @@ def _stack(sig: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signature and full shingle set of each text."""
     hasher = WordHasher(SPACES)
     for batch in batches:
-        sigs = column(batch, "sig")
-        done = 0
         for ids, data, offsets in text_slices(column(batch, "doc_id"), column(batch, "text")):
             s, bounds = shingles(hasher, data, offsets)
-            sets = [np.unique(s[a:b]).tobytes() for a, b in zip(bounds, bounds[1:])]
-            yield pa.RecordBatch.from_arrays([ids, sigs.slice(done, len(ids)), pa.array(sets, pa.binary())],
-                                             ["doc_id", "sig", "shingles"])
-            done += len(ids)
+            sets = [np.unique(s[a:b]) for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array([x.tobytes() for x in _minima(sets)], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                ["doc_id", "sig", "shingles"])
 
 
 def _tile_links(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Links between members of one tile that are not connected yet: at most one per member.
+    """Links between components that meet in one tile: at most one per component, to the smallest it joins.
 
     A pivot is compared with every member of another component whose signature comes near; pivots go in the
     order of how many members come near them, so the centre of a group of near copies connects it at once."""
@@ -140,7 +149,7 @@ def _tile_links(table: pa.Table) -> Iterator[pa.RecordBatch]:
         return
     order = np.argsort(ids, kind="stable")
     ids, start = ids[order], start[order]
-    _, comp = np.unique(start, return_inverse=True)
+    names, comp = np.unique(start, return_inverse=True)
     sig = _stack(table.column("sig"))[order]
     least = int(np.ceil(PASS_AT * MINIMA))
     near: list[np.ndarray] = []
@@ -154,7 +163,6 @@ def _tile_links(table: pa.Table) -> Iterator[pa.RecordBatch]:
     sets = table.column("shingles").combine_chunks().take(pa.array(order))
     load = lambda i: np.frombuffer(sets[int(i)].as_py(), np.uint64)
     root = comp.copy()
-    links: list[tuple[int, int]] = []
     for p in sorted(range(n), key=lambda i: (-len(near[i]), i)):
         others = near[p][root[near[p]] != root[p]]
         if not len(others):
@@ -168,17 +176,21 @@ def _tile_links(table: pa.Table) -> Iterator[pa.RecordBatch]:
         for i in others[SHARE[1] * both >= SHARE[0] * (len(mine) + sizes - both)]:
             if root[i] != root[p]:
                 root[root == root[i]] = root[p]
-                links.append((p, int(i)))
-    if links:
-        u, v = ids[[a for a, _ in links]], ids[[b for _, b in links]]
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-
-def _verify(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``members(bucket, doc_id, comp)`` -> verified links, every bucket dealt into tiles of bounded size."""
+    label, first = np.unique(comp, return_index=True)
+    group = root[first]
+    least = {g: label[group == g].min() for g in np.unique(group)}
+    joined = [(a, least[g]) for a, g in zip(label, group) if least[g] != a]
+    if joined:
+        u, v = np.array(joined).T
+        yield pa.RecordBatch.from_arrays([pa.array(names[u]), pa.array(names[v])], ["u", "v"])
+
+
+def _verify(members: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
+    """``members(bucket, doc_id, comp)``, at most ``rows`` -> verified links between components; every bucket is
+    dealt into tiles of bounded size."""
     size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
-    tiles = (members.join(size, "bucket")
+    tiles = (gathered(members.join(size, "bucket"), rows)
              .withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
              .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
@@ -192,34 +204,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     base = materialize(signatures(docs), "signatures")
     full = base.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.select("doc_id", "sig").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    reps = (full.select("doc_id", "sig").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+            .distinct())
     bands = reps.mapInArrow(_band_keys, schema_of("bucket long, doc_id long"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = materialize(bands.join(shared, "bucket"), "buckets")
-    in_buckets = buckets.select("doc_id").distinct()
-    sets = materialize(
-        docs.filter("doc_id is not null").join(full.select("doc_id", "sig").join(in_buckets, "doc_id", "left_semi"), "doc_id")
-        .mapInArrow(_set_bytes, schema_of("doc_id long, sig binary, shingles binary")), "sets")
+    rows = buckets.count()
+    in_buckets = docs.join(gathered(buckets.select("doc_id").distinct(), rows), "doc_id", "left_semi").distinct()
+    sets = materialize(in_buckets.mapInArrow(_set_bytes, schema_of("doc_id long, sig binary, shingles binary")), "sets")
 
+    # round 1: every class in its fullest bucket
     fullest = (buckets.groupBy("doc_id").agg(F.max_by("bucket", F.struct("n", "bucket")).alias("bucket"))
                .select("bucket", "doc_id", F.col("doc_id").alias("comp")))
-    comps = connected_components(_verify(fullest, sets))
+    comps = connected_components(_verify(gathered(fullest, rows), sets, rows))
+    # rounds 2 and 3: buckets that still hold several components, by one class of each, then by all
     for everyone in (False, True):
         known = (buckets.select("bucket", "doc_id").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
                  .select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("comp")))
-        open_ = known.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b")
-        left = known.join(open_.select("bucket"), "bucket", "left_semi")
+        known = gathered(known, rows)
+        mixed = known.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("bucket")
+        left = materialize(gathered(known.join(mixed, "bucket", "left_semi"), rows), "left")
+        n = left.count()
+        if not n:
+            break
         if not everyone:
-            left = left.groupBy("bucket", "comp").agg(F.min("doc_id").alias("doc_id")).select("bucket", "doc_id", "comp")
-        more = _verify(left, sets)
-        # links join whole components: carry them over to component roots before the next components run
-        root_of = comps.select(F.col("id").alias("x"), "root")
-        lifted = (more.join(root_of, more.u == root_of.x, "left").select(F.coalesce("root", "u").alias("u"), "v")
-                  .join(root_of, F.col("v") == root_of.x, "left").select("u", F.coalesce("root", "v").alias("v")))
-        joined = connected_components(lifted)
-        merged = (comps.join(joined.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left")
-                  .select("id", F.coalesce("top", "root").alias("root")))
-        comps = materialize(merged.unionByName(joined).groupBy("id").agg(F.min("root").alias("root")), "components")
+            left = gathered(left.groupBy("bucket", "comp").agg(F.min("doc_id").alias("doc_id")).select("bucket", "doc_id", "comp"), n)
+        joined = connected_components(_verify(left, sets, n))
+        # links are between component roots: the old roots move, and what hung on them moves along
+        moved = joined.select(F.col("id").alias("root"), F.col("root").alias("top"))
+        comps = materialize(gathered(comps.join(moved, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+                                     .unionByName(joined), rows), "components")
 
     rep = F.coalesce("rep", "doc_id")
     out = (base.select("doc_id", "n_shingles", "d1", "d2")
