@@ -1,8 +1,9 @@
 """Operator 3: removal of multi-line chunks that repeat across documents.
 
-A text's lines are hashed; a rolling hash over the last ``WINDOW`` line hashes decides where a chunk ends, so the
-same lines are cut alike whatever stands before them (an insertion shifts only the chunk it falls in).  Chunks of
-at least two lines and ``MIN_WORDS`` words are grouped over all documents by hash *and* text: equality of the
+A text's lines are hashed, and a rolling hash runs over the last ``WINDOW`` line hashes; a chunk ends where it is
+smaller than at the line before and not larger than at the line after.  So the same lines are cut alike whatever
+stands around them (an insertion changes only the chunk it falls in and its neighbour), a chunk has three lines on
+average, and none is shorter than two unless the text is.  Chunks of at least two lines and ``MIN_WORDS`` words are grouped over all documents by hash *and* text: equality of the
 bytes decides, and the pre-aggregation before the shuffle holds a chunk once per task however often it repeats.
 The copy in the smallest doc_id stays (its first place there); all other copies go.  A hash that stands for two
 different texts removes nothing.
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from tillbook.llm.common import column, pack, schema_of
 
 WINDOW = 2                 # line hashes in the rolling hash
-DIVISOR = 2                # one window in so many ends a chunk
-MIN_LINES, MAX_LINES = 2, 64
+MIN_LINES = 2
+MAX_LINES = 64             # of a chunk in which the rolling hash has no minimum (one line over and over)
 MIN_WORDS = 8              # chunks of fewer words are left alone
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -33,21 +34,20 @@ MASK = (1 << 64) - 1
 
 def chunks(text: str) -> list[tuple[int, int]]:
     """(first line, line after the last) of each chunk of a text."""
-    out, start, rolling, held = [], 0, 0, [0] * WINDOW
     lines = text.split("\n")
+    rolling, held, marks = 0, [0] * WINDOW, []
     leaving = pow(BASE, WINDOW, 1 << 64)
     for i, line in enumerate(lines):
         h = xxhash.xxh3_64_intdigest(line)
         rolling = (rolling * BASE + h - held[i % WINDOW] * leaving) & MASK
         held[i % WINDOW] = h
-        size = i + 1 - start
-        # the top bits of a product depend on all bits of the rolling hash
-        if size >= MIN_LINES and ((rolling * BASE & MASK) >> 40) % DIVISOR == 0 or size >= MAX_LINES:
+        marks.append((rolling ^ rolling >> 32) * BASE & MASK)
+    out, start = [], 0
+    for i in range(1, len(lines) - 2):
+        if marks[i - 1] > marks[i] <= marks[i + 1] or i + 1 - start >= MAX_LINES:
             out.append((start, i + 1))
             start = i + 1
-    if start < len(lines):
-        out.append((start, len(lines)))
-    return out
+    return [*out, (start, len(lines))]
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
