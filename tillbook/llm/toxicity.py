@@ -82,18 +82,20 @@ def _feature_rows(words: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(NOT_ALNUM)
         for batch in batches:
-            for toxic, data, offsets in text_slices(column(batch, "toxic"), column(batch, "text")):
+            named = pa.StructArray.from_arrays([column(batch, "doc_id"), column(batch, "toxic")], ["doc_id", "toxic"])
+            for rows, data, offsets in text_slices(named, column(batch, "text")):
                 h, first = hasher.words_and_prefixes(data, offsets, PREFIX)
                 doc, feature, n = _occurrences(words, h, first)
-                cuts = pa.array(np.searchsorted(doc, np.arange(len(toxic) + 1)).astype(np.int32))
+                cuts = pa.array(np.searchsorted(doc, np.arange(len(rows) + 1)).astype(np.int32))
+                ids, toxic = rows.flatten()
                 yield pa.RecordBatch.from_arrays(
-                    [toxic, pa.ListArray.from_arrays(cuts, pa.array(feature.astype(np.int32))),
-                     pa.ListArray.from_arrays(cuts, pa.array(n.astype(np.int32)))], ["toxic", "features", "counts"])
+                    [ids, toxic, pa.ListArray.from_arrays(cuts, pa.array(feature.astype(np.int32))),
+                     pa.ListArray.from_arrays(cuts, pa.array(n.astype(np.int32)))], ["doc_id", "toxic", "features", "counts"])
     return run
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> DataFrame:
-    """(toxic, text) of at most ``sample[label]`` labelled rows of each label, chosen by a hash of doc_id."""
+    """(doc_id, toxic, text) of at most ``sample[label]`` labelled rows of each label, chosen by a hash of doc_id."""
     known = (labels.filter("doc_id is not null and toxic in (0, 1)")
              .groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic")))
     drawn = [known.filter(F.col("toxic") == label).orderBy(F.xxhash64("label_id"), "label_id").limit(n) for label, n in sample.items()]
@@ -102,7 +104,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: dict[int, int] =
         ids = ids.unionByName(more)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most sum(sample) pairs of numbers are broadcast
-    return texts.join(F.broadcast(ids), texts.doc_id == ids.label_id).select("toxic", "text")
+    return texts.join(F.broadcast(ids), texts.doc_id == ids.label_id).select("doc_id", "toxic", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> Model:
@@ -120,26 +122,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
     words = np.sort(np.array([r["word"] for r in marked.select("word").collect()], np.int64).view(np.uint64))
     if not len(words):
         return none
-    table = rows.mapInArrow(_feature_rows(words), schema_of("toxic int, features array<int>, counts array<int>")).toArrow()
+    table = rows.mapInArrow(_feature_rows(words), schema_of("doc_id long, toxic int, features array<int>, counts array<int>")).toArrow()
     return _fit(words, table)
 
 
 def _fit(words: np.ndarray, table: pa.Table) -> Model:
+    table = table.sort_by("doc_id")        # sums must not depend on the order in which rows arrive
     toxic = table.column("toxic").to_numpy()
     lists = table.column("features").combine_chunks()
     doc = np.repeat(np.arange(len(toxic)), lists.value_lengths().to_numpy())
     feature = lists.flatten().to_numpy()
     count = table.column("counts").combine_chunks().flatten().to_numpy()
-    order = np.lexsort((count, feature, toxic[doc]))       # sums must not depend on the order of rows
+    value = np.log1p(count)
     hits = np.bincount(doc, count, len(toxic))
     cuts = np.quantile(hits[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
     grade = np.where(toxic == 1, 1 + (hits[:, None] > cuts).sum(axis=1), 0)
-    order = np.lexsort((hits, grade))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    doc, grade = rank[doc], grade[order]
-    by = np.lexsort((feature, doc))
-    doc, feature, value = doc[by], feature[by], np.log1p(count[by])
     n, k = len(grade), len(words)
     w, theta = np.zeros(k), np.array([0.5, 1.5, 2.5])[:GRADES - 1]
     higher = (grade[:, None] > np.arange(GRADES - 1)).astype(float)
