@@ -8,7 +8,7 @@ Typical use::
 
     spark = build_session()
     t = load(spark, "/path/to/tables")                      # model as lazy DataFrames
-    journal = posting.build_journal(t["transactions"], t["transaction_items"])
+    journal = posting.build_journal(t)
     gl = ledger.general_ledger(t["chart_of_accounts"], journal, month=3, year=1997)
     statement = reports.income_statement(t, month=3, year=1997)
 

@@ -11,8 +11,8 @@ TAG = r"<[^>]+>"
 
 
 def rupiah(c: Column) -> Column:
-    """``Rp 1.234.567`` display text (no decimals, dot grouping)."""
-    return F.concat(F.lit(seeds.CURRENCY_PREFIX), F.translate(F.format_number(c, 0), ",", "."))
+    """``Rp 1.234.567`` display text (half up to whole units, dot grouping)."""
+    return F.concat(F.lit(seeds.CURRENCY_PREFIX), F.translate(F.format_number(F.round(c, 0), 0), ",", "."))
 
 
 def receipt_code(key: Column) -> Column:

@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.periods import in_period, on_date
 from tillbook.sources import seeds
+from tillbook.sources.adapter import period_headers
 
 MONEY = "decimal(24,2)"  # width of sum(decimal(14,2)); totals of 100 TB fit
 
 
 def _blocked_scan(moves: DataFrame, key: str, block: str, order: list, change: str,
-                  openings: DataFrame, opening_col: str, materialize: bool = False):
+                  openings: DataFrame, opening_col: str):
     """Steps 1-3 of the blocked scan: the row-level window pass ``lvl1`` and
     the per-block table with offset ``_boff`` and earlier minimum ``_prevmin``.
     (Helper column names are distinct without regard to case: Spark resolves
@@ -45,10 +46,6 @@ def _blocked_scan(moves: DataFrame, key: str, block: str, order: list, change: s
             .withColumn("_bfirst", F.row_number().over(wb.orderBy(*order)) == 1)
             .withColumn("_btot", F.sum(change).over(wb))
             .withColumn("_bmin", F.min("_run").over(wb)))
-    if materialize:
-        from tillbook.plans.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(moves.sparkSession)
-        lvl1 = lvl1.checkpoint(eager=True)
     blocks = lvl1.filter(F.col("_bfirst")).select(key, block, "_btot", "_bmin")
     opening = openings.select(key, F.col(opening_col).alias("_open"))
     blocks = blocks.join(opening, key, "left").withColumn(
@@ -62,8 +59,7 @@ def _blocked_scan(moves: DataFrame, key: str, block: str, order: list, change: s
 
 
 def floored_ledger(moves: DataFrame, key: str, block: str, order: list, change: str,
-                   openings: DataFrame, opening_col: str, level_col: str = "stock_after",
-                   materialize: bool = False) -> DataFrame:
+                   openings: DataFrame, opening_col: str, level_col: str = "stock_after") -> DataFrame:
     """Generic floored running level (E1/E2) by a blocked scan.
 
     ``block`` is the leading order key inside a ``key`` (a day), ``order``
@@ -75,13 +71,10 @@ def floored_ledger(moves: DataFrame, key: str, block: str, order: list, change:
     read from that pass through a narrow projection (key, block, order,
     change), so the plan has one shuffle of the full rows, one narrow
     shuffle for the block table, and the join back finds the rows already
-    hash-partitioned on (key, block).  The upstream of ``moves`` is scanned
-    twice; with ``materialize=True`` the window pass is instead checkpointed
-    to the shared checkpoint folder (computed once, lineage cut), at the
-    price of one more shuffle of the rows, because a checkpoint does not
-    keep its partitioning.
+    hash-partitioned on (key, block).  Where ``moves`` is read from written
+    files (the stored movements), both passes read those files only.
     """
-    lvl1, blocks = _blocked_scan(moves, key, block, order, change, openings, opening_col, materialize)
+    lvl1, blocks = _blocked_scan(moves, key, block, order, change, openings, opening_col)
     out = lvl1.join(blocks.select(key, block, "_boff", "_prevmin"), [key, block], "inner")
     s = F.col("_boff") + F.col("_run")
     low = F.least(F.col("_prevmin"), F.col("_boff") + F.col("_runmin"))
@@ -108,12 +101,27 @@ def _order_cols(df: DataFrame, cols: list[str]) -> list[str]:
     return [("line_key" if c == "line_seq" and "line_key" in df.columns else c) for c in cols]
 
 
+SALES_IN_BLOCK = 1 << 16   # sale ids in one block of movements that share a time
+
+
 def _product_blocks(movements: DataFrame) -> DataFrame:
-    """Block = (day, hour): the hour is the prefix of log_time, so blocks stay
-    contiguous in the (date, time, ...) order; a product's busiest day is
-    spread over up to 24 tasks, and a product has at most 24 x days blocks."""
-    return movements.withColumn("_blk", F.struct(F.col("log_date").alias("d"),
-                                                 F.substring("log_time", 1, 2).alias("h")))
+    """Block = (day, hour, range of sale ids within the last minute): a prefix
+    of the (date, time, sale, ...) order, so blocks stay contiguous in it.
+    Returns all carry the day's last second; the range of their sale ids
+    spreads them over as many blocks as there are sale ids.  Movements without
+    a date (their sale is unknown) come first."""
+    late = F.col("log_time") >= "23:59:59"
+    return movements.withColumn("_blk", F.struct(
+        F.coalesce("log_date", F.lit("0001-01-01").cast("date")).alias("d"),
+        F.when(late, "23:59:59").otherwise(F.coalesce(F.substring("log_time", 1, 2), F.lit(""))).alias("h"),
+        F.when(late, F.floor(F.col("txn_id") / SALES_IN_BLOCK)).otherwise(F.lit(0)).alias("s")))
+
+
+def _material_blocks(movements: DataFrame) -> DataFrame:
+    """Block = (day, range of sale ids), a prefix of the (day, sale, ...) order."""
+    return movements.withColumn("_blk", F.struct(
+        F.coalesce("log_date", F.lit("0001-01-01").cast("date")).alias("d"),
+        F.floor(F.col("txn_id") / SALES_IN_BLOCK).alias("s")))
 
 
 def _openings(products: DataFrame) -> DataFrame:
@@ -132,10 +140,10 @@ def stock_ledger(movements: DataFrame, products: DataFrame) -> DataFrame:
 def material_stock_ledger(movements: DataFrame, materials: DataFrame) -> DataFrame:
     """The same floor for raw materials (decimal quantities)."""
     order = _order_cols(movements, ["txn_id", "line_seq"])
-    led = floored_ledger(movements, "raw_material_id", "log_date", order, "qty_change",
+    led = floored_ledger(_material_blocks(movements), "raw_material_id", "_blk", order, "qty_change",
                          materials.select(F.col("id").alias("raw_material_id"),
                                           F.col("stock_qty").alias("opening")), "opening", "qty_after")
-    return led.withColumn("qty_after", F.col("qty_after").cast(MONEY))
+    return led.drop("_blk").withColumn("qty_after", F.col("qty_after").cast(MONEY))
 
 
 def latest_wins(df: DataFrame, key: list[str] | str, order: list[str]) -> DataFrame:
@@ -233,7 +241,8 @@ def price_list(products: DataFrame) -> DataFrame:
     pct = margin_pct(F.col("price"), F.col("cost"))
     return p.select("category", "sku", "product_id", "name", "price", "cost", pct.alias("margin_pct"),
                     (F.col("price") - F.col("cost")).alias("margin_amount"), margin_band(pct).alias("band"),
-                    "stock", stock_status(F.col("stock"), F.col("reorder_point")).alias("status"))
+                    "stock", stock_status(F.col("stock"), F.col("reorder_point")).alias("status")
+                    ).orderBy("category", "name", "product_id")
 
 
 def price_list_kpis(products: DataFrame) -> DataFrame:
@@ -285,9 +294,9 @@ def movements_on_day(movements: DataFrame, day) -> DataFrame:
 # Recipes (bill of materials)
 
 
-def recipe_lines(recipes: DataFrame, materials: DataFrame) -> DataFrame:
-    """I17 detail / C5: every recipe row with its material and the rounded
-    contribution round(qty x unit cost, 0)."""
+def recipe_rows(recipes: DataFrame, materials: DataFrame) -> DataFrame:
+    """Every recipe row with its material and the rounded contribution
+    round(qty x unit cost, 0)."""
     m = materials.select(F.col("id").alias("raw_material_id"), F.col("name").alias("material_name"),
                          F.col("category").alias("material_category"), "unit", "unit_cost", "stock_qty")
     j = recipes.join(m, "raw_material_id", "inner")
@@ -296,25 +305,21 @@ def recipe_lines(recipes: DataFrame, materials: DataFrame) -> DataFrame:
                     F.round(F.col("qty_per_unit") * F.col("unit_cost"), 0).cast(MONEY).alias("cost_contribution"))
 
 
+def recipe_lines(recipes: DataFrame, materials: DataFrame) -> DataFrame:
+    """I17 detail: the recipe rows by product, material category and name."""
+    return recipe_rows(recipes, materials).orderBy("product_id", "material_category", "material_name", "raw_material_id")
+
+
 def recipe_cost(recipes: DataFrame, materials: DataFrame, products: DataFrame) -> DataFrame:
     """Per product the sum of rounded contributions next to its
     standard cost.  Products without a recipe are not listed."""
-    per = (recipe_lines(recipes, materials).groupBy("product_id")
+    per = (recipe_rows(recipes, materials).groupBy("product_id")
            .agg(F.count(F.lit(1)).alias("materials"), F.sum("cost_contribution").cast(MONEY).alias("recipe_cost")))
     return (per.join(products.select("product_id", "name", F.col("cost").alias("standard_cost")), "product_id", "left")
             .withColumn("cost_gap", (F.col("recipe_cost") - F.col("standard_cost")).cast(MONEY)))
 
 
-def _salted_top_k(pairs: DataFrame, group: str, order: str, k: int, buckets: int = 64) -> DataFrame:
-    """Smallest ``k`` values of ``order`` per ``group`` in two bounded steps:
-    a top-k per (group, hash bucket), then a top-k over at most k x buckets
-    survivors per group.  A group with a third of all rows is ranked by
-    ``buckets`` tasks instead of one."""
-    salted = pairs.withColumn("_b", F.pmod(F.hash(order), F.lit(buckets)))
-    first = (salted.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_b").orderBy(order)))
-             .filter(F.col("_r") <= k))
-    return (first.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(order)))
-            .filter(F.col("_r") <= k).drop("_b", "_r"))
+NAME_BUCKETS = 64          # per material, of its product names
 
 
 def ingredients_overview(materials: DataFrame, recipes: DataFrame, products: DataFrame) -> DataFrame:
@@ -322,29 +327,33 @@ def ingredients_overview(materials: DataFrame, recipes: DataFrame, products: Dat
     it (inactive ones counted), the number of distinct *active* product names,
     and the label of the first three names (sorted) plus "+n lagi".
 
-    Both counts come from one aggregate over the recipes joined once to the
-    products (two distinct counts, planned by Spark's expand-based distinct
-    aggregation).  The full name list of a material is the long-format
-    ``ingredient_product_names``; here only bounded pieces are gathered."""
+    (material, product) pairs are unique, so the first count counts rows.  One
+    aggregate per (material, name) feeds both counts and the label: its rows
+    are ranked within hash buckets, and per (material, bucket) only the counts
+    and the first three names go on to the material.  The full name list of a
+    material is the long-format ``ingredient_product_names``."""
     rp = recipes.select("raw_material_id", "product_id").join(
         products.select("product_id", F.col("name").alias("product_name"), "active"), "product_id", "left")
-    counts = rp.groupBy("raw_material_id").agg(
-        F.countDistinct("product_id").alias("used_in_products"),
-        F.countDistinct(F.when(F.col("active"), F.col("product_name"))).alias("n_product_names"))
-    names = rp.filter(F.col("active")).select("raw_material_id", "product_name").distinct()
-    top3 = (_salted_top_k(names, "raw_material_id", "product_name", 3)
-            .groupBy("raw_material_id")
-            .agg(F.array_join(F.array_sort(F.collect_list("product_name")), ", ").alias("_first")))
-    lbl = (F.when(F.col("n_product_names") > 3,
-                  F.concat(F.col("_first"), F.lit(" +"), (F.col("n_product_names") - 3).cast("string"),
-                           F.lit(seeds.MORE_NAMES_SUFFIX)))
-           .otherwise(F.col("_first")))
-    out = (materials.join(counts, materials.id == counts.raw_material_id, "left").drop("raw_material_id")
-           .join(top3, materials.id == top3.raw_material_id, "left").drop("raw_material_id"))
+    shown = F.when(F.col("active"), F.col("product_name"))
+    per_name = rp.groupBy("raw_material_id", shown.alias("product_name")).agg(F.count(F.lit(1)).alias("uses"))
+    bucket = F.pmod(F.hash("product_name"), F.lit(NAME_BUCKETS))
+    first = F.slice(F.array_sort(F.collect_list(F.when(F.col("_r") <= 3, F.col("product_name")))), 1, 3)
+    per_bucket = (per_name.withColumn("_b", bucket)
+                  .withColumn("_r", F.row_number().over(Window.partitionBy("raw_material_id", "_b").orderBy("product_name")))
+                  .groupBy("raw_material_id", "_b")
+                  .agg(F.sum("uses").alias("uses"), F.count("product_name").alias("names"), first.alias("first")))
+    per = per_bucket.groupBy("raw_material_id").agg(
+        F.sum("uses").alias("used_in_products"), F.sum("names").alias("n_product_names"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, 3).alias("_first"))
+    label = F.array_join("_first", ", ")
+    label = F.when(F.col("n_product_names") > 3,
+                   F.concat(label, F.lit(" +"), (F.col("n_product_names") - 3).cast("string"), F.lit(seeds.MORE_NAMES_SUFFIX))
+                   ).otherwise(label)
+    out = materials.join(per, materials.id == per.raw_material_id, "left")
     return out.select(*materials.columns,
                       F.coalesce("used_in_products", F.lit(0)).alias("used_in_products"),
                       F.coalesce("n_product_names", F.lit(0)).alias("n_product_names"),
-                      F.coalesce(lbl, F.lit("")).alias("used_in_label"))
+                      F.coalesce(label, F.lit("")).alias("used_in_label")).orderBy("category", "name", "id")
 
 
 def ingredient_product_names(recipes: DataFrame, products: DataFrame) -> DataFrame:
@@ -370,57 +379,63 @@ def addable_materials(product_id: int, materials: DataFrame, recipes: DataFrame)
 # Sales per product
 
 
-def product_sales(items: DataFrame, transactions: DataFrame, as_of, month=None, year=None) -> DataFrame:
+def product_sales(t: dict[str, DataFrame], as_of, month=None, year=None) -> DataFrame:
     """Per product: units sold on ``as_of``, units and revenue (line price) in
-    the period.  Lines are aggregated per (sale, product) first."""
-    if "transaction_date" in items.columns:       # stored model: lines carry the sale date
-        lines = in_period(items, "transaction_date", month, year)
-        j = (lines.groupBy("txn_id", "product_id", "transaction_date")
-             .agg(F.sum("quantity").alias("_q"), F.sum(F.col("quantity") * F.col("unit_price")).alias("_rev"))
-             .withColumn("_today", F.col("transaction_date") == F.lit(as_of)))
+    the period.  Lines meet their sale's date once and are summed per product,
+    with a map-side partial aggregate; raw lines get the product's price after
+    that sum."""
+    hdr = period_headers(t, month, year).select("txn_id", (F.col("transaction_date") == F.lit(as_of)).alias("_today"))
+    items = t["transaction_items"]
+    if "lineitem" in t:
+        lines = (t["lineitem"].join(hdr.withColumnRenamed("txn_id", "l_orderkey"), "l_orderkey")
+                 .select(F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("int").alias("quantity"), "_today"))
+    elif "transaction_date" in items.columns:     # stored model: lines carry the sale date
+        lines = (in_period(items, "transaction_date", month, year).filter(F.col("transaction_date").isNotNull())
+                 .withColumn("_today", F.col("transaction_date") == F.lit(as_of)))
     else:
-        hdr = in_period(transactions, "transaction_date", month, year).select(
-            "txn_id", (F.col("transaction_date") == F.lit(as_of)).alias("_today"))
-        lines = items if not (month or year) else items.join(hdr.select("txn_id"), "txn_id", "left_semi")
-        per = lines.groupBy("txn_id", "product_id").agg(
-            F.sum("quantity").alias("_q"), F.sum(F.col("quantity") * F.col("unit_price")).alias("_rev"))
-        j = per.join(hdr, "txn_id", "inner")
-    return j.groupBy("product_id").agg(
-        F.sum(F.when(F.col("_today"), F.col("_q")).otherwise(0)).alias("sold_today"),
-        F.sum("_q").alias("sold_period"), F.sum("_rev").cast(MONEY).alias("revenue"))
-
-
-def product_revenue(items, transactions, products, as_of, month=None, year=None) -> DataFrame:
+        lines = items.join(hdr, "txn_id")
+    revenue = F.sum(F.col("quantity") * F.col("unit_price")) if "unit_price" in lines.columns else F.lit(None)
+    per = lines.groupBy("product_id").agg(
+        F.sum(F.when(F.col("_today"), F.col("quantity")).otherwise(0)).alias("sold_today"),
+        F.sum("quantity").alias("sold_period"), revenue.cast(MONEY).alias("revenue"))
+    if "unit_price" in lines.columns:
+        return per
+    price = t["products"].select("product_id", "price")
+    return per.join(price, "product_id", "left").select(
+        "product_id", "sold_today", "sold_period", (F.col("sold_period") * F.col("price")).cast(MONEY).alias("revenue"))
+
+
+def product_revenue(t, as_of, month=None, year=None) -> DataFrame:
     """Revenue per active product, zero-sale products included."""
-    s = product_sales(items, transactions, as_of, month, year)
-    return (products.filter("active").select("product_id", "name", "category")
+    s = product_sales(t, as_of, month, year)
+    return (t["products"].filter("active").select("product_id", "name", "category")
             .join(s.select("product_id", "revenue"), "product_id", "left")
             .select("product_id", "name", "category",
                     F.coalesce("revenue", F.lit(0).cast(MONEY)).alias("revenue")))
 
 
-def top_products(items, transactions, products, as_of, month=None, year=None, k: int = 5) -> DataFrame:
+def top_products(t, as_of, month=None, year=None, k: int = 5) -> DataFrame:
     """the k best-selling products by revenue (a top-k report)."""
-    return (product_revenue(items, transactions, products, as_of, month, year)
+    return (product_revenue(t, as_of, month, year)
             .orderBy(F.col("revenue").desc(), "category", "name", "product_id").limit(k))
 
 
-def production_log(items, transactions, products, as_of, month=None, year=None) -> DataFrame:
+def production_log(t, as_of, month=None, year=None) -> DataFrame:
     """Active products sold in the period with units sold on
     ``as_of`` and in the period; the revenue column is units x *current*
     price, as the production screen shows it."""
-    s = product_sales(items, transactions, as_of, month, year)
-    p = products.filter("active").select("product_id", "name", "category", "price")
+    s = product_sales(t, as_of, month, year)
+    p = t["products"].filter("active").select("product_id", "name", "category", "price")
     return (p.join(s.filter(F.col("sold_period") > 0), "product_id", "inner")
             .select("product_id", "name", "category", "sold_today", "sold_period",
                     (F.col("sold_period") * F.col("price")).cast(MONEY).alias("revenue_at_current_price"))
             .orderBy(F.col("sold_period").desc(), "product_id"))
 
 
-def production_kpis(items, transactions, products, as_of, month=None, year=None) -> DataFrame:
+def production_kpis(t, as_of, month=None, year=None) -> DataFrame:
     """Active products, units sold on ``as_of`` and in the period."""
-    s = product_sales(items, transactions, as_of, month, year)
-    act = products.filter("active").select("product_id")
+    s = product_sales(t, as_of, month, year)
+    act = t["products"].filter("active").select("product_id")
     sold = s.join(act, "product_id", "left_semi").agg(
         F.coalesce(F.sum("sold_today"), F.lit(0)).alias("units_today"),
         F.coalesce(F.sum("sold_period"), F.lit(0)).alias("units_period"))

@@ -18,7 +18,7 @@ MONEY = "decimal(24,2)"  # width of sum(decimal(14,2)); totals of 100 TB fit
 
 def general_ledger(coa: DataFrame, journal: DataFrame, month=None, year=None) -> DataFrame:
     """Per account sum of debits and credits of the period, balance on
-    the account's normal side; accounts without activity are left out."""
+    the account's normal side, by account code; accounts without activity are left out."""
     j = in_period(journal, "entry_date", month, year)
     sums = (j.groupBy("account_code")
             .agg(F.sum("debit").cast(MONEY).alias("debit"), F.sum("credit").cast(MONEY).alias("credit")))
@@ -28,7 +28,7 @@ def general_ledger(coa: DataFrame, journal: DataFrame, month=None, year=None) ->
     balance = F.when(F.col("normal") == "D", F.col("debit") - F.col("credit")).otherwise(
         F.col("credit") - F.col("debit")).cast(MONEY)
     return (gl.filter((F.col("debit") > 0) | (F.col("credit") > 0))
-            .select("code", "name", "type", "normal", "debit", "credit", balance.alias("balance")))
+            .select("code", "name", "type", "normal", "debit", "credit", balance.alias("balance")).orderBy("code"))
 
 
 def trial_balance(gl: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def trial_balance(gl: DataFrame) -> DataFrame:
         F.lit(1).alias("row_kind"), F.lit("").alias("code"), F.lit("TOTAL").alias("name"),
         F.coalesce(F.sum(F.when(F.col("normal") == "D", F.col("balance"))), F.lit(0)).cast(MONEY).alias("debit"),
         F.coalesce(F.sum(F.when(F.col("normal") == "K", F.col("balance"))), F.lit(0)).cast(MONEY).alias("credit"))
-    return rows.unionByName(total)
+    return rows.unionByName(total).orderBy("row_kind", "code")
 
 
 def trial_balance_check(gl: DataFrame) -> DataFrame:
@@ -72,6 +72,20 @@ def journal_totals(journal: DataFrame, month=None, year=None) -> DataFrame:
                  F.coalesce(F.sum("credit"), F.lit(0)).cast(MONEY).alias("total_credit"))
 
 
+def with_footer(lines: DataFrame, month=None, year=None) -> DataFrame:
+    """A journal listing with its column totals as a last row
+    (``row_kind`` 1): one pass over the lines and one over their sums."""
+    j = in_period(lines, "entry_date", month, year)
+    cols = ["entry_date", "description", "account_code", "reference_no", "line_no"]
+    rows = j.select(F.lit(0).alias("row_kind"), *cols, F.col("debit").cast(MONEY).alias("debit"),
+                    F.col("credit").cast(MONEY).alias("credit"))
+    total = journal_totals(j).select(
+        F.lit(1).alias("row_kind"), F.lit(None).cast("date").alias("entry_date"), F.lit("TOTAL").alias("description"),
+        *[F.lit(None).cast("string").alias(c) for c in ("account_code", "reference_no")],
+        F.lit(0).alias("line_no"), F.col("total_debit").alias("debit"), F.col("total_credit").alias("credit"))
+    return rows.unionByName(total).orderBy("row_kind", F.col("entry_date").desc(), F.col("reference_no").desc(), F.col("line_no").desc())
+
+
 def journal_display(journal: DataFrame) -> DataFrame:
     """Amount columns blank (null) unless positive."""
     return journal.select(
@@ -92,10 +106,11 @@ def journal_for_receipts(journal: DataFrame, coa: DataFrame, refs: DataFrame) ->
     """Journal lines of a set of receipts with account names; a line
     whose account is missing from the chart keeps a null name.  ``refs`` has a
     ``reference_no`` column and may be large, so it is joined, not collected."""
-    j = journal.join(refs.select("reference_no").distinct(), "reference_no", "left_semi")
+    j = journal.join(refs.select("reference_no"), "reference_no", "left_semi")
     names = F.broadcast(coa.select(F.col("code").alias("account_code"), F.col("name").alias("account_name")))
     return j.join(names, "account_code", "left").select(
-        "reference_no", "line_no", "entry_date", "description", "account_code", "account_name", "debit", "credit")
+        "reference_no", "line_no", "entry_date", "description", "account_code", "account_name", "debit", "credit"
+    ).orderBy("reference_no", "line_no")
 
 
 def coa_sections(coa: DataFrame) -> DataFrame:
@@ -111,4 +126,5 @@ def cash_receipts_journal(transactions: DataFrame, month=None, year=None) -> Dat
     """Per sale of the period, Dr cash = total, Cr revenue = subtotal."""
     t = in_period(transactions, "transaction_date", month, year)
     return t.select("txn_id", "transaction_date", "receipt_no", "cashier_name", "payment_method",
-                    F.col("total").alias("dr_cash"), F.col("subtotal").alias("cr_revenue"))
+                    F.col("total").alias("dr_cash"), F.col("subtotal").alias("cr_revenue")
+                    ).orderBy(F.col("transaction_date").desc(), F.col("txn_id").desc())

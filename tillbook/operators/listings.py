@@ -1,19 +1,20 @@
 """Listings and nested results.
 
 Nested ``items`` arrays are built only for the sales a listing returns: the
-page of headers is chosen first (a top-k ``TakeOrderedAndProject``), the lines
-are semi-joined to those sales (Catalyst pushes the semi join below the
-per-sale line numbering), and only then gathered per sale.
+page of headers is chosen first (a top-k ``TakeOrderedAndProject``), the raw
+lines are semi-joined to those sales, gathered once per sale, and totals,
+margins and journal lines are computed per row from the gathered lines.  The
+listing's order is restored last.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillbook.functions.formatting import receipt_code  # noqa: F401  (H8, re-exported)
 from tillbook.functions.periods import in_period, on_date
-from tillbook.sources.adapter import headers_for
+from tillbook.operators.posting import SUM_TYPE, journal_line_array, sale_amounts, sale_totals
+from tillbook.sources.adapter import headers_for, period_headers, sale_lines
 
 MONEY = "decimal(24,2)"  # width of sum(decimal(14,2)); totals of 100 TB fit
 
@@ -27,80 +28,113 @@ def newest_first(df: DataFrame) -> list[Column]:
 
 def transactions_query(t: dict[str, DataFrame], date=None, month=None, year=None) -> DataFrame:
     """Headers filtered by exact date and/or period (AND)."""
-    df = t["transactions"]
+    df = t.get("sale_headers", t["transactions"])
     if date is not None:
         df = on_date(df, "transaction_date", date)
     return in_period(df, "transaction_date", month, year)
 
 
-def nest_items(headers: DataFrame, items: DataFrame, empty_as_null_element: bool = True,
+def gather_lines(lines: DataFrame, fields: list[str]) -> DataFrame:
+    """(txn_id, items): the lines of each sale in line order."""
+    elem = F.struct(*[F.col(c) for c in fields])
+    return lines.groupBy("txn_id").agg(F.array_sort(F.collect_list(elem)).alias("items"))
+
+
+def nest_items(headers: DataFrame, lines: DataFrame, empty_as_null_element: bool = True,
                fields: list[str] = ITEM_FIELDS) -> DataFrame:
     """``items`` array per header ordered by line.
 
     ``empty_as_null_element`` reproduces the aggregate over a left join: a
     sale without lines gets one element whose fields are all null (D12);
     otherwise it gets ``[]`` (D13, aggregate with a FILTER)."""
-    ids = headers.select("txn_id")
-    lines = items.join(ids, "txn_id", "left_semi").select("txn_id", *fields)
-    j = headers.join(lines, "txn_id", "left")
-    elem = F.struct(*[F.col(c) for c in fields])
-    if empty_as_null_element:
-        agg = F.collect_list(elem)
-    else:
-        agg = F.collect_list(F.when(F.col("line_seq").isNotNull(), elem))
-    per = j.groupBy("txn_id").agg(F.array_sort(agg).alias("items"))
-    return headers.join(per, "txn_id", "left")
+    per = gather_lines(lines, fields)
+    kind = per.schema["items"].dataType.simpleString()
+    none = F.array(F.struct(*[F.lit(None).alias(c) for c in fields])) if empty_as_null_element else F.array()
+    return (headers.join(per, "txn_id", "left")
+            .withColumn("items", F.coalesce("items", none.cast(kind))))
+
+
+def with_line_amounts(sales: DataFrame) -> DataFrame:
+    """Nested sales with subtotal, VAT and total computed from their items
+    (I1), where the totals are not stored."""
+    if "total" in sales.columns:
+        return sales
+    amounts = sale_amounts(F.col("items"))
+    return sales.select("*", *[amounts[c].alias(c) for c in ("subtotal", "tax", "total")])
 
 
 def transactions_page(t, date=None, month=None, year=None, limit: int = 500, offset: int = 0) -> DataFrame:
-    """Newest-first page of sales with their nested lines.
+    """Newest-first page of sales with their nested lines; ``row_no``
+    numbers the whole listing from 1.
 
-    The page is chosen on header columns only (a top-k over the period's
-    headers), then the full header rows and the lines of just those sales are
-    fetched by semi joins; nothing is aggregated for sales off the page."""
-    keys = transactions_query(t, date, month, year).select("txn_id", "transaction_date", "transaction_time")
-    ordered = keys.orderBy(*newest_first(keys))
-    ids = (ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)).select("txn_id")
-    return nest_items(headers_for(t, ids), t["transaction_items"], empty_as_null_element=True)
+    The page is chosen on header columns (a top-k over the period's headers);
+    only its sales' raw lines are joined and gathered, and the totals come
+    from the gathered lines, so nothing is done for sales off the page."""
+    src = transactions_query(t, date, month, year)
+    ordered = src.orderBy(*newest_first(src))
+    page = ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
+    nested = with_line_amounts(nest_items(page, sale_lines(t, page), empty_as_null_element=True))
+    # the page holds at most ``limit`` rows
+    return (nested.withColumn("row_no", F.row_number().over(Window.orderBy(*newest_first(nested))) + F.lit(offset))
+            .orderBy("row_no"))
 
 
 def recent_transactions(t, n: int = 7) -> DataFrame:
-    """the n most recent sales."""
-    return (t["transactions"].orderBy(*newest_first(t["transactions"])).limit(n)
+    """the n most recent sales; only their lines are totalled."""
+    src = period_headers(t)
+    top = headers_for(t, src.orderBy(*newest_first(src)).limit(n))
+    return (top.orderBy(*newest_first(top))
             .select("txn_id", "receipt_no", "transaction_date",
                     F.substring("transaction_time", 1, 5).alias("time"), "total", "payment_method"))
 
 
 def cash_receipt_day(t, day) -> DataFrame:
-    """The day's sales ordered by time with nested lines."""
-    src = t.get("sale_headers", t["transactions"])
-    hdr = headers_for(t, on_date(src, "transaction_date", day))
-    return nest_items(hdr, t["transaction_items"], True, ["line_seq", "product_name", "quantity", "unit_price",
-                                                          "line_total"])
+    """The day's sales ordered by time with nested lines;
+    ``row_in_hour`` numbers the sales of each hour (a number over the whole
+    day would gather it in one task)."""
+    fields = ["line_seq", "product_name", "quantity", "unit_price", "line_total"]
+    hdr = period_headers(t, day=day)
+    nested = with_line_amounts(nest_items(hdr, sale_lines(t, hdr), True, fields))
+    hour = F.substring("transaction_time", 1, 2)
+    w = Window.partitionBy("transaction_date", hour).orderBy("transaction_time", "txn_id")
+    return (nested.withColumn("row_in_hour", F.row_number().over(w))
+            .orderBy("transaction_date", "transaction_time", "txn_id"))
 
 
 def transaction_detail(t, ids: DataFrame, journal: DataFrame | None = None) -> DataFrame:
     """Detail of a batch of sales: lines (``[]`` when none) with line
     margin round((price - cost) / price x 100, 1) (null for a zero price),
-    and the debit / credit totals of the sale's journal lines.  Unknown ids
-    give no row.  Without a stored ``journal`` the selected sales are posted
-    on the fly (only they are aggregated, not the whole journal)."""
-    hdr = headers_for(t, ids.select("txn_id").distinct())
-    if journal is None:
-        from tillbook.operators.posting import post_sales
-        journal = post_sales(hdr, t["transaction_items"].join(hdr.select("txn_id"), "txn_id", "left_semi"))
-    items = t["transaction_items"].withColumn(
-        "margin", F.round(F.try_divide((F.col("unit_price") - F.col("unit_cost")) * 100,
-                                       F.when(F.col("unit_price") != 0, F.col("unit_price"))), 1)
-        .cast("decimal(10,1)"))
+    and the sale's journal lines with their debit / credit totals.  Unknown
+    ids give no row.
+
+    ``ids`` may be header rows already selected; then headers are not joined
+    again.  The sales' raw lines are selected and gathered once; totals, margins and
+    journal lines are computed per row from the gathered lines.  A stored
+    ``journal`` is joined instead where one is given."""
+    src = t.get("sale_headers", t["transactions"])
+    hdr = ids if set(src.columns) <= set(ids.columns) else src.join(ids.select("txn_id"), "txn_id", "left_semi")
+    lines = sale_lines(t, ids)
+    margin = (F.round(F.try_divide((F.col("unit_price") - F.col("unit_cost")) * 100,
+                                   F.when(F.col("unit_price") != 0, F.col("unit_price"))), 1).cast("decimal(10,1)"))
     # A line margin above 40 % is flagged (null margin -> not flagged)
-    items = items.withColumn("high_margin", F.coalesce(F.col("margin") > 40, F.lit(False)))
-    nested = nest_items(hdr, items, empty_as_null_element=False, fields=ITEM_FIELDS + ["margin", "high_margin"])
-    jt = (journal.join(hdr.select(F.col("receipt_no").alias("reference_no")), "reference_no", "left_semi")
-          .groupBy("reference_no")
-          .agg(F.count(F.lit(1)).alias("journal_lines"), F.sum("debit").cast(MONEY).alias("journal_debit"),
-               F.sum("credit").cast(MONEY).alias("journal_credit")))
-    return nested.join(jt, nested.receipt_no == jt.reference_no, "left").drop("reference_no")
+    lines = lines.withColumn("margin", margin).withColumn("high_margin", F.coalesce(F.col("margin") > 40, F.lit(False)))
+    nested = with_line_amounts(nest_items(hdr, lines, empty_as_null_element=False, fields=ITEM_FIELDS + ["margin", "high_margin"]))
+    if journal is None:
+        amounts = sale_amounts(F.col("items"))
+        posted = journal_line_array(F.col("receipt_no"), F.col("payment_method"), F.col("total"), F.col("tax"),
+                                    amounts["cogs"], amounts["cats"])
+        out = nested.withColumn("journal", posted)
+    else:
+        entry = F.struct("line_no", "description", "account_code", "debit", "credit")
+        per = (journal.join(hdr.select(F.col("receipt_no").alias("reference_no")), "reference_no", "left_semi")
+               .groupBy("reference_no").agg(F.array_sort(F.collect_list(entry)).alias("journal")))
+        out = nested.join(per, nested.receipt_no == per.reference_no, "left").drop("reference_no")
+
+    def side(c):
+        return F.aggregate("journal", F.lit(0).cast(SUM_TYPE), lambda n, x: (n + x[c]).cast(SUM_TYPE)).cast(MONEY)
+    return (out.withColumn("journal_lines", F.size("journal").cast("long"))
+            .withColumn("journal_debit", side("debit")).withColumn("journal_credit", side("credit"))
+            .orderBy("transaction_date", "transaction_time", "txn_id"))
 
 
 def items_digest(items: Column, fields: list[str]) -> Column:
@@ -119,14 +153,13 @@ def movement_listing(ledger_or_moves: DataFrame, n: int = 100) -> DataFrame:
     return (ledger_or_moves.orderBy(*order).limit(n)
             .select(F.col("log_date").alias("date"), F.substring("log_time", 1, 5).alias("time"),
                     F.col("movement_type").alias("type"), F.col("product_name").alias("product"),
-                    F.abs("quantity_change").alias("qty"), "reason", "txn_id", "kind"))
+                    F.abs("quantity_change").alias("qty"), "reason", "performed_by", "txn_id", "kind"))
 
 
 def txn_item_alignment(t) -> DataFrame:
     """D11 (pre-aggregated): per year and month, sales, lines, header totals,
     line totals and header total - lines x 1.11; lines are summed per sale
     before meeting the header, so header totals are counted once."""
-    from tillbook.operators.posting import sale_totals
     per = sale_totals(t["transaction_items"])
     if "sale_headers" in t:        # header totals are derived from these same lines: one pass
         j = (t["sale_headers"].select("txn_id", "transaction_date")

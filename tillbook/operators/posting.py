@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from tillbook.sources import seeds
 
 MONEY = "decimal(14,2)"
+SUM_TYPE = "decimal(24,2)"
+UNKNOWN_CATEGORY = "Unknown"
 JOURNAL_COLUMNS = ["entry_date", "description", "account_code", "debit", "credit",
                    "reference_no", "posted_by", "line_no", "entry_kind"]
 
@@ -46,10 +48,12 @@ def line_order_key(df: DataFrame) -> Column:
 
 
 def category_lines(items: DataFrame) -> DataFrame:
-    """Revenue, cost and first line per (sale, category)."""
-    return (items.groupBy("txn_id", "category")
-            .agg(_money(F.sum("line_total")).alias("revenue"),
-                 _money(F.sum(F.col("unit_cost") * F.col("quantity"))).alias("cogs"),
+    """Revenue, cost and first line per (sale, category).  Lines of an
+    unknown product carry no price: their category is ``Unknown``, at zero."""
+    zero = F.lit(0).cast(MONEY)
+    return (items.groupBy("txn_id", F.coalesce("category", F.lit(UNKNOWN_CATEGORY)).alias("category"))
+            .agg(_money(F.coalesce(F.sum("line_total"), zero)).alias("revenue"),
+                 _money(F.coalesce(F.sum(F.col("unit_cost") * F.col("quantity")), zero)).alias("cogs"),
                  F.min(line_order_key(items)).alias("first_seq"),
                  F.count(F.lit(1)).alias("n_lines")))
 
@@ -100,6 +104,27 @@ def journal_line_array(receipt_no: Column, payment_method: Column, total: Column
     return F.concat(F.array(cash), revenue, tail)
 
 
+def _sum_of(arr: Column, value) -> Column:
+    return F.aggregate(arr, F.lit(0).cast(SUM_TYPE), lambda n, x: (n + F.coalesce(value(x), F.lit(0))).cast(SUM_TYPE))
+
+
+def sale_amounts(items: Column) -> dict[str, Column]:
+    """I1 per row, from the nested lines of one sale: subtotal, tax, total,
+    cogs and ``cats`` (category, revenue) in order of first appearance.  Null
+    elements (a sale without lines, D12) count nothing."""
+    lines = F.filter(items, lambda x: x["line_seq"].isNotNull())
+    subtotal = _money(_sum_of(lines, lambda x: x["line_total"]))
+    tax = _money(F.round(subtotal * F.lit(seeds.VAT_RATE), 0))
+    name = lambda x: F.coalesce(x["category"], F.lit(UNKNOWN_CATEGORY))
+    out = {"subtotal": subtotal, "tax": tax, "total": _money(subtotal + tax)}
+    out["cogs"] = _money(_sum_of(lines, lambda x: x["unit_cost"] * x["quantity"]))
+    out["cats"] = F.transform(
+        F.array_distinct(F.transform(lines, name)),
+        lambda c: F.struct(c.alias("category"), _money(_sum_of(F.filter(lines, lambda x: name(x) == c),
+                                                               lambda x: x["line_total"])).alias("revenue")))
+    return out
+
+
 def explode_journal(df: DataFrame, date_col: str, lines: Column) -> DataFrame:
     return (df.select(F.col(date_col).alias("entry_date"), F.col("receipt_no").alias("reference_no"),
                       F.explode(lines).alias("l"))
@@ -108,7 +133,7 @@ def explode_journal(df: DataFrame, date_col: str, lines: Column) -> DataFrame:
                     F.lit("sale").alias("entry_kind")))
 
 
-def post_sales(transactions: DataFrame, items: DataFrame, skip_zero_revenue: bool = False) -> DataFrame:
+def post_sales(transactions: DataFrame, items: DataFrame) -> DataFrame:
     """Journal lines of every sale (live-path rules: zero amounts post).
 
     ``transactions`` needs txn_id, transaction_date, receipt_no and
@@ -131,12 +156,15 @@ def post_sales(transactions: DataFrame, items: DataFrame, skip_zero_revenue: boo
     total = _money(subtotal + tax)
     cat_arr = F.transform(F.col("cats"), lambda c: F.struct(c["category"].alias("category"),
                                                             c["revenue"].alias("revenue")))
-    if skip_zero_revenue:
-        cat_arr = F.filter(cat_arr, lambda c: c["revenue"] > 0)
     lines = journal_line_array(F.col("receipt_no"), F.col("payment_method"), total, tax, F.col("cogs"), cat_arr)
     return explode_journal(j, "transaction_date", lines)
 
 
+def period_text(month: str) -> Column:
+    """`` April 2026`` of a month's first day."""
+    return F.concat(F.lit(" "), F.date_format(month, "MMMM yyyy"))
+
+
 def accrue_fixed(months: DataFrame, as_of) -> DataFrame:
     """I4: two lines per fixed cost and month (expense Dr, counter account Cr).
 
@@ -153,7 +181,8 @@ def accrue_fixed(months: DataFrame, as_of) -> DataFrame:
     ratio_days = F.dayofmonth(as_of_c)
     dim = F.dayofmonth(F.last_day(ms))
     costs = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(a).cast(MONEY).alias("amount"),
-                               F.lit(e).alias("exp"), F.lit(c).alias("ctr"), F.lit(i + 1).alias("no"))
+                               F.lit(e).alias("exp"), F.lit(c).alias("ctr"), F.lit(i + 1).alias("no"),
+                               *[F.lit(x).alias(n) for x, n in zip(seeds.ACCRUAL_TEXT[k], ("exp_text", "ctr_text"))])
                       for i, (k, a, e, c) in enumerate(seeds.FIXED_COSTS)])
     base = (months.filter(ms <= cur)
             .select(ms, F.when(full, F.last_day(ms)).otherwise(as_of_c).alias("entry_date"),
@@ -161,17 +190,17 @@ def accrue_fixed(months: DataFrame, as_of) -> DataFrame:
                     F.explode(costs).alias("c")))
     amount = F.when(F.col("full"), F.col("c.amount")).otherwise(
         F.round(F.col("c.amount") * F.col("days") / F.col("dim"), 0))
-    ref = F.concat(F.lit("ADJ-"), F.date_format("month_start", "yyyyMM"), F.lit("-"),
+    # the year is part of the reference: a model spans several years
+    ref = F.concat(F.lit("ADJ-"), F.upper(F.date_format("month_start", "MMM-yyyy")), F.lit("-"),
                    F.lpad(F.col("c.no").cast("string"), 2, "0"))
-    label = F.concat(F.col("c.kind"), F.lit(" accrual "), F.date_format("month_start", "yyyy-MM"))
+    month = period_text("month_start")
     pair = F.array(
-        F.struct(F.col("c.exp").alias("account_code"), _money(amount).alias("debit"),
+        F.struct(F.col("c.exp").alias("account_code"), F.concat(F.col("c.exp_text"), month).alias("description"), _money(amount).alias("debit"),
                  F.lit(0).cast(MONEY).alias("credit"), F.lit(1).alias("line_no")),
-        F.struct(F.col("c.ctr").alias("account_code"), F.lit(0).cast(MONEY).alias("debit"),
+        F.struct(F.col("c.ctr").alias("account_code"), F.concat(F.col("c.ctr_text"), month).alias("description"), F.lit(0).cast(MONEY).alias("debit"),
                  _money(amount).alias("credit"), F.lit(2).alias("line_no")))
-    return (base.select("entry_date", label.alias("description"), ref.alias("reference_no"),
-                        F.explode(pair).alias("p"))
-            .select("entry_date", "description", "p.account_code", "p.debit", "p.credit",
+    return (base.select("entry_date", ref.alias("reference_no"), F.explode(pair).alias("p"))
+            .select("entry_date", "p.description", "p.account_code", "p.debit", "p.credit",
                     "reference_no", F.lit("System").alias("posted_by"),
                     F.col("p.line_no").cast("int").alias("line_no"),
                     F.lit("accrual").alias("entry_kind")))
@@ -189,21 +218,20 @@ def opening_entries(anchor: DataFrame) -> DataFrame:
                     F.lit("opening").alias("entry_kind")))
 
 
-def build_journal(transactions: DataFrame, items: DataFrame, as_of=None, month=None, year=None) -> DataFrame:
+def build_journal(t: dict[str, DataFrame], as_of=None, month=None, year=None) -> DataFrame:
     """The journal table: sales postings, monthly accruals and opening lines.
 
     The calendar of months and the opening date come from a one-row aggregate
     of the sales (first and last sale date); ``as_of`` defaults to the last
     sale date.  Nothing is collected to the driver.
 
-    With a period, only that period's sales are posted: the lines are
-    semi-joined to the period's headers, a join Catalyst moves below the
-    line aggregation when the period side can be broadcast (and otherwise
-    keeps after it); accruals and opening lines are produced in full for the
-    caller's own period filter.
+    With a period, only that period's sales are posted: the raw lines are
+    semi-joined to the period's headers before anything else; accruals and
+    opening lines are produced in full for the caller's own period filter.
     """
-    bounds = transactions.agg(F.min("transaction_date").alias("first_day"),
-                              F.max("transaction_date").alias("last_day"))
+    from tillbook.sources.adapter import period_headers, sale_lines
+    bounds = t.get("sale_headers", t["transactions"]).agg(
+        F.min("transaction_date").alias("first_day"), F.max("transaction_date").alias("last_day"))
     as_of_c = F.col("last_day") if as_of is None else F.lit(as_of).cast("date")
     months = bounds.select(
         F.explode(F.sequence(F.trunc("first_day", "MM"), F.trunc(as_of_c, "MM"),
@@ -211,12 +239,9 @@ def build_journal(transactions: DataFrame, items: DataFrame, as_of=None, month=N
         as_of_c.alias("as_of"))
     accruals = accrue_fixed(months, F.col("as_of"))
     opening = opening_entries(bounds.select(F.trunc("first_day", "MM").alias("opening_date")))
-    sales_hdr, sales_lines = transactions, items
-    if month or year:
-        from tillbook.functions.periods import in_period
-        sales_hdr = in_period(transactions, "transaction_date", month, year)
-        sales_lines = items.join(sales_hdr.select("txn_id"), "txn_id", "left_semi")
-    return (post_sales(sales_hdr, sales_lines)
+    headers = period_headers(t, month, year)
+    lines = sale_lines(t, headers) if month or year else t["transaction_items"]
+    return (post_sales(headers, lines)
             .unionByName(accruals).unionByName(opening))
 
 

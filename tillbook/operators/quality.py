@@ -77,7 +77,7 @@ def orphans(t: dict[str, DataFrame]) -> DataFrame:
     """K3: child rows whose parent key does not exist."""
     out = []
     for rule, child, ck, parent, pk in FOREIGN_KEYS:
-        parents = t[parent].select(F.col(pk).alias(ck)).distinct()
+        parents = t[parent].select(F.col(pk).alias(ck))
         miss = t[child].filter(F.col(ck).isNotNull()).join(parents, ck, "left_anti")
         out.append(miss.groupBy(F.col(ck).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n"))
                    .select(F.lit(f"orphan:{rule}").alias("rule"), "key", "n"))

@@ -1,23 +1,25 @@
 """Period reports and statements.
 
-One aggregate over the sale lines (per sale and category, map-side combined)
-and one over the headers feed every figure; statements are then built from a
-one-row summary with an ``explode`` of line structs, so no statement line
-re-scans the facts.  Everything a statement needs from the dimension side
-(stock value) is itself a one-row aggregate.
+A statement scans the sale lines once: the period's headers select raw lines
+before any join or aggregate (``sale_lines``), one aggregate over them feeds
+every figure, and the statement is built from a one-row summary with an
+``explode`` of line structs.  Headers are scanned for the selection and again
+where a figure needs their columns.  Everything a statement needs from the
+dimension side (stock value) is itself a one-row aggregate.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.functions.formatting import rupiah  # noqa: F401  (H16, re-exported)
-from tillbook.functions.periods import in_period
-from tillbook.operators.posting import category_lines
-from tillbook.sources.adapter import period_transactions
+from tillbook.functions.periods import day_spine, in_period, period_predicate, weekday_label
+from tillbook.operators.inventory import low_stock
+from tillbook.operators.posting import category_lines, sale_totals
+from tillbook.sources.adapter import period_headers, period_transactions, sale_lines, with_sale_totals
 from tillbook.sources import seeds
 
 MONEY = "decimal(24,2)"  # width of sum(decimal(14,2)); totals of 100 TB fit
@@ -33,18 +35,29 @@ def _zero() -> Column:
     return F.lit(0).cast(MONEY)
 
 
-def period_sales(t: dict[str, DataFrame], month=None, year=None) -> DataFrame:
-    """Per (sale, category) aggregates of the sales dated in the period.
-
-    Lines that carry their sale's date (the stored model) are filtered
-    directly, which prunes month partitions.  Otherwise the period filter
-    runs on the headers (pushed to their scan) and reaches the line
-    aggregate through a semi join on the sale id."""
+def period_lines(t: dict[str, DataFrame], hdr: DataFrame, month=None, year=None) -> DataFrame:
+    """The lines of the sales in ``hdr`` (headers of the period).  Lines
+    that carry their sale's date (the stored model) are filtered directly,
+    which prunes month partitions; raw lines are semi-joined first."""
     items = t["transaction_items"]
     if "transaction_date" in items.columns:
-        return category_lines(in_period(items, "transaction_date", month, year))
-    hdr = in_period(t["transactions"], "transaction_date", month, year).select("txn_id")
-    return category_lines(items).join(hdr, "txn_id", "left_semi")
+        return in_period(items, "transaction_date", month, year).filter(F.col("transaction_date").isNotNull())
+    return sale_lines(t, hdr)
+
+
+def period_sales(t: dict[str, DataFrame], month=None, year=None) -> DataFrame:
+    """Per (sale, category) aggregates of the sales dated in the period."""
+    return category_lines(period_lines(t, period_headers(t, month, year), month, year))
+
+
+def sale_facts(t: dict[str, DataFrame], hdr: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row per sale of ``hdr`` with net revenue, gross total and COGS
+    (zeros without lines), from one pass over the lines."""
+    per = sale_totals(lines).select("txn_id", "subtotal", "total", "cogs")
+    zero = F.lit(0).cast("decimal(14,2)")
+    return (hdr.select("txn_id", "transaction_date", "payment_method").join(per, "txn_id", "left")
+            .select("txn_id", "transaction_date", "payment_method",
+                    *[F.coalesce(F.col(c), zero).alias(c) for c in ("subtotal", "total", "cogs")]))
 
 
 def revenue_cogs(t, month=None, year=None) -> DataFrame:
@@ -56,7 +69,7 @@ def revenue_cogs(t, month=None, year=None) -> DataFrame:
 
 def txn_count(t, month=None, year=None) -> DataFrame:
     """D3."""
-    return period_transactions(t, month, year).agg(F.count(F.lit(1)).alias("transaction_count"))
+    return period_headers(t, month, year).agg(F.count(F.lit(1)).alias("transaction_count"))
 
 
 def by_payment(t, month=None, year=None) -> DataFrame:
@@ -84,7 +97,7 @@ def daily_sales(t, month=None, year=None) -> DataFrame:
 def available_periods(t) -> DataFrame:
     """Distinct (year, month) with sales, newest first."""
     d = F.col("transaction_date")
-    return (t["transactions"].select(F.year(d).alias("year"), F.month(d).alias("month"))
+    return (period_headers(t).select(F.year(d).alias("year"), F.month(d).alias("month"))
             .distinct().orderBy(F.col("year").desc(), F.col("month").desc()))
 
 
@@ -92,9 +105,12 @@ def report_summary(t, month=None, year=None) -> DataFrame:
     """I8: one row.  fee = round(0.7 % of *all* net revenue); operating
     expenses = the four monthly fixed costs + fee, flat per call (not times
     the months in the period); gross = revenue - COGS; net = gross - opex."""
-    rc = revenue_cogs(t, month, year)
-    n = txn_count(t, month, year)
-    s = _side_by_side(rc, n)
+    return _summary(_side_by_side(revenue_cogs(t, month, year), txn_count(t, month, year)))
+
+
+def _summary(s: DataFrame, *more: str) -> DataFrame:
+    """The summary row from total_revenue, total_cogs and transaction_count;
+    ``more`` columns are carried along."""
     fee = _m(F.round(F.col("total_revenue") * F.lit(seeds.PAYMENT_FEE_RATE), 0))
     opex = _m(F.lit(FIXED_TOTAL) + fee)
     gross = _m(F.col("total_revenue") - F.col("total_cogs"))
@@ -102,7 +118,15 @@ def report_summary(t, month=None, year=None) -> DataFrame:
         "total_revenue", "total_cogs", gross.alias("gross_profit"),
         *[F.lit(FIXED[k]).cast(MONEY).alias(k.lower()) for k in FIXED],
         fee.alias("payment_fee"), opex.alias("total_opex"),
-        _m(gross - opex).alias("net_income"), "transaction_count")
+        _m(gross - opex).alias("net_income"), "transaction_count", *more)
+
+
+def _sums(when: Column | None = None) -> list[Column]:
+    """Net revenue, COGS and number of the sales that ``when`` selects (all)."""
+    pick = (lambda c: c) if when is None else (lambda c: F.when(when, c))
+    return [_m(F.coalesce(F.sum(pick(F.col("subtotal"))), _zero())).alias("total_revenue"),
+            _m(F.coalesce(F.sum(pick(F.col("cogs"))), _zero())).alias("total_cogs"),
+            F.count(pick(F.lit(1))).alias("transaction_count")]
 
 
 def _side_by_side(*frames: DataFrame) -> DataFrame:
@@ -134,29 +158,20 @@ def _lines(rows: list[tuple[str, str, Column]]) -> Column:
 def income_statement(t, month=None, year=None) -> DataFrame:
     """Category revenue lines (largest first), totals, the five cost lines,
     net income, and gross / net margin % (0 without revenue)."""
-    s = report_summary(t, month, year)
-    cats = (by_category(t, month, year)
-            .agg(F.array_sort(F.collect_list(F.struct((-F.col("revenue")).alias("neg"), "category", "revenue")))
-                 .alias("cats")))  # bounded: one element per product category
-    s = _side_by_side(s, cats)
+    by = period_sales(t, month, year).groupBy("category").agg(
+        _m(F.sum("revenue")).alias("revenue"), _m(F.sum("cogs")).alias("cogs"))
+    one = by.agg(
+        _m(F.coalesce(F.sum("revenue"), _zero())).alias("total_revenue"),
+        _m(F.coalesce(F.sum("cogs"), _zero())).alias("total_cogs"),
+        # one element per product category
+        F.array_sort(F.collect_list(F.struct((-F.col("revenue")).alias("neg"), "category", "revenue"))).alias("cats"))
+    s = _summary(_side_by_side(one, txn_count(t, month, year)), "cats")
     c = F.col
     cat_lines = F.transform(c("cats"), lambda x, i: F.struct(
         (i + 1).alias("line_no"), F.lit("Revenue").alias("section"),
         F.concat(x["category"], F.lit(" Revenue")).alias("label"), _m(x["revenue"]).alias("amount")))
-    tail_rows = [
-        ("Revenue", "Total Revenue", c("total_revenue")),
-        ("Cost of Goods Sold", "COGS - Raw Materials", c("total_cogs")),
-        ("Cost of Goods Sold", "Gross Profit", c("gross_profit")),
-        ("Operating Expenses", "Salary Expense", c("salary")),
-        ("Operating Expenses", "Rent Expense", c("rent")),
-        ("Operating Expenses", "Utilities Expense", c("utilities")),
-        ("Operating Expenses", "Depreciation Expense", c("depreciation")),
-        ("Operating Expenses", "QRIS/MDR Fee", c("payment_fee")),
-        ("Operating Expenses", "Total Expenses", c("total_opex")),
-        ("Net Income", "NET INCOME", c("net_income")),
-        ("Ratios", "Gross Margin %", _pct(c("gross_profit"), c("total_revenue"))),
-        ("Ratios", "Net Margin %", _pct(c("net_income"), c("total_revenue"))),
-    ]
+    value = {"gross_margin": _pct(c("gross_profit"), c("total_revenue")), "net_margin": _pct(c("net_income"), c("total_revenue"))}
+    tail_rows = [(sec, label, value[col] if col in value else c(col)) for sec, label, col in seeds.INCOME_LINES]
     k = F.size(c("cats"))
     tail = F.array(*[F.struct((k + i + 1).alias("line_no"), F.lit(sec).alias("section"),
                               F.lit(label).alias("label"), _m(v).alias("amount"))
@@ -185,17 +200,18 @@ def balance_sheet(t, month=None, year=None) -> DataFrame:
     payable = round(revenue x 0.11 / 1.11) although revenue is already net.
     Sides are not forced equal: the side totals and their difference are
     separate lines."""
-    hdr = period_transactions(t, month, year)
-    pay = hdr.agg(*[_m(_method_total(mth)).alias(mth.lower()) for mth in seeds.PAYMENT_METHODS])
-    s = _side_by_side(report_summary(t, month, year), pay, stock_value(t["products"]))
+    hdr = period_headers(t, month, year)
+    methods = [mth.lower() for mth in seeds.PAYMENT_METHODS]
+    one = sale_facts(t, hdr, period_lines(t, hdr, month, year)).agg(
+        *_sums(), *[_m(_method_total(mth)).alias(mth.lower()) for mth in seeds.PAYMENT_METHODS])
+    s = _side_by_side(_summary(one, *methods), stock_value(t["products"]))
     c = F.col
-    cur = [("Cash on Hand", c("cash")), ("Bank BCA", c("debit") + F.lit(seeds.BANK_BASE)),
-           ("QRIS Receivable", c("qris")), ("GoPay Balance", c("gopay")), ("Inventory", c("stock_value"))]
-    fixed = [("Equipment (POS, Oven)", F.lit(seeds.EQUIPMENT_VALUE)),
-             ("Accumulated Depreciation", -F.lit(FIXED["Depreciation"]))]
-    liab = [("Accounts Payable", F.lit(seeds.ACCOUNTS_PAYABLE)),
-            ("VAT Payable", F.round(c("total_revenue") * F.lit(seeds.VAT_RATE) / F.lit(Decimal("1.11")), 0))]
-    eq = [("Owner's Capital", F.lit(seeds.OWNER_CAPITAL)), ("Net Income", c("net_income"))]
+    L = seeds.BALANCE_LABELS
+    cur = list(zip(L["current"], (c("cash"), c("debit") + F.lit(seeds.BANK_BASE), c("qris"), c("gopay"), c("stock_value"))))
+    fixed = list(zip(L["fixed"], (F.lit(seeds.EQUIPMENT_VALUE), -F.lit(FIXED["Depreciation"]))))
+    liab = list(zip(L["liabilities"], (F.lit(seeds.ACCOUNTS_PAYABLE), F.round(
+        c("total_revenue") * F.lit(seeds.VAT_RATE) / F.lit(Decimal("1.11")), 0))))
+    eq = list(zip(L["equity"], (F.lit(seeds.OWNER_CAPITAL), c("net_income"))))
 
     def total(rows):
         acc = rows[0][1]
@@ -269,7 +285,7 @@ def cash_position(t, month=None, year=None) -> DataFrame:
     total = rows.agg(F.lit(5).alias("line_no"), F.lit("TOTAL").alias("payment_method"),
                      F.lit("").alias("account_code"), F.sum("count").alias("count"),
                      _m(F.sum("amount")).alias("amount"))
-    return rows.unionByName(total)
+    return rows.unionByName(total).orderBy("line_no")
 
 
 def cash_by_method(t, day) -> DataFrame:
@@ -286,7 +302,9 @@ def cash_by_method(t, day) -> DataFrame:
                       F.coalesce("amount", _zero()).alias("amount")))
     total = hdr.agg(F.lit("TOTAL").alias("payment_method"), F.count(F.lit(1)).alias("count"),
                     _m(F.coalesce(F.sum("total"), _zero())).alias("amount"))
-    return filled.unionByName(total)
+    place = F.coalesce(F.array_position(F.array(*[F.lit(m) for m in seeds.PAYMENT_METHODS]), F.col("payment_method")), F.lit(0))
+    return (filled.unionByName(total)
+            .orderBy(F.col("payment_method") == "TOTAL", place == 0, place, "payment_method"))
 
 
 def avg_ticket(t, month=None, year=None) -> DataFrame:
@@ -313,7 +331,6 @@ def txn_gross_margin(t) -> DataFrame:
     """Per sale (subtotal - cost) / subtotal in %, 0 when subtotal is 0.
     With totals derived from lines, subtotal and cost come from the same
     per-sale aggregate (one pass over the lines)."""
-    from tillbook.operators.posting import sale_totals
     per = sale_totals(t["transaction_items"])
     if "sale_headers" in t:
         j = t["sale_headers"].select("txn_id", "receipt_no").join(
@@ -335,17 +352,18 @@ def today_kpi(t, as_of) -> DataFrame:
         F.count(F.lit(1)).alias("today_count"))
 
 
-def low_stock(products: DataFrame) -> DataFrame:
-    """Active products at or below their reorder point."""
-    return products.filter(F.col("active") & (F.col("stock") <= F.col("reorder_point")))
-
-
 def dashboard_kpis(t, as_of, month=None, year=None) -> DataFrame:
     """I22 KPI row: period revenue and count, today's total and count, net
     income with margin, and the low-stock count."""
-    s = report_summary(t, month, year)
+    hdr = period_headers(t)
+    inside = period_predicate("transaction_date", month, year)
+    today = F.col("transaction_date") == F.lit(as_of)
+    hdr = hdr.filter(inside | today)
+    one = sale_facts(t, hdr, sale_lines(t, hdr)).agg(
+        *_sums(inside), _m(F.coalesce(F.sum(F.when(today, F.col("total"))), _zero())).alias("today_total"),
+        F.count(F.when(today, F.lit(1))).alias("today_count"))
     low = low_stock(t["products"]).agg(F.count(F.lit(1)).alias("low_stock_count"))
-    s = _side_by_side(s, today_kpi(t, as_of), low)
+    s = _side_by_side(_summary(one, "today_total", "today_count"), low)
     c = F.col
     return s.select("total_revenue", "transaction_count", "today_total", "today_count", "net_income",
                     _pct(c("net_income"), c("total_revenue")).alias("net_margin_pct"), "low_stock_count")
@@ -354,13 +372,17 @@ def dashboard_kpis(t, as_of, month=None, year=None) -> DataFrame:
 def weekly_trend(t, as_of, month=None, year=None) -> DataFrame:
     """The seven days ending ``as_of`` with the gross daily total of
     the *period-filtered* series (days outside the period show 0)."""
-    daily = daily_sales(t, month, year)
-    days = (t["transactions"].sparkSession.range(1)
-            .select(F.explode(F.sequence(F.date_sub(F.lit(as_of), 6), F.lit(as_of))).alias("date")))
+    last = as_of if isinstance(as_of, dt.date) else dt.date.fromisoformat(str(as_of))
+    week = F.col("transaction_date").between(F.lit(last - dt.timedelta(days=6)), F.lit(last))
+    hdr = period_headers(t, month, year).filter(week)
+    totals = with_sale_totals(hdr, sale_lines(t, hdr)) if "sale_headers" in t else hdr
+    daily = totals.groupBy(F.col("transaction_date").alias("date")).agg(
+        _m(F.sum("total")).alias("total"), F.count(F.lit(1)).alias("count"))
+    days = hdr.sparkSession.range(1).select(F.explode(day_spine(last)).alias("date"))
     return (days.join(daily, "date", "left")
-            .select("date", F.date_format("date", "EEE").alias("label"),
+            .select("date", weekday_label("date").alias("label"),
                     F.coalesce(F.col("total"), _zero()).alias("total"),
-                    F.coalesce(F.col("count"), F.lit(0)).alias("count")))
+                    F.coalesce(F.col("count"), F.lit(0)).alias("count")).orderBy("date"))
 
 
 def bar_ratio(df: DataFrame, value_col: str) -> DataFrame:

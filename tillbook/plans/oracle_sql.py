@@ -18,9 +18,9 @@ REVENUE_ACCOUNT_SQL = ("CASE {c} WHEN 'Bread' THEN '4010' WHEN 'Pastry' THEN '40
 
 JOURNAL_CTES = """
 cat AS (
-  SELECT txn_id, category, CAST(SUM(line_total) AS DECIMAL(14,2)) AS revenue,
-    CAST(SUM(unit_cost * quantity) AS DECIMAL(14,2)) AS cogs, MIN(line_seq) AS first_seq, COUNT(*) AS n_lines
-  FROM transaction_items GROUP BY txn_id, category),
+  SELECT txn_id, COALESCE(category, 'Unknown') AS category, CAST(COALESCE(SUM(line_total), 0) AS DECIMAL(14,2)) AS revenue,
+    CAST(COALESCE(SUM(unit_cost * quantity), 0) AS DECIMAL(14,2)) AS cogs, MIN(line_seq) AS first_seq, COUNT(*) AS n_lines
+  FROM transaction_items GROUP BY txn_id, COALESCE(category, 'Unknown')),
 cat_n AS (
   SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY first_seq) AS k FROM cat),
 txn_cogs AS (
@@ -56,9 +56,10 @@ months AS (
     last_day AS as_of
   FROM bounds),
 fixed_costs AS (
-  SELECT * FROM (VALUES ('Salary', 8500000, '6010', '2010', 1), ('Rent', 5000000, '6020', '1010', 2),
-    ('Utilities', 1800000, '6030', '1010', 3), ('Depreciation', 600000, '6040', '1520', 4))
-    AS fc(kind, amount, exp_account, ctr_account, cost_no)),
+  SELECT * FROM (VALUES ('Salary Expense', 'Salary Payable', 8500000, '6010', '2010', 1), ('Rent Expense', 'Rent Paid', 5000000, '6020', '1010', 2),
+    ('Utilities Expense', 'Utilities Paid', 1800000, '6030', '1010', 3),
+    ('Depreciation Expense', 'Accumulated Depreciation', 600000, '6040', '1520', 4))
+    AS fc(exp_text, ctr_text, amount, exp_account, ctr_account, cost_no)),
 accrual_base AS (
   SELECT m.month_start, m.as_of, fc.*, (m.month_start < date_trunc('month', m.as_of)) AS full_month,
     CASE WHEN m.month_start < date_trunc('month', m.as_of) THEN last_day(m.month_start) ELSE m.as_of END
@@ -68,24 +69,24 @@ accrual_base AS (
   FROM months m, fixed_costs fc
   WHERE m.month_start <= date_trunc('month', m.as_of)),
 accruals AS (
-  SELECT entry_date, kind || ' accrual ' || strftime(month_start, '%Y-%m') AS description,
+  SELECT entry_date, exp_text || ' ' || strftime(month_start, '%B %Y') AS description,
     exp_account AS account_code, amt AS debit, CAST(0 AS DECIMAL(14,2)) AS credit,
-    'ADJ-' || strftime(month_start, '%Y%m') || '-' || lpad(CAST(cost_no AS VARCHAR), 2, '0') AS reference_no,
+    'ADJ-' || upper(strftime(month_start, '%b-%Y')) || '-' || lpad(CAST(cost_no AS VARCHAR), 2, '0') AS reference_no,
     1 AS line_no, 'accrual' AS entry_kind
   FROM accrual_base
   UNION ALL
-  SELECT entry_date, kind || ' accrual ' || strftime(month_start, '%Y-%m'), ctr_account,
+  SELECT entry_date, ctr_text || ' ' || strftime(month_start, '%B %Y'), ctr_account,
     CAST(0 AS DECIMAL(14,2)), amt,
-    'ADJ-' || strftime(month_start, '%Y%m') || '-' || lpad(CAST(cost_no AS VARCHAR), 2, '0'), 2, 'accrual'
+    'ADJ-' || upper(strftime(month_start, '%b-%Y')) || '-' || lpad(CAST(cost_no AS VARCHAR), 2, '0'), 2, 'accrual'
   FROM accrual_base),
 opening AS (
   SELECT CAST(date_trunc('month', b.first_day) AS DATE) AS entry_date, o.description, o.account_code,
     CAST(o.debit AS DECIMAL(14,2)) AS debit, CAST(o.credit AS DECIMAL(14,2)) AS credit, o.reference_no,
     o.line_no, 'opening' AS entry_kind
-  FROM bounds b, (VALUES ('OPN-001', 'Opening Balance - Cash', '1010', 150000000, 0, 1),
-    ('OPN-002', 'Opening Balance - Equipment', '1510', 18000000, 0, 2),
-    ('OPN-001', 'Opening Balance - Owner Capital', '3010', 0, 150000000, 3),
-    ('OPN-002', 'Opening Balance - Equipment Capital', '3010', 0, 18000000, 4))
+  FROM bounds b, (VALUES ('OPN-001', 'Opening Balance — Cash', '1010', 150000000, 0, 1),
+    ('OPN-002', 'Opening Balance — Equipment', '1510', 18000000, 0, 2),
+    ('OPN-001', 'Opening Balance — Owner Capital', '3010', 0, 150000000, 3),
+    ('OPN-002', 'Opening Balance — Equipment Capital', '3010', 0, 18000000, 4))
     AS o(reference_no, description, account_code, debit, credit, line_no)),
 journal AS (
   SELECT * FROM sales_journal UNION ALL SELECT * FROM accruals UNION ALL SELECT * FROM opening)

@@ -10,6 +10,8 @@ from tillbook.plans.oracle_sql import oracle
 from tillbook.plans.q_ledger import month_pred
 
 E1_ORDER = "m.log_date, m.log_time, m.txn_id, m.line_seq, m.kind"
+EDITED_PRODUCT = 7         # the product whose recipe is edited
+
 LEDGER_CTE = f"""
 led AS (
   SELECT product_id, product_name, log_date, log_time, txn_id, line_seq, kind, movement_type, quantity_change,
@@ -256,7 +258,7 @@ SELECT p.product_id, p.name, p.category, CAST(COALESCE(s.revenue, 0) AS DOUBLE)
 FROM products p LEFT JOIN psales s ON s.product_id = p.product_id WHERE p.active""", SALES_CTE))
 def q_product_revenue(m, spark):
     """Revenue per active product in the period, zero sales included."""
-    return inv.product_revenue(m["transaction_items"], m["transactions"], m["products"], AS_OF, MONTH, YEAR)
+    return inv.product_revenue(m, AS_OF, MONTH, YEAR)
 
 
 @query("top_products", oracle("""
@@ -265,7 +267,7 @@ FROM products p LEFT JOIN psales s ON s.product_id = p.product_id WHERE p.active
 ORDER BY COALESCE(s.revenue, 0) DESC, p.category, p.name, p.product_id LIMIT 5""", SALES_CTE))
 def q_top_products(m, spark):
     """top five products by revenue in the period."""
-    return inv.top_products(m["transaction_items"], m["transactions"], m["products"], AS_OF, MONTH, YEAR)
+    return inv.top_products(m, AS_OF, MONTH, YEAR)
 
 
 @query("production_log", oracle("""
@@ -274,7 +276,7 @@ SELECT p.product_id, p.name, p.category, CAST(s.sold_today AS BIGINT) AS sold_to
 FROM products p JOIN psales s ON s.product_id = p.product_id WHERE p.active AND s.sold_period > 0""", SALES_CTE))
 def q_production_log(m, spark):
     """I19/D19/F8."""
-    return inv.production_log(m["transaction_items"], m["transactions"], m["products"], AS_OF, MONTH, YEAR)
+    return inv.production_log(m, AS_OF, MONTH, YEAR)
 
 
 @query("production_kpis", oracle("""
@@ -284,7 +286,7 @@ SELECT (SELECT COUNT(*) FROM products WHERE active) AS active_products,
 FROM psales s WHERE s.product_id IN (SELECT product_id FROM products WHERE active)""", SALES_CTE))
 def q_production_kpis(m, spark):
     """D33."""
-    return inv.production_kpis(m["transaction_items"], m["transactions"], m["products"], AS_OF, MONTH, YEAR)
+    return inv.production_kpis(m, AS_OF, MONTH, YEAR)
 
 
 @query("recipes_by_material_name", oracle("""
@@ -302,3 +304,12 @@ def q_recipes_by_material_name(m, spark):
     by_name = m["product_ingredients"].join(rm.select(F.col("id").alias("raw_material_id"),
                                                       F.col("name").alias("material_name")), "raw_material_id")
     return resolve_material_ids(by_name.select("product_id", "material_name", "qty_per_unit"), rm)
+
+
+@query("addable_materials", oracle(f"""
+SELECT id, name, category, unit, CAST(stock_qty AS DOUBLE) AS stock_qty, CAST(unit_cost AS DOUBLE) AS unit_cost FROM raw_materials
+WHERE id NOT IN (SELECT raw_material_id FROM product_ingredients WHERE product_id = {EDITED_PRODUCT})"""))
+def q_addable_materials(m, spark):
+    """The materials not yet in the recipe of one product being edited."""
+    return inv.addable_materials(EDITED_PRODUCT, m["raw_materials"], m["product_ingredients"]).select(
+        "id", "name", "category", "unit", "stock_qty", "unit_cost")

@@ -18,7 +18,7 @@ J_SQL = ("CAST(entry_date AS VARCHAR) AS entry_date, description, account_code,
 def journal(m, month=None, year=None):
     """The journal of the model; with a period only that period's sales are
     posted (accruals and opening lines are always complete)."""
-    return posting.build_journal(m["transactions"], m["transaction_items"], None, month, year)
+    return posting.build_journal(m, None, month, year)
 
 
 def month_pred(col: str, month=None, year=None) -> str:
@@ -63,7 +63,7 @@ def q_sale_totals(m, spark):
 @query("post_sales", oracle(f"SELECT {J_SQL} FROM sales_journal"))
 def q_post_sales(m, spark):
     """Journal lines of all sales."""
-    return posting.post_sales(m["transactions"], m["transaction_items"]).select(*J_COLS)
+    return posting.post_sales(m["sale_headers"], m["transaction_items"]).select(*J_COLS)
 
 
 @query("journal", oracle(f"SELECT {J_SQL} FROM journal"))
@@ -81,7 +81,7 @@ def q_accrue_fixed(m, spark):
 @query("opening_entries", oracle(f"SELECT {J_SQL} FROM opening"))
 def q_opening(m, spark):
     """Opening balance lines dated at the first month of sales."""
-    bounds = m["transactions"].agg(F.trunc(F.min("transaction_date"), "MM").alias("opening_date"))
+    bounds = m["sale_headers"].agg(F.trunc(F.min("transaction_date"), "MM").alias("opening_date"))
     return posting.opening_entries(bounds).select(*J_COLS)
 
 
@@ -187,11 +187,11 @@ FROM journal j LEFT JOIN chart_of_accounts c ON c.code = j.account_code
 WHERE j.reference_no IN (SELECT receipt_no FROM transactions WHERE transaction_date = DATE '{AS_OF}')"""))
 def q_journal_for_receipts(m, spark):
     """Journal lines (with account names) of every receipt of one day."""
-    from tillbook.sources.adapter import period_transactions
-    day = period_transactions(m, day=AS_OF)
+    from tillbook.sources.adapter import period_headers, sale_lines
+    day = period_headers(m, day=AS_OF)
     refs = day.select(F.col("receipt_no").alias("reference_no"))
     # only sale postings carry receipt numbers: posting that day's sales gives every line of those receipts
-    day_journal = posting.post_sales(day, m["transaction_items"].join(day.select("txn_id"), "txn_id", "left_semi"))
+    day_journal = posting.post_sales(day, sale_lines(m, day))
     return ledger.journal_for_receipts(day_journal, m["chart_of_accounts"], refs)
 
 
@@ -212,3 +212,15 @@ FROM cat"""))
 def q_sale_category_revenue(m, spark):
     """Revenue by category inside each sale."""
     return posting.category_lines(m["transaction_items"]).drop("first_seq")
+
+
+@query("journal_with_footer", oracle(f"""
+SELECT CAST(0 AS BIGINT) AS row_kind, CAST(entry_date AS VARCHAR) AS entry_date, description, account_code, reference_no,
+  CAST(line_no AS BIGINT) AS line_no, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit
+FROM journal WHERE {month_pred('entry_date', MONTH, YEAR)}
+UNION ALL
+SELECT 1, NULL, 'TOTAL', NULL, NULL, 0, CAST(SUM(debit) AS DOUBLE), CAST(SUM(credit) AS DOUBLE)
+FROM journal WHERE {month_pred('entry_date', MONTH, YEAR)}"""))
+def q_journal_with_footer(m, spark):
+    """One month's journal listing with its totals as the last row."""
+    return ledger.with_footer(journal(m, MONTH, YEAR), MONTH, YEAR)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tillbook.functions.formatting import receipt_code
 from tillbook.functions.periods import on_date
 from tillbook.operators import listings as ls
 from tillbook.plans.catalog import AS_OF, YEAR_ONLY, query
@@ -28,9 +29,10 @@ PAGE_LIMIT, PAGE_OFFSET = 500, 100
 
 
 @query("transactions_page", oracle(f"""
-SELECT {HDR_SQL}, COUNT(*) AS n_items, {digest_sql(PAGE_FIELDS)} AS items_digest
+SELECT {HDR_SQL}, COUNT(*) AS n_items, {digest_sql(PAGE_FIELDS)} AS items_digest,
+  {PAGE_OFFSET} + row_number() OVER (ORDER BY p.transaction_date DESC, p.transaction_time DESC, p.txn_id) AS row_no
 FROM page p LEFT JOIN transaction_items i ON i.txn_id = p.txn_id
-GROUP BY {HDR_GROUP}""", f"""
+GROUP BY {HDR_GROUP} ORDER BY row_no""", f"""
 page AS (SELECT * FROM transactions WHERE {month_pred('transaction_date', None, YEAR_ONLY)}
          ORDER BY transaction_date DESC, transaction_time DESC, txn_id LIMIT {PAGE_LIMIT} OFFSET {PAGE_OFFSET})"""))
 def q_transactions_page(m, spark):
@@ -38,47 +40,54 @@ def q_transactions_page(m, spark):
     with nested lines; a sale without lines has one all-null element."""
     page = ls.transactions_page(m, None, None, YEAR_ONLY, PAGE_LIMIT, PAGE_OFFSET)
     return page.select(*HDR_COLS, F.size("items").alias("n_items"),
-                       ls.items_digest(F.col("items"), PAGE_FIELDS).alias("items_digest"))
+                       ls.items_digest(F.col("items"), PAGE_FIELDS).alias("items_digest"), "row_no")
 
 
 RECEIPT_FIELDS = ["line_seq", "product_name", "quantity", "unit_price", "line_total"]
 
 
 @query("cash_receipt_day", oracle(f"""
-SELECT {HDR_SQL}, p.cashier_name, COUNT(*) AS n_items, {digest_sql(RECEIPT_FIELDS)} AS items_digest
+SELECT {HDR_SQL}, p.cashier_name, COUNT(*) AS n_items, {digest_sql(RECEIPT_FIELDS)} AS items_digest,
+  row_number() OVER (PARTITION BY substr(p.transaction_time, 1, 2) ORDER BY p.transaction_time, p.txn_id) AS row_in_hour
 FROM transactions p LEFT JOIN transaction_items i ON i.txn_id = p.txn_id
 WHERE p.transaction_date = DATE '{AS_OF}'
-GROUP BY {HDR_GROUP}, p.cashier_name"""))
+GROUP BY {HDR_GROUP}, p.cashier_name ORDER BY p.transaction_time, p.txn_id"""))
 def q_cash_receipt_day(m, spark):
     """One day's sales by time with nested lines."""
     d = ls.cash_receipt_day(m, AS_OF)
     return d.select(*HDR_COLS, "cashier_name", F.size("items").alias("n_items"),
-                    ls.items_digest(F.col("items"), RECEIPT_FIELDS).alias("items_digest"))
+                    ls.items_digest(F.col("items"), RECEIPT_FIELDS).alias("items_digest"), "row_in_hour")
 
 
 DETAIL_FIELDS = ["line_seq", "product_id", "category", "quantity", "unit_price", "unit_cost", "line_total", "margin",
                  "high_margin"]
 
 
+JOURNAL_FIELDS = ["line_no", "description", "account_code", "debit", "credit"]
+
+
 @query("transaction_detail", oracle(f"""
 SELECT {HDR_SQL}, COUNT(i.line_seq) AS n_items,
   COALESCE({digest_sql(DETAIL_FIELDS)} FILTER (WHERE i.line_seq IS NOT NULL), '') AS items_digest,
-  jt.journal_lines, CAST(jt.journal_debit AS DOUBLE) AS journal_debit, CAST(jt.journal_credit AS DOUBLE) AS journal_credit
+  jt.journal_lines, jt.journal_digest, CAST(jt.journal_debit AS DOUBLE) AS journal_debit, CAST(jt.journal_credit AS DOUBLE) AS journal_credit
 FROM transactions p
 LEFT JOIN (SELECT *, COALESCE(margin > 40, FALSE) AS high_margin FROM (
              SELECT *, CAST(ROUND((unit_price - unit_cost) * 100 / NULLIF(unit_price, 0), 1) AS DECIMAL(10,1)) AS margin
              FROM transaction_items)) i ON i.txn_id = p.txn_id
-LEFT JOIN (SELECT reference_no, COUNT(*) AS journal_lines, SUM(debit) AS journal_debit, SUM(credit) AS journal_credit
+LEFT JOIN (SELECT reference_no, COUNT(*) AS journal_lines, SUM(debit) AS journal_debit, SUM(credit) AS journal_credit,
+             string_agg(line_no || ':' || description || ':' || account_code || ':' || debit || ':' || credit, '|' ORDER BY line_no)
+               AS journal_digest
            FROM journal GROUP BY reference_no) jt ON jt.reference_no = p.receipt_no
 WHERE p.transaction_date = DATE '{AS_OF}'
-GROUP BY {HDR_GROUP}, jt.journal_lines, jt.journal_debit, jt.journal_credit"""))
+GROUP BY {HDR_GROUP}, jt.journal_lines, jt.journal_digest, jt.journal_debit, jt.journal_credit"""))
 def q_transaction_detail(m, spark):
     """Detail of every sale of one day (batch over an id set)."""
-    ids = on_date(m["transactions"], "transaction_date", AS_OF).select("txn_id")
+    ids = on_date(m["sale_headers"], "transaction_date", AS_OF)
     d = ls.transaction_detail(m, ids)
     return d.select(*HDR_COLS, F.size("items").alias("n_items"),
                     ls.items_digest(F.col("items"), DETAIL_FIELDS).alias("items_digest"),
-                    "journal_lines", "journal_debit", "journal_credit")
+                    "journal_lines", ls.items_digest(F.col("journal"), JOURNAL_FIELDS).alias("journal_digest"),
+                    "journal_debit", "journal_credit")
 
 
 @query("recent_transactions", oracle("""
@@ -92,7 +101,7 @@ def q_recent_transactions(m, spark):
 
 @query("movement_listing", oracle("""
 SELECT CAST(log_date AS VARCHAR) AS date, substr(log_time, 1, 5) AS time, movement_type AS type,
-  product_name AS product, CAST(ABS(quantity_change) AS BIGINT) AS qty, reason, txn_id, CAST(kind AS BIGINT) AS kind
+  product_name AS product, CAST(ABS(quantity_change) AS BIGINT) AS qty, reason, performed_by, txn_id, CAST(kind AS BIGINT) AS kind
 FROM stock_movements ORDER BY log_date DESC, log_time DESC, txn_id DESC, line_seq DESC, kind DESC LIMIT 100"""))
 def q_movement_listing(m, spark):
     """Latest 100 stock movements, presented."""
@@ -143,5 +152,5 @@ def q_row_counts(m, spark):
 SELECT txn_id, receipt_no, 'TXN-' || upper(substr(md5(receipt_no), 1, 8)) AS receipt_code FROM transactions"""))
 def q_receipt_codes(m, spark):
     """H8: short codes derived from each receipt number."""
-    return m["transactions"].select("txn_id", "receipt_no",
-                                    F.concat(F.lit("TXN-"), ls.receipt_code(F.col("receipt_no"))).alias("receipt_code"))
+    return m["sale_headers"].select("txn_id", "receipt_no",
+                                    F.concat(F.lit("TXN-"), receipt_code(F.col("receipt_no"))).alias("receipt_code"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from tillbook.operators import quality as q
-from tillbook.plans.catalog import query
+from pyspark.sql import functions as F
+
+from tillbook.plans.catalog import AS_OF, query
 from tillbook.plans.oracle_sql import oracle
 from tillbook.plans.q_ledger import journal
 
@@ -79,3 +81,42 @@ FROM transactions WHERE supplied_total <> total"""))
 def q_header_vs_lines(m, spark):
     """K5."""
     return q.header_vs_lines(m)
+
+
+CUT_CTES = """
+kept_products AS (SELECT * FROM products WHERE active),
+kept_transactions AS (SELECT * FROM transactions WHERE payment_method <> 'Voucher')"""
+
+
+@query("orphans_after_cut", oracle("""
+SELECT 'orphan:line_without_sale' AS rule, CAST(txn_id AS VARCHAR) AS key, COUNT(*) AS n FROM transaction_items
+WHERE txn_id NOT IN (SELECT txn_id FROM kept_transactions) GROUP BY txn_id
+UNION ALL
+SELECT 'orphan:line_without_product', CAST(product_id AS VARCHAR), COUNT(*) FROM transaction_items
+WHERE product_id NOT IN (SELECT product_id FROM kept_products) GROUP BY product_id
+UNION ALL
+SELECT 'orphan:recipe_without_product', CAST(product_id AS VARCHAR), COUNT(*) FROM product_ingredients
+WHERE product_id NOT IN (SELECT product_id FROM kept_products) GROUP BY product_id""", CUT_CTES))
+def q_orphans_after_cut(m, spark):
+    """K3 with faults in the data: the discontinued products and the sales of
+    an unknown payment method are missing from their tables."""
+    t = _with_journal(m)
+    t["products"] = m["products"].filter("active")
+    t["transactions"] = m["transactions"].filter(F.col("payment_method") != "Voucher")
+    return q.orphans(t)
+
+
+@query("duplicate_keys_after_replay", oracle(f"""
+SELECT 'unique:transactions.receipt_no' AS rule, receipt_no AS key, CAST(2 AS BIGINT) AS n FROM transactions
+WHERE transaction_date = DATE '{AS_OF}'
+UNION ALL
+SELECT 'unique:product_ingredients.product_id+raw_material_id', l_partkey || '|' || l_suppkey, COUNT(*)
+FROM lineitem GROUP BY l_partkey, l_suppkey HAVING COUNT(*) > 1"""))
+def q_duplicates_after_replay(m, spark):
+    """K2 with faults in the data: one day's sales were delivered twice, and
+    recipes were loaded from the lines without grouping the pairs."""
+    t = dict(m)
+    again = m["sale_headers"].filter(F.col("transaction_date") == F.lit(AS_OF))
+    t["transactions"] = m["sale_headers"].unionByName(again)
+    t["product_ingredients"] = m["lineitem"].select(F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("raw_material_id"))
+    return q.duplicate_keys(t)

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
+from tillbook.functions.formatting import rupiah
+from tillbook.functions.periods import local_date, local_time, weekday_label
 from tillbook.operators import reports
 from tillbook.plans.catalog import AS_OF, EMPTY_YEAR, MONTH, YEAR, YEAR_ONLY, query
 from tillbook.plans.oracle_sql import oracle
@@ -347,3 +351,31 @@ def q_income_statement_empty(m, spark):
 def q_balance_sheet_year(m, spark):
     """I10 for one year."""
     return reports.balance_sheet(m, None, YEAR_ONLY)
+
+
+@query("sales_by_label", oracle("""
+SELECT strftime(transaction_date, '%B %Y') AS month_label, strftime(transaction_date, '%a') AS day_label, COUNT(*) AS sales,
+  'Rp ' || replace(CAST(CAST(ROUND(SUM(total), 0) AS DECIMAL(38,0)) AS VARCHAR), ' ', '') AS total_plain
+FROM transactions GROUP BY 1, 2"""))
+def q_sales_by_label(m, spark):
+    """Sales per month and weekday under their display labels."""
+    d = F.col("transaction_date")
+    return (m["transactions"].groupBy(F.date_format(d, "MMMM yyyy").alias("month_label"), weekday_label("transaction_date").alias("day_label"))
+            .agg(F.count(F.lit(1)).alias("sales"),
+                 F.concat(F.lit("Rp "), F.round(F.sum("total"), 0).cast("decimal(38,0)").cast("string")).alias("total_plain")))
+
+
+@query("sale_amount_text", oracle("""
+SELECT txn_id, 'Rp ' || replace(printf('%,d', CAST(ROUND(total, 0) AS BIGINT)), ',', '.') AS shown FROM transactions"""))
+def q_sale_amount_text(m, spark):
+    """Every sale's total as currency text."""
+    return m["transactions"].select("txn_id", rupiah(F.col("total")).alias("shown"))
+
+
+@query("sale_local_clock", oracle("""
+SELECT txn_id, CAST(CAST(transaction_date + CAST(transaction_time AS TIME) + INTERVAL 7 HOUR AS DATE) AS VARCHAR) AS local_date,
+  strftime(transaction_date + CAST(transaction_time AS TIME) + INTERVAL 7 HOUR, '%H:%M:%S') AS local_time FROM transactions"""))
+def q_sale_local_clock(m, spark):
+    """The business clock (seven hours ahead) of every sale's instant read as UTC."""
+    at = F.to_timestamp(F.concat_ws(" ", F.col("transaction_date").cast("string"), "transaction_time"))
+    return m["sale_headers"].select("txn_id", local_date(at).alias("local_date"), local_time(at).alias("local_time"))

@@ -87,6 +87,8 @@ def items_from_lineitem(lineitem: DataFrame, products: DataFrame) -> DataFrame:
     """Sale lines.  The join to products is a plain equi-join: the product
     dimension grows with the data, so no broadcast is forced; Spark's size
     statistics or AQE (after measuring the product side at runtime) decide.
+    It is a left join: a line of an unknown product stays, with its product id
+    and null product columns, and the quality rules K3 and K4 report it.
 
     ``line_key`` holds the raw columns that order lines inside a sale;
     ``line_seq`` numbers them with a window partitioned by ``txn_id``, so a
@@ -96,12 +98,12 @@ def items_from_lineitem(lineitem: DataFrame, products: DataFrame) -> DataFrame:
     p = products.select("product_id", F.col("name").alias("product_name"), "category",
                         F.col("price").alias("unit_price"), F.col("cost").alias("unit_cost"))
     qty = F.col("l_quantity").cast("int")
-    base = (lineitem.join(p, lineitem.l_partkey == p.product_id, "inner")
+    base = (lineitem.join(p, lineitem.l_partkey == p.product_id, "left")
             .select(
                 F.col("l_orderkey").alias("txn_id"),
                 F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                          "l_shipdate").alias("line_key"),
-                "product_id", "product_name", "category",
+                F.col("l_partkey").alias("product_id"), "product_name", "category",
                 qty.alias("quantity"),
                 "unit_price", "unit_cost",
                 (F.col("unit_price") * qty).cast("decimal(14,2)").alias("line_total"),
@@ -155,10 +157,11 @@ def recipes_from_lineitem(lineitem: DataFrame) -> DataFrame:
 def stock_movements(items: DataFrame, transactions: DataFrame) -> DataFrame:
     """E1 input: a sale is -quantity at the sale's date/time; a returned line
     (flag R) is +quantity at its ship date, end of day.  ``kind`` (0 sale,
-    1 return) completes the total order (date, time, txn_id, line_seq, kind)."""
-    hdr = transactions.select("txn_id", "transaction_date", "transaction_time", "receipt_no")
+    1 return) completes the total order (date, time, txn_id, line_seq, kind).
+    The movement of a line without a sale header stays, without date and time."""
+    hdr = transactions.select("txn_id", "transaction_date", "transaction_time", "receipt_no", "cashier_name")
     lines = items.select("txn_id", "line_seq", "line_key", "product_id", "product_name", "quantity",
-                         "return_flag", "ship_date").join(hdr, "txn_id", "inner")
+                         "return_flag", "ship_date").join(hdr, "txn_id", "left")
     both = F.array(
         F.struct(F.col("transaction_date").alias("log_date"),
                  F.col("transaction_time").alias("log_time"),
@@ -172,10 +175,10 @@ def stock_movements(items: DataFrame, transactions: DataFrame) -> DataFrame:
     )
     # One pass: each line yields its sale and, when flagged, its return.
     kept = F.filter(both, lambda m: (m["kind"] == 0) | (F.col("return_flag") == "R"))
-    return (lines.select("txn_id", "line_seq", "line_key", "product_id", "product_name",
+    return (lines.select("txn_id", "line_seq", "line_key", "product_id", "product_name", "cashier_name",
                          F.explode(kept).alias("m"))
-            .select("product_id", "product_name", "m.log_date", "m.log_time", "txn_id",
-                    "line_seq", "line_key", "m.kind", "m.movement_type", "m.quantity_change", "m.reason"))
+            .select("product_id", "product_name", "m.log_date", "m.log_time", "txn_id", "line_seq", "line_key",
+                    "m.kind", "m.movement_type", "m.quantity_change", "m.reason", F.col("cashier_name").alias("performed_by")))
 
 
 def stock_movements_on(t: dict[str, DataFrame], day) -> DataFrame:
@@ -188,33 +191,38 @@ def stock_movements_on(t: dict[str, DataFrame], day) -> DataFrame:
         return on_date(t["stock_movements"], "log_date", day)
     hdr = on_date(t["sale_headers"], "transaction_date", day)
     line_cols = ["txn_id", "line_seq", "line_key", "product_id", "product_name", "quantity"]
-    sold = t["transaction_items"].select(*line_cols).join(hdr.select("txn_id"), "txn_id", "left_semi")
+    sold = sale_lines(t, hdr).select(*line_cols)
     returned = (on_date(t["transaction_items"], "ship_date", day).filter(F.col("return_flag") == "R")
                 .select(*line_cols, "ship_date"))
-    receipts = t["sale_headers"].select("txn_id", "transaction_date", "transaction_time", "receipt_no")
-    sales = (sold.join(hdr.select("txn_id", "transaction_date", "transaction_time", "receipt_no"), "txn_id")
+    receipts = t["sale_headers"].select("txn_id", "receipt_no", "cashier_name")
+    sales = (sold.join(hdr.select("txn_id", "transaction_date", "transaction_time", "receipt_no", "cashier_name"), "txn_id")
              .select("product_id", "product_name", F.col("transaction_date").alias("log_date"),
                      F.col("transaction_time").alias("log_time"), "txn_id", "line_seq", "line_key",
                      F.lit(0).alias("kind"), F.lit("Sale").alias("movement_type"),
                      (-F.col("quantity")).alias("quantity_change"),
-                     F.concat(F.lit("Sale: "), F.col("receipt_no")).alias("reason")))
-    returns = (returned.join(receipts, "txn_id")
+                     F.concat(F.lit("Sale: "), F.col("receipt_no")).alias("reason"),
+                     F.col("cashier_name").alias("performed_by")))
+    returns = (returned.join(receipts, "txn_id", "left")
                .select("product_id", "product_name", F.col("ship_date").alias("log_date"),
                        F.lit(RETURN_TIME).alias("log_time"), "txn_id", "line_seq", "line_key",
                        F.lit(1).alias("kind"), F.lit("Return").alias("movement_type"),
                        F.col("quantity").alias("quantity_change"),
-                       F.concat(F.lit("Return: "), F.col("receipt_no")).alias("reason")))
+                       F.concat(F.lit("Return: "), F.col("receipt_no")).alias("reason"),
+                       F.col("cashier_name").alias("performed_by")))
     return sales.unionByName(returns)
 
 
-def material_movements(lineitem: DataFrame, items: DataFrame) -> DataFrame:
-    """E2 input: each sold line consumes its quantity of the supplier's material."""
-    return items.select(
-        F.col("supp_id").alias("raw_material_id"),
-        F.col("ship_date").alias("log_date"),
-        "txn_id", "line_seq", "line_key",
-        (-F.col("quantity")).cast("decimal(12,2)").alias("qty_change"),
-    )
+def material_movements(lineitem: DataFrame) -> DataFrame:
+    """E2 input: each sold line consumes its quantity of the supplier's
+    material.  Built from the raw lines alone; a material needs no product."""
+    qty = F.col("l_quantity").cast("int")
+    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    w = Window.partitionBy("txn_id").orderBy("line_key")
+    base = lineitem.select(
+        F.col("l_suppkey").alias("raw_material_id"), F.col("l_shipdate").cast("date").alias("log_date"),
+        F.col("l_orderkey").alias("txn_id"), key.alias("line_key"), (-qty).cast("decimal(12,2)").alias("qty_change"))
+    return base.select("raw_material_id", "log_date", "txn_id", F.row_number().over(w).cast("int").alias("line_seq"),
+                       "line_key", "qty_change")
 
 
 def resolve_material_ids(recipe_rows: DataFrame, materials: DataFrame) -> DataFrame:
@@ -242,35 +250,47 @@ def with_sale_totals(headers: DataFrame, items: DataFrame) -> DataFrame:
                       for c in ("subtotal", "tax", "total")]))
 
 
+def sale_lines(t: dict[str, DataFrame], ids: DataFrame | None = None) -> DataFrame:
+    """The sale lines, all or those of the sales in ``ids``.  The raw lines
+    are semi-joined to the selected sales before any other join or aggregate,
+    so only selected lines reach a later shuffle, whatever the sizes."""
+    if ids is None:
+        return t["transaction_items"]
+    if "lineitem" in t:
+        wanted = ids.select(F.col("txn_id").alias("l_orderkey"))
+        return items_from_lineitem(t["lineitem"].join(wanted, "l_orderkey", "left_semi"), t["products"])
+    return t["transaction_items"].join(ids.select("txn_id"), "txn_id", "left_semi")
+
+
+def period_headers(t: dict[str, DataFrame], month=None, year=None, day=None) -> DataFrame:
+    """Header rows of a period (month/year) and/or one day; totals are there
+    only if they are stored.  The filters reach the header scan."""
+    from tillbook.functions.periods import in_period, on_date
+    df = in_period(t.get("sale_headers", t["transactions"]), "transaction_date", month, year)
+    return on_date(df, "transaction_date", day) if day is not None else df
+
+
 def headers_for(t: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
     """Header rows (with totals) of a selected set of sales.  When totals are
     derived from lines (``sale_headers`` present), only the selected sales'
     lines are aggregated; a stored ``transactions`` table is just filtered."""
     ids = ids.select("txn_id")
     if "sale_headers" in t:
-        hdr = t["sale_headers"].join(ids, "txn_id", "left_semi")
-        return with_sale_totals(hdr, t["transaction_items"].join(ids, "txn_id", "left_semi"))
+        return with_sale_totals(t["sale_headers"].join(ids, "txn_id", "left_semi"), sale_lines(t, ids))
     return t["transactions"].join(ids, "txn_id", "left_semi")
 
 
 def period_transactions(t: dict[str, DataFrame], month=None, year=None, day=None) -> DataFrame:
     """Headers with totals of the sales of a period (month/year) or of one
-    day.  With derived totals only those sales' lines are aggregated (the
-    semi join moves below the aggregate when the period side is small enough
-    to broadcast); a stored ``transactions`` table is just filtered, with
+    day.  With derived totals only those sales' lines are joined and
+    aggregated; a stored ``transactions`` table is just filtered, with
     month-partition pruning."""
-    from tillbook.functions.periods import in_period, on_date
-
-    def select(df):
-        df = in_period(df, "transaction_date", month, year)
-        return on_date(df, "transaction_date", day) if day is not None else df
-
+    hdr = period_headers(t, month, year, day)
     if "sale_headers" not in t:
-        return select(t["transactions"])
+        return hdr
     if not (month or year or day is not None):
         return t["transactions"]
-    hdr = select(t["sale_headers"])
-    return with_sale_totals(hdr, t["transaction_items"].join(hdr.select("txn_id"), "txn_id", "left_semi"))
+    return with_sale_totals(hdr, sale_lines(t, hdr))
 
 
 def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -285,6 +305,7 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     headers = headers_from_orders(orders)
     transactions = with_sale_totals(headers, items)
     tables = {
+        "lineitem": lineitem,
         "products": products,
         "transaction_items": items,
         "sale_headers": headers,
@@ -292,8 +313,8 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "raw_materials": materials_from_supplier(supplier),
         "product_ingredients": recipes_from_lineitem(lineitem),
     }
-    tables["stock_movements"] = stock_movements(items, transactions)
-    tables["material_movements"] = material_movements(lineitem, items)
+    tables["stock_movements"] = stock_movements(items, headers)
+    tables["material_movements"] = material_movements(lineitem)
     tables.update(seeds.seed_dims(spark))
     return tables
 
@@ -315,11 +336,11 @@ transaction_items AS (
   SELECT l.l_orderkey AS txn_id,
     CAST(row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey,
       l.l_quantity, l.l_extendedprice, l.l_shipdate) AS INTEGER) AS line_seq,
-    p.product_id, p.name AS product_name, p.category, CAST(l.l_quantity AS INTEGER) AS quantity,
+    l.l_partkey AS product_id, p.name AS product_name, p.category, CAST(l.l_quantity AS INTEGER) AS quantity,
     p.price AS unit_price, p.cost AS unit_cost,
     CAST(p.price * CAST(l.l_quantity AS INTEGER) AS DECIMAL(14,2)) AS line_total,
     l.l_returnflag AS return_flag, CAST(l.l_shipdate AS DATE) AS ship_date, l.l_suppkey AS supp_id
-  FROM lineitem l JOIN products p ON p.product_id = l.l_partkey),
+  FROM lineitem l LEFT JOIN products p ON p.product_id = l.l_partkey),
 sale_totals AS (
   SELECT txn_id, CAST(SUM(line_total) AS DECIMAL(14,2)) AS subtotal
   FROM transaction_items GROUP BY txn_id),
@@ -353,15 +374,17 @@ product_ingredients AS (
 stock_movements AS (
   SELECT i.product_id, i.product_name, t.transaction_date AS log_date, t.transaction_time AS log_time,
     i.txn_id, i.line_seq, 0 AS kind, 'Sale' AS movement_type, -i.quantity AS quantity_change,
-    'Sale: ' || t.receipt_no AS reason
-  FROM transaction_items i JOIN transactions t ON t.txn_id = i.txn_id
+    'Sale: ' || t.receipt_no AS reason, t.cashier_name AS performed_by
+  FROM transaction_items i LEFT JOIN transactions t ON t.txn_id = i.txn_id
   UNION ALL
   SELECT i.product_id, i.product_name, i.ship_date, '23:59:59', i.txn_id, i.line_seq, 1, 'Return',
-    i.quantity, 'Return: ' || t.receipt_no
-  FROM transaction_items i JOIN transactions t ON t.txn_id = i.txn_id WHERE i.return_flag = 'R'),
+    i.quantity, 'Return: ' || t.receipt_no, t.cashier_name
+  FROM transaction_items i LEFT JOIN transactions t ON t.txn_id = i.txn_id WHERE i.return_flag = 'R'),
 material_movements AS (
-  SELECT supp_id AS raw_material_id, ship_date AS log_date, txn_id, line_seq,
-    CAST(-quantity AS DECIMAL(12,2)) AS qty_change
-  FROM transaction_items),
+  SELECT l_suppkey AS raw_material_id, CAST(l_shipdate AS DATE) AS log_date, l_orderkey AS txn_id,
+    CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+      l_quantity, l_extendedprice, l_shipdate) AS INTEGER) AS line_seq,
+    CAST(-CAST(l_quantity AS INTEGER) AS DECIMAL(12,2)) AS qty_change
+  FROM lineitem),
 chart_of_accounts AS (SELECT * FROM """ + seeds.coa_values_sql() + """)
 """

@@ -57,12 +57,16 @@ FIXED_COSTS = [
     ("Utilities", Decimal("1800000"), "6030", "1010"),
     ("Depreciation", Decimal("600000"), "6040", "1520"),
 ]
+# Descriptions of the two lines of a fixed-cost accrual, before the month's name and year.
+ACCRUAL_TEXT = {"Salary": ("Salary Expense", "Salary Payable"), "Rent": ("Rent Expense", "Rent Paid"),
+                "Utilities": ("Utilities Expense", "Utilities Paid"),
+                "Depreciation": ("Depreciation Expense", "Accumulated Depreciation")}
 # Opening balance lines: (reference, description, account, debit, credit).
 OPENING_LINES = [
-    ("OPN-001", "Opening Balance - Cash", "1010", Decimal("150000000"), Decimal("0")),
-    ("OPN-002", "Opening Balance - Equipment", "1510", Decimal("18000000"), Decimal("0")),
-    ("OPN-001", "Opening Balance - Owner Capital", "3010", Decimal("0"), Decimal("150000000")),
-    ("OPN-002", "Opening Balance - Equipment Capital", "3010", Decimal("0"), Decimal("18000000")),
+    ("OPN-001", "Opening Balance — Cash", "1010", Decimal("150000000"), Decimal("0")),
+    ("OPN-002", "Opening Balance — Equipment", "1510", Decimal("18000000"), Decimal("0")),
+    ("OPN-001", "Opening Balance — Owner Capital", "3010", Decimal("0"), Decimal("150000000")),
+    ("OPN-002", "Opening Balance — Equipment Capital", "3010", Decimal("0"), Decimal("18000000")),
 ]
 # Balance-sheet constants of the statements screen.
 BANK_BASE = Decimal("45000000")
@@ -76,7 +80,6 @@ PRODUCT_CATEGORIES = ["Bread", "Pastry", "Cake", "Beverage"]
 MOVEMENT_TYPES = ["Sale", "Restock", "Adjustment", "Damage", "Return"]
 ACCOUNT_TYPES = ["Asset", "Liability", "Equity", "Revenue", "Expense"]
 NORMAL_SIDES = ["D", "K"]
-USER_ROLES = ["cashier", "supervisor", "accountant", "manager"]
 MATERIAL_CATEGORIES = ["Flour & Grain", "Dairy & Eggs", "Fat & Oil", "Sugar & Sweetener",
                        "Fruit & Filling", "Flavoring", "Packaging", "Beverage Base"]
 # Journal line descriptions of a posted sale (text around the receipt number / category).
@@ -85,6 +88,28 @@ REVENUE_LINE_TEXT = " Revenue "
 VAT_LINE_TEXT = "VAT "
 COGS_LINE_TEXT = "COGS "
 INVENTORY_LINE_TEXT = "Inventory reduction "
+# Income statement lines after the category lines: section, label, figure.
+INCOME_LINES = [
+    ("Revenue", "Total Revenue", "total_revenue"),
+    ("Cost of Goods Sold", "COGS - Raw Materials", "total_cogs"),
+    ("Cost of Goods Sold", "Gross Profit", "gross_profit"),
+    ("Operating Expenses", "Salary Expense", "salary"),
+    ("Operating Expenses", "Rent Expense", "rent"),
+    ("Operating Expenses", "Utilities Expense", "utilities"),
+    ("Operating Expenses", "Depreciation Expense", "depreciation"),
+    ("Operating Expenses", "QRIS/MDR Fee", "payment_fee"),
+    ("Operating Expenses", "Total Expenses", "total_opex"),
+    ("Net Income", "NET INCOME", "net_income"),
+    ("Ratios", "Gross Margin %", "gross_margin"),
+    ("Ratios", "Net Margin %", "net_margin"),
+]
+# Balance sheet line labels.
+BALANCE_LABELS = {
+    "current": ["Cash on Hand", "Bank BCA", "QRIS Receivable", "GoPay Balance", "Inventory"],
+    "fixed": ["Equipment (POS, Oven)", "Accumulated Depreciation"],
+    "liabilities": ["Accounts Payable", "VAT Payable"],
+    "equity": ["Owner's Capital", "Net Income"],
+}
 # Where-used label: first three names, then " +<n> lagi" for the rest.
 MORE_NAMES_SUFFIX = " lagi"
 # Currency display prefix.

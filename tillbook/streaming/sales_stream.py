@@ -22,13 +22,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.operators.posting import MONEY, explode_journal, journal_line_array
+from tillbook.operators.posting import explode_journal, journal_line_array, sale_amounts
 from tillbook.plans.session import scratch_dir
-from tillbook.sources import seeds
 
 ITEM_TYPE = T.StructType([
     T.StructField("line_seq", T.IntegerType()), T.StructField("product_id", T.LongType()),
@@ -42,7 +41,6 @@ SALE_SCHEMA = T.StructType([
     T.StructField("cashier_name", T.StringType()), T.StructField("payment_method", T.StringType()),
     T.StructField("items", T.ArrayType(ITEM_TYPE)),
 ])
-SUM_TYPE = "decimal(24,2)"
 
 
 def nested_sales(transactions: DataFrame, items: DataFrame) -> DataFrame:
@@ -59,23 +57,10 @@ def nested_sales(transactions: DataFrame, items: DataFrame) -> DataFrame:
                     F.coalesce(F.col("items"), F.array().cast(T.ArrayType(ITEM_TYPE))).alias("items"))
 
 
-def _sum(arr: Column, value) -> Column:
-    return F.aggregate(arr, F.lit(0).cast(SUM_TYPE), lambda acc, x: (acc + value(x)).cast(SUM_TYPE))
-
-
 def post_sale_rows(sales: DataFrame) -> DataFrame:
     """Per-row posting of nested sales (works on batch and streaming frames)."""
-    items = F.col("items")
-    subtotal = _sum(items, lambda x: x["line_total"]).cast(MONEY)
-    tax = F.round(subtotal * F.lit(seeds.VAT_RATE), 0).cast(MONEY)
-    total = (subtotal + tax).cast(MONEY)
-    cogs = _sum(items, lambda x: x["unit_cost"] * x["quantity"]).cast(MONEY)
-    cats = F.transform(
-        F.array_distinct(F.transform(items, lambda x: x["category"])),
-        lambda c: F.struct(c.alias("category"),
-                           _sum(F.filter(items, lambda x: x["category"] == c), lambda x: x["line_total"])
-                           .cast(MONEY).alias("revenue")))
-    lines = journal_line_array(F.col("receipt_no"), F.col("payment_method"), total, tax, cogs, cats)
+    a = sale_amounts(F.col("items"))
+    lines = journal_line_array(F.col("receipt_no"), F.col("payment_method"), a["total"], a["tax"], a["cogs"], a["cats"])
     return explode_journal(sales, "transaction_date", lines)
 
 
