@@ -21,12 +21,9 @@ def test_stored_model_matches_lazy_model(spark, model):
     for month, year in [(3, 1997), (None, 1998), (None, None)]:
         assert _rows(reports.report_summary(stored, month, year)) == _rows(reports.report_summary(model, month, year))
         assert _rows(reports.by_category(stored, month, year)) == _rows(reports.by_category(model, month, year))
-        assert (_rows(inventory.product_sales(stored["transaction_items"], stored["transactions"],
-                                              dt.date(1997, 3, 15), month, year))
-                == _rows(inventory.product_sales(model["transaction_items"], model["transactions"],
-                                                 dt.date(1997, 3, 15), month, year)))
-    j1 = posting.build_journal(stored["transactions"], stored["transaction_items"])
-    j2 = posting.build_journal(model["transactions"], model["transaction_items"])
+        day = dt.date(1997, 3, 15)
+        assert _rows(inventory.product_sales(stored, day, month, year)) == _rows(inventory.product_sales(model, day, month, year))
+    j1, j2 = posting.build_journal(stored), posting.build_journal(model)
     assert _rows(ledger.general_ledger(stored["chart_of_accounts"], j1, 3, 1997)) == \
         _rows(ledger.general_ledger(model["chart_of_accounts"], j2, 3, 1997))
     led1 = inventory.stock_ledger(stored["stock_movements"], stored["products"]).select("product_id", "stock_after")

@@ -1,3 +1,4 @@
+import pytest
 """Sinks (A6-A8), the J10 batch recorder, and the driver entry points."""
 
 import csv
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from helpers import items, products, txns
 from tillbook.operators import changes
 from tillbook.plans.session import scratch_dir
-from tillbook.sources import sinks
+from tillbook.sources import sinks, versions
 
 
 def _out(spark, name):
@@ -46,11 +47,28 @@ def test_record_sales_publishes_manifest(spark):
     tx = txns(spark, [(1, "2026-05-20", "10:00:00", "QRIS")])
     p = products(spark, [(10, "bun", "Bread", "18500", "7000", 1, 5, True)])
     out = _out(spark, "record")
-    paths = changes.record_sales(spark, tx, it, p, out, "v1")
-    assert changes.published(f"{out}/v1")
-    assert spark.read.parquet(paths["products"]).collect()[0].stock == 0          # floored
-    assert spark.read.parquet(paths["journal_entries"]).count() == 5
-    assert spark.read.parquet(paths["inventory_logs"]).collect()[0].quantity_change == -2
+    changes.record_sales(tx, it, p, out, "v1", "2026-05-20")
+    got = versions.read_published(spark, out)
+    product = got["products"].collect()[0]
+    assert product.stock == 0 and str(product.updated_at) == "2026-05-20"         # floored
+    assert got["journal_entries"].count() == 5
+    log = got["inventory_logs"].collect()[0]
+    assert (log.quantity_change, log.product_name, log.movement_type, log.performed_by) == (-2, "p10", "Sale", "c1")
+    assert not got["transactions"].collect()[0].verified
+
+
+def test_failed_batch_leaves_the_old_version(spark):
+    it = items(spark, [(1, 1, 10, "Bread", 2, "18500", "7000")])
+    tx = txns(spark, [(1, "2026-05-20", "10:00:00", "QRIS")])
+    p = products(spark, [(10, "bun", "Bread", "18500", "7000", 5, 5, True)])
+    out = _out(spark, "failed")
+    changes.record_sales(tx, it, p, out, "v1", "2026-05-20")
+    broken = p.withColumn("stock", F.raise_error(F.lit("disk lost")).cast("int"))
+    with pytest.raises(Exception, match="disk lost"):
+        changes.record_sales(tx, it, broken, out, "v2", "2026-05-21")
+    assert versions.read_published(spark, out)["products"].collect()[0].stock == 3
+    with pytest.raises(ValueError):
+        versions.read_published(spark, out, "v2")
 
 
 def test_entry_and_registry(spark):

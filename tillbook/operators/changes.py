@@ -10,19 +10,32 @@ they meet the base table.
 from __future__ import annotations
 
 import datetime as dt
-import json
-import os
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.operators.inventory import floored_ledger, latest_wins
+from tillbook.operators.inventory import floored_ledger, latest_wins, stock_ledger
+from tillbook.operators.posting import post_sales, sale_totals
+from tillbook.sources import versions
 
 
 def _date(d) -> Column:
     return F.lit(d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d))).cast("date")
 
 
+def one_per_key(changes: DataFrame, key: str, order: list[str] | None) -> DataFrame:
+    """One change row per key: the last by ``order``; without an order a key
+    that occurs twice is an error (nothing says which row counts)."""
+    if order:
+        return latest_wins(changes, key, order)
+    rest = [c for c in changes.columns if c != key]
+    grouped = changes.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_row"))
+    message = F.concat(F.lit(f"several change rows for {key} "), F.col(key).cast("string"), F.lit(" and no order"))
+    row = F.when(F.col("_n") == 1, F.col("_row")).otherwise(
+        F.raise_error(message).cast(grouped.schema["_row"].dataType.simpleString()))
+    return grouped.select(key, row.alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
 def insert_rows(base: DataFrame, new_rows: DataFrame, defaults: dict) -> DataFrame:
     """Append new rows; columns missing or null in a new row take the
     default (e.g. empty supplier, stock 0, reorder point 5, cost 0)."""
@@ -42,8 +55,8 @@ def update_rows(base: DataFrame, changes: DataFrame, key: str, as_of, order: lis
                 stamp_col: str = "updated_at") -> DataFrame:
     """Full-row update by key.  A matched row takes every column given in
     the change row and is stamped with ``as_of``; if a key has several change
-    rows the last by ``order`` wins."""
-    ch = latest_wins(changes, key, order) if order else changes
+    rows the last by ``order`` wins, and without an order that is an error."""
+    ch = one_per_key(changes, key, order)
     given = [c for c in ch.columns if c != key and c in base.columns and c not in (order or [])]
     ch = ch.select(key, *[F.col(c).alias(f"_new_{c}") for c in given]).withColumn("_hit", F.lit(True))
     j = base.join(ch, key, "left")
@@ -67,13 +80,29 @@ def soft_delete(base: DataFrame, ids: DataFrame, key: str) -> DataFrame:
                       for c in base.columns])
 
 
+def rejected_adjustments(products: DataFrame, adjustments: DataFrame) -> DataFrame:
+    """The adjustments whose product does not exist."""
+    return adjustments.join(products.select("product_id"), "product_id", "left_anti")
+
+
+SEQ_IN_BLOCK = 1 << 12     # adjustments of one product in one block
+
+
+def _sequence_blocks(adjustments: DataFrame, *order: str) -> DataFrame:
+    """Blocks of the scan over a day's adjustments: (time, range of ``seq``),
+    a prefix of their order, so one product's changes are split."""
+    return adjustments.withColumn("_blk", F.struct(*order, F.floor(F.col("seq") / SEQ_IN_BLOCK).alias("s")))
+
+
 def apply_stock_adjustments(products: DataFrame, adjustments: DataFrame, as_of,
                             default_type: str = "Adjustment") -> tuple[DataFrame, DataFrame]:
     """Apply signed stock changes in ``seq`` order with the floor at zero.
 
     ``adjustments``: product_id, qty_change, seq, and optionally movement_type,
     reason, performed_by, log_time.  Returns (new products, log rows); each log
-    row carries the unclamped change and the floored stock after it."""
+    row carries the unclamped change and the floored stock after it.  An
+    adjustment of an unknown product changes nothing; ``rejected_adjustments``
+    returns those."""
     adj = adjustments
     for c, v in [("movement_type", default_type), ("reason", ""), ("performed_by", "System"),
                  ("log_time", "00:00:00")]:
@@ -81,7 +110,7 @@ def apply_stock_adjustments(products: DataFrame, adjustments: DataFrame, as_of,
     adj = adj.withColumn("log_date", _date(as_of))
     names = products.select("product_id", F.col("name").alias("product_name"))
     adj = adj.join(names, "product_id", "inner")
-    log = floored_ledger(adj, "product_id", "log_date", ["log_time", "seq"], "qty_change",
+    log = floored_ledger(_sequence_blocks(adj, "log_time"), "product_id", "_blk", ["seq"], "qty_change",
                          products.select("product_id", F.col("stock").cast("bigint").alias("opening")), "opening")
     log = log.select("log_date", "log_time", "product_id", "product_name", "movement_type",
                      F.col("qty_change").alias("quantity_change"), F.col("stock_after").cast("int").alias("stock_after"),
@@ -96,8 +125,8 @@ def apply_material_adjustments(materials: DataFrame, adjustments: DataFrame, as_
     floored at zero; the material table keeps no log row, so only the new
     table is returned (stamped with ``as_of`` where changed)."""
     adj = adjustments.select(F.col("raw_material_id"), F.col("qty_change").cast("decimal(12,2)").alias("qty_change"),
-                             "seq").withColumn("log_date", _date(as_of))
-    led = floored_ledger(adj, "raw_material_id", "log_date", ["seq"], "qty_change",
+                             "seq")
+    led = floored_ledger(_sequence_blocks(adj), "raw_material_id", "_blk", ["seq"], "qty_change",
                          materials.select(F.col("id").alias("raw_material_id"), F.col("stock_qty").alias("opening")),
                          "opening", "qty_after")
     final = latest_wins(led.select("raw_material_id", "seq", "qty_after"), "raw_material_id", ["seq"])
@@ -118,7 +147,7 @@ def upsert_pairs(base: DataFrame, changes: DataFrame, keys: list[str], value_col
 
 def delete_pairs(base: DataFrame, keys_df: DataFrame, keys: list[str]) -> DataFrame:
     """Delete rows whose key appears in ``keys_df``."""
-    return base.join(keys_df.select(*keys).distinct(), keys, "left_anti")
+    return base.join(keys_df.select(*keys), keys, "left_anti")
 
 
 def mark_verified(transactions: DataFrame, day) -> DataFrame:
@@ -129,68 +158,51 @@ def mark_verified(transactions: DataFrame, day) -> DataFrame:
 
 def cascade_delete(parent_ids: DataFrame, key: str, children: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Remove the children of deleted parents (one anti join each)."""
-    ids = parent_ids.select(key).distinct()
+    ids = parent_ids.select(key)
     return {n: df.join(ids, key, "left_anti") for n, df in children.items()}
 
 
 def reset_stock_by_sku(products: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Overwrite stock from a (sku, stock) baseline; other rows unchanged."""
-    b = baseline.select("sku", F.col("stock").alias("_base_stock"))
+    """Overwrite stock from a (sku, stock) baseline; other rows unchanged.
+    A SKU listed twice is an error."""
+    b = one_per_key(baseline.select("sku", F.col("stock").alias("_base_stock")), "sku", None)
     j = products.join(b, "sku", "left")
     return j.select(*[F.coalesce(F.col("_base_stock"), F.col("stock")).cast("int").alias("stock") if c == "stock"
                       else F.col(c) for c in products.columns])
 
 
-def record_sales(spark, headers: DataFrame, lines: DataFrame, products: DataFrame, out_dir: str,
-                 version: str) -> dict[str, str]:
+def record_sales(headers: DataFrame, lines: DataFrame, products: DataFrame, out_dir: str, version: str, as_of) -> str:
     """Record a batch of sales: totals (I1), journal (I2), stock log and
     new stock (E1 with the sales as negative changes).
 
-    The four outputs are written under ``out_dir/<version>/`` and the version
-    is published by writing its manifest last; readers that follow the
-    manifest never see half a batch, and a failed batch leaves the previous
-    version in place.  ``out_dir`` must be a shared folder on a cluster
-    (e.g. under ``spark.checkpoint.dir``)."""
-    from tillbook.operators.posting import post_sales, sale_totals
-
+    Recorded sales are not verified yet; the log names the product, the
+    movement type and the cashier; products whose stock changed are stamped
+    with ``as_of``.  The tables are written to a new folder of ``version`` and
+    published together (``versions.publish``): readers never see half a batch,
+    and a failed batch leaves the previous version in place.  ``out_dir`` must
+    be a shared folder on a cluster (e.g. under ``spark.checkpoint.dir``).
+    Returns the folder of the written version."""
     totals = sale_totals(lines)
-    tx = (headers.join(totals.select("txn_id", "subtotal", "tax", "total"), "txn_id", "left")
-          .select(headers["*"], *[F.coalesce(F.col(c), F.lit(0).cast("decimal(14,2)")).alias(c)
-                                  for c in ("subtotal", "tax", "total")]))
-    journal = post_sales(tx, lines)
-    moves = (lines.join(headers.select("txn_id", "transaction_date", "transaction_time", "receipt_no"), "txn_id")
-             .select("product_id", F.col("transaction_date").alias("log_date"),
-                     F.col("transaction_time").alias("log_time"), "txn_id", "line_seq",
+    zero = F.lit(0).cast("decimal(14,2)")
+    tx = (headers.drop("verified").join(totals.select("txn_id", "subtotal", "tax", "total"), "txn_id", "left")
+          .select(*[c for c in headers.columns if c != "verified"], F.lit(False).alias("verified"),
+                  *[F.coalesce(F.col(c), zero).alias(c) for c in ("subtotal", "tax", "total")]))
+    who = headers.select("txn_id", "transaction_date", "transaction_time", "receipt_no", "cashier_name")
+    names = products.select("product_id", F.col("name").alias("_name"))
+    moves = (lines.join(who, "txn_id").join(names, "product_id", "left")
+             .select("product_id", F.coalesce("product_name", "_name").alias("product_name"),
+                     F.col("transaction_date").alias("log_date"), F.col("transaction_time").alias("log_time"), "txn_id",
+                     "line_seq", F.lit(0).alias("kind"), F.lit("Sale").alias("movement_type"),
                      (-F.col("quantity")).alias("quantity_change"),
-                     F.concat(F.lit("Sale: "), F.col("receipt_no")).alias("reason")))
-    log = floored_ledger(moves, "product_id", "log_date", ["log_time", "txn_id", "line_seq"], "quantity_change",
-                         products.select("product_id", F.col("stock").cast("bigint").alias("opening")), "opening")
-    base = f"{out_dir.rstrip('/')}/{version}"
-    paths = {}
-
-    def write(name: str, df: DataFrame) -> DataFrame:
-        p = f"{base}/{name}"
-        df.write.mode("overwrite").parquet(p)
-        paths[name] = p
-        return spark.read.parquet(p)
-
-    write("transactions", tx)
-    write("transaction_items", lines)
-    write("journal_entries", journal)
-    # the stock log is written once and the new stock is read from it: the
-    # ledger is not recomputed and the lineage of the products output is cut
-    log_t = write("inventory_logs", log)
-    last = latest_wins(log_t.select("product_id", "log_date", "log_time", "txn_id", "line_seq", "stock_after"),
-                       "product_id", ["log_date", "log_time", "txn_id", "line_seq"])
-    stock = (products.join(last.select("product_id", F.col("stock_after").alias("_s")), "product_id", "left")
-             .select(*[F.coalesce(F.col("_s").cast("int"), F.col("stock")).alias("stock") if c == "stock"
-                       else F.col(c) for c in products.columns]))
-    write("products", stock)
-    manifest = spark.createDataFrame([(version, json.dumps(paths))], "version string, paths string")
-    manifest.coalesce(1).write.mode("overwrite").json(f"{base}/_manifest")
-    return paths
-
-
-def published(path: str) -> bool:
-    """True when a J10 version has its manifest (local or mounted folders)."""
-    return os.path.isdir(f"{path.rstrip('/')}/_manifest")
+                     F.concat(F.lit("Sale: "), F.col("receipt_no")).alias("reason"), F.col("cashier_name").alias("performed_by")))
+    order = ["log_date", "log_time", "txn_id", "line_seq"]
+
+    def new_stock(written: dict[str, DataFrame]) -> DataFrame:
+        # the stock log is written once and the new stock is read from it
+        last = latest_wins(written["inventory_logs"].select("product_id", *order, "stock_after"), "product_id", order)
+        return update_rows(products, last.select("product_id", F.col("stock_after").cast("int").alias("stock")),
+                           "product_id", as_of)
+
+    return versions.publish(out_dir, version, {
+        "transactions": tx, "transaction_items": lines, "journal_entries": post_sales(tx, lines),
+        "inventory_logs": stock_ledger(moves, products), "products": new_stock})

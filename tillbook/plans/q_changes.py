@@ -230,3 +230,75 @@ def q_materials_update(m, spark):
         "id", F.lit(1000).cast("decimal(12,2)").alias("reorder_point"))
     return ch.update_rows(rm, thin, "id", AS_OF).select("id", "name", "category", "stock_qty", "reorder_point",
                                                        "unit_cost", "updated_at")
+
+
+@query("cascade_delete_recipes", oracle("""
+SELECT product_id, raw_material_id, CAST(qty_per_unit AS DOUBLE) AS qty_per_unit FROM product_ingredients
+WHERE product_id NOT IN (SELECT product_id FROM products WHERE NOT active)
+  AND raw_material_id NOT IN (SELECT id FROM raw_materials WHERE category = 'Packaging')"""))
+def q_cascade_delete_recipes(m, spark):
+    """Deleting discontinued products and packaging materials removes
+    their recipe rows."""
+    gone = m["products"].filter(~F.col("active")).select("product_id")
+    rest = ch.cascade_delete(gone, "product_id", {"recipes": m["product_ingredients"]})
+    pack = m["raw_materials"].filter(F.col("category") == "Packaging").select(F.col("id").alias("raw_material_id"))
+    return ch.cascade_delete(pack, "raw_material_id", rest)["recipes"]
+
+
+RECORDED_SQL = f"""
+day_items AS (SELECT * FROM transaction_items WHERE txn_id IN (SELECT txn_id FROM transactions WHERE transaction_date = DATE '{AS_OF}')),
+day_moves AS (
+  SELECT i.product_id, i.product_name, t.transaction_date AS log_date, t.transaction_time AS log_time, i.txn_id, i.line_seq,
+    -i.quantity AS quantity_change, 'Sale: ' || t.receipt_no AS reason, t.cashier_name AS performed_by
+  FROM day_items i JOIN transactions t ON t.txn_id = i.txn_id),
+day_run AS (
+  SELECT m.*, p.stock + SUM(quantity_change) OVER w AS s FROM day_moves m JOIN products p ON p.product_id = m.product_id
+  WINDOW w AS (PARTITION BY m.product_id ORDER BY log_time, txn_id, line_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+day_log AS (
+  SELECT *, s - LEAST(0, MIN(s) OVER (PARTITION BY product_id ORDER BY log_time, txn_id, line_seq
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS stock_after FROM day_run)"""
+
+
+def _recorded(m, spark):
+    """The as-of day's sales recorded as a batch and read back."""
+    import uuid
+    from tillbook.plans.session import scratch_dir
+    from tillbook.sources import versions
+    from tillbook.sources.adapter import period_headers, sale_lines
+    hdr = period_headers(m, day=AS_OF)
+    out = scratch_dir(spark, f"recorded-{uuid.uuid4().hex}")
+    ch.record_sales(hdr, sale_lines(m, hdr).drop("line_key"), m["products"], out, "day", AS_OF)
+    return versions.read_published(spark, out)
+
+
+@query("record_sales_log", oracle("""
+SELECT product_id, product_name, CAST(log_date AS VARCHAR) AS log_date, log_time, txn_id, CAST(line_seq AS BIGINT) AS line_seq,
+  'Sale' AS movement_type, CAST(quantity_change AS BIGINT) AS quantity_change, reason, performed_by,
+  CAST(stock_after AS BIGINT) AS stock_after FROM day_log""", RECORDED_SQL))
+def q_record_sales_log(m, spark):
+    """The stock log of a recorded batch, read through its manifest."""
+    return _recorded(m, spark)["inventory_logs"].select(
+        "product_id", "product_name", "log_date", "log_time", "txn_id", "line_seq", "movement_type", "quantity_change",
+        "reason", "performed_by", "stock_after")
+
+
+@query("record_sales_tables", oracle(f"""
+SELECT 'transactions' AS table_name, COUNT(*) AS n, CAST(SUM(total) AS DOUBLE) AS amount, COUNT(*) FILTER (WHERE NOT verified) AS marked
+FROM (SELECT total, FALSE AS verified FROM transactions WHERE transaction_date = DATE '{AS_OF}')
+UNION ALL SELECT 'transaction_items', COUNT(*), CAST(SUM(line_total) AS DOUBLE), 0 FROM day_items
+UNION ALL SELECT 'journal_entries', COUNT(*), CAST(SUM(debit) AS DOUBLE), 0 FROM sales_journal WHERE entry_date = DATE '{AS_OF}'
+UNION ALL SELECT 'products', COUNT(*), CAST(SUM(COALESCE(l.stock_after, p.stock)) AS DOUBLE), COUNT(l.product_id) FROM products p LEFT JOIN (
+  SELECT product_id, stock_after FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY log_time DESC, txn_id DESC,
+    line_seq DESC) AS rn FROM day_log) WHERE rn = 1) l ON l.product_id = p.product_id""", RECORDED_SQL))
+def q_record_sales_tables(m, spark):
+    """Rows, amounts and marks (unverified sales, restamped products) of
+    every table of a recorded batch, read through its manifest."""
+    t = _recorded(m, spark)
+    none = F.lit(0).cast("bigint")
+
+    def row(name, amount, marked=none):
+        return t[name].agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"),
+                           F.sum(amount).cast("double").alias("amount"), marked.alias("marked"))
+    return (row("transactions", "total", F.count(F.when(~F.col("verified"), 1)))
+            .unionByName(row("transaction_items", "line_total")).unionByName(row("journal_entries", "debit"))
+            .unionByName(row("products", "stock", F.count("updated_at"))))

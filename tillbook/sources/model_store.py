@@ -14,18 +14,19 @@ layout makes period filters cheap:
 - rows are range-partitioned on (month, sale id) before writing, so write
   tasks are balanced even when one month holds a third of all sales, and
   files are ordered by sale id (tight min/max statistics for id lookups);
-- the folder is published by a manifest written last; a failed write never
-  replaces the previous model.
+- every write goes to a folder of its own, published by a manifest written
+  last (``versions``); a failed write leaves the previous model in place.
+
+A line without a sale header is stored too, without a date (in the month
+partition of nulls); the period reports leave it out and K3 reports it.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.sources import seeds
+from tillbook.sources import seeds, versions
 
 PARTITIONED = {
     "transactions": ("transaction_date", "sale_month", "txn_id"),
@@ -42,34 +43,28 @@ def _month(col: str):
 
 
 def materialize_model(spark: SparkSession, model: dict[str, DataFrame], out_dir: str,
-                      partitions: int | None = None) -> dict[str, str]:
-    """Write the model tables under ``out_dir`` and publish them."""
+                      partitions: int | None = None) -> str:
+    """Write the model tables to a new folder under ``out_dir`` and publish
+    them.  Returns that folder."""
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = out_dir.rstrip("/")
-    items = model["transaction_items"].join(
-        model["sale_headers"].select("txn_id", "transaction_date"), "txn_id", "inner")
-    tables = dict(model)
-    tables["transaction_items"] = items
-    paths = {}
-    for name, (date_col, part_col, order_col) in PARTITIONED.items():
-        df = tables[name].withColumn(part_col, _month(date_col))
-        (df.repartitionByRange(n, part_col, order_col).sortWithinPartitions(part_col, order_col)
-         .write.mode("overwrite").partitionBy(part_col).parquet(f"{base}/{name}"))
-        paths[name] = f"{base}/{name}"
-    for name in PLAIN:
-        tables[name].write.mode("overwrite").parquet(f"{base}/{name}")
-        paths[name] = f"{base}/{name}"
-    manifest = spark.createDataFrame([(json.dumps(paths),)], "paths string")
-    manifest.coalesce(1).write.mode("overwrite").json(f"{base}/_manifest")
-    return paths
+    dates = model["sale_headers"].select("txn_id", "transaction_date")
+    tables = {name: model[name] for name in [*PARTITIONED, *PLAIN]}
+    tables["transaction_items"] = model["transaction_items"].join(dates, "txn_id", "left")
+
+    def write(name: str, df: DataFrame, path: str) -> None:
+        if name not in PARTITIONED:
+            df.write.parquet(path)
+            return
+        date_col, part_col, order_col = PARTITIONED[name]
+        (df.withColumn(part_col, _month(date_col)).repartitionByRange(n, part_col, order_col)
+         .sortWithinPartitions(part_col, order_col).write.partitionBy(part_col).parquet(path))
+
+    return versions.publish(out_dir, "model", tables, write)
 
 
 def load_model(spark: SparkSession, model_dir: str) -> dict[str, DataFrame]:
-    """The stored model as the same dictionary ``adapter.load`` returns."""
-    base = model_dir.rstrip("/")
-    # the manifest is one row of folder paths (metadata, not table data)
-    paths = json.loads(spark.read.json(f"{base}/_manifest").first()["paths"])
-    tables = {name: spark.read.parquet(p) for name, p in paths.items()}
+    """The published model as the same dictionary ``adapter.load`` returns."""
+    tables = versions.read_published(spark, model_dir, "model")
     tables["material_movements"] = tables["transaction_items"].select(
         F.col("supp_id").alias("raw_material_id"), F.col("ship_date").alias("log_date"), "txn_id", "line_seq",
         "line_key", (-F.col("quantity")).cast("decimal(12,2)").alias("qty_change"))
