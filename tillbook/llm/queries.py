@@ -59,12 +59,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and checksum of each document's ids, and whether decoding them gives the text again."""
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"),
-                                                         F.col("text").cast("string").alias("text"))
-    path = public("piece_bpe_32k.model")
-    decoded = sp_viterbi.decode(sp_viterbi.encode(docs, path), path)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sp_viterbi.checksum("ids").alias("ids_crc32"),
-                          (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+    return sp_viterbi.digest(read_table(spark, sf_dir, "documents"), public("piece_bpe_32k.model"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,9 @@ one backpointer per position and a window of positions: any later piece starts w
 of the newest position, so as soon as the backpointer paths from all those positions meet in one boundary, the
 pieces before it are committed and the window shrinks.  Memory is bounded by the window, whatever the text length.
 
-Units between white space are encoded once per worker and remembered (bounded): in this vocabulary the space mark
-only begins pieces and a line end joins no other character, which is checked when the model is loaded; otherwise
-whole texts are streamed.
+Where two neighbouring characters stand side by side in no piece of the vocabulary, all paths meet whatever else
+the text holds.  Texts are cut at such places (for this vocabulary: line ends, spaces after other characters, most
+punctuation), and a worker remembers the ids of the latest distinct stretches (bounded).
 
 Characters outside the vocabulary become byte pieces.  Decoding joins pieces, bytes and spaces, and drops the one
 leading space that encoding adds; a text holding the space mark U+2581 itself decodes to a space, as in the library.
@@ -36,7 +36,10 @@ from tillbook.llm.common import column
 from tillbook.llm.tokenizer_files import Memo
 
 SPACE = "▁"
-REMEMBERED = 64            # longest unit that is remembered
+PAIR_BITS = 22             # of a piece's number in a pair of neighbours
+UNKNOWN = 1 << 21          # numbers of characters outside the vocabulary begin here
+STEP = 3                   # characters between remembered states of a word's beginning
+REMEMBERED = 64            # longest stretch that is remembered
 
 
 class Pieces:
@@ -49,15 +52,20 @@ class Pieces:
         self.ids = {model.id_to_piece(i): i for i in normal}
         self.rank = {p: (-model.get_score(i), i) for p, i in self.ids.items()}
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in ids if model.is_byte(i)}
-        self.compatible = Memo(self._compatible, 500_000)
-        self.reachable = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
-        self.longest = max(map(len, self.reachable))
+        self.names = [p for p in self.ids if len(p) == 1 or self.merge(p) == [p]]
+        self.longest = max(map(len, self.names))
+        # every ending of a piece, with the piece's number if it is one itself, else -1
+        self.endings = dict.fromkeys((p[i:] for p in self.names for i in range(len(p))), -1)
+        self.endings.update((p, i) for i, p in enumerate(self.names))
+        self.compatible = Memo(self._compatible, 300_000)
+        self.pairs = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.raw = [b""] * model.vocab_size()
         for p, i in self.ids.items():
             self.raw[i] = p.replace(SPACE, " ").encode()
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
-        self.units = not any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1) for p in self.ids)
+        # a space mark or a line end never follows another character inside a piece: whole words can be cut out fast
+        self.words = not any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1) for p in self.ids)
 
     def merge(self, text: str) -> list[str]:
         """Join the best-scored neighbours, leftmost first, until none joins."""
@@ -69,41 +77,61 @@ class Pieces:
             parts[best[1]:best[1] + 2] = ["".join(parts[best[1]:best[1] + 2])]
         return parts
 
-    def _compatible(self, pair: tuple[str, str]) -> bool:
-        return self.merge(pair[0] + pair[1]) == list(pair)
+    def name(self, number: int) -> str:
+        return self.names[number] if number < UNKNOWN else chr(number - UNKNOWN)
 
-    def ids_of(self, piece: str) -> list[int]:
+    def _compatible(self, pair: int) -> bool:
+        two = [self.name(pair >> PAIR_BITS), self.name(pair & (1 << PAIR_BITS) - 1)]
+        return self.merge("".join(two)) == two
+
+    def ids_of(self, number: int) -> list[int]:
+        piece = self.name(number)
         return [self.ids[piece]] if piece in self.ids else [self.bytes[b] for b in piece.encode()]
 
 
 class StreamingEncoder:
-    """Feed text in any portions; pieces are returned as soon as they are certain."""
+    """Feed text in any portions; the numbers of pieces are returned as soon as they are certain."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.window, self.back, self.tail = pieces, "", [0], None
-
-    def _piece_before(self, at: int) -> str | None:
-        return self.window[at - self.back[at]:at] if at else self.tail
-
-    def feed(self, text: str) -> list[str]:
-        p, out = self.pieces, []
-        for c in text:
-            self.window += c
-            end = len(self.window)
-            for size in range(min(end, p.longest), 0, -1):
-                piece = self.window[end - size:end]
-                if size == 1 or piece in p.reachable:
-                    before = self._piece_before(end - size)
-                    if before is None or p.compatible[before, piece]:
-                        self.back.append(size)
-                        break
-            else:
-                raise ValueError("no segmentation")
-            if end >= 4 * p.longest:
-                out += self._commit()
+        self.pieces, self.window = pieces, ""
+        # for each boundary of the window: length and number of the piece before it (of the last committed one at 0)
+        self.back, self.last = [0], [-1]
+
+    def state(self) -> tuple[str, list[int], list[int]]:
+        return self.window, self.back, self.last
+
+    def resume(self, state: tuple[str, list[int], list[int]]) -> "StreamingEncoder":
+        self.window, self.back, self.last = state[0], state[1].copy(), state[2].copy()
+        return self
+
+    def feed(self, text: str) -> list[int]:
+        out = []
+        for a in range(0, len(text), self.pieces.longest):
+            out += self._advance(text[a:a + self.pieces.longest])
         return out
 
-    def _commit(self) -> list[str]:
+    def _advance(self, text: str) -> list[int]:
+        p, back, last, first = self.pieces, self.back, self.last, len(self.window) + 1
+        self.window = window = self.window + text
+        ending, compatible = p.endings.get, p.compatible
+        for end in range(first, len(window) + 1):
+            size, number = 1, ending(window[end - 1], -1)
+            if number < 0:
+                number = UNKNOWN + ord(window[end - 1])
+            while True:
+                if number >= 0:
+                    before = last[end - size]
+                    if before < 0 or compatible[before << PAIR_BITS | number]:
+                        back.append(size)
+                        last.append(number)
+                        break
+                size += 1
+                number = ending(window[end - size:end]) if size <= end else None
+                if number is None:
+                    raise ValueError("no segmentation")
+        return self._commit() if len(window) >= 3 * p.longest else []
+
+    def _commit(self) -> list[int]:
         """Pieces before the boundary on which the paths of all positions that a later piece may start from meet."""
         end = len(self.window)
         alive = set(range(end - self.pieces.longest + 1, end + 1))
@@ -113,47 +141,72 @@ class StreamingEncoder:
             alive.add(latest - self.back[latest])
         return self._take(alive.pop())
 
-    def _take(self, upto: int) -> list[str]:
+    def _take(self, upto: int) -> list[int]:
         out, at = [], upto
         while at:
-            out.append(self.window[at - self.back[at]:at])
+            out.append(self.last[at])
             at -= self.back[at]
         if upto:
-            self.tail = out[0]
-            self.window, self.back = self.window[upto:], [0, *self.back[upto + 1:]]
+            self.window, self.back, self.last = self.window[upto:], [0, *self.back[upto + 1:]], self.last[upto:]
         return out[::-1]
 
-    def finish(self) -> list[str]:
+    def finish(self) -> list[int]:
         return self._take(len(self.window))
 
 
 class PieceCodec:
     def __init__(self, path: str):
         self.pieces = Pieces(path)
-        self.memo = Memo(self._stream, 400_000)
+        self.units, self.stretches = Memo(self._unit, 100_000, REMEMBERED), Memo(self._stream, 200_000, REMEMBERED)
+        self.words = Memo(lambda word: self._unit(SPACE + word), 400_000, REMEMBERED)
+        self.states = Memo(lambda text: self._begun(text).state(), 100_000)
+        self.raw_ids = Memo(lambda number: np.array(self.pieces.ids_of(number), "<i4").tobytes(), 100_000)
+
+    def _begun(self, text: str) -> StreamingEncoder:
+        """An encoder that was fed a short text: it goes on from the remembered state of the text's beginning."""
+        encoder, at = StreamingEncoder(self.pieces), (len(text) - 1) // STEP * STEP
+        if at:
+            encoder.resume(self.states[text[:at]])
+        encoder.feed(text[at:])
+        return encoder
 
     def _stream(self, text: str) -> bytes:
-        encoder = StreamingEncoder(self.pieces)
-        ids = [i for p in encoder.feed(text) + encoder.finish() for i in self.pieces.ids_of(p)]
-        return np.array(ids, "<i4").tobytes()
+        if len(text) <= self.pieces.longest:
+            numbers = self._begun(text).finish()
+        else:
+            encoder = StreamingEncoder(self.pieces)
+            numbers = encoder.feed(text) + encoder.finish()
+        return b"".join(map(self.raw_ids.__getitem__, numbers))
+
+    def _unit(self, text: str) -> bytes:
+        if text[1:].isalpha():
+            return self.stretches[text]
+        pairs = self.pieces.pairs
+        if text[1:-1].isalpha() and text[-2:] not in pairs:
+            return self.stretches[text[:-1]] + self.stretches[text[-1]]
+        cuts = [0, *[i for i in range(1, len(text)) if text[i - 1:i + 1] not in pairs], len(text)]
+        return b"".join([self.stretches[text[a:b]] for a, b in zip(cuts, cuts[1:])])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
         if not text:
             return b""
-        text = SPACE + text.replace(" ", SPACE)
-        if not self.pieces.units:
-            return self._stream(text)
-        parts = []
+        if not self.pieces.words:
+            return self._unit(SPACE + text.replace(" ", SPACE))
+        parts, known, after_space = [], self.units.__getitem__, self.words.__getitem__
         for i, line in enumerate(text.split("\n")):
             if i:
-                parts.append(self.memo["\n"])
-            if SPACE * 2 in line:
-                units = re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", line)
+                parts.append(known("\n"))
             else:
-                first, *rest = line.split(SPACE)
-                units = [first] * bool(first) + [SPACE + w for w in rest]
-            parts += [self.memo[u] if len(u) <= REMEMBERED else self._stream(u) for u in units]
+                line = " " + line          # the library begins a text with a space
+            if "  " in line or SPACE in line:
+                line = line.replace(" ", SPACE)
+                parts.extend(map(known, re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", line)))
+            else:
+                first, *rest = line.split(" ")
+                if first:
+                    parts.append(known(first))
+                parts.extend(map(after_space, rest))
         return b"".join(parts)
 
     def decode(self, ids) -> str:
@@ -188,18 +241,35 @@ def encode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return _mapped(docs, "text", ids, T.ArrayType(T.IntegerType()), make)
 
 
+def _each(lists: pa.Array) -> Iterator[np.ndarray]:
+    """The ids of each row (none for null)."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return (flat[a:b] for a, b in zip(cuts, cuts[1:]))
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids; null ids decode to the empty text."""
     return _mapped(encoded, ids, text, T.StringType(), lambda lists: pa.array(
-        [codec(path).decode(x) if x else "" for x in lists.to_pylist()], pa.string()))
-
-
-def checksum(ids: str):
-    """Unsigned crc32 of an array column of ids as little-endian 32-bit numbers."""
-    @F.arrow_udf("long")
-    def crc(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for arr in lists:
-            flat = arr.flatten().to_numpy(zero_copy_only=False).astype("<i4")
-            cuts = np.concatenate([[0], np.cumsum(arr.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            yield pa.array([zlib.crc32(flat[a:b]) for a, b in zip(cuts, cuts[1:])], pa.int64())
-    return crc(F.col(ids))
+        [codec(path).decode(x.tolist()) if len(x) else "" for x in _each(lists)], pa.string()))
+
+
+def digest(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_crc32, round_trip) of every row: number and unsigned crc32 (as little-endian 32-bit
+    numbers) of the ids that encoding gives, and whether decoding them gives the text again.  Text by text in one
+    pass, so no ids travel between processes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = codec(path)
+        for batch in batches:
+            rows = []
+            for text in column(batch, "text"):
+                text = text.as_py() or ""
+                raw = both.encode(text)
+                back = both.decode(np.frombuffer(raw, "<i4").tolist()) if raw else ""
+                rows.append((len(raw) // 4, zlib.crc32(raw), back == text))
+            n, crc, same = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()),
+                                              pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, T.StructType.fromDDL("doc_id long, n_tokens long, ids_crc32 long, round_trip boolean"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.llm.common import column, schema_of
-from tillbook.llm.tokenizer_files import Memo, load
+from tillbook.llm.tokenizer_files import Memo, byte_letters, load
 
 LIMIT = 1024
 
@@ -35,14 +35,6 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 RUN = regex.compile(r"\s{2,}")
 
 
-def byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte: printable Latin-1 bytes stand for themselves, the others follow
-    from code point 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class Counter:
     """Token counts of texts for one byte-level vocabulary file."""
 
@@ -54,7 +46,7 @@ class Counter:
         specials = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         self.whole = self._proven(tokenizer)
-        self.memo = Memo(self._unit)
+        self.memo = Memo(self._unit, 400_000, 64)
 
     def _proven(self, tokenizer) -> frozenset[str]:
         back = {c: b for b, c in enumerate(self.letters)}
