@@ -134,6 +134,8 @@ def stock_ledger(movements: DataFrame, products: DataFrame) -> DataFrame:
     order = _order_cols(movements, ["log_time", "txn_id", "line_seq", "kind"])
     led = floored_ledger(_product_blocks(movements), "product_id", "_blk", order, "quantity_change",
                          _openings(products), "opening")
+    if "product_name" not in led.columns:
+        led = led.join(products.select("product_id", F.col("name").alias("product_name")), "product_id", "left")
     return led.drop("_blk").withColumn("stock_after", F.col("stock_after").cast("bigint"))
 
 

@@ -144,13 +144,17 @@ def items_digest(items: Column, fields: list[str]) -> Column:
     return F.array_join(F.transform(items, one), "|")
 
 
-def movement_listing(ledger_or_moves: DataFrame, n: int = 100) -> DataFrame:
+def movement_listing(ledger_or_moves: DataFrame, n: int = 100, products: DataFrame | None = None) -> DataFrame:
     """The latest n movements, presented (time cut to HH:MM, absolute
-    quantity)."""
+    quantity).  Names missing from the movements are added to the n rows."""
     order = [F.col(c).desc() for c in ["log_date", "log_time", "txn_id"]]
     key = "line_key" if "line_key" in ledger_or_moves.columns else "line_seq"
     order += [F.col(key).desc(), F.col("kind").desc()]
-    return (ledger_or_moves.orderBy(*order).limit(n)
+    top = ledger_or_moves.orderBy(*order).limit(n)
+    if "product_name" not in top.columns:
+        names = products.select("product_id", F.col("name").alias("product_name"))
+        top = top.join(names, "product_id", "left").orderBy(*order)
+    return (top
             .select(F.col("log_date").alias("date"), F.substring("log_time", 1, 5).alias("time"),
                     F.col("movement_type").alias("type"), F.col("product_name").alias("product"),
                     F.abs("quantity_change").alias("qty"), "reason", "performed_by", "txn_id", "kind"))

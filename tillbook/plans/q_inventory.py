@@ -17,9 +17,9 @@ led AS (
   SELECT product_id, product_name, log_date, log_time, txn_id, line_seq, kind, movement_type, quantity_change,
     reason, s - LEAST(0, MIN(s) OVER (PARTITION BY product_id ORDER BY log_date, log_time, txn_id, line_seq, kind
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS stock_after
-  FROM (SELECT m.*, p.stock + SUM(m.quantity_change) OVER (PARTITION BY m.product_id ORDER BY {E1_ORDER}
+  FROM (SELECT m.*, COALESCE(p.stock, 0) + SUM(m.quantity_change) OVER (PARTITION BY m.product_id ORDER BY {E1_ORDER}
           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s
-        FROM stock_movements m JOIN products p ON p.product_id = m.product_id))"""
+        FROM stock_movements m LEFT JOIN products p ON p.product_id = m.product_id))"""
 
 E1_COLS = ["product_id", "product_name", "log_date", "log_time", "txn_id", "kind", "movement_type",
            "quantity_change", "reason", "stock_after"]

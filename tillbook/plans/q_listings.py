@@ -105,7 +105,7 @@ SELECT CAST(log_date AS VARCHAR) AS date, substr(log_time, 1, 5) AS time, moveme
 FROM stock_movements ORDER BY log_date DESC, log_time DESC, txn_id DESC, line_seq DESC, kind DESC LIMIT 100"""))
 def q_movement_listing(m, spark):
     """Latest 100 stock movements, presented."""
-    return ls.movement_listing(m["stock_movements"], 100)
+    return ls.movement_listing(m["stock_movements"], 100, m["products"])
 
 
 @query("txn_item_alignment", oracle("""

@@ -101,8 +101,7 @@ def items_from_lineitem(lineitem: DataFrame, products: DataFrame) -> DataFrame:
     base = (lineitem.join(p, lineitem.l_partkey == p.product_id, "left")
             .select(
                 F.col("l_orderkey").alias("txn_id"),
-                F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-                         "l_shipdate").alias("line_key"),
+                F.struct(*LINE_KEY).alias("line_key"),
                 F.col("l_partkey").alias("product_id"), "product_name", "category",
                 qty.alias("quantity"),
                 "unit_price", "unit_cost",
@@ -154,14 +153,29 @@ def recipes_from_lineitem(lineitem: DataFrame) -> DataFrame:
             .agg(F.min("l_quantity").cast("decimal(10,3)").alias("qty_per_unit")))
 
 
-def stock_movements(items: DataFrame, transactions: DataFrame) -> DataFrame:
+LINE_KEY = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+
+
+def _plain_lines(lineitem: DataFrame) -> DataFrame:
+    """The raw lines in the model's names, without anything from products."""
+    return lineitem.select(
+        F.col("l_orderkey").alias("txn_id"), F.struct(*LINE_KEY).alias("line_key"), F.col("l_partkey").alias("product_id"),
+        F.col("l_suppkey").alias("raw_material_id"), F.col("l_quantity").cast("int").alias("quantity"),
+        F.col("l_returnflag").alias("return_flag"), F.col("l_shipdate").cast("date").alias("ship_date"))
+
+
+def _line_seq():
+    return F.row_number().over(Window.partitionBy("txn_id").orderBy("line_key")).cast("int").alias("line_seq")
+
+
+def stock_movements(lineitem: DataFrame, headers: DataFrame) -> DataFrame:
     """E1 input: a sale is -quantity at the sale's date/time; a returned line
     (flag R) is +quantity at its ship date, end of day.  ``kind`` (0 sale,
     1 return) completes the total order (date, time, txn_id, line_seq, kind).
-    The movement of a line without a sale header stays, without date and time."""
-    hdr = transactions.select("txn_id", "transaction_date", "transaction_time", "receipt_no", "cashier_name")
-    lines = items.select("txn_id", "line_seq", "line_key", "product_id", "product_name", "quantity",
-                         "return_flag", "ship_date").join(hdr, "txn_id", "left")
+    The movement of a line without a sale header stays, without date and time.
+    Names are not part of a movement; a ledger or listing adds them last."""
+    hdr = headers.select("txn_id", "transaction_date", "transaction_time", "receipt_no", "cashier_name")
+    lines = _plain_lines(lineitem).select("*", _line_seq()).join(hdr, "txn_id", "left")
     both = F.array(
         F.struct(F.col("transaction_date").alias("log_date"),
                  F.col("transaction_time").alias("log_time"),
@@ -175,9 +189,8 @@ def stock_movements(items: DataFrame, transactions: DataFrame) -> DataFrame:
     )
     # One pass: each line yields its sale and, when flagged, its return.
     kept = F.filter(both, lambda m: (m["kind"] == 0) | (F.col("return_flag") == "R"))
-    return (lines.select("txn_id", "line_seq", "line_key", "product_id", "product_name", "cashier_name",
-                         F.explode(kept).alias("m"))
-            .select("product_id", "product_name", "m.log_date", "m.log_time", "txn_id", "line_seq", "line_key",
+    return (lines.select("txn_id", "line_seq", "line_key", "product_id", "cashier_name", F.explode(kept).alias("m"))
+            .select("product_id", "m.log_date", "m.log_time", "txn_id", "line_seq", "line_key",
                     "m.kind", "m.movement_type", "m.quantity_change", "m.reason", F.col("cashier_name").alias("performed_by")))
 
 
@@ -190,39 +203,19 @@ def stock_movements_on(t: dict[str, DataFrame], day) -> DataFrame:
     if "sale_headers" not in t:
         return on_date(t["stock_movements"], "log_date", day)
     hdr = on_date(t["sale_headers"], "transaction_date", day)
-    line_cols = ["txn_id", "line_seq", "line_key", "product_id", "product_name", "quantity"]
-    sold = sale_lines(t, hdr).select(*line_cols)
-    returned = (on_date(t["transaction_items"], "ship_date", day).filter(F.col("return_flag") == "R")
-                .select(*line_cols, "ship_date"))
-    receipts = t["sale_headers"].select("txn_id", "receipt_no", "cashier_name")
-    sales = (sold.join(hdr.select("txn_id", "transaction_date", "transaction_time", "receipt_no", "cashier_name"), "txn_id")
-             .select("product_id", "product_name", F.col("transaction_date").alias("log_date"),
-                     F.col("transaction_time").alias("log_time"), "txn_id", "line_seq", "line_key",
-                     F.lit(0).alias("kind"), F.lit("Sale").alias("movement_type"),
-                     (-F.col("quantity")).alias("quantity_change"),
-                     F.concat(F.lit("Sale: "), F.col("receipt_no")).alias("reason"),
-                     F.col("cashier_name").alias("performed_by")))
-    returns = (returned.join(receipts, "txn_id", "left")
-               .select("product_id", "product_name", F.col("ship_date").alias("log_date"),
-                       F.lit(RETURN_TIME).alias("log_time"), "txn_id", "line_seq", "line_key",
-                       F.lit(1).alias("kind"), F.lit("Return").alias("movement_type"),
-                       F.col("quantity").alias("quantity_change"),
-                       F.concat(F.lit("Return: "), F.col("receipt_no")).alias("reason"),
-                       F.col("cashier_name").alias("performed_by")))
-    return sales.unionByName(returns)
+    raw = t["lineitem"]
+    sold = raw.join(hdr.select(F.col("txn_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+    returned = raw.filter((F.col("l_returnflag") == "R") & (F.col("l_shipdate").cast("date") == F.lit(day).cast("date")))
+    return (stock_movements(sold, hdr).filter("kind = 0")
+            .unionByName(stock_movements(returned, t["sale_headers"]).filter("kind = 1")))
 
 
 def material_movements(lineitem: DataFrame) -> DataFrame:
     """E2 input: each sold line consumes its quantity of the supplier's
     material.  Built from the raw lines alone; a material needs no product."""
-    qty = F.col("l_quantity").cast("int")
-    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    w = Window.partitionBy("txn_id").orderBy("line_key")
-    base = lineitem.select(
-        F.col("l_suppkey").alias("raw_material_id"), F.col("l_shipdate").cast("date").alias("log_date"),
-        F.col("l_orderkey").alias("txn_id"), key.alias("line_key"), (-qty).cast("decimal(12,2)").alias("qty_change"))
-    return base.select("raw_material_id", "log_date", "txn_id", F.row_number().over(w).cast("int").alias("line_seq"),
-                       "line_key", "qty_change")
+    return _plain_lines(lineitem).select(
+        "raw_material_id", F.col("ship_date").alias("log_date"), "txn_id", _line_seq(), "line_key",
+        (-F.col("quantity")).cast("decimal(12,2)").alias("qty_change"))
 
 
 def resolve_material_ids(recipe_rows: DataFrame, materials: DataFrame) -> DataFrame:
@@ -313,7 +306,7 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "raw_materials": materials_from_supplier(supplier),
         "product_ingredients": recipes_from_lineitem(lineitem),
     }
-    tables["stock_movements"] = stock_movements(items, headers)
+    tables["stock_movements"] = stock_movements(lineitem, headers)
     tables["material_movements"] = material_movements(lineitem)
     tables.update(seeds.seed_dims(spark))
     return tables
