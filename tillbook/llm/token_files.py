@@ -21,19 +21,23 @@ from __future__ import annotations
 
 import functools
 import struct
+import sys
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillbook.llm.common import column, materialize, schema_of
-from tillbook.llm.tokenizer_files import Memo, load
+from tillbook.llm.tokenizer_files import Memo, byte_letters, load
 from tillbook.plans.session import scratch_dir
 
 MAGIC = b"TBK1"
@@ -123,21 +127,48 @@ class Shard:
         return self.ids[self.bounds.select(i):self.bounds.select(i + 1)]
 
 
+# Fixed value: the pre-token pattern of the word vocabulary.
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
 class WordEncoder:
-    """Ids of texts as the library gives them, from remembered units.
+    """Ids of texts as the library gives them, from remembered units and pre-tokens.
 
-    White space ends every pre-token of this kind of vocabulary (its pattern drops it), so the units between
-    spaces and line ends are encoded on their own; the library encodes each distinct unit once."""
+    White space ends every pre-token of this vocabulary (its pattern drops it), so the units between spaces and
+    line ends are encoded on their own.  Units differ mostly by case and punctuation: a unit is lower-cased and cut
+    into pre-tokens, and the library's merges run once for each distinct one.  Units that need more of the library
+    (special strings, text that is not in normal form, capital sigma, whose lower case depends on its place in
+    Python only) go through it whole."""
 
     def __init__(self, path: str, kind: str):
-        self.tokenizer, self.kind = load(path), kind
-        self.memo = Memo(self._unit, 600_000)
+        self.tokenizer = load(path)
+        self.letters = byte_letters()
+        self.merge = self.tokenizer.model.tokenize
+        self.code = {"<u2": "H", "<u4": "I"}[kind]
+        self.units, self.words = Memo(self._unit, 600_000, 64), Memo(self._word, 300_000, 64)
+
+    def _word(self, word: str) -> bytes:
+        # one letter stands for each byte
+        return self._bytes([t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))])
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        raw = array(self.code, ids)
+        if sys.byteorder == "big":
+            raw.byteswap()
+        return raw.tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, self.kind).tobytes() if unit else b""
+        if "<|" in unit or "Σ" in unit or not unicodedata.is_normalized("NFC", unit):
+            return self._bytes(self.tokenizer.encode(unit, add_special_tokens=False).ids)
+        low = unit.lower()
+        if low.isalpha():
+            return self.words[low]
+        if low[:-1].isalpha() and low[-1:] in (".", ","):
+            return self.words[low[:-1]] + self.words[low[-1:]]
+        return b"".join(map(self.words.__getitem__, PRE_TOKEN.findall(low)))
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.units.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @functools.lru_cache(maxsize=2)
