@@ -17,17 +17,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import column, pack, schema_of
+from tillbook.llm.common import column, materialize, pack, schema_of
 
 WINDOW = 2                 # line hashes in the rolling hash
 MIN_LINES = 2
 MAX_LINES = 64             # of a chunk in which the rolling hash has no minimum (one line over and over)
 MIN_WORDS = 8              # chunks of fewer words are left alone
+BITS = 1 << 23             # of the table of hashes that may repeat (1 MB)
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -60,7 +62,9 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
                 yield a, b, part
 
 
-def _emit(with_text: bool):
+def _emit(wanted: np.ndarray | None):
+    """Rows of the candidate chunks: without their text, or (``wanted``: a bit table) with it where the hash is in
+    the table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {"doc_id": [], "mark": [], "a": [], "b": [], "hash": [], "chunk": [], "again": []}
@@ -68,32 +72,51 @@ def _emit(with_text: bool):
                                        column(batch, "text").to_pylist()):
                 seen = set()
                 for a, b, part in candidates(text):
-                    row = (doc, mark, a, b, xxhash.xxh3_64_intdigest(part, 1) - (1 << 63), part, part in seen)
+                    key = xxhash.xxh3_64_intdigest(part, 1)
+                    if wanted is None or wanted[key % BITS]:
+                        row = (doc, mark, a, b, key - (1 << 63), part, part in seen)
+                        for k, v in zip(out, row):
+                            out[k].append(v)
                     seen.add(part)
-                    for k, v in zip(out, row):
-                        out[k].append(v)
-            if not with_text:
+            if wanted is None:
                 out.pop("chunk")
             kinds = {"again": pa.bool_(), "chunk": pa.string(), "a": pa.int32(), "b": pa.int32()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
     return run
 
 
-def _chunk_rows(docs: DataFrame, with_text: bool) -> DataFrame:
+def _chunk_rows(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
     rows = (docs.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("mark"),
                         F.col("row.text").cast("string").alias("text"))
             .filter("doc_id is not null and text is not null"))
-    return rows.mapInArrow(_emit(with_text), schema_of(
-        f"doc_id long, mark long, a int, b int, hash long, {'chunk string, ' if with_text else ''}again boolean"))
+    return rows.mapInArrow(_emit(wanted), schema_of(
+        f"doc_id long, mark long, a int, b int, hash long, {'' if wanted is None else 'chunk string, '}again boolean"))
+
+
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """A table of ``BITS`` bits in which those of all ``hashes`` are set.  Its size is fixed; however many hashes
+    there are, at most ``BITS / 32`` rows reach the driver."""
+    at = F.pmod(F.col("hash"), F.lit(BITS))
+    words = hashes.select(F.floor(at / 32).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int")).alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(BITS // 32, np.uint32)
+    table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
+    # a stored hash is the key less 2^63, a multiple of BITS: both have the same bit
+    return np.unpackbits(table.view(np.uint8), bitorder="little")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, a, b) of every chunk copy that goes; ``mark`` is the hash of the whole text."""
-    texts = _chunk_rows(docs, True).filter("not again").groupBy("hash", "chunk").agg(
+    """(doc_id, mark, a, b) of every chunk copy that goes; ``mark`` is the hash of the whole text.
+
+    Hashes alone tell which chunks may repeat; only the texts of those (and of the few that share a bit with one)
+    are shuffled for the comparison of bytes.  With more repeated hashes than the bit table tells apart, more texts
+    are shuffled and the result stays the same."""
+    places = materialize(_chunk_rows(docs), "chunks")
+    often = places.filter("not again").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    texts = _chunk_rows(docs, bit_table(often)).filter("not again").groupBy("hash", "chunk").agg(
         F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n"))
     shared = (texts.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.min("owner").alias("owner"))
               .filter("texts = 1 and n > 1").select("hash", "owner"))
-    places = _chunk_rows(docs, False)
     elsewhere = places.join(shared, "hash").filter("doc_id <> owner or again")
     within = places.filter("again").join(shared, "hash", "left_anti")
     return elsewhere.select("doc_id", "mark", "a", "b").unionByName(within.select("doc_id", "mark", "a", "b"))
