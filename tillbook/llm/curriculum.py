@@ -51,11 +51,13 @@ def position(share: Column, knots: list[tuple[float, float]]) -> Column:
     return out
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(row, source, size, key): ``key`` orders the documents of a source like random."""
+def sized(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(row, source, size, key): ``row`` holds the columns ``keep``, ``key`` orders the documents of a source like
+    random."""
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     doc = F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))
-    return pack(docs).select("row", F.col("row.source").cast("string").alias("source"),
+    return pack(docs).select(F.struct(*[F.col(f"row.`{c}`").alias(c) for c in keep]).alias("row"),
+                             F.col("row.source").cast("string").alias("source"),
                              F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.md5(doc).alias("key"))
 
 
@@ -90,10 +92,10 @@ def targets(sources: DataFrame, schedules: list = SCHEDULES, share: float = SHAR
                         F.least(limit.cast("double"), F.col("weight") * F.lit(level)).alias("target"))
 
 
-def plan(docs: DataFrame, schedules: list = SCHEDULES, share: float = SHARE, cap: int = CAP) -> DataFrame:
+def plan(docs: DataFrame, keep: list[str], schedules: list = SCHEDULES, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """(row, size, source_size, target, passes): for each row what each pass over its source takes of it, as
-    ``passes`` = array of (taken, slot)."""
-    rows = sized(docs).withColumn("bucket", F.substring("key", 1, BUCKETS_HEX))
+    ``passes`` = array of (taken, slot).  ``row`` holds the columns ``keep``, doc_id among them."""
+    rows = sized(docs, keep).withColumn("bucket", F.substring("key", 1, BUCKETS_HEX))
     buckets = materialize(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
     per_source = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), schedules, share, cap)
     earlier = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -121,7 +123,7 @@ def plan(docs: DataFrame, schedules: list = SCHEDULES, share: float = SHARE, cap
 def mix_report(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken, first_slot) of every row of ``docs``."""
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda n, p: n + p["taken"])
-    return plan(docs).select(F.col("row.doc_id").cast("long").alias("doc_id"), "size", "source_size", "target",
+    return plan(docs, ["doc_id"]).select(F.col("row.doc_id").cast("long").alias("doc_id"), "size", "source_size", "target",
                              taken.alias("taken"), F.array_min(F.col("passes.slot")).alias("first_slot"))
 
 
@@ -129,5 +131,5 @@ def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: each row once for every pass that takes at least half of its words, whole, in training
     order (range-partitioned and sorted by position)."""
     chosen = F.filter("passes", lambda p: (p["taken"] > 0) & (p["taken"] * 2 >= F.col("size")))
-    copies = plan(docs).select("row", F.explode(F.transform(chosen, lambda p: p["slot"])).alias("slot"))
+    copies = plan(docs, docs.columns).select("row", F.explode(F.transform(chosen, lambda p: p["slot"])).alias("slot"))
     return copies.repartitionByRange("slot").sortWithinPartitions("slot", "row.doc_id").select("row.*")
