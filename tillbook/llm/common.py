@@ -150,9 +150,11 @@ SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 NOT_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
 
-def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str,
+               tasks: int | None = None) -> DataFrame:
     """``fn`` on each group of rows with equal ``keys`` (the caller bounds the groups).  One shuffle by the keys
-    and a sort; groups share a task's Arrow batches, so thousands of tiny groups cost no call into Spark each."""
+    and a sort; groups share a task's Arrow batches, so thousands of tiny groups cost no call into Spark each.
+    ``tasks`` fixes the number of tasks where groups are few but costly (small partitions are not merged then)."""
     out = schema_of(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,4 +179,6 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator
         if held:
             yield from fn(pa.Table.from_batches(held))
 
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(run, out)
+    by = [F.col(k) for k in keys]
+    dealt = df.repartition(tasks, *by) if tasks else df.repartition(*by)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, out)

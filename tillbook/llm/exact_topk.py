@@ -85,5 +85,5 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     candidates = rows.select(part(shards).alias("shard"), each(blocks).alias("block"), F.lit(0).alias("asks"), "vec_id", "embedding")
     asking = asked.select(part(blocks).alias("block"), each(shards).alias("shard"), F.lit(1).alias("asks"), "vec_id", "embedding")
     found = map_groups(candidates.unionByName(asking), ["shard", "block"], _search(k),
-                       "query_id long, shard int, ids array<long>, scores array<long>")
+                       "query_id long, shard int, ids array<long>, scores array<long>", 4 * shards * blocks)
     return merge_top(found, k, shards)

@@ -213,7 +213,7 @@ def build_index(vectors: DataFrame) -> tuple[DataFrame, int]:
     shards = max(1, math.ceil(rows.count() / SHARD_ROWS))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     index = map_groups(dealt, ["shard"], _build,
-                       "shard int, node int, ids array<long>, embedding array<double>, edges array<int>")
+                       "shard int, node int, ids array<long>, embedding array<double>, edges array<int>", 4 * shards)
     return materialize(index, "graphs"), shards
 
 
@@ -228,5 +228,5 @@ def graph_top_k(vectors: DataFrame, is_query: Column, k: int = 20, beam: int = S
         F.lit(None).cast("array<long>").alias("ids"), F.col("embedding").cast("array<double>").alias("embedding"),
         F.lit(None).cast("array<int>").alias("edges"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id")
     found = map_groups(graphs.unionByName(asking), ["shard", "block"], _search(k, beam),
-                       "query_id long, shard int, ids array<long>, scores array<double>")
+                       "query_id long, shard int, ids array<long>, scores array<double>", 4 * shards * blocks)
     return merge_top(found, k, shards)
