@@ -37,7 +37,7 @@ def check(spark, rows):
     target, taken = water_level(sizes), {}
     for r in got:
         assert r.source_size == sizes[source[r.doc_id]] and r.target == pytest.approx(target[source[r.doc_id]])
-        assert 0 <= r.taken <= 2 * r.size and (r.first_slot is None) == (r.taken == 0)
+        assert 0 <= r.taken <= 2 * r.size and (r.first_slot == -1) == (r.taken == 0)
         taken[source[r.doc_id]] = taken.get(source[r.doc_id], 0) + r.taken
     for s, n in taken.items():
         assert abs(n - target[s]) <= 1

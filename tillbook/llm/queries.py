@@ -107,9 +107,9 @@ p AS (SELECT d.*, g.source_size, g.kind, g.target, CAST(floor(g.target) AS BIGIN
 e AS (SELECT *, greatest(0, least(size, whole - start)) AS one, greatest(0, least(size, whole - source_size - start)) AS two FROM p),
 u AS (SELECT *, CASE WHEN one > 0 THEN CAST(start AS DOUBLE) / whole WHEN two > 0 THEN CAST(source_size + start AS DOUBLE) / whole END AS share FROM e)
 SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken,
-  CAST(floor(1000000 * CASE WHEN share IS NULL THEN NULL WHEN share <= 0 THEN 0.0::DOUBLE
+  COALESCE(CAST(floor(1000000 * CASE WHEN share IS NULL THEN NULL WHEN share <= 0 THEN 0.0::DOUBLE
     WHEN kind = 0 THEN 2.0::DOUBLE * (share * 5.0::DOUBLE) / (7.5::DOUBLE + sqrt(56.25::DOUBLE + -10.0::DOUBLE * (share * 5.0::DOUBLE)))
     WHEN kind = 1 THEN 2.0::DOUBLE * (share * 2.0::DOUBLE) / (2.0::DOUBLE + sqrt(4.0::DOUBLE + 0.0::DOUBLE * (share * 2.0::DOUBLE)))
-    ELSE 2.0::DOUBLE * (share * 1.0::DOUBLE) / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2.0::DOUBLE * (share * 1.0::DOUBLE))) END) AS BIGINT) AS first_slot
+    ELSE 2.0::DOUBLE * (share * 1.0::DOUBLE) / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2.0::DOUBLE * (share * 1.0::DOUBLE))) END) AS BIGINT), -1) AS first_slot
 FROM u""",
 }
