@@ -62,7 +62,7 @@ def _search(k: int):
             if np.abs(scores).max() < (1 << 61) // n:
                 # one number orders by score, then by the smaller id (candidates stand in id order)
                 rank = scores * n + (n - 1 - np.arange(n))
-                rank[np.repeat(mine, 1)[:, None] == ids] = -LARGEST - 1
+                rank[mine[:, None] == ids] = -LARGEST - 1
                 at = np.argpartition(-1 - rank, min(k, n) - 1, axis=1)[:, :k]
                 row, at = np.repeat(np.arange(len(mine)), at.shape[1]), at.reshape(-1)
             else:
