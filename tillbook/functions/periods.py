@@ -8,7 +8,6 @@ pruning apply (an EXTRACT on the column would not prune).
 
 from __future__ import annotations
 
-import calendar
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame
@@ -93,10 +92,6 @@ def weekday_label(d: str | Column) -> Column:
     return F.date_format(c, "EEE")
 
 
-def days_in_month(year: int, month: int) -> int:
-    return calendar.monthrange(year, month)[1]
-
-
 def period_label(month: int | None = None, year: int | None = None) -> Column:
     """Statement heading of a period: ``March 1997``, ``Year 1998`` or
     ``All periods`` (a month without a year is ignored, as in B2)."""

@@ -126,57 +126,15 @@ COA_SCHEMA = T.StructType([
     T.StructField("account_type", T.StringType(), False),
     T.StructField("normal_balance", T.StringType(), False),
 ])
-MAP_SCHEMA = T.StructType([
-    T.StructField("key", T.StringType(), False),
-    T.StructField("account_code", T.StringType(), False),
-])
-FIXED_COST_SCHEMA = T.StructType([
-    T.StructField("kind", T.StringType(), False),
-    T.StructField("amount", T.DecimalType(14, 2), False),
-    T.StructField("expense_account", T.StringType(), False),
-    T.StructField("counter_account", T.StringType(), False),
-    T.StructField("cost_no", T.IntegerType(), False),
-])
-OPENING_SCHEMA = T.StructType([
-    T.StructField("reference_no", T.StringType(), False),
-    T.StructField("description", T.StringType(), False),
-    T.StructField("account_code", T.StringType(), False),
-    T.StructField("debit", T.DecimalType(14, 2), False),
-    T.StructField("credit", T.DecimalType(14, 2), False),
-    T.StructField("line_no", T.IntegerType(), False),
-])
 
 
 def chart_of_accounts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CHART_OF_ACCOUNTS, COA_SCHEMA)
 
 
-def cash_account_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(CASH_ACCOUNT.items()), MAP_SCHEMA)
-
-
-def revenue_account_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(REVENUE_ACCOUNT.items()), MAP_SCHEMA)
-
-
-def fixed_costs(spark: SparkSession) -> DataFrame:
-    rows = [(k, a, e, c, i + 1) for i, (k, a, e, c) in enumerate(FIXED_COSTS)]
-    return spark.createDataFrame(rows, FIXED_COST_SCHEMA)
-
-
-def opening_lines(spark: SparkSession) -> DataFrame:
-    rows = [(r, d, a, dr, cr, i + 1) for i, (r, d, a, dr, cr) in enumerate(OPENING_LINES)]
-    return spark.createDataFrame(rows, OPENING_SCHEMA)
-
-
 def seed_dims(spark: SparkSession) -> dict[str, DataFrame]:
-    return {
-        "chart_of_accounts": chart_of_accounts(spark),
-        "cash_account_map": cash_account_map(spark),
-        "revenue_account_map": revenue_account_map(spark),
-        "fixed_costs": fixed_costs(spark),
-        "opening_lines": opening_lines(spark),
-    }
+    """A5: the constant table that plans join; the account maps and amounts are literals in the expressions."""
+    return {"chart_of_accounts": chart_of_accounts(spark)}
 
 
 def coa_values_sql() -> str:
