@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import (SPACES, WordHasher, column, gathered, map_groups, materialize, mix64, random_words, schema_of,
+from tillbook.llm.common import (SPACES, WordHasher, column, discard, gathered, map_groups, materialize, mix64, random_words, schema_of,
                                  text_slices)
 from tillbook.llm.components import connected_components
 
@@ -235,6 +235,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         comps = materialize(gathered(comps.join(moved, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
                                      .unionByName(joined), rows), "components")
 
+    discard(sets, buckets)      # the largest tables; what follows reads base, classes and comps only
     rep = F.coalesce("rep", "doc_id")
     out = (base.select("doc_id", "n_shingles", "d1", "d2")
            .join(classes, ["d1", "d2", "n_shingles"], "left")
