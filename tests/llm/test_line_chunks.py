@@ -69,3 +69,28 @@ def test_single_repeated_lines_stay(spark):
     rows = [(i, "\n".join([sentence(rng), line, sentence(rng), sentence(rng)])) for i in range(20)]
     assert all(a == b for a, b in zip(plain(rows), rows))
     check(spark, rows)
+
+
+def test_short_passages_go_whole(spark):
+    """Passages of 1 to 6 lines between each document's own lines, with blank lines or short ones among them."""
+    rng = random.Random(8)
+    long = lambda: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(60))
+    passages = [[long()], *[[sentence(rng) for _ in range(n)] for n in range(2, 7)],
+                [sentence(rng), "", "", sentence(rng)], [sentence(rng), "two words", "one"], ["a b c", "d e f", "g h i"]]
+    rows, own = [], {}
+    for n, passage in enumerate(passages):
+        for i in range(10 * n, 10 * n + 5):
+            before, after = [sentence(rng) for _ in range(1 + i % 4)], [sentence(rng) for _ in range(1 + i % 3)]
+            rows.append((i, "\n".join(before + passage + after)))
+            own[i] = rows[-1][1] if i == 10 * n else "\n".join(before + after)
+    got = {r.doc_id: r for r in check(spark, rows).select("row.doc_id", "cleaned", "n_lines", "n_removed").collect()}
+    assert {i: r.cleaned for i, r in got.items()} == own
+    assert all(r.n_lines - r.n_removed == r.cleaned.count("\n") + 1 for r in got.values())
+
+
+def test_first_copy_of_each_line_stays(spark):
+    rng = random.Random(9)
+    lines = [sentence(rng) for _ in range(12)]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 12)))) for i in range(60)]
+    left = {x for r in check(spark, rows).select("cleaned").collect() for x in r.cleaned.split("\n")}
+    assert left - {""} == {x for _, t in rows for x in t.split("\n")}

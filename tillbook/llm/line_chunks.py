@@ -1,12 +1,19 @@
-"""Operator 3: removal of multi-line chunks that repeat across documents.
+"""Operator 3: removal of passages of lines that repeat across documents.
 
 A text's lines are hashed, and a rolling hash runs over the last ``WINDOW`` line hashes; a chunk ends where it is
 smaller than at the line before and not larger than at the line after.  So the same lines are cut alike whatever
-stands around them (an insertion changes only the chunk it falls in and its neighbour), a chunk has three lines on
-average, and none is shorter than two unless the text is.  Chunks of at least two lines and ``MIN_WORDS`` words are grouped over all documents by hash *and* text: equality of the
-bytes decides, and the pre-aggregation before the shuffle holds a chunk once per task however often it repeats.
-The copy in the smallest doc_id stays (its first place there); all other copies go.  A hash that stands for two
-different texts removes nothing.
+stands around them, a chunk has three lines on average, and none is shorter than two unless the text is.
+
+Chunks alone miss most passages: one of few lines seldom holds a whole chunk of its own, and longer ones lose the
+chunks at both edges.  So from each line with words on, the shortest run of at least two such lines and
+``MIN_WORDS`` words is a candidate too, and so is the shortest one that ends there: together these runs cover every
+line of every repeated passage of that size, up to its edges, whatever stands around it.  A passage of one line
+counts from ``LINE_WORDS`` words.
+
+Candidates are grouped over all documents by hash *and* text: equality of the bytes decides, and the
+pre-aggregation before the shuffle holds a text once per task however often it repeats.  The copy in the smallest
+doc_id stays (its first place there); the lines of all other copies go.  A line only goes where an earlier copy of
+it is, so the first copy of each line stays somewhere.  A hash that stands for two different texts removes nothing.
 
 Edge cases: null texts stay null and empty ones empty; a text all of whose lines go becomes empty; rows without
 doc_id stay as they are; rows sharing a doc_id count as one document, each keeping what that document keeps; line
@@ -28,7 +35,9 @@ from tillbook.llm.common import column, materialize, pack, schema_of
 WINDOW = 2                 # line hashes in the rolling hash
 MIN_LINES = 2
 MAX_LINES = 64             # of a chunk in which the rolling hash has no minimum (one line over and over)
-MIN_WORDS = 8              # chunks of fewer words are left alone
+MIN_WORDS = 8              # chunks and runs of fewer words are left alone
+LINE_WORDS = 50            # from which a line is a passage of its own
+BATCH_BYTES = 1 << 22      # about, of an emitted batch
 BITS = 1 << 23             # of the table of hashes that may repeat (1 MB)
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -52,36 +61,72 @@ def chunks(text: str) -> list[tuple[int, int]]:
     return [*out, (start, len(lines))]
 
 
+def _shortest(words: list[int]) -> Iterator[tuple[int, int]]:
+    """(first, last) of the shortest run of enough lines and words from each line on."""
+    held = stop = 0
+    for first in range(len(words)):
+        while stop < len(words) and (stop - first < MIN_LINES or held < MIN_WORDS):
+            held += words[stop]
+            stop += 1
+        if stop - first < MIN_LINES or held < MIN_WORDS:
+            return
+        yield first, stop - 1
+        held -= words[first]
+
+
+def runs(words: list[int]) -> Iterator[tuple[int, int]]:
+    """(first line, line after the last), by the words of each line, of the shortest runs from each line with words
+    on and up to each such line.  Lines without words count only as part of a run."""
+    full = [i for i, n in enumerate(words) if n]
+    for first, last in _shortest([words[i] for i in full]):
+        yield full[first], full[last] + 1
+    full.reverse()
+    for last, first in _shortest([words[i] for i in full]):
+        yield full[first], full[last] + 1
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """(first line, line after the last) of everything in a text that may be removed: chunks, runs and long lines."""
+    words = [len(line.split()) for line in text.split("\n")]
+    found = {(a, b) for a, b in chunks(text) if b - a >= MIN_LINES and sum(words[a:b]) >= MIN_WORDS}
+    found.update(runs(words))
+    found.update((i, i + 1) for i, n in enumerate(words) if n >= LINE_WORDS)
+    return sorted(found)
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """The chunks that may be removed, with their text."""
+    """The lines that may be removed, with their text."""
     lines = text.split("\n")
-    for a, b in chunks(text):
-        if b - a >= MIN_LINES:
-            part = "\n".join(lines[a:b])
-            if len(part.split()) >= MIN_WORDS:
-                yield a, b, part
+    for a, b in spans(text):
+        yield a, b, "\n".join(lines[a:b])
 
 
 def _emit(wanted: np.ndarray | None):
-    """Rows of the candidate chunks: without their text, or (``wanted``: a bit table) with it where the hash is in
-    the table."""
+    """Rows of the candidates: without their text, or (``wanted``: a bit table) with it where the hash is in the
+    table."""
+    kinds = {"doc_id": pa.int64(), "mark": pa.int64(), "a": pa.int32(), "b": pa.int32(), "hash": pa.int64(),
+             "chunk": pa.string(), "again": pa.bool_()}
+    names = [k for k in kinds if k != "chunk" or wanted is not None]
+
+    def batch_of(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(rows, pa.schema([(k, kinds[k]) for k in names]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
-            out = {"doc_id": [], "mark": [], "a": [], "b": [], "hash": [], "chunk": [], "again": []}
-            for doc, mark, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "mark").to_pylist(),
-                                       column(batch, "text").to_pylist()):
+            for doc, mark, text in zip(column(batch, "doc_id"), column(batch, "mark"), column(batch, "text")):
                 seen = set()
-                for a, b, part in candidates(text):
+                for a, b, part in candidates(text.as_py()):
                     key = xxhash.xxh3_64_intdigest(part, 1)
                     if wanted is None or wanted[key % BITS]:
-                        row = (doc, mark, a, b, key - (1 << 63), part, part in seen)
-                        for k, v in zip(out, row):
-                            out[k].append(v)
+                        rows.append({"doc_id": doc.as_py(), "mark": mark.as_py(), "a": a, "b": b,
+                                     "hash": key - (1 << 63), "chunk": part, "again": part in seen})
+                        held += 100 if wanted is None else 100 + len(part)
                     seen.add(part)
-            if wanted is None:
-                out.pop("chunk")
-            kinds = {"again": pa.bool_(), "chunk": pa.string(), "a": pa.int32(), "b": pa.int32()}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
+                    if held > BATCH_BYTES:     # candidates overlap: a batch of texts may give several
+                        yield batch_of(rows)
+                        rows, held = [], 0
+        yield batch_of(rows)
     return run
 
 
@@ -122,6 +167,25 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return elsewhere.select("doc_id", "mark", "a", "b").unionByName(within.select("doc_id", "mark", "a", "b"))
 
 
+def _without(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Texts without the lines of the spans, which may overlap, and how many lines went."""
+    for texts, gone in parts:
+        cleaned, removed = [], []
+        for text, spans_ in zip(texts.to_pylist(), gone.to_pylist()):
+            if text is None:
+                cleaned.append(None)
+                removed.append(0)
+                continue
+            lines, kept, at = text.split("\n"), [], 0
+            for a, b in sorted((g["a"], g["b"]) for g in spans_):
+                kept += lines[at:max(at, a)]
+                at = max(at, b)
+            kept += lines[at:]
+            cleaned.append("\n".join(kept))
+            removed.append(len(lines) - len(kept))
+        yield pa.StructArray.from_arrays([pa.array(cleaned, pa.string()), pa.array(removed, pa.int64())], ["cleaned", "n_removed"])
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """(row, cleaned, n_lines, n_removed) for every row of ``docs``; ``row`` holds all its columns."""
     rows = pack(docs)
@@ -129,14 +193,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             .agg(F.collect_list(F.struct("a", "b")).alias("gone")))
     joined = rows.join(gone, (F.col("row.doc_id").cast("long") == F.col("gone_id"))
                        & (F.xxhash64("row.text") == F.col("gone_mark")), "left")
-    text = F.col("row.text")
-    lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.exists("gone", lambda g: (i >= g["a"]) & (i < g["b"])))
-    removed = F.aggregate("gone", F.lit(0), lambda n, g: n + g["b"] - g["a"])
-    return joined.select(
-        "row", F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("cleaned"),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"))
+    text = F.col("row.text").cast("string")
+    without = F.arrow_udf(_without, "cleaned string, n_removed long")
+    # only texts that lose lines go through Python
+    less = joined.select("row", "gone", without(F.when(F.col("gone").isNotNull(), text), F.col("gone")).alias("less"))
+    return less.select(
+        "row", F.when(F.col("gone").isNull(), text).otherwise(F.col("less.cleaned")).alias("cleaned"),
+        F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), F.col("less.n_removed").alias("n_removed"))
 
 
 def with_text(cleaned: DataFrame, names: list[str]) -> DataFrame:
