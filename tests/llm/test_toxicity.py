@@ -73,3 +73,28 @@ def test_thresholds_are_ordered_and_probabilities_sum_up():
     expected, grade, p = model.predict(np.array([-9.0, 0.7, 2.0, 9.0]))
     assert grade.tolist() == [0, 2, 2, 3] or grade.tolist()[0] == 0 and grade.tolist()[-1] == 3
     assert (np.diff(expected) > 0).all() and ((p > 0) & (p < 1)).all()
+
+
+def test_long_clean_texts_with_chance_mentions_stay(spark):
+    """A word that marks toxic rows is met by chance once in 500 words of any text; long texts hold several."""
+    rows, labels = corpus(1200, 5)
+    rng = random.Random(6)
+    clean = []
+    for i in range(60):
+        words = [f"w{rng.randrange(2000)}" for _ in range(2500)]
+        for _ in range(5):
+            words[rng.randrange(2500)] = rng.choice(BAD)
+        clean.append((5000 + i, " ".join(words)))
+    toxic = [(6000 + i, " ".join(rng.choice(BAD) if rng.random() < 0.05 else f"w{rng.randrange(2000)}" for _ in range(2500)))
+             for i in range(20)]
+    got = {r.doc_id: r.toxic for r in toxicity.grade_documents(documents(spark, rows + clean + toxic), frame(spark, labels)).collect()}
+    assert not any(got[i] for i, _ in clean) and all(got[i] for i, _ in toxic)
+
+
+def test_threshold_weighs_clean_rows_kept():
+    p = np.array([0.1] * 97 + [0.6, 0.62, 0.7] + [0.65] + [0.9] * 9)
+    label = np.array([0] * 100 + [1] * 10)
+    assert 0.7 < toxicity.threshold(p, label) < 0.9
+    assert toxicity.threshold(p[3:97], label[3:97]) == toxicity.REJECT_AT
+    # a clean row scored among the toxic ones does not cost most of them
+    assert toxicity.threshold(np.append(p, 0.95), np.append(label, 0)) < 0.9

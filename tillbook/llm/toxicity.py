@@ -1,12 +1,17 @@
 """Operator 9: severity of toxicity by cumulative-link ordinal regression.
 
 Grades 0..3 are ordered; P(grade > j) = sigmoid(w.x - theta_j) with one weight vector for all thresholds and
-theta_0 < theta_1 < theta_2.  Features are sparse: log(1 + occurrences) of single words and of word beginnings
-(``PREFIX`` bytes, so that inflected forms share a feature), named by 64-bit hashes.
+theta_0 < theta_1 < theta_2.  Features are sparse: log(1 + rate) of single words and of word beginnings (``PREFIX``
+bytes, so that inflected forms share a feature), named by 64-bit hashes.  The rate is the occurrences in ``PER`` words,
+or all of them in a shorter text, so that chance mentions do not add up with a text's length.
 
 The labels only say toxic or not.  Their grade is 0 for clean rows; toxic rows are graded by thirds of how many
-features they hold that mark toxic rows (its share of toxic rows exceeds its share of clean rows by ``Z``
-standard errors and ``TIMES`` times).  Only marking features enter the model.
+features they hold, by the same rate, that mark toxic rows (its share of toxic rows exceeds its share of clean rows
+by ``Z`` standard errors and ``TIMES`` times).  Only marking features enter the model.
+
+The P(toxic) from which a document is rejected comes from held-out labelled rows: words and weights are fitted on
+each half of the sample and score the other one, and of all thresholds from ``REJECT_AT`` up the one is taken that
+has the largest share of toxic rows found less ``CLEAN_LOSS`` times the share of clean rows lost.
 
 The model is fitted on a bounded sample of labelled rows, ``SAMPLE`` of each label, drawn by a hash of doc_id.
 Scoring reads every whole text once.  The output is the expected grade, the most probable one and P(toxic).
@@ -33,7 +38,10 @@ MAX_FEATURES = 4096                    # the most telling words
 PREFIX = 5                             # bytes of a word's beginning
 Z, TIMES = 5.0, 8.0                    # how clearly a feature marks toxic rows
 GRADES = 4
-REJECT_AT = 0.5                        # P(toxic) from which a document is rejected
+PER = 200                              # words a rate refers to
+FOLDS = 2
+REJECT_AT = 0.5                        # least P(toxic) from which a document is rejected
+CLEAN_LOSS = 10.0                      # a share of clean rows lost counts as so large a share of toxic rows missed
 RIDGE, STEPS, RATE = 2e-5, 500, 0.1
 
 
@@ -42,6 +50,7 @@ class Model:
     words: np.ndarray                  # sorted hashes of the feature words
     weights: np.ndarray
     thresholds: np.ndarray
+    reject_at: float = REJECT_AT
 
     def predict(self, eta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(expected grade, most probable grade, P(grade > 0)) at each linear score."""
@@ -65,32 +74,39 @@ def _occurrences(words: np.ndarray, h: np.ndarray, first: np.ndarray) -> tuple[n
     return pair // len(words), pair % len(words), n
 
 
+def _rates(n: np.ndarray, doc: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Occurrences per ``PER`` words; ``words`` are those of each document."""
+    return n * np.minimum(1.0, PER / np.maximum(words[doc], 1))
+
+
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct features of each labelled text."""
     hasher = WordHasher(NOT_ALNUM)
     for batch in batches:
-        for toxic, data, offsets in text_slices(column(batch, "toxic"), column(batch, "text")):
+        named = pa.StructArray.from_arrays([column(batch, "toxic"), column(batch, "fold")], ["toxic", "fold"])
+        for rows, data, offsets in text_slices(named, column(batch, "text")):
             h, first = hasher.words_and_prefixes(data, offsets, PREFIX)
-            flags = toxic.to_numpy()
+            flags, folds = (x.to_numpy() for x in rows.flatten())
             for d in range(len(flags)):
                 own = np.unique(h[first[d]:first[d + 1]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), flags[d], np.int32))], ["word", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), flags[d], np.int32)),
+                                                  pa.array(np.full(len(own), folds[d], np.int32))], ["word", "toxic", "fold"])
 
 
 def _feature_rows(words: np.ndarray):
-    """One row per labelled text: its features and their occurrences."""
+    """One row per labelled text: its words, features and their occurrences."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(NOT_ALNUM)
         for batch in batches:
-            named = pa.StructArray.from_arrays([column(batch, "doc_id"), column(batch, "toxic")], ["doc_id", "toxic"])
+            names = ["doc_id", "toxic", "fold"]
+            named = pa.StructArray.from_arrays([column(batch, c) for c in names], names)
             for rows, data, offsets in text_slices(named, column(batch, "text")):
                 h, first = hasher.words_and_prefixes(data, offsets, PREFIX)
                 doc, feature, n = _occurrences(words, h, first)
                 cuts = pa.array(np.searchsorted(doc, np.arange(len(rows) + 1)).astype(np.int32))
-                ids, toxic = rows.flatten()
                 yield pa.RecordBatch.from_arrays(
-                    [ids, toxic, pa.ListArray.from_arrays(cuts, pa.array(feature.astype(np.int32))),
-                     pa.ListArray.from_arrays(cuts, pa.array(n.astype(np.int32)))], ["doc_id", "toxic", "features", "counts"])
+                    [*rows.flatten(), pa.array(np.diff(first).astype(np.int32) // 2), pa.ListArray.from_arrays(cuts, pa.array(feature.astype(np.int32))),
+                     pa.ListArray.from_arrays(cuts, pa.array(n.astype(np.int32)))], [*names, "words", "features", "counts"])
     return run
 
 
@@ -107,34 +123,75 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: dict[int, int] =
     return texts.join(F.broadcast(ids), texts.doc_id == ids.label_id).select("doc_id", "toxic", "text")
 
 
+def _marking(held: DataFrame, folds: list[int], size: dict) -> np.ndarray:
+    """Sorted hashes of the words that mark toxic rows of the folds."""
+    n = {label: sum(size.get((label, f), 0) for f in folds) for label in (0, 1)}
+    if not n[0] or not n[1]:
+        return np.zeros(0, np.uint64)
+    t, c = (sum((F.col(f"{kind}{f}") for f in folds), F.lit(0)) for kind in "tc")
+    p, q = t / n[1], c / n[0]
+    pooled = (t + c) / (n[0] + n[1])
+    z = (p - q) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / n[0] + 1 / n[1]))
+    marked = held.withColumn("z", z).filter((F.col("z") >= Z) & (p >= q * TIMES)).orderBy(F.desc("z"), "word").limit(MAX_FEATURES)
+    return np.sort(np.array([r["word"] for r in marked.select("word").collect()], np.int64).view(np.uint64))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> Model:
-    rows = materialize(labelled_sample(docs, labels, sample), "labelled")
-    size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int")
+    rows = materialize(labelled_sample(docs, labels, sample).withColumn("fold", fold), "labelled")
+    size = {(r["toxic"], r["fold"]): r["n"] for r in rows.groupBy("toxic", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     none = Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, np.inf))
-    if not size.get(0) or not size.get(1):
+    if len({label for label, _ in size}) < 2:
         return none
-    held = rows.mapInArrow(_word_rows, schema_of("word long, toxic int")).groupBy("word").agg(
-        F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    p, q = F.col("t") / size[1], F.col("c") / size[0]
-    pooled = (F.col("t") + F.col("c")) / (size[0] + size[1])
-    z = (p - q) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / size[0] + 1 / size[1]))
-    marked = held.withColumn("z", z).filter((F.col("z") >= Z) & (p >= q * TIMES)).orderBy(F.desc("z"), "word").limit(MAX_FEATURES)
-    words = np.sort(np.array([r["word"] for r in marked.select("word").collect()], np.int64).view(np.uint64))
+    held = rows.mapInArrow(_word_rows, schema_of("word long, toxic int, fold int")).groupBy("word").agg(
+        *[F.count_if((F.col("toxic") == label) & (F.col("fold") == f)).alias(f"{kind}{f}")
+          for kind, label in (("t", 1), ("c", 0)) for f in range(FOLDS)])
+    held = materialize(held, "held")
+    words = _marking(held, list(range(FOLDS)), size)
     if not len(words):
         return none
-    table = rows.mapInArrow(_feature_rows(words), schema_of("doc_id long, toxic int, features array<int>, counts array<int>")).toArrow()
-    return _fit(words, table)
-
-
-def _fit(words: np.ndarray, table: pa.Table) -> Model:
+    others = [_marking(held, [g for g in range(FOLDS) if g != f], size) for f in range(FOLDS)]
+    known = np.unique(np.concatenate([words, *others]))
+    table = rows.mapInArrow(_feature_rows(known), schema_of(
+        "doc_id long, toxic int, fold int, words int, features array<int>, counts array<int>")).toArrow()
     table = table.sort_by("doc_id")        # sums must not depend on the order in which rows arrive
-    toxic = table.column("toxic").to_numpy()
+    toxic, fold, length = (table.column(c).to_numpy() for c in ("toxic", "fold", "words"))
     lists = table.column("features").combine_chunks()
     doc = np.repeat(np.arange(len(toxic)), lists.value_lengths().to_numpy())
     feature = lists.flatten().to_numpy()
-    count = table.column("counts").combine_chunks().flatten().to_numpy()
-    value = np.log1p(count)
-    hits = np.bincount(doc, count, len(toxic))
+    rate = _rates(table.column("counts").combine_chunks().flatten().to_numpy(), doc, length)
+
+    def part(own: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, feature, rate) of the words ``own`` in the rows ``chosen``, both numbered anew."""
+        at = np.minimum(np.searchsorted(own, known), max(0, len(own) - 1))
+        mine = own[at] == known
+        use = mine[feature] & chosen[doc]
+        return (np.cumsum(chosen) - 1)[doc[use]], at[feature[use]], rate[use]
+
+    every = np.ones(len(toxic), bool)
+    model = _fit(words, toxic, *part(words, every))
+    p = np.full(len(toxic), np.nan)
+    for f, own in enumerate(others):
+        if len(own):
+            trial = _fit(own, toxic[fold != f], *part(own, fold != f))
+            doc_, feature_, rate_ = part(own, fold == f)
+            p[fold == f] = trial.predict(np.bincount(doc_, np.log1p(rate_) * trial.weights[feature_], (fold == f).sum()))[2]
+    scored = ~np.isnan(p)
+    model.reject_at = threshold(p[scored], toxic[scored])
+    return model
+
+
+def threshold(p: np.ndarray, toxic: np.ndarray) -> float:
+    """The P(toxic) from ``REJECT_AT`` up, midway between two held-out rows, that weighs best."""
+    high = np.unique(p[p >= REJECT_AT])
+    ts = np.concatenate([[REJECT_AT], (high[1:] + high[:-1]) / 2])
+    found, lost = (1 - np.searchsorted(np.sort(p[toxic == label]), ts) / max(1, (toxic == label).sum()) for label in (1, 0))
+    return float(ts[np.argmax(found - CLEAN_LOSS * lost)])
+
+
+def _fit(words: np.ndarray, toxic: np.ndarray, doc: np.ndarray, feature: np.ndarray, rate: np.ndarray) -> Model:
+    value = np.log1p(rate)
+    hits = np.bincount(doc, rate, len(toxic))
     cuts = np.quantile(hits[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
     grade = np.where(toxic == 1, 1 + (hits[:, None] > cuts).sum(axis=1), 0)
     n, k = len(grade), len(words)
@@ -163,10 +220,11 @@ def severity(text: Column, model: Model) -> Column:
             for part, data, offsets in text_slices(text, text):
                 h, first = hasher.words_and_prefixes(data, offsets, PREFIX)
                 doc, feature, n = _occurrences(model.words, h, first)
-                eta.append(np.bincount(doc, np.log1p(n) * model.weights[feature], len(part)))
+                rate = _rates(n, doc, np.diff(first) // 2)
+                eta.append(np.bincount(doc, np.log1p(rate) * model.weights[feature], len(part)))
             expected, grade, p = model.predict(np.concatenate(eta) if eta else np.zeros(0))
             yield pa.StructArray.from_arrays(
-                [pa.array(expected), pa.array(grade.astype(np.int32)), pa.array(p), pa.array(p >= REJECT_AT)],
+                [pa.array(expected), pa.array(grade.astype(np.int32)), pa.array(p), pa.array(p >= model.reject_at)],
                 ["severity", "grade", "p_toxic", "toxic"])
     return score(text.cast("string"))
 
