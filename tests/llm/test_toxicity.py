@@ -98,3 +98,15 @@ def test_threshold_weighs_clean_rows_kept():
     assert toxicity.threshold(p[3:97], label[3:97]) == toxicity.REJECT_AT
     # a clean row scored among the toxic ones does not cost most of them
     assert toxicity.threshold(np.append(p, 0.95), np.append(label, 0)) < 0.9
+
+
+def test_sample_holds_one_row_of_a_repeated_doc_id(spark):
+    rows, labels = corpus(400, 7)
+    rows += [rows[3]] * 200 + [(4, f"zz other text {i}") for i in range(200)] + [(9, None)]
+    docs, known = documents(spark, rows), frame(spark, labels)
+    got = toxicity.labelled_sample(docs, known, {1: 30, 0: 50}).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 80
+    every = {r.doc_id: r.text for r in toxicity.labelled_sample(docs, known).collect()}
+    assert len(every) == 400 and all(every[i] == min(t for j, t in rows if j == i and t is not None) for i in (3, 4, 9))
+    a, b = (toxicity.fit(documents(spark, x), known) for x in (rows[:400], rows[:400] + [rows[3]] * 200))
+    assert np.array_equal(a.words, b.words) and np.array_equal(a.weights, b.weights) and a.reject_at == b.reject_at

@@ -13,7 +13,8 @@ The P(toxic) from which a document is rejected comes from held-out labelled rows
 each half of the sample and score the other one, and of all thresholds from ``REJECT_AT`` up the one is taken that
 has the largest share of toxic rows found less ``CLEAN_LOSS`` times the share of clean rows lost.
 
-The model is fitted on a bounded sample of labelled rows, ``SAMPLE`` of each label, drawn by a hash of doc_id.
+The model is fitted on a bounded sample of labelled documents, ``SAMPLE`` of each label, drawn by a hash of doc_id;
+of rows that repeat a doc_id the smallest text counts.
 Scoring reads every whole text once.  The output is the expected grade, the most probable one and P(toxic).
 
 Edge cases: null and wordless texts hold no features; without labelled rows of both kinds, or without a marking
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from tillbook.llm.common import NOT_ALNUM, WordHasher, column, materialize, schema_of, text_slices
 
 SAMPLE = {1: 4000, 0: 8000}            # labelled rows the model is fitted on, at most, by label
+SAMPLE_TASKS = 48                      # a few hundred of them each
 MAX_FEATURES = 4096                    # the most telling words
 PREFIX = 5                             # bytes of a word's beginning
 Z, TIMES = 5.0, 8.0                    # how clearly a feature marks toxic rows
@@ -111,7 +113,8 @@ def _feature_rows(words: np.ndarray):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> DataFrame:
-    """(doc_id, toxic, text) of at most ``sample[label]`` labelled rows of each label, chosen by a hash of doc_id."""
+    """(doc_id, toxic, text) of at most ``sample[label]`` labelled documents of each label, chosen by a hash of doc_id:
+    one row each, with its smallest text."""
     known = (labels.filter("doc_id is not null and toxic in (0, 1)")
              .groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic")))
     drawn = [known.filter(F.col("toxic") == label).orderBy(F.xxhash64("label_id"), "label_id").limit(n) for label, n in sample.items()]
@@ -120,7 +123,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: dict[int, int] =
         ids = ids.unionByName(more)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most sum(sample) pairs of numbers are broadcast
-    return texts.join(F.broadcast(ids), texts.doc_id == ids.label_id).select("doc_id", "toxic", "text")
+    one = texts.join(F.broadcast(ids), texts.doc_id == ids.label_id).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # small partitions would be merged, and a Python worker hold thousands of texts at once
+    return one.repartition(SAMPLE_TASKS, "doc_id")
 
 
 def _marking(held: DataFrame, folds: list[int], size: dict) -> np.ndarray:
