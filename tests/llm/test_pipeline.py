@@ -44,3 +44,15 @@ def test_each_stage_takes_odd_rows_and_no_rows(spark):
             assert n == 0 if not rows else n > 0
     kept = stages.keep_one_of_each_group(spark, documents(spark, TEXTS), SMALL)
     assert kept.filter("doc_id is null").count() == 1
+
+
+def test_one_row_of_repeated_ids_and_texts_stays(spark):
+    a, b = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine"
+    rows = [(1, a), (1, a), (1, b), (2, a), (3, "x y z"), (3, "x y z"), (None, a), (None, a), (None, b), (None, None), (None, None)]
+    docs = documents(spark, rows)
+    kept = stages.keep_one_of_each_group(spark, docs, SMALL)
+    assert kept.columns == docs.columns and kept.schema.simpleString() == docs.schema.simpleString()
+    got = sorted(((r.doc_id, r.text, r.source) for r in kept.collect()), key=str)
+    assert [(i, t) for i, t, _ in got] == sorted([(1, a), (1, b), (3, "x y z"), (None, a), (None, b), (None, None)], key=str)
+    bare = stages.keep_one_of_each_group(spark, docs.select("text", "doc_id"), SMALL)
+    assert bare.columns == ["text", "doc_id"] and bare.count() == 6
