@@ -89,6 +89,13 @@ def test_mix_is_in_training_order_and_whole(spark):
     assert first == sorted(first)
 
 
+def test_report_is_in_training_order(spark):
+    report = curriculum.mix_report(documents(spark, [(i, f"t{i} " * (3 + i % 7)) for i in range(300)]))
+    got = [(r.first_slot, r.doc_id) for r in report.collect()]
+    assert got == sorted(got) and len(got) == 300 and len({s for s, _ in got}) > 100
+    assert "rangepartitioning(first_slot" in report._jdf.queryExecution().toString()
+
+
 def test_no_python_on_the_plan(spark):
     text = curriculum.mix_report(documents(spark, TEXTS))._jdf.queryExecution().toString()
     assert "Python" not in text and "Arrow" not in text and "Pandas" not in text

@@ -122,10 +122,12 @@ def plan(docs: DataFrame, keep: list[str], schedules: list = SCHEDULES, share: f
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken, first_slot) of every row of ``docs``; the slot is -1 for a row
-    that the mix does not take."""
+    that the mix does not take.  Rows stand in the order of their first pass, range-partitioned and sorted."""
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda n, p: n + p["taken"])
-    return plan(docs, ["doc_id"]).select(F.col("row.doc_id").cast("long").alias("doc_id"), "size", "source_size", "target",
+    report = plan(docs, ["doc_id"]).select(F.col("row.doc_id").cast("long").alias("doc_id"), "size", "source_size", "target",
                              taken.alias("taken"), F.coalesce(F.array_min(F.col("passes.slot")), F.lit(-1)).alias("first_slot"))
+    # rows that are not taken share a slot, so their ids spread them
+    return report.repartitionByRange("first_slot", "doc_id").sortWithinPartitions("first_slot", "doc_id")
 
 
 def mix(docs: DataFrame) -> DataFrame:
