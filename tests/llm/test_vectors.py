@@ -95,6 +95,22 @@ def test_graph_recall_over_shards(spark, monkeypatch):
     assert hits >= 0.95 * total
 
 
+def test_graph_recall_with_unequal_norms(spark):
+    """A few vectors 10,000 times as long as the others: lists beyond those few hold the others in right order."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 12)).astype(np.float32).astype(float)
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    x = x.astype(np.float32).astype(float)
+    x[[7, 11, 13]] *= 1e4
+    got = lists(graph_ann.graph_top_k(vectors(spark, [(i, [float(c) for c in v]) for i, v in enumerate(x)]), asks(), 20))
+    hits = total = 0
+    for q in range(0, len(x), 20):
+        order = [i for i in np.lexsort((np.arange(len(x)), -(x @ x[q]))) if i != q][:20]
+        hits += len(set(order) & {i for _, i, _ in got[q]})
+        total += len(order)
+    assert hits >= 0.95 * total
+
+
 def test_pruning_keeps_diverse_edges():
     """A candidate behind a kept one goes; one in another direction stays."""
     angle = np.array([0.0, 0.1, 0.12, -0.3])

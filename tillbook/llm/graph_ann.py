@@ -8,7 +8,8 @@ block runs a beam search on every shard; the beam's nodes are scored exactly (fl
 lists of all shards meet in a tree of bounded merges.
 
 Inner product becomes a distance on the unit sphere by one extra component, sqrt(1 - |x|^2 / M^2) with M the
-shard's largest norm.  Equal vectors of a shard are one node that carries their ids, so a vector repeated by a
+shard's largest norm.  Beside a norm many times its own a vector would fall to the pole, nearer to all others there
+than float32 tells, so norms are split into ranges of a factor of 2^``NORM_BITS`` and shards hold one range each.  Equal vectors of a shard are one node that carries their ids, so a vector repeated by a
 third of all rows neither crowds out edges nor hides copies.
 
 Edge cases: vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows without
@@ -32,6 +33,7 @@ from tillbook.llm.common import map_groups, materialize
 from tillbook.llm.vectors import matrix, merge_top, queries_of, top_lists, usable
 
 SHARD_ROWS, BLOCK_ROWS = 8192, 16384
+NORM_BITS = 4              # norms from 2^-2 to 2^2 share shards, those from 2^2 to 2^6, ...
 DEGREE = 32                # edges of a node
 BUILD_BEAM, SEARCH_BEAM = 64, 96
 ALPHA = 1.2
@@ -209,9 +211,22 @@ def _search(k: int, beam: int):
 def build_index(vectors: DataFrame) -> tuple[DataFrame, int]:
     """The graphs of all shards, written to the shared folder, as (shard, node, ids, embedding, edges), and the
     number of shards.  Every usable row is in the index."""
-    rows = usable(vectors, zero_too=False)
-    shards = max(1, math.ceil(rows.count() / SHARD_ROWS))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    biggest = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + (x / F.col("biggest")) * (x / F.col("biggest")))
+    bits = F.log2("biggest") + F.log2(square) / 2
+    rows = (usable(vectors, zero_too=False).withColumn("biggest", biggest)
+            .withColumn("span", F.floor(bits / NORM_BITS + 0.5).cast("int")).drop("biggest"))
+    # doubles have at most 2,100 / NORM_BITS ranges
+    counts = {r["span"]: r["n"] for r in rows.groupBy("span").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first, many, shards = [], [], 0
+    for span, n in sorted(counts.items()):
+        own = max(1, math.ceil(n / SHARD_ROWS))
+        first += [F.lit(span), F.lit(shards)]
+        many += [F.lit(span), F.lit(own)]
+        shards += own
+    shards = max(1, shards)
+    at = lambda pairs: F.element_at(F.create_map(*pairs), F.col("span")) if pairs else F.lit(1)
+    dealt = rows.withColumn("shard", (at(first) + F.pmod(F.xxhash64("vec_id"), at(many))).cast("int")).drop("span")
     index = map_groups(dealt, ["shard"], _build,
                        "shard int, node int, ids array<long>, embedding array<double>, edges array<int>", 4 * shards)
     return materialize(index, "graphs"), shards
