@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm import (curriculum, exact_topk, graph_ann, license_scan, line_chunks, minhash, sp_viterbi, token_counts,
-                          token_files, toxicity)
+from tillbook.llm import (curriculum, exact_topk, graph_ann, html_extract, license_scan, line_chunks, minhash, prefix_trie,
+                          sp_viterbi, spelling, token_counts, token_files, toxicity)
 from tillbook.llm.common import read_table
 from tillbook.llm.tokenizer_files import public
 
@@ -72,9 +72,24 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations."""
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Much more frequent near word, if any, and root of each word."""
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_graph_ann, op2_curriculum_mix, op3_line_chunks, op4_license_scan, op5_token_counts, op6_exact_topk, op7_token_files,
-    op8_sentencepiece, op9_toxicity, op10_minhash)}
+    op8_sentencepiece, op9_toxicity, op10_minhash, op11_prefix_trie, op12_html_extract, op13_spelling_variants)}
 
 ORACLE = {
     "op6_exact_topk": """
