@@ -2,6 +2,7 @@ import random
 
 from llm.helpers import SMALL, TEXTS, documents
 from tillbook.llm import line_chunks
+from tillbook.llm.common import pack
 
 
 def plain(rows):
@@ -94,3 +95,14 @@ def test_first_copy_of_each_line_stays(spark):
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 12)))) for i in range(60)]
     left = {x for r in check(spark, rows).select("cleaned").collect() for x in r.cleaned.split("\n")}
     assert left - {""} == {x for _, t in rows for x in t.split("\n")}
+
+
+def test_hashes_that_stand_for_several_texts(spark):
+    """With a hash of 16 values nearly all chunks collide: what goes is the same."""
+    rng = random.Random(11)
+    passages = [[sentence(rng) for _ in range(3)] for _ in range(4)]
+    rows = [(i, "\n".join([sentence(rng), *passages[i % 4], sentence(rng)])) for i in range(24)]
+    docs = pack(documents(spark, rows))
+    found, exact = (line_chunks.repeated_chunks(docs, h) for h in (lambda part: len(part) % 16, line_chunks.chunk_hash))
+    places = lambda df: sorted({(r.doc_id, r.a, r.b) for r in df.collect()})
+    assert places(found) == places(exact) and len(places(exact)) > 20

@@ -4,7 +4,7 @@ import random
 import re
 import zlib
 
-from tests.llm.helpers import LOWER, SMALL, TEXTS, documents
+from llm.helpers import LOWER, SMALL, TEXTS, documents
 from tillbook.llm import spelling
 
 RUNS = re.compile("[A-Za-zÀ-ÿ]+")

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from tokenizers import Tokenizer
 
 from llm.helpers import SMALL, TEXTS, documents
 from tillbook.llm import sp_viterbi, token_counts, token_files
+from tillbook.llm.common import byte_slices
 from tillbook.llm.tokenizer_files import Memo, public
 
 BYTE, WORD, PIECE = (public(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -122,3 +124,11 @@ def test_streaming_commits_early_and_whatever_the_portions():
         widest = max(widest, len(stream.window))
     got += stream.finish()
     assert got == want and [pieces.name(n) for n in got] == pieces.merge(text) and widest <= 3 * pieces.longest + 7
+
+
+def test_batches_are_cut_by_bytes():
+    texts = ["é" * 30, None, "", "x" * 500, "y", "z" * 20]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(byte_slices(iter([batch, batch.slice(0, 0)]), "text", 100))
+    assert [p.column(1).to_pylist() for p in parts] == [["é" * 30, None, ""], ["x" * 500], ["y", "z" * 20]]
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()

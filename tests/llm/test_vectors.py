@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from llm.helpers import SMALL
@@ -118,3 +119,10 @@ def test_pruning_keeps_diverse_edges():
     near = np.array([[1, 2, 3]])
     dist = (2 - 2 * points[near[0]] @ points[0])[None, :]
     assert graph_ann.robust_prune(points, near, dist, 3, 1.2).tolist() == [[1, 3, -1]]
+
+
+def test_scores_beyond_64_bits_are_refused():
+    huge = np.full((1, 2), 2.0 ** 40)
+    with pytest.raises(OverflowError):
+        exact_topk._product(huge, huge)
+    assert exact_topk._product(np.full((1, 2), 2.0 ** 30), np.full((1, 2), 2.0 ** 31)).tolist() == [[1 << 62]]

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +74,20 @@ def text_slices(ids: pa.Array, texts: pa.Array, limit: int = SLICE_BYTES) -> Ite
         first = last
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of the text column ``name``; a longer single text is a batch of
+    its own.  Python objects made from a batch stay as small."""
+    for batch in batches:
+        sizes = pc.binary_length(column(batch, name)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        first = 0
+        while first < batch.num_rows:
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -6,7 +6,8 @@ one list per query; the lists of all shards meet in a tree of bounded merges.  E
 candidate is scored, and no task holds more than one shard, one block and one tile.
 
 Components become ``floor(64 * x)``; the score is the integer inner product.  Products run in float64 where all
-partial sums stay below 2^53 (so they are exact) and in Python integers beyond, with scores saturated to 64 bits.
+partial sums stay below 2^53 (so they are exact) and in Python integers beyond.  A score that no 64-bit number holds
+is an error: the query fails with a message and returns nothing that is not the contract's score.
 
 Edge cases: vectors that are null or hold a null or non-finite component take no part, nor do rows without id;
 shorter vectors count as padded with zeros; rows repeating the query's id are its own; a query with fewer than k
@@ -35,13 +36,15 @@ LARGEST = (1 << 63) - 1
 
 
 def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of the rows of ``q`` and ``c`` as int64, saturated."""
+    """Exact integer inner products of the rows of ``q`` and ``c`` as int64."""
     bound = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1]
     if bound < 1 << 53:
         return (q @ c.T).astype(np.int64)
     whole = [[int(x) for x in row] for row in c]
-    return np.array([[max(-LARGEST, min(LARGEST, sum(int(x) * y for x, y in zip(row, other)))) for other in whole]
-                     for row in q], np.int64).reshape(len(q), len(c))
+    scores = [[sum(int(x) * y for x, y in zip(row, other)) for other in whole] for row in q]
+    if any(abs(x) > LARGEST for row in scores for x in row):
+        raise OverflowError("an integer inner product exceeds 64 bits: scale the vectors down")
+    return np.array(scores, np.int64).reshape(len(q), len(c))
 
 
 def _search(k: int):

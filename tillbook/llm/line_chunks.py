@@ -13,7 +13,8 @@ counts from ``LINE_WORDS`` words.
 Candidates are grouped over all documents by hash *and* text: equality of the bytes decides, and the
 pre-aggregation before the shuffle holds a text once per task however often it repeats.  The copy in the smallest
 doc_id stays (its first place there); the lines of all other copies go.  A line only goes where an earlier copy of
-it is, so the first copy of each line stays somewhere.  A hash that stands for two different texts removes nothing.
+it is, so the first copy of each line stays somewhere.  Where a hash stands for several texts, places are looked up by
+hash and text.
 
 Edge cases: null texts stay null and empty ones empty; a text all of whose lines go becomes empty; rows without
 doc_id stay as they are; rows sharing a doc_id count as one document, each keeping what that document keeps; line
@@ -22,7 +23,8 @@ ends are ``\\n`` and stay as they were between kept lines; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +103,11 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
         yield a, b, "\n".join(lines[a:b])
 
 
-def _emit(wanted: np.ndarray | None):
+def chunk_hash(part: str) -> int:
+    return xxhash.xxh3_64_intdigest(part, 1)
+
+
+def _emit(wanted: np.ndarray | None, hashed: Callable[[str], int]):
     """Rows of the candidates: without their text, or (``wanted``: a bit table) with it where the hash is in the
     table."""
     kinds = {"doc_id": pa.int64(), "mark": pa.int64(), "a": pa.int32(), "b": pa.int32(), "hash": pa.int64(),
@@ -117,7 +123,7 @@ def _emit(wanted: np.ndarray | None):
             for doc, mark, text in zip(column(batch, "doc_id"), column(batch, "mark"), column(batch, "text")):
                 seen = set()
                 for a, b, part in candidates(text.as_py()):
-                    key = xxhash.xxh3_64_intdigest(part, 1)
+                    key = hashed(part)
                     if wanted is None or wanted[key % BITS]:
                         rows.append({"doc_id": doc.as_py(), "mark": mark.as_py(), "a": a, "b": b,
                                      "hash": key - (1 << 63), "chunk": part, "again": part in seen})
@@ -130,11 +136,11 @@ def _emit(wanted: np.ndarray | None):
     return run
 
 
-def _chunk_rows(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+def _chunk_rows(docs: DataFrame, hashed: Callable[[str], int], wanted: np.ndarray | None = None) -> DataFrame:
     rows = (docs.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("mark"),
                         F.col("row.text").cast("string").alias("text"))
             .filter("doc_id is not null and text is not null"))
-    return rows.mapInArrow(_emit(wanted), schema_of(
+    return rows.mapInArrow(_emit(wanted, hashed), schema_of(
         f"doc_id long, mark long, a int, b int, hash long, {'' if wanted is None else 'chunk string, '}again boolean"))
 
 
@@ -150,21 +156,29 @@ def bit_table(hashes: DataFrame) -> np.ndarray:
     return np.unpackbits(table.view(np.uint8), bitorder="little")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+def repeated_chunks(docs: DataFrame, hashed: Callable[[str], int] = chunk_hash) -> DataFrame:
     """(doc_id, mark, a, b) of every chunk copy that goes; ``mark`` is the hash of the whole text.
 
     Hashes alone tell which chunks may repeat; only the texts of those (and of the few that share a bit with one)
     are shuffled for the comparison of bytes.  With more repeated hashes than the bit table tells apart, more texts
-    are shuffled and the result stays the same."""
-    places = materialize(_chunk_rows(docs), "chunks")
+    are shuffled and the result stays the same.  Places of a hash that stands for several texts are read again with
+    their texts."""
+    places = materialize(_chunk_rows(docs, hashed), "chunks")
     often = places.filter("not again").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    texts = _chunk_rows(docs, bit_table(often)).filter("not again").groupBy("hash", "chunk").agg(
+    texts = _chunk_rows(docs, hashed, bit_table(often)).filter("not again").groupBy("hash", "chunk").agg(
         F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n"))
-    shared = (texts.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.min("owner").alias("owner"))
-              .filter("texts = 1 and n > 1").select("hash", "owner"))
+    owners = materialize(texts.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.min("owner").alias("owner"))
+                         .filter("texts > 1 or n > 1"), "owners")
+    shared = owners.filter("texts = 1").select("hash", "owner")
+    collided = materialize(owners.filter("texts > 1").select("hash"), "collided")
     elsewhere = places.join(shared, "hash").filter("doc_id <> owner or again")
-    within = places.filter("again").join(shared, "hash", "left_anti")
-    return elsewhere.select("doc_id", "mark", "a", "b").unionByName(within.select("doc_id", "mark", "a", "b"))
+    within = places.filter("again").join(owners.select("hash"), "hash", "left_anti")
+    gone = [elsewhere, within]
+    if not collided.isEmpty():
+        copies = _chunk_rows(docs, hashed, bit_table(collided)).join(collided, "hash", "left_semi")
+        owner = copies.groupBy("hash", "chunk").agg(F.min("doc_id").alias("owner"))
+        gone.append(copies.join(owner, ["hash", "chunk"]).filter("doc_id <> owner or again"))
+    return reduce(DataFrame.unionByName, [g.select("doc_id", "mark", "a", "b") for g in gone])
 
 
 def _without(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

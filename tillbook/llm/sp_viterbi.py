@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.llm.common import column
+from tillbook.llm.common import byte_slices, column
 from tillbook.llm.tokenizer_files import Memo
 
 SPACE = "▁"
@@ -57,7 +57,7 @@ class Pieces:
         # every ending of a piece, with the piece's number if it is one itself, else -1
         self.endings = dict.fromkeys((p[i:] for p in self.names for i in range(len(p))), -1)
         self.endings.update((p, i) for i, p in enumerate(self.names))
-        self.compatible = Memo(self._compatible, 300_000)
+        self.compatible = Memo(self._compatible, 150_000)
         self.pairs = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.raw = [b""] * model.vocab_size()
         for p, i in self.ids.items():
@@ -157,9 +157,9 @@ class StreamingEncoder:
 class PieceCodec:
     def __init__(self, path: str):
         self.pieces = Pieces(path)
-        self.units, self.stretches = Memo(self._unit, 100_000, REMEMBERED), Memo(self._stream, 200_000, REMEMBERED)
-        self.words = Memo(lambda word: self._unit(SPACE + word), 400_000, REMEMBERED)
-        self.states = Memo(lambda text: self._begun(text).state(), 100_000)
+        self.units, self.stretches = Memo(self._unit, 100_000, REMEMBERED), Memo(self._stream, 120_000, REMEMBERED)
+        self.words = Memo(self._word, 400_000, REMEMBERED)
+        self.states = Memo(lambda text: self._begun(text).state(), 50_000)
         self.raw_ids = Memo(lambda number: np.array(self.pieces.ids_of(number), "<i4").tobytes(), 100_000)
 
     def _begun(self, text: str) -> StreamingEncoder:
@@ -178,12 +178,19 @@ class PieceCodec:
             numbers = encoder.feed(text) + encoder.finish()
         return b"".join(map(self.raw_ids.__getitem__, numbers))
 
+    def _word(self, word: str) -> bytes:
+        """A word after a space: remembered here only, not among the stretches again."""
+        return self._stream(SPACE + word) if word.isalpha() else self._unit(SPACE + word)
+
+    def _letters(self, text: str) -> bytes:
+        return self.words[text[1:]] if text[0] == SPACE else self.stretches[text]
+
     def _unit(self, text: str) -> bytes:
         if text[1:].isalpha():
-            return self.stretches[text]
+            return self._letters(text)
         pairs = self.pieces.pairs
         if text[1:-1].isalpha() and text[-2:] not in pairs:
-            return self.stretches[text[:-1]] + self.stretches[text[-1]]
+            return self._letters(text[:-1]) + self.stretches[text[-1]]
         cuts = [0, *[i for i in range(1, len(text)) if text[i - 1:i + 1] not in pairs], len(text)]
         return b"".join([self.stretches[text[a:b]] for a, b in zip(cuts, cuts[1:])])
 
@@ -223,8 +230,10 @@ def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, make) ->
     keep = [c for c in df.columns if c != target]
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(target, kind)])
 
+    of_texts = isinstance(df.schema[source].dataType, T.StringType)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, source) if of_texts else batches:
             new = make(column(batch, source))
             yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in keep], new], [*keep, target])
 
@@ -260,7 +269,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     pass, so no ids travel between processes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = codec(path)
-        for batch in batches:
+        for batch in byte_slices(batches, "text"):
             rows = []
             for text in column(batch, "text"):
                 text = text.as_py() or ""

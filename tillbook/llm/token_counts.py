@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import column, schema_of
+from tillbook.llm.common import byte_slices, column, schema_of
 from tillbook.llm.tokenizer_files import Memo, byte_letters, load
 
 LIMIT = 1024
@@ -104,7 +104,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).count
-        for batch in batches:
+        for batch in byte_slices(batches, "text"):
             n = [count(t) if t else 0 for t in column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_bytes"), pa.array(n, pa.int64())],
                                              ["doc_id", "n_bytes", "n_tokens"])
