@@ -23,8 +23,11 @@ def test_ledger_broadcasts_only_the_chart(model):
     assert "BroadcastExchange" in plan
 
 
-def test_stock_ledger_windows_are_blocked_by_day(model):
+def test_stock_ledger_windows_are_blocked(model, monkeypatch):
     import re
+    from tillbook.operators import levels
+    monkeypatch.setattr(levels, "RUN_ROWS", 100)
+    monkeypatch.setattr(levels, "written", lambda df, name: df)      # the plan of the whole scan in one piece
     plan = _plan(inventory.stock_ledger(model["stock_movements"], model["products"]))
     run_windows = [ln for ln in plan.splitlines() if "Window [" in ln and re.search(r"AS _run#\d+", ln)]
     assert run_windows

@@ -85,3 +85,15 @@ def test_runner_writes_a_registered_query(spark):
     assert main(["cash_position", "/root/testdata/sf0.001", out, "json"]) == 0
     rows = spark.read.json(out).collect()
     assert {r.payment_method for r in rows} == {"Cash", "QRIS", "GoPay", "Debit", "TOTAL"}
+
+
+def test_accounting_keys_without_a_training_library():
+    """A missing library of the training-data operators leaves the other keys in place."""
+    import subprocess
+    import sys
+    code = ("import sys; sys.modules['sentencepiece'] = None\n"
+            "import __spark_entry__ as E\n"
+            "q = E.queries(); print(len(q), len(E.oracle_sql()), 'general_ledger_all' in q, 'pipeline' in q)")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert out[0] == out[1] and out[2:] == ["True", "False"]

@@ -1,24 +1,7 @@
 """Stock, recipes and catalogue views.
 
-Floored running stock
----------------------
-Stock never goes below zero: ``s <- max(0, s + change)``.  With the running
-sum ``S_k = opening + sum(change_1..k)`` (and ``S_0 = opening >= 0``) the
-floored level has the closed form ``F_k = S_k - min(0, min_{j<=k} S_j)``.
-Both the running sum and the running minimum are associative scans, so the
-ledger is computed as a *blocked* scan instead of one window per product:
-
-1. inside each block (product, day and hour; day for materials) a window
-   gives the local running sum ``L`` and its running minimum ``M``;
-2. per block: total ``T`` and minimum ``m`` (no shuffle: the rows are
-   already partitioned by the block);
-3. per product, a window over its *day blocks* (bounded by the calendar, not
-   by the sales volume) gives the block offset ``O`` (opening + earlier
-   totals) and the minimum ``P`` of all earlier levels;
-4. each row: ``S = O + L``, ``F = S - min(0, min(P, O + M))``.
-
-A product holding a third of all movements is therefore spread over as many
-tasks as it has active hours; the exact result equals the sequential fold.
+Floored running stock is an exact blocked scan of several levels (``levels``); this module gives its blocks: prefixes
+of the order of movements, each short enough for one window.
 """
 
 from __future__ import annotations
@@ -27,75 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillbook.functions.periods import in_period, on_date
+from tillbook.operators.levels import floored_closing, floored_ledger, month_openings, month_summaries
 from tillbook.sources import seeds
 from tillbook.sources.adapter import period_headers
 
 MONEY = "decimal(24,2)"  # width of sum(decimal(14,2)); totals of 100 TB fit
 
 
-def _blocked_scan(moves: DataFrame, key: str, block: str, order: list, change: str,
-                  openings: DataFrame, opening_col: str):
-    """Steps 1-3 of the blocked scan: the row-level window pass ``lvl1`` and
-    the per-block table with offset ``_boff`` and earlier minimum ``_prevmin``.
-    (Helper column names are distinct without regard to case: Spark resolves
-    names case-insensitively.)"""
-    wb = Window.partitionBy(key, block)
-    w1 = wb.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    lvl1 = (moves.withColumn("_run", F.sum(change).over(w1))
-            .withColumn("_runmin", F.min("_run").over(w1))
-            .withColumn("_bfirst", F.row_number().over(wb.orderBy(*order)) == 1)
-            .withColumn("_btot", F.sum(change).over(wb))
-            .withColumn("_bmin", F.min("_run").over(wb)))
-    blocks = lvl1.filter(F.col("_bfirst")).select(key, block, "_btot", "_bmin")
-    opening = openings.select(key, F.col(opening_col).alias("_open"))
-    blocks = blocks.join(opening, key, "left").withColumn(
-        "_open", F.coalesce(F.col("_open"), F.lit(0)))
-    w2 = Window.partitionBy(key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (blocks.withColumn("_boff", F.col("_open") + F.coalesce(F.sum("_btot").over(w2), F.lit(0)))
-              .withColumn("_prevmin", F.least(F.col("_open"),
-                                              F.coalesce(F.min(F.col("_boff") + F.col("_bmin")).over(w2),
-                                                         F.col("_open")))))
-    return lvl1, blocks
-
-
-def floored_ledger(moves: DataFrame, key: str, block: str, order: list, change: str,
-                   openings: DataFrame, opening_col: str, level_col: str = "stock_after") -> DataFrame:
-    """Generic floored running level (E1/E2) by a blocked scan.
-
-    ``block`` is the leading order key inside a ``key`` (a day), ``order``
-    orders rows inside a block; ``openings`` has ``key`` and ``opening_col``
-    (non-negative; missing keys open at 0).
-
-    One window pass over (key, block) yields the local running sum and
-    minimum *and* the block's total and minimum.  The block statistics are
-    read from that pass through a narrow projection (key, block, order,
-    change), so the plan has one shuffle of the full rows, one narrow
-    shuffle for the block table, and the join back finds the rows already
-    hash-partitioned on (key, block).  Where ``moves`` is read from written
-    files (the stored movements), both passes read those files only.
-    """
-    lvl1, blocks = _blocked_scan(moves, key, block, order, change, openings, opening_col)
-    out = lvl1.join(blocks.select(key, block, "_boff", "_prevmin"), [key, block], "inner")
-    s = F.col("_boff") + F.col("_run")
-    low = F.least(F.col("_prevmin"), F.col("_boff") + F.col("_runmin"))
-    return (out.withColumn(level_col, s - F.least(F.lit(0), low))
-            .drop("_run", "_runmin", "_boff", "_prevmin", "_bfirst", "_btot", "_bmin"))
-
-
-def floored_closing(moves: DataFrame, key: str, block: str, order: list, change: str,
-                    openings: DataFrame, opening_col: str, level_col: str = "closing") -> DataFrame:
-    """The level after the last movement of every key that has movements.
-
-    Needs only the block table: after the last block the running sum is
-    ``_boff + _btot`` and the lowest level so far is
-    ``min(_prevmin, _boff + _bmin)``; no movement row is joined back.  The
-    last block per key is picked with ``latest_wins`` (a partial aggregate)."""
-    _, blocks = _blocked_scan(moves, key, block, order, change, openings, opening_col)
-    last = latest_wins(blocks.select(key, block, "_boff", "_btot", "_bmin", "_prevmin"), key, [block])
-    low = F.least(F.col("_prevmin"), F.col("_boff") + F.col("_bmin"))
-    return last.select(key, (F.col("_boff") + F.col("_btot") - F.least(F.lit(0), low)).alias(level_col))
-
-
 def _order_cols(df: DataFrame, cols: list[str]) -> list[str]:
     """Use the raw line key when present (no per-sale window needed)."""
     return [("line_key" if c == "line_seq" and "line_key" in df.columns else c) for c in cols]
@@ -105,15 +26,14 @@ SALES_IN_BLOCK = 1 << 16   # sale ids in one block of movements that share a tim
 
 
 def _product_blocks(movements: DataFrame) -> DataFrame:
-    """Block = (day, hour, range of sale ids within the last minute): a prefix
-    of the (date, time, sale, ...) order, so blocks stay contiguous in it.
-    Returns all carry the day's last second; the range of their sale ids
-    spreads them over as many blocks as there are sale ids.  Movements without
-    a date (their sale is unknown) come first."""
+    """Block = (day, minute, range of sale ids within the day's last second): a prefix of the (date, time, sale, ...)
+    order, so blocks stay contiguous in it.  Returns all carry the day's last second; the range of their sale ids
+    spreads them over as many blocks as there are sale ids.  Movements without a date (their sale is unknown) come
+    first."""
     late = F.col("log_time") >= "23:59:59"
     return movements.withColumn("_blk", F.struct(
         F.coalesce("log_date", F.lit("0001-01-01").cast("date")).alias("d"),
-        F.when(late, "23:59:59").otherwise(F.coalesce(F.substring("log_time", 1, 2), F.lit(""))).alias("h"),
+        F.when(late, "23:59:59").otherwise(F.coalesce(F.substring("log_time", 1, 5), F.lit(""))).alias("h"),
         F.when(late, F.floor(F.col("txn_id") / SALES_IN_BLOCK)).otherwise(F.lit(0)).alias("s")))
 
 
@@ -128,17 +48,33 @@ def _openings(products: DataFrame) -> DataFrame:
     return products.select("product_id", F.col("stock").cast("bigint").alias("opening"))
 
 
-def stock_ledger(movements: DataFrame, products: DataFrame) -> DataFrame:
+def stock_ledger(movements: DataFrame, products: DataFrame, openings: DataFrame | None = None) -> DataFrame:
     """Every movement with the floored stock after it; the unclamped
-    change is kept.  Opening stock = the product's ``stock`` column."""
+    change is kept.  Opening stock = the product's ``stock`` column, or
+    ``openings(product_id, opening)``."""
     order = _order_cols(movements, ["log_time", "txn_id", "line_seq", "kind"])
     led = floored_ledger(_product_blocks(movements), "product_id", "_blk", order, "quantity_change",
-                         _openings(products), "opening")
+                         _openings(products) if openings is None else openings, "opening")
     if "product_name" not in led.columns:
         led = led.join(products.select("product_id", F.col("name").alias("product_name")), "product_id", "left")
     return led.drop("_blk").withColumn("stock_after", F.col("stock_after").cast("bigint"))
 
 
+def stock_months(movements: DataFrame) -> DataFrame:
+    """(product_id, log_month, total, low) of stored movements: what each month does to a product's stock, whatever it
+    opens with (``levels``)."""
+    order = _order_cols(movements, ["log_time", "txn_id", "line_seq", "kind"])
+    return month_summaries(_product_blocks(movements), "product_id", "log_month", "_blk", order, "quantity_change")
+
+
+def month_stock_ledger(movements: DataFrame, months: DataFrame, products: DataFrame, month: int, year: int) -> DataFrame:
+    """E1 for one month of stored movements: the stock at its start comes from the summaries of the months before, so
+    only the month's own movements are read."""
+    wanted = f"{year:04d}-{month:02d}"
+    opening = month_openings(months, "product_id", "log_month", _openings(products), "opening", wanted)
+    return stock_ledger(movements.filter(F.col("log_month") == wanted), products, opening)
+
+
 def material_stock_ledger(movements: DataFrame, materials: DataFrame) -> DataFrame:
     """The same floor for raw materials (decimal quantities)."""
     order = _order_cols(movements, ["txn_id", "line_seq"])

@@ -8,19 +8,26 @@ from __future__ import annotations
 
 import uuid
 
-from tillbook.operators import ledger, posting, reports
-from tillbook.plans.catalog import MONTH, YEAR, query
+from pyspark.sql import functions as F
+
+from tillbook.operators import inventory as inv, ledger, posting, reports
+from tillbook.plans.catalog import AS_OF, MONTH, YEAR, query
 from tillbook.plans.oracle_sql import oracle
+from tillbook.plans.q_inventory import E1_COLS, LEDGER_CTE
 from tillbook.plans.q_ledger import GL_SELECT, gl_cte
 from tillbook.plans.q_reports import SUMMARY_SELECT, summary_ctes
 from tillbook.plans.session import scratch_dir
-from tillbook.sources.model_store import load_model, materialize_model
+from tillbook.sources.model_store import load_model, load_stock_months, materialize_model, verify_day, write_stock_months
 
 
-def stored(m, spark):
+def stored_dir(m, spark) -> str:
     out = scratch_dir(spark, f"model-{uuid.uuid4().hex}")
     materialize_model(spark, m, out)
-    return load_model(spark, out)
+    return out
+
+
+def stored(m, spark):
+    return load_model(spark, stored_dir(m, spark))
 
 
 @query("stored_report_summary", oracle(SUMMARY_SELECT, summary_ctes(MONTH, YEAR)))
@@ -41,3 +48,28 @@ def q_stored_ledger(m, spark):
     """I6 for one month from the stored model."""
     t = stored(m, spark)
     return ledger.general_ledger(t["chart_of_accounts"], posting.build_journal(t, None, MONTH, YEAR), MONTH, YEAR)
+
+
+@query("stored_month_stock_ledger", oracle(f"""
+SELECT product_id, product_name, CAST(log_date AS VARCHAR) AS log_date, log_time, txn_id, CAST(kind AS BIGINT) AS kind,
+  movement_type, CAST(quantity_change AS BIGINT) AS quantity_change, reason, CAST(stock_after AS BIGINT) AS stock_after
+FROM led WHERE year(log_date) = {YEAR} AND month(log_date) = {MONTH}""", LEDGER_CTE))
+def q_stored_month_ledger(m, spark):
+    """E1 of one month: its stored movements, opened by the stored summaries of the months before."""
+    out = stored_dir(m, spark)
+    write_stock_months(spark, out)
+    t = load_model(spark, out)
+    return inv.month_stock_ledger(t["stock_movements"], load_stock_months(spark, out), t["products"], MONTH, YEAR).select(*E1_COLS)
+
+
+@query("stored_verify_day", oracle(f"""
+SELECT CAST(date_trunc('month', transaction_date) AS DATE)::VARCHAR AS month, COUNT(*) AS n_sales,
+  COUNT(*) FILTER (WHERE verified OR transaction_date = DATE '{AS_OF}') AS n_verified, CAST(SUM(total) AS DOUBLE) AS total
+FROM transactions GROUP BY 1"""))
+def q_stored_verify_day(m, spark):
+    """J7 on the stored model: one month of headers is rewritten, all months are read back."""
+    out = stored_dir(m, spark)
+    verify_day(spark, out, AS_OF)
+    month = F.trunc("transaction_date", "month").cast("string").alias("month")
+    return load_model(spark, out)["transactions"].groupBy(month).agg(
+        F.count(F.lit(1)).alias("n_sales"), F.count_if("verified").alias("n_verified"), F.sum("total").alias("total"))

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that shape the physical plans of this library.  AQE re-plans at
 # runtime: it coalesces small shuffle partitions, turns a sort-merge join into
@@ -83,3 +84,24 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint location for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+_WRITTEN: list[str] = []
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a new folder of the shared scratch space and read back: its lineage ends there."""
+    path = f"{scratch_dir(df.sparkSession, name)}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the folders that ``written`` made in this process, once no result that reads them is needed any more.
+    Returns their number."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n

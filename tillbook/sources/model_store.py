@@ -14,6 +14,9 @@ layout makes period filters cheap:
 - rows are range-partitioned on (month, sale id) before writing, so write
   tasks are balanced even when one month holds a third of all sales, and
   files are ordered by sale id (tight min/max statistics for id lookups);
+- month-end levels (``write_stock_months``): a summary of each product's movements a month, from which the
+  stock at any month's start follows without the movements before it;
+- changes rewrite only the months they touch (``verify_day``, ``add_movements``);
 - every write goes to a folder of its own, published by a manifest written
   last (``versions``); a failed write leaves the previous model in place.
 
@@ -26,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillbook.operators import changes, inventory
 from tillbook.sources import seeds, versions
 
 PARTITIONED = {
@@ -70,3 +74,43 @@ def load_model(spark: SparkSession, model_dir: str) -> dict[str, DataFrame]:
         "line_key", (-F.col("quantity")).cast("decimal(12,2)").alias("qty_change"))
     tables.update(seeds.seed_dims(spark))
     return tables
+
+
+def write_stock_months(spark: SparkSession, model_dir: str) -> None:
+    """Store the month summaries of the published movements beside the model."""
+    months = inventory.stock_months(load_model(spark, model_dir)["stock_movements"])
+    versions.publish(model_dir, "stock_months", {"stock_months": months},
+                     lambda _, df, path: df.repartitionByRange("log_month", "product_id").write.partitionBy("log_month").parquet(path))
+
+
+def load_stock_months(spark: SparkSession, model_dir: str) -> DataFrame:
+    return versions.read_published(spark, model_dir, "stock_months")["stock_months"]
+
+
+def _months(df: DataFrame, col: str) -> list[str]:
+    """The months that ``df`` touches: one row each reaches the driver."""
+    return sorted(r[0] for r in df.select(_month(col).alias("m")).filter("m is not null").distinct().collect())
+
+
+def verify_day(spark: SparkSession, model_dir: str, day) -> None:
+    """J7 on the stored model: the sales of ``day`` become verified.  One month of headers is read and written."""
+    base = versions.published_at(spark, model_dir, "model")
+    month = day.strftime("%Y-%m")
+    rows = load_model(spark, model_dir)["transactions"].filter(F.col("sale_month") == month)
+    versions.replace_partitions(spark, model_dir, "model", {
+        "transactions": ("sale_month", [month], changes.mark_verified(rows, day))}, base)
+
+
+def add_movements(spark: SparkSession, model_dir: str, late: DataFrame) -> None:
+    """Movements that arrive after their month was stored (columns as stored, dated): their months are rewritten, and of
+    the summaries those of their months.  Later months need nothing: their openings follow from the summaries."""
+    base, stored = versions.published_at(spark, model_dir, "model"), load_model(spark, model_dir)["stock_movements"]
+    touched = _months(late, "log_date")
+    if not touched:
+        return
+    late = late.withColumn("log_month", _month("log_date"))
+    now = stored.filter(F.col("log_month").isin(touched)).unionByName(late.select(*stored.columns))
+    versions.replace_partitions(spark, model_dir, "model", {"stock_movements": ("log_month", touched, now)}, base)
+    again = load_model(spark, model_dir)["stock_movements"].filter(F.col("log_month").isin(touched))
+    versions.replace_partitions(spark, model_dir, "stock_months", {
+        "stock_months": ("log_month", touched, inventory.stock_months(again))})

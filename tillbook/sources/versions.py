@@ -4,6 +4,15 @@ Every write goes to a folder of its own, so nothing that readers use is ever
 overwritten.  A version becomes visible by one small manifest file, appended
 after all its tables are written; readers follow the manifest with the latest
 publishing time through Spark, so any store that Spark reads will do.
+
+A table is a list of folders, each without some values of its partition
+column.  ``replace_partitions`` writes the new rows of the touched partitions
+to a folder of their own and hides those partitions in the older folders, so a
+change costs what it touches and all other files are referred to as they are.
+
+One writer at a time: a writer that another one overtook since it read its
+base is refused (``StaleBase``), but the check and the manifest's append are
+two steps, so two writers must not publish in the same instant.
 """
 
 from __future__ import annotations
@@ -12,8 +21,9 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = "version string, at long, paths string"
@@ -36,19 +46,67 @@ def publish(out_dir: str, version: str, tables: dict[str, DataFrame | Callable[[
         else:
             df.write.parquet(f"{base}/{name}")
         written[name] = spark.read.parquet(f"{base}/{name}")
-    paths = json.dumps({name: f"{base}/{name}" for name in tables})
-    row = spark.createDataFrame([(version, time.time_ns(), paths)], MANIFEST)
-    row.coalesce(1).write.mode("append").json(f"{out_dir.rstrip('/')}/_manifest")
+    _announce(spark, out_dir, version, {name: [{"path": f"{base}/{name}"}] for name in tables})
     return base
 
 
-def read_published(spark: SparkSession, out_dir: str, version: str | None = None) -> dict[str, DataFrame]:
-    """The tables of the latest published version, or of the latest
-    publication of ``version``.  Only manifest rows reach the driver."""
+def _announce(spark: SparkSession, out_dir: str, version: str, tables: dict[str, list[dict]]) -> None:
+    row = spark.createDataFrame([(version, time.time_ns(), json.dumps(tables))], MANIFEST)
+    row.coalesce(1).write.mode("append").json(f"{out_dir.rstrip('/')}/_manifest")
+
+
+class StaleBase(ValueError):
+    """Another version was published since the base was read."""
+
+
+def _last(spark: SparkSession, out_dir: str, version: str | None) -> Row:
     rows = spark.read.schema(MANIFEST).json(f"{out_dir.rstrip('/')}/_manifest")
     if version is not None:
         rows = rows.filter(F.col("version") == version)
     last = rows.orderBy(F.col("at").desc()).limit(1).first()
     if last is None:
         raise ValueError(f"nothing published in {out_dir}")
-    return {name: spark.read.parquet(p) for name, p in json.loads(last["paths"]).items()}
+    return last
+
+
+def published_at(spark: SparkSession, out_dir: str, version: str | None = None) -> int:
+    """When the latest version was published: what a writer passes as its base."""
+    return _last(spark, out_dir, version)["at"]
+
+
+def replace_partitions(spark: SparkSession, out_dir: str, version: str, changes: dict[str, tuple[str, list, DataFrame]],
+                       base: int | None = None) -> None:
+    """Publish ``version`` anew with some partitions replaced: ``changes`` names (partition column, its values, all rows
+    that have them now) by table.  Only those rows are written; every other folder stays as it is.  ``base`` is the
+    ``published_at`` of what the rows were made from."""
+    last = _last(spark, out_dir, version)
+    if base is not None and last["at"] != base:
+        raise StaleBase(f"{version} in {out_dir} was published again")
+    tables = json.loads(last["paths"])
+    for name, (column, values, df) in changes.items():
+        path = f"{out_dir.rstrip('/')}/{version}-{uuid.uuid4().hex}/{name}"
+        df.repartitionByRange(column, *[c for c in df.columns if c != column][:1]).write.partitionBy(column).parquet(path)
+        for part in tables[name]:
+            part["column"], part["without"] = column, sorted({*part.get("without", []), *values})
+        tables[name].append({"path": path})
+    if base is not None and published_at(spark, out_dir, version) != base:
+        raise StaleBase(f"{version} in {out_dir} was published again")
+    _announce(spark, out_dir, version, tables)
+
+
+def _read(spark: SparkSession, parts: list[dict]) -> DataFrame:
+    schema = spark.read.parquet(parts[0]["path"]).schema
+    found = []
+    for part in parts:
+        df = spark.read.schema(schema).parquet(part["path"])
+        if part.get("without"):
+            column = F.col(part["column"])
+            df = df.filter(column.isNull() | ~column.isin(part["without"]))
+        found.append(df)
+    return reduce(DataFrame.unionByName, found)
+
+
+def read_published(spark: SparkSession, out_dir: str, version: str | None = None) -> dict[str, DataFrame]:
+    """The tables of the latest published version, or of the latest
+    publication of ``version``.  Only manifest rows reach the driver."""
+    return {name: _read(spark, parts) for name, parts in json.loads(_last(spark, out_dir, version)["paths"]).items()}
