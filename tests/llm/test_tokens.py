@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from llm.helpers import SMALL, TEXTS, documents
 from tillbook.llm import sp_viterbi, token_counts, token_files
-from tillbook.llm.common import byte_slices
+from tillbook.llm.common import byte_slices, release_codecs
 from tillbook.llm.tokenizer_files import Memo, public
 
 BYTE, WORD, PIECE = (public(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -132,3 +132,12 @@ def test_batches_are_cut_by_bytes():
     parts = list(byte_slices(iter([batch, batch.slice(0, 0)]), "text", 100))
     assert [p.column(1).to_pylist() for p in parts] == [["é" * 30, None, ""], ["x" * 500], ["y", "z" * 20]]
     assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+
+
+def test_codecs_are_released():
+    """What one operator's tasks keep in a worker goes when another operator's begin."""
+    path = public("piece_bpe_32k.model")
+    first = sp_viterbi.codec(path)
+    assert sp_viterbi.codec(path) is first
+    release_codecs()
+    assert sp_viterbi.codec.cache_info().currsize == 0 and sp_viterbi.codec(path) is not first

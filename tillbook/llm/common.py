@@ -7,6 +7,8 @@ bytes; both word classes in use consist of whole UTF-8 characters, so bytes deci
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -74,6 +76,28 @@ def text_slices(ids: pa.Array, texts: pa.Array, limit: int = SLICE_BYTES) -> Ite
         first = last
 
 
+_KEPT: list = []           # caches of codecs that a Python worker keeps from task to task
+
+
+def kept_by_worker(cache):
+    """Marks an ``lru_cache`` whose values are large and last as long as a worker runs tasks of one operator."""
+    _KEPT.append(cache)
+    return cache
+
+
+def release_codecs() -> None:
+    """Give back what other operators' tasks left in this worker: Spark goes on using its Python workers from stage to
+    stage.  Called at the start of tasks that need none of it; costs nothing where nothing is kept."""
+    held = [c for c in _KEPT if c.cache_info().currsize]
+    if held:
+        for c in held:
+            c.cache_clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # the allocator's free pages, where it has the call
+        if trim:
+            trim(0)
+
+
 def byte_slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of the text column ``name``; a longer single text is a batch of
     its own.  Python objects made from a batch stay as small."""

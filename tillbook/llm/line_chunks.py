@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import column, materialize, pack, schema_of
+from tillbook.llm.common import column, materialize, pack, release_codecs, schema_of
 
 WINDOW = 2                 # line hashes in the rolling hash
 MIN_LINES = 2
@@ -118,6 +118,7 @@ def _emit(wanted: np.ndarray | None, hashed: Callable[[str], int]):
         return pa.RecordBatch.from_pylist(rows, pa.schema([(k, kinds[k]) for k in names]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_codecs()
         rows, held = [], 0
         for batch in batches:
             for doc, mark, text in zip(column(batch, "doc_id"), column(batch, "mark"), column(batch, "text")):

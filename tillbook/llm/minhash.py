@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import (SPACES, WordHasher, column, discard, gathered, map_groups, materialize, mix64, random_words, schema_of,
+from tillbook.llm.common import (SPACES, WordHasher, column, discard, gathered, map_groups, materialize, mix64, random_words, release_codecs, schema_of,
                                  text_slices)
 from tillbook.llm.components import connected_components
 
@@ -81,6 +81,7 @@ def _minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release_codecs()
     hasher = WordHasher(SPACES)
     for batch in batches:
         for ids, data, offsets in text_slices(column(batch, "doc_id"), column(batch, "text")):
@@ -127,6 +128,7 @@ def _stack(sig: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def _set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Signature and full shingle set of each text."""
+    release_codecs()
     hasher = WordHasher(SPACES)
     for batch in batches:
         for ids, data, offsets in text_slices(column(batch, "doc_id"), column(batch, "text")):

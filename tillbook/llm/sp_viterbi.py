@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.llm.common import byte_slices, column
+from tillbook.llm.common import byte_slices, column, kept_by_worker
 from tillbook.llm.tokenizer_files import Memo
 
 SPACE = "▁"
@@ -220,6 +220,7 @@ class PieceCodec:
         return b"".join(map(self.pieces.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
+@kept_by_worker
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> PieceCodec:
     return PieceCodec(path)

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import byte_slices, column, schema_of
+from tillbook.llm.common import byte_slices, column, kept_by_worker, schema_of
 from tillbook.llm.tokenizer_files import Memo, byte_letters, load
 
 LIMIT = 1024
@@ -95,6 +95,7 @@ class Counter:
         return len(parts) - 1 + sum(self._plain(p) for p in parts if p)
 
 
+@kept_by_worker
 @functools.lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
     return Counter(path)

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import column, materialize, schema_of
+from tillbook.llm.common import column, kept_by_worker, materialize, schema_of
 from tillbook.llm.tokenizer_files import Memo, byte_letters, load
 from tillbook.plans.session import scratch_dir
 
@@ -171,6 +171,7 @@ class WordEncoder:
         return b"".join(map(self.units.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@kept_by_worker
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, kind: str) -> WordEncoder:
     return WordEncoder(path, kind)

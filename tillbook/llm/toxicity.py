@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import NOT_ALNUM, WordHasher, column, materialize, schema_of, text_slices
+from tillbook.llm.common import NOT_ALNUM, WordHasher, column, materialize, release_codecs, schema_of, text_slices
 
 SAMPLE = {1: 4000, 0: 8000}            # labelled rows the model is fitted on, at most, by label
 SAMPLE_TASKS = 48                      # a few hundred of them each
@@ -83,6 +83,7 @@ def _rates(n: np.ndarray, doc: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct features of each labelled text."""
+    release_codecs()
     hasher = WordHasher(NOT_ALNUM)
     for batch in batches:
         named = pa.StructArray.from_arrays([column(batch, "toxic"), column(batch, "fold")], ["toxic", "fold"])
@@ -98,6 +99,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _feature_rows(words: np.ndarray):
     """One row per labelled text: its words, features and their occurrences."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_codecs()
         hasher = WordHasher(NOT_ALNUM)
         for batch in batches:
             names = ["doc_id", "toxic", "fold"]
@@ -219,6 +221,7 @@ def severity(text: Column, model: Model) -> Column:
     """Struct (severity, grade, p_toxic, toxic) of a text column."""
     @F.arrow_udf("severity double, grade int, p_toxic double, toxic boolean")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release_codecs()
         hasher = WordHasher(NOT_ALNUM)
         for text in texts:
             eta = []
