@@ -57,6 +57,57 @@ def test_record_sales_publishes_manifest(spark):
     assert not got["transactions"].collect()[0].verified
 
 
+def test_a_receipt_is_recorded_once(spark):
+    it = items(spark, [(1, 1, 10, "Bread", 2, "18500", "7000"), (2, 1, 10, "Bread", 1, "18500", "7000"),
+                       (3, 1, 10, "Bread", 1, "18500", "7000")])
+    tx = txns(spark, [(1, "2026-05-20", "10:00:00", "QRIS"), (2, "2026-05-20", "11:00:00", "Cash")])
+    p = products(spark, [(10, "bun", "Bread", "18500", "7000", 9, 5, True)])
+    out = _out(spark, "replay")
+    changes.record_sales(tx.filter("txn_id = 1"), it, p, out, "v1", "2026-05-20")
+    stock = versions.read_published(spark, out)["products"]
+    changes.record_sales(tx, it, stock, out, "v2", "2026-05-20")
+    got = versions.read_published(spark, out)
+    assert [r.txn_id for r in got["transactions"].collect()] == [2]
+    assert [(r.txn_id, r.rejected) for r in got["rejected_sales"].collect()] == [(1, "receipt recorded before")]
+    assert got["products"].collect()[0].stock == 6
+    assert got["transaction_items"].count() == 1 and got["receipts"].count() == 2
+    # the whole batch again: nothing changes, the index keeps its receipts
+    changes.record_sales(tx, it, got["products"], out, "v3", "2026-05-20")
+    again = versions.read_published(spark, out)
+    assert again["transactions"].count() == again["inventory_logs"].count() == again["journal_entries"].count() == 0
+    assert again["products"].collect()[0].stock == 6 and again["rejected_sales"].count() == again["receipts"].count() == 2
+    # two sales of one receipt, and one without
+    receipt = F.when(F.col("txn_id") == 5, F.lit(None)).otherwise(F.lit("R-9"))
+    odd = txns(spark, [(3, "2026-05-21", "12:00:00", "Cash"), (4, "2026-05-21", "09:00:00", "Cash"),
+                       (5, "2026-05-21", "09:00:00", "Cash")]).withColumn("receipt_no", receipt)
+    changes.record_sales(odd, it, again["products"], out, "v4", "2026-05-21")
+    last = versions.read_published(spark, out)
+    assert [r.txn_id for r in last["transactions"].collect()] == [4]
+    assert sorted((r.txn_id, r.rejected) for r in last["rejected_sales"].collect()) == [
+        (3, "receipt of an earlier sale of the batch"), (5, "receipt missing")]
+    assert last["products"].collect()[0].stock == 6
+
+
+def test_receipt_lookup_reads_the_buckets_of_the_batch(spark):
+    from tillbook.sources import receipts
+    it = items(spark, [(1, 1, 10, "Bread", 2, "18500", "7000")])
+    tx = txns(spark, [(1, "2026-05-20", "10:00:00", "QRIS")])
+    p = products(spark, [(10, "bun", "Bread", "18500", "7000", 9, 5, True)])
+    out = _out(spark, "buckets")
+    changes.record_sales(tx, it, p, out, "v1", "2026-05-20")
+    parts = versions.latest(spark, out)["tables"][receipts.TABLE]
+    plan = receipts.known(spark, parts, tx)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_a_version_made_from_an_older_one_is_refused(spark):
+    out = _out(spark, "stale")
+    rows = spark.range(3)
+    versions.publish(out, "a", {"rows": rows}, base_at=0)
+    with pytest.raises(versions.StaleBase):
+        versions.publish(out, "b", {"rows": rows}, base_at=0)
+
+
 def test_failed_batch_leaves_the_old_version(spark):
     it = items(spark, [(1, 1, 10, "Bread", 2, "18500", "7000")])
     tx = txns(spark, [(1, "2026-05-20", "10:00:00", "QRIS")])

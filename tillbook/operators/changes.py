@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tillbook.operators.inventory import floored_ledger, latest_wins, stock_ledger
 from tillbook.operators.posting import post_sales, sale_totals
-from tillbook.sources import versions
+from tillbook.plans.session import written
+from tillbook.sources import receipts, versions
 
 
 def _date(d) -> Column:
@@ -175,6 +176,10 @@ def record_sales(headers: DataFrame, lines: DataFrame, products: DataFrame, out_
     """Record a batch of sales: totals (I1), journal (I2), stock log and
     new stock (E1 with the sales as negative changes).
 
+    A receipt is recorded once: sales whose receipt is missing, was recorded
+    in ``out_dir`` before, or belongs to an earlier sale of the batch change
+    nothing and are listed in ``rejected_sales`` with the reason, so a batch
+    delivered twice is a no-op the second time (``sources.receipts``).
     Recorded sales are not verified yet; the log names the product, the
     movement type and the cashier; products whose stock changed are stamped
     with ``as_of``.  The tables are written to a new folder of ``version`` and
@@ -182,6 +187,13 @@ def record_sales(headers: DataFrame, lines: DataFrame, products: DataFrame, out_
     and a failed batch leaves the previous version in place.  ``out_dir`` must
     be a shared folder on a cluster (e.g. under ``spark.checkpoint.dir``).
     Returns the folder of the written version."""
+    spark = headers.sparkSession
+    last = versions.latest(spark, out_dir) or {"at": 0, "tables": {}}
+    index = last["tables"].get(receipts.TABLE, [])
+    judged = written(receipts.judge(spark, index, headers), "judged-sales")
+    rejected = judged.filter("rejected is not null")
+    headers = judged.filter("rejected is null").drop("rejected")
+    lines = lines.join(headers.select("txn_id"), "txn_id", "left_semi")
     totals = sale_totals(lines)
     zero = F.lit(0).cast("decimal(14,2)")
     tx = (headers.drop("verified").join(totals.select("txn_id", "subtotal", "tax", "total"), "txn_id", "left")
@@ -203,6 +215,16 @@ def record_sales(headers: DataFrame, lines: DataFrame, products: DataFrame, out_
         return update_rows(products, last.select("product_id", F.col("stock_after").cast("int").alias("stock")),
                            "product_id", as_of)
 
-    return versions.publish(out_dir, version, {
-        "transactions": tx, "transaction_items": lines, "journal_entries": post_sales(tx, lines),
-        "inventory_logs": stock_ledger(moves, products), "products": new_stock})
+    def write(name: str, df: DataFrame, path: str) -> None:
+        if name == receipts.TABLE:
+            receipts.with_bucket(df).repartition("bucket").write.partitionBy("bucket").parquet(path)
+        else:
+            df.write.parquet(path)
+
+    tables = {"transactions": tx, "transaction_items": lines, "journal_entries": post_sales(tx, lines),
+              "inventory_logs": stock_ledger(moves, products), "products": new_stock,
+              "rejected_sales": rejected.select("txn_id", "receipt_no", "transaction_date", "rejected")}
+    if headers.isEmpty():          # nothing to add to the index
+        return versions.publish(out_dir, version, tables, write, {receipts.TABLE: index}, last["at"])
+    tables[receipts.TABLE] = headers.select("receipt_no", "txn_id")
+    return versions.publish(out_dir, version, tables, write, {receipts.TABLE: index}, last["at"])

@@ -302,3 +302,32 @@ def q_record_sales_tables(m, spark):
     return (row("transactions", "total", F.count(F.when(~F.col("verified"), 1)))
             .unionByName(row("transaction_items", "line_total")).unionByName(row("journal_entries", "debit"))
             .unionByName(row("products", "stock", F.count("updated_at"))))
+
+
+@query("record_sales_replayed", oracle(f"""
+SELECT 'transactions' AS table_name, COUNT(*) AS n, CAST(SUM(total) AS DOUBLE) AS amount
+FROM transactions WHERE transaction_date = DATE '{AS_OF}' AND transaction_time >= '12:00:00'
+UNION ALL SELECT 'rejected_sales', COUNT(*), 0.0 FROM transactions WHERE transaction_date = DATE '{AS_OF}' AND transaction_time < '12:00:00'
+UNION ALL SELECT 'receipts', COUNT(*), 0.0 FROM transactions WHERE transaction_date = DATE '{AS_OF}'
+UNION ALL SELECT 'products', COUNT(*), CAST(SUM(COALESCE(l.stock_after, p.stock)) AS DOUBLE) FROM products p LEFT JOIN (
+  SELECT product_id, stock_after FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY log_time DESC, txn_id DESC,
+    line_seq DESC) AS rn FROM day_log) WHERE rn = 1) l ON l.product_id = p.product_id""", RECORDED_SQL))
+def q_record_sales_replayed(m, spark):
+    """J10 with K2's rule: the morning's sales are recorded, then the whole day is
+    delivered; the morning's receipts are rejected and move no stock twice."""
+    import uuid
+    from tillbook.plans.session import scratch_dir
+    from tillbook.sources import versions
+    from tillbook.sources.adapter import period_headers, sale_lines
+    day = period_headers(m, day=AS_OF)
+    morning = day.filter("transaction_time < '12:00:00'")
+    out = scratch_dir(spark, f"replayed-{uuid.uuid4().hex}")
+    ch.record_sales(morning, sale_lines(m, morning).drop("line_key"), m["products"], out, "morning", AS_OF)
+    products = versions.read_published(spark, out)["products"].drop("updated_at")
+    ch.record_sales(day, sale_lines(m, day).drop("line_key"), products, out, "day", AS_OF)
+    t = versions.read_published(spark, out)
+
+    def row(name, amount):
+        return t[name].agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"), amount.cast("double").alias("amount"))
+    return (row("transactions", F.sum("total")).unionByName(row("rejected_sales", F.lit(0.0)))
+            .unionByName(row("receipts", F.lit(0.0))).unionByName(row("products", F.sum("stock"))))

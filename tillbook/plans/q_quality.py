@@ -102,7 +102,7 @@ def q_orphans_after_cut(m, spark):
     an unknown payment method are missing from their tables."""
     t = _with_journal(m)
     t["products"] = m["products"].filter("active")
-    t["transactions"] = m["transactions"].filter(F.col("payment_method") != "Voucher")
+    t["sale_headers"] = m["sale_headers"].filter(F.col("payment_method") != "Voucher")
     return q.orphans(t)
 
 

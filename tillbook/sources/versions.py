@@ -30,11 +30,14 @@ MANIFEST = "version string, at long, paths string"
 
 
 def publish(out_dir: str, version: str, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]],
-            write: Callable[[str, DataFrame, str], None] | None = None) -> str:
+            write: Callable[[str, DataFrame, str], None] | None = None, carried: dict[str, list[dict]] | None = None,
+            base_at: int | None = None) -> str:
     """Write ``tables`` in order to a new folder under ``out_dir`` and publish
     them as ``version``.  A callable gets the tables written so far (read back)
     and returns its own.  ``write(name, df, path)`` replaces the plain Parquet
-    write.  Returns the folder."""
+    write.  ``carried`` names folders of earlier versions that a table goes on
+    holding.  ``base_at``: when the version was published that the tables were
+    made from (0: none); a later one is ``StaleBase``.  Returns the folder."""
     base = f"{out_dir.rstrip('/')}/{version}-{uuid.uuid4().hex}"
     written: dict[str, DataFrame] = {}
     spark = None
@@ -46,7 +49,12 @@ def publish(out_dir: str, version: str, tables: dict[str, DataFrame | Callable[[
         else:
             df.write.parquet(f"{base}/{name}")
         written[name] = spark.read.parquet(f"{base}/{name}")
-    _announce(spark, out_dir, version, {name: [{"path": f"{base}/{name}"}] for name in tables})
+    if base_at is not None and (latest(spark, out_dir) or {"at": 0})["at"] != base_at:
+        raise StaleBase(f"{out_dir} was published again")
+    kept = {name: list(parts) for name, parts in (carried or {}).items() if parts}
+    for name in tables:
+        kept[name] = [*kept.get(name, []), {"path": f"{base}/{name}"}]
+    _announce(spark, out_dir, version, kept)
     return base
 
 
@@ -59,6 +67,15 @@ class StaleBase(ValueError):
     """Another version was published since the base was read."""
 
 
+def latest(spark: SparkSession, out_dir: str) -> dict | None:
+    """The last publication in ``out_dir``: ``at`` and ``tables`` (folders by table); None before the first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out_dir.rstrip('/')}/_manifest")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    last = _last(spark, out_dir, None)
+    return {"at": last["at"], "tables": json.loads(last["paths"])}
+
+
 def _last(spark: SparkSession, out_dir: str, version: str | None) -> Row:
     rows = spark.read.schema(MANIFEST).json(f"{out_dir.rstrip('/')}/_manifest")
     if version is not None:
@@ -94,7 +111,8 @@ def replace_partitions(spark: SparkSession, out_dir: str, version: str, changes:
     _announce(spark, out_dir, version, tables)
 
 
-def _read(spark: SparkSession, parts: list[dict]) -> DataFrame:
+def read_parts(spark: SparkSession, parts: list[dict]) -> DataFrame:
+    """The rows of a table's folders, without the partitions that later folders replaced."""
     schema = spark.read.parquet(parts[0]["path"]).schema
     found = []
     for part in parts:
@@ -109,4 +127,4 @@ def _read(spark: SparkSession, parts: list[dict]) -> DataFrame:
 def read_published(spark: SparkSession, out_dir: str, version: str | None = None) -> dict[str, DataFrame]:
     """The tables of the latest published version, or of the latest
     publication of ``version``.  Only manifest rows reach the driver."""
-    return {name: _read(spark, parts) for name, parts in json.loads(_last(spark, out_dir, version)["paths"]).items()}
+    return {name: read_parts(spark, parts) for name, parts in json.loads(_last(spark, out_dir, version)["paths"]).items()}
