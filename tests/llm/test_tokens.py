@@ -76,6 +76,23 @@ def test_elias_fano_round_trip(gaps, low):
     assert [ef.select(i) for i in range(len(values))] == values.tolist()
 
 
+def test_token_files_of_any_folder_form_and_a_hot_id(spark, tmp_path):
+    """``/x``, ``file:/x`` and ``file:///x`` name one folder; one id's rows fill several shards, in reruns alike."""
+    library = Tokenizer.from_file(WORD)
+    rows = [(7, f"text number {i} of one id") for i in range(400)] + [(8, "after"), (6, "before")]
+    want = sorted(zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")) for _, t in rows)
+    seen = []
+    for form in (f"{tmp_path}/a", f"file:{tmp_path}/b", f"file://{tmp_path}/c"):
+        files = token_files.write_token_files(documents(spark, rows), WORD, form, 2, shards=4).collect()
+        assert sum(f.n_docs for f in files) == len(rows) and max(f.n_docs for f in files) < 200
+        got = token_files.read_token_files(spark, form).orderBy("start").collect()
+        assert [r.doc_id for r in got] == [6, *[7] * 400, 8]
+        assert sorted(r.ids_crc32 for r in got) == want
+        assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+        seen.append([(r.doc_id, r.ids_crc32) for r in got])
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_shard_gives_documents_in_little_space():
     counts = np.array([3, 0, 5, 1000, 1])
     ids = np.arange(counts.sum(), dtype="<u2")

@@ -14,7 +14,9 @@ directory built when a file is opened.  A task writes to a name of its own and p
 or duplicated task replaces a file with equal bytes.
 
 Edge cases: a null text has no ids but the end id; rows that repeat a doc_id stand next to each other, ordered by
-text; rows without doc_id come first; an empty table gives no files and an empty result; extra columns are ignored.
+text, over several shards where their texts begin differently (the range bounds hold 64 characters of a text); rows
+without doc_id come first, likewise; an empty table gives no files and an empty result; extra columns are ignored.  A folder
+without scheme lies in the session's default store, for tasks as for Spark's reader.
 """
 
 from __future__ import annotations
@@ -177,11 +179,19 @@ def encoder(path: str, kind: str) -> WordEncoder:
     return WordEncoder(path, kind)
 
 
+def store_uri(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme and host that Spark resolves it to, in the form that Arrow reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}"
+
+
 def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, shards: int | None = None) -> DataFrame:
     """Write ``docs`` in ascending doc_id order as shard files under ``folder``; returns one row per file:
     (shard, file, n_docs, n_ids).  Running it again writes the same bytes under the same names."""
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    uri = store_uri(spark, folder)
     width = 2 if max(load(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +208,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, shar
             return
         context = TaskContext.get()
         shard = context.partitionId()
-        store, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, base = fs.FileSystem.from_uri(uri)
         store.create_dir(base, recursive=True)
         final = f"{base}/shard-{shard:06d}.tok"
         own = f"{base}/.shard-{shard:06d}-{context.taskAttemptId()}-{uuid.uuid4().hex}"
@@ -211,7 +221,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, shar
                                           "n_ids": pa.array([sum(counts)], pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the beginning of the text deals repeated ids over shards in order; whole texts never serve as range bounds
+    ordered = rows.repartitionByRange(shards, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, schema_of("shard int, file string, n_docs long, n_ids long"))
 
 
