@@ -35,7 +35,7 @@ def period_predicate(col: str | Column, month: int | None = None, year: int | No
 
 
 # Month partition column written next to a date column by the model store.
-MONTH_PARTITION = {"transaction_date": "sale_month", "log_date": "log_month", "entry_date": "entry_month"}
+MONTH_PARTITION = {"transaction_date": "sale_month", "sale_date": "cube_month", "log_date": "log_month", "entry_date": "entry_month"}
 
 
 def _month_prune(df: DataFrame, col: str, start: dt.date, end_exclusive: dt.date) -> DataFrame:

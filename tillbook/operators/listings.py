@@ -160,20 +160,21 @@ def movement_listing(ledger_or_moves: DataFrame, n: int = 100, products: DataFra
                     F.abs("quantity_change").alias("qty"), "reason", "performed_by", "txn_id", "kind"))
 
 
-def txn_item_alignment(t) -> DataFrame:
-    """D11 (pre-aggregated): per year and month, sales, lines, header totals,
-    line totals and header total - lines x 1.11; lines are summed per sale
-    before meeting the header, so header totals are counted once."""
+def sale_alignment(t) -> DataFrame:
+    """D11 by sale: date, header total, number and sum of its lines."""
     per = sale_totals(t["transaction_items"])
     if "sale_headers" in t:        # header totals are derived from these same lines: one pass
-        j = (t["sale_headers"].select("txn_id", "transaction_date")
-             .join(per.select("txn_id", F.col("subtotal").alias("items_total"), "n_lines", "total"), "txn_id", "left")
-             .withColumn("total", F.coalesce(F.col("total"), F.lit(0).cast("decimal(14,2)"))))
-    else:
-        per = per.select("txn_id", F.col("subtotal").alias("items_total"), "n_lines")
-        j = t["transactions"].select("txn_id", "transaction_date", "total").join(per, "txn_id", "left")
+        return (t["sale_headers"].select("txn_id", "transaction_date")
+                .join(per.select("txn_id", F.col("subtotal").alias("items_total"), "n_lines", "total"), "txn_id", "left")
+                .withColumn("total", F.coalesce(F.col("total"), F.lit(0).cast("decimal(14,2)"))))
+    per = per.select("txn_id", F.col("subtotal").alias("items_total"), "n_lines")
+    return t["transactions"].select("txn_id", "transaction_date", "total").join(per, "txn_id", "left")
+
+
+def alignment_by_month(by_sale: DataFrame) -> DataFrame:
+    """D11 from ``sale_alignment`` rows."""
     d = F.col("transaction_date")
-    return (j.groupBy(F.year(d).alias("year"), F.month(d).alias("month"))
+    return (by_sale.groupBy(F.year(d).alias("year"), F.month(d).alias("month"))
             .agg(F.count(F.lit(1)).alias("transactions"),
                  F.coalesce(F.sum("n_lines"), F.lit(0)).alias("items"),
                  F.sum("total").cast(MONEY).alias("txn_revenue"),
@@ -182,18 +183,34 @@ def txn_item_alignment(t) -> DataFrame:
                         .cast("decimal(22,4)")))
 
 
-def txn_item_alignment_literal(t) -> DataFrame:
-    """D11 as the check query states it: header totals repeat once per line
-    after the join, and months of different years share a group."""
-    j = t["transactions"].select("txn_id", "transaction_date", "total").join(
+def txn_item_alignment(t) -> DataFrame:
+    """D11 (pre-aggregated): per year and month, sales, lines, header totals,
+    line totals and header total - lines x 1.11; lines are summed per sale
+    before meeting the header, so header totals are counted once."""
+    return alignment_by_month(sale_alignment(t))
+
+
+def header_line_rows(t) -> DataFrame:
+    """Every header with each of its lines, header totals repeated."""
+    return t["transactions"].select("txn_id", "transaction_date", "total").join(
         t["transaction_items"].select("txn_id", "line_total"), "txn_id", "left")
-    return (j.groupBy(F.month("transaction_date").alias("month"))
+
+
+def literal_by_month(rows: DataFrame) -> DataFrame:
+    """D11 from ``header_line_rows``."""
+    return (rows.groupBy(F.month("transaction_date").alias("month"))
             .agg(F.countDistinct("txn_id").alias("transactions"), F.count("line_total").alias("items"),
                  F.sum("total").cast(MONEY).alias("txn_revenue"), F.sum("line_total").cast(MONEY).alias("items_revenue"))
             .withColumn("diff", (F.col("txn_revenue") - F.col("items_revenue") * F.lit(1.11).cast("decimal(3,2)"))
                         .cast("decimal(22,4)")))
 
 
+def txn_item_alignment_literal(t) -> DataFrame:
+    """D11 as the check query states it: header totals repeat once per line
+    after the join, and months of different years share a group."""
+    return literal_by_month(header_line_rows(t))
+
+
 def row_counts(tables: dict[str, DataFrame], names: list[str]) -> DataFrame:
     """Loaded rows per table (one global count each, stacked)."""
     out = None

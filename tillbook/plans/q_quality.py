@@ -74,10 +74,13 @@ def q_nulls(m, spark):
     return q.null_required(m)
 
 
-@query("header_vs_lines", oracle("""
+HEADER_VS_LINES_SQL = """
 SELECT txn_id, receipt_no, CAST(supplied_total AS DOUBLE) AS supplied_total, CAST(total AS DOUBLE) AS recomputed_total,
   CAST(supplied_total - total AS DOUBLE) AS diff
-FROM transactions WHERE supplied_total <> total"""))
+FROM transactions WHERE supplied_total <> total"""
+
+
+@query("header_vs_lines", oracle(HEADER_VS_LINES_SQL))
 def q_header_vs_lines(m, spark):
     """K5."""
     return q.header_vs_lines(m)

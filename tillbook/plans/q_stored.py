@@ -10,13 +10,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tillbook.operators import inventory as inv, ledger, posting, reports
+from tillbook.operators import inventory as inv, ledger, listings, posting, quality, reports
 from tillbook.plans.catalog import AS_OF, MONTH, YEAR, query
 from tillbook.plans.oracle_sql import oracle
 from tillbook.plans.q_inventory import E1_COLS, LEDGER_CTE
-from tillbook.plans.q_ledger import GL_SELECT, gl_cte
+from tillbook.plans.q_ledger import GL_SELECT, J_COLS, J_SQL, gl_cte
+from tillbook.plans.q_listings import ALIGNMENT_LITERAL_SQL, ALIGNMENT_SQL
+from tillbook.plans.q_quality import HEADER_VS_LINES_SQL
 from tillbook.plans.q_reports import SUMMARY_SELECT, summary_ctes
 from tillbook.plans.session import scratch_dir
+from tillbook.sources import sale_buckets
 from tillbook.sources.model_store import load_model, load_stock_months, materialize_model, verify_day, write_stock_months
 
 
@@ -73,3 +76,34 @@ def q_stored_verify_day(m, spark):
     month = F.trunc("transaction_date", "month").cast("string").alias("month")
     return load_model(spark, out)["transactions"].groupBy(month).agg(
         F.count(F.lit(1)).alias("n_sales"), F.count_if("verified").alias("n_verified"), F.sum("total").alias("total"))
+
+
+def by_sale(m, spark, operator):
+    """``operator`` over the sales of ``m``, stored in buckets of the sale id."""
+    out = scratch_dir(spark, f"sales-{uuid.uuid4().hex}")
+    sale_buckets.materialize_sale_buckets(spark, m, out)
+    return sale_buckets.over_parts(sale_buckets.load_sale_buckets(spark, out), operator)
+
+
+@query("bucketed_alignment", oracle(ALIGNMENT_SQL))
+def q_bucketed_alignment(m, spark):
+    """D11/C2 over bucketed sales: no exchange up to the sums by month."""
+    return listings.alignment_by_month(by_sale(m, spark, listings.sale_alignment))
+
+
+@query("bucketed_alignment_literal", oracle(ALIGNMENT_LITERAL_SQL))
+def q_bucketed_alignment_literal(m, spark):
+    """C13 over bucketed sales: headers meet their lines without an exchange."""
+    return listings.literal_by_month(by_sale(m, spark, listings.header_line_rows))
+
+
+@query("bucketed_header_vs_lines", oracle(HEADER_VS_LINES_SQL))
+def q_bucketed_header_vs_lines(m, spark):
+    """K5 over bucketed sales: no exchange at all."""
+    return by_sale(m, spark, quality.header_vs_lines)
+
+
+@query("bucketed_post_sales", oracle(f"SELECT {J_SQL} FROM sales_journal"))
+def q_bucketed_post_sales(m, spark):
+    """I2 over bucketed sales: no exchange at all."""
+    return by_sale(m, spark, lambda t: posting.post_sales(t["sale_headers"], t["transaction_items"]).select(*J_COLS))

@@ -48,7 +48,7 @@ def publish(out_dir: str, version: str, tables: dict[str, DataFrame | Callable[[
             write(name, df, f"{base}/{name}")
         else:
             df.write.parquet(f"{base}/{name}")
-        written[name] = spark.read.parquet(f"{base}/{name}")
+        written[name] = spark.read.schema(df.schema).parquet(f"{base}/{name}")     # a table without rows may have no file
     if base_at is not None and (latest(spark, out_dir) or {"at": 0})["at"] != base_at:
         raise StaleBase(f"{out_dir} was published again")
     kept = {name: list(parts) for name, parts in (carried or {}).items() if parts}
@@ -67,12 +67,13 @@ class StaleBase(ValueError):
     """Another version was published since the base was read."""
 
 
-def latest(spark: SparkSession, out_dir: str) -> dict | None:
-    """The last publication in ``out_dir``: ``at`` and ``tables`` (folders by table); None before the first."""
+def latest(spark: SparkSession, out_dir: str, version: str | None = None) -> dict | None:
+    """The last publication in ``out_dir`` (of ``version``): ``at`` and ``tables`` (folders by table); None before the
+    first of all."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out_dir.rstrip('/')}/_manifest")
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return None
-    last = _last(spark, out_dir, None)
+    last = _last(spark, out_dir, version)
     return {"at": last["at"], "tables": json.loads(last["paths"])}
 
 
