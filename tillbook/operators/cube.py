@@ -13,38 +13,40 @@ categories, however many sales they stand for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.functions.periods import in_period
+from tillbook.functions.periods import in_period, period_predicate
+from tillbook.operators import reports
 from tillbook.operators.posting import category_lines
 from tillbook.sources import seeds
 
 MONEY = "decimal(24,2)"
 GRAIN = ["sale_date", "payment_method", "level", "category"]
-FIGURES = {"n_sales": "bigint", "revenue": MONEY, "cogs": MONEY, "total": MONEY}
+FIGURES = {"n_sales": "bigint", "n_lines": "bigint", "revenue": MONEY, "cogs": MONEY, "total": MONEY}
 SALE, CATEGORY = "sale", "category"
 
 
 def daily_cube(headers: DataFrame, lines: DataFrame) -> DataFrame:
     """The cube of the sales in ``headers`` (one row a sale) from their ``lines``, read once.  Lines of other sales count
     nothing; a sale without lines counts as one of total zero; a null day or method is a group of its own."""
-    cats = category_lines(lines).select("txn_id", "category", "revenue", "cogs")
+    cats = category_lines(lines).select("txn_id", "category", "revenue", "cogs", "n_lines")
     by_sale = cats.groupBy("txn_id").agg(
         # one element per category present on the sale
-        F.collect_list(F.struct("category", "revenue", "cogs")).alias("cats"),
-        F.sum("revenue").alias("revenue"), F.sum("cogs").alias("cogs"))
+        F.collect_list(F.struct("category", "revenue", "cogs", "n_lines")).alias("cats"),
+        F.sum("n_lines").alias("n_lines"), F.sum("revenue").alias("revenue"), F.sum("cogs").alias("cogs"))
     zero = F.lit(0).cast(MONEY)
     net, cost = F.coalesce(F.col("revenue").cast(MONEY), zero), F.coalesce(F.col("cogs").cast(MONEY), zero)
     total = (net + F.round(net * F.lit(seeds.VAT_RATE), 0)).cast(MONEY)
 
-    def fact(level, category, n, revenue, cogs, gross):
-        return F.struct(F.lit(level).alias("level"), category.cast("string").alias("category"), F.lit(n).cast("bigint").alias("n_sales"),
-                        revenue.cast(MONEY).alias("revenue"), cogs.cast(MONEY).alias("cogs"), gross.cast(MONEY).alias("total"))
+    def fact(level, category, n_sales, n_lines, revenue, cogs, gross):
+        return F.struct(F.lit(level).alias("level"), category.cast("string").alias("category"),
+                        *[v.cast(FIGURES[c]).alias(c) for c, v in zip(FIGURES, (n_sales, n_lines, revenue, cogs, gross))])
 
-    per_category = F.transform(F.coalesce("cats", F.array().cast("array<struct<category:string,revenue:decimal(14,2),cogs:decimal(14,2)>>")),
-                               lambda c: fact(CATEGORY, c["category"], 0, c["revenue"], c["cogs"], zero))
-    facts = F.concat(F.array(fact(SALE, F.lit(None), 1, net, cost, total)), per_category)
+    none = F.array().cast("array<struct<category:string,revenue:decimal(14,2),cogs:decimal(14,2),n_lines:bigint>>")
+    per_category = F.transform(F.coalesce("cats", none), lambda c: fact(
+        CATEGORY, c["category"], F.lit(0), c["n_lines"], c["revenue"], c["cogs"], zero))
+    facts = F.concat(F.array(fact(SALE, F.lit(None), F.lit(1), F.coalesce("n_lines", F.lit(0)), net, cost, total)), per_category)
     rows = (headers.select("txn_id", F.col("transaction_date").alias("sale_date"), "payment_method")
             .join(by_sale, "txn_id", "left").select("sale_date", "payment_method", F.explode(facts).alias("f"))
             .select("sale_date", "payment_method", "f.*"))
@@ -52,7 +54,7 @@ def daily_cube(headers: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def summed(rows: DataFrame) -> DataFrame:
-    """Cube rows merged: one a group, without groups whose sales and amounts are all gone."""
+    """Cube rows merged: one a group, without groups whose sales and lines are all gone."""
     out = rows.groupBy(*GRAIN).agg(*[F.sum(c).cast(kind).alias(c) for c, kind in FIGURES.items()])
     return out.filter(" or ".join(f"{c} <> 0" for c in FIGURES))
 
@@ -80,10 +82,15 @@ def by_payment(cube: DataFrame, month=None, year=None) -> DataFrame:
         F.sum("n_sales").alias("count"), F.sum("total").cast(MONEY).alias("total")).filter("count <> 0")
 
 
+def _categories(cube: DataFrame, month=None, year=None) -> DataFrame:
+    return (category_rows(cube, month, year).groupBy("category")
+            .agg(F.sum("revenue").cast(MONEY).alias("revenue"), F.sum("cogs").cast(MONEY).alias("cogs"), F.sum("n_lines").alias("n"))
+            .filter("n <> 0").drop("n"))
+
+
 def by_category(cube: DataFrame, month=None, year=None) -> DataFrame:
     """D5."""
-    return (category_rows(cube, month, year).groupBy("category").agg(F.sum("revenue").cast(MONEY).alias("revenue"))
-            .orderBy(F.col("revenue").desc(), "category"))
+    return _categories(cube, month, year).select("category", "revenue").orderBy(F.col("revenue").desc(), "category")
 
 
 def daily_sales(cube: DataFrame, month=None, year=None) -> DataFrame:
@@ -98,3 +105,48 @@ def available_periods(cube: DataFrame) -> DataFrame:
     d = F.col("sale_date")
     return (sale_rows(cube).groupBy(F.year(d).alias("year"), F.month(d).alias("month")).agg(F.sum("n_sales").alias("n"))
             .filter("n <> 0").select("year", "month").orderBy(F.col("year").desc(), F.col("month").desc()))
+
+
+def _sum(c: str, when: Column | None = None) -> Column:
+    value = F.col(c) if when is None else F.when(when, F.col(c))
+    return F.coalesce(F.sum(value), F.lit(0)).cast(FIGURES[c])
+
+
+def _period_sums(when: Column | None = None) -> list[Column]:
+    return [_sum("revenue", when).alias("total_revenue"), _sum("cogs", when).alias("total_cogs"),
+            _sum("n_sales", when).alias("transaction_count")]
+
+
+def report_summary(cube: DataFrame, month=None, year=None) -> DataFrame:
+    """I8."""
+    return reports.summary_row(sale_rows(cube, month, year).agg(*_period_sums()))
+
+
+def income_statement(cube: DataFrame, month=None, year=None) -> DataFrame:
+    """I9."""
+    count = sale_rows(cube, month, year).agg(_sum("n_sales").alias("transaction_count"))
+    return reports.income_lines(_categories(cube, month, year), count)
+
+
+def balance_sheet(cube: DataFrame, products: DataFrame, month=None, year=None) -> DataFrame:
+    """I10."""
+    one = sale_rows(cube, month, year).agg(*_period_sums(), *reports.method_totals())
+    return reports.balance_lines(one, reports.stock_value(products))
+
+
+def cash_flow(cube: DataFrame, month=None, year=None) -> DataFrame:
+    """I11."""
+    return reports.cash_flow_lines(report_summary(cube, month, year))
+
+
+def cash_position(cube: DataFrame, month=None, year=None) -> DataFrame:
+    """I12."""
+    return reports.cash_position_lines(sale_rows(cube, month, year), F.col("n_sales"))
+
+
+def dashboard_kpis(cube: DataFrame, products: DataFrame, as_of, month=None, year=None) -> DataFrame:
+    """I22 KPI row; ``as_of`` may lie outside the period."""
+    inside, today = period_predicate("sale_date", month, year), F.col("sale_date") == F.lit(as_of)
+    rows = cube.filter((F.col("level") == SALE) & (inside | today))
+    one = rows.agg(*_period_sums(inside), _sum("total", today).alias("today_total"), _sum("n_sales", today).alias("today_count"))
+    return reports.dashboard_row(one, products)

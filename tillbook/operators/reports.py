@@ -105,10 +105,10 @@ def report_summary(t, month=None, year=None) -> DataFrame:
     """I8: one row.  fee = round(0.7 % of *all* net revenue); operating
     expenses = the four monthly fixed costs + fee, flat per call (not times
     the months in the period); gross = revenue - COGS; net = gross - opex."""
-    return _summary(_side_by_side(revenue_cogs(t, month, year), txn_count(t, month, year)))
+    return summary_row(_side_by_side(revenue_cogs(t, month, year), txn_count(t, month, year)))
 
 
-def _summary(s: DataFrame, *more: str) -> DataFrame:
+def summary_row(s: DataFrame, *more: str) -> DataFrame:
     """The summary row from total_revenue, total_cogs and transaction_count;
     ``more`` columns are carried along."""
     fee = _m(F.round(F.col("total_revenue") * F.lit(seeds.PAYMENT_FEE_RATE), 0))
@@ -160,12 +160,17 @@ def income_statement(t, month=None, year=None) -> DataFrame:
     net income, and gross / net margin % (0 without revenue)."""
     by = period_sales(t, month, year).groupBy("category").agg(
         _m(F.sum("revenue")).alias("revenue"), _m(F.sum("cogs")).alias("cogs"))
+    return income_lines(by, txn_count(t, month, year))
+
+
+def income_lines(by: DataFrame, count: DataFrame) -> DataFrame:
+    """I9 from ``by`` (category, revenue, cogs) and the one-row ``count``."""
     one = by.agg(
         _m(F.coalesce(F.sum("revenue"), _zero())).alias("total_revenue"),
         _m(F.coalesce(F.sum("cogs"), _zero())).alias("total_cogs"),
         # one element per product category
         F.array_sort(F.collect_list(F.struct((-F.col("revenue")).alias("neg"), "category", "revenue"))).alias("cats"))
-    s = _summary(_side_by_side(one, txn_count(t, month, year)), "cats")
+    s = summary_row(_side_by_side(one, count), "cats")
     c = F.col
     cat_lines = F.transform(c("cats"), lambda x, i: F.struct(
         (i + 1).alias("line_no"), F.lit("Revenue").alias("section"),
@@ -184,8 +189,8 @@ def _method_total(method: str) -> Column:
     return F.coalesce(F.sum(F.when(F.col("payment_method") == method, F.col("total"))), _zero())
 
 
-def _method_count(method: str) -> Column:
-    return F.count(F.when(F.col("payment_method") == method, F.lit(1)))
+def _method_count(method: str, sales: Column) -> Column:
+    return F.coalesce(F.sum(F.when(F.col("payment_method") == method, sales)), F.lit(0)).cast("bigint")
 
 
 def stock_value(products: DataFrame) -> DataFrame:
@@ -201,10 +206,19 @@ def balance_sheet(t, month=None, year=None) -> DataFrame:
     Sides are not forced equal: the side totals and their difference are
     separate lines."""
     hdr = period_headers(t, month, year)
+    one = sale_facts(t, hdr, period_lines(t, hdr, month, year)).agg(*_sums(), *method_totals())
+    return balance_lines(one, stock_value(t["products"]))
+
+
+def method_totals() -> list[Column]:
+    """Gross receipts of each known method, one column each."""
+    return [_m(_method_total(mth)).alias(mth.lower()) for mth in seeds.PAYMENT_METHODS]
+
+
+def balance_lines(one: DataFrame, stock: DataFrame) -> DataFrame:
+    """I10 from the one-row sums and ``method_totals`` of a period and the stock value."""
     methods = [mth.lower() for mth in seeds.PAYMENT_METHODS]
-    one = sale_facts(t, hdr, period_lines(t, hdr, month, year)).agg(
-        *_sums(), *[_m(_method_total(mth)).alias(mth.lower()) for mth in seeds.PAYMENT_METHODS])
-    s = _side_by_side(_summary(one, *methods), stock_value(t["products"]))
+    s = _side_by_side(summary_row(one, *methods), stock)
     c = F.col
     L = seeds.BALANCE_LABELS
     cur = list(zip(L["current"], (c("cash"), c("debit") + F.lit(seeds.BANK_BASE), c("qris"), c("gopay"), c("stock_value"))))
@@ -242,7 +256,11 @@ def balance_sheet(t, month=None, year=None) -> DataFrame:
 def cash_flow(t, month=None, year=None) -> DataFrame:
     """Receipts (net revenue) less salary, rent, utilities and material
     purchases (COGS + 2M); investing and financing are zero."""
-    s = report_summary(t, month, year)
+    return cash_flow_lines(report_summary(t, month, year))
+
+
+def cash_flow_lines(s: DataFrame) -> DataFrame:
+    """I11 from the summary row."""
     c = F.col
     op = [("Customer receipts", c("total_revenue")), ("Salary payments", -F.lit(FIXED["Salary"])),
           ("Rent payments", -F.lit(FIXED["Rent"])), ("Utilities", -F.lit(FIXED["Utilities"])),
@@ -260,11 +278,11 @@ def cash_flow(t, month=None, year=None) -> DataFrame:
         F.col("l.line_no").cast("int").alias("line_no"), "l.section", "l.label", "l.amount")
 
 
-def _method_rows(hdr: DataFrame, extra_bank: bool) -> DataFrame:
-    """The four methods, zero-filled, from one conditional aggregate."""
+def _method_rows(hdr: DataFrame, extra_bank: bool, sales: Column) -> DataFrame:
+    """The four methods, zero-filled, from one conditional aggregate; a row of ``hdr`` stands for ``sales`` sales."""
     aggs = []
     for mth in seeds.PAYMENT_METHODS:
-        aggs += [_m(_method_total(mth)).alias(f"t_{mth}"), _method_count(mth).alias(f"n_{mth}")]
+        aggs += [_m(_method_total(mth)).alias(f"t_{mth}"), _method_count(mth, sales).alias(f"n_{mth}")]
     s = hdr.agg(*aggs)
     rows = []
     for i, mth in enumerate(seeds.PAYMENT_METHODS):
@@ -280,8 +298,12 @@ def _method_rows(hdr: DataFrame, extra_bank: bool) -> DataFrame:
 def cash_position(t, month=None, year=None) -> DataFrame:
     """Per method gross receipts on its cash account (bank +45M) and the
     total of cash and equivalents."""
-    hdr = period_transactions(t, month, year)
-    rows = _method_rows(hdr, extra_bank=True)
+    return cash_position_lines(period_transactions(t, month, year), F.lit(1))
+
+
+def cash_position_lines(hdr: DataFrame, sales: Column) -> DataFrame:
+    """I12 from rows of payment method and total that stand for ``sales`` sales each."""
+    rows = _method_rows(hdr, extra_bank=True, sales=sales)
     total = rows.agg(F.lit(5).alias("line_no"), F.lit("TOTAL").alias("payment_method"),
                      F.lit("").alias("account_code"), F.sum("count").alias("count"),
                      _m(F.sum("amount")).alias("amount"))
@@ -362,8 +384,13 @@ def dashboard_kpis(t, as_of, month=None, year=None) -> DataFrame:
     one = sale_facts(t, hdr, sale_lines(t, hdr)).agg(
         *_sums(inside), _m(F.coalesce(F.sum(F.when(today, F.col("total"))), _zero())).alias("today_total"),
         F.count(F.when(today, F.lit(1))).alias("today_count"))
-    low = low_stock(t["products"]).agg(F.count(F.lit(1)).alias("low_stock_count"))
-    s = _side_by_side(_summary(one, "today_total", "today_count"), low)
+    return dashboard_row(one, t["products"])
+
+
+def dashboard_row(one: DataFrame, products: DataFrame) -> DataFrame:
+    """I22 from the one-row sums of the period and of today."""
+    low = low_stock(products).agg(F.count(F.lit(1)).alias("low_stock_count"))
+    s = _side_by_side(summary_row(one, "today_total", "today_count"), low)
     c = F.col
     return s.select("total_revenue", "transaction_count", "today_total", "today_count", "net_income",
                     _pct(c("net_income"), c("total_revenue")).alias("net_margin_pct"), "low_stock_count")

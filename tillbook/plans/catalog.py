@@ -59,7 +59,7 @@ def query(name: str, sql: str | None = None):
 def _register_all():
     # importing the modules registers their queries
     from tillbook.plans import (q_ledger, q_reports, q_inventory, q_listings,  # noqa: F401
-                                q_changes, q_quality, q_stream, q_sinks, q_stored)
+                                q_changes, q_quality, q_stream, q_sinks, q_stored, q_cube)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -284,7 +284,7 @@ def q_today_kpi(m, spark):
     return reports.today_kpi(m, AS_OF)
 
 
-@query("dashboard_kpis", oracle(f"""
+DASHBOARD_SQL = oracle(f"""
 SELECT CAST(s.total_revenue AS DOUBLE) AS total_revenue, s.transaction_count,
   CAST(d.today_total AS DOUBLE) AS today_total, d.today_count, CAST(s.net_income AS DOUBLE) AS net_income,
   CAST({pct_sql('s.net_income', 's.total_revenue')} AS DOUBLE) AS net_margin_pct, l.low_stock_count
@@ -292,7 +292,10 @@ FROM summary s,
   (SELECT COALESCE(SUM(total), 0) AS today_total, COUNT(*) AS today_count FROM transactions
    WHERE transaction_date = DATE '{AS_OF}') d,
   (SELECT COUNT(*) AS low_stock_count FROM products WHERE active AND stock <= reorder_point) l""",
-                                summary_ctes(MONTH, YEAR)))
+                       summary_ctes(MONTH, YEAR))
+
+
+@query("dashboard_kpis", DASHBOARD_SQL)
 def q_dashboard_kpis(m, spark):
     """I22 KPI row."""
     return reports.dashboard_kpis(m, AS_OF, MONTH, YEAR)

@@ -25,6 +25,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MANIFEST = "version string, at long, paths string"
 
@@ -112,9 +113,45 @@ def replace_partitions(spark: SparkSession, out_dir: str, version: str, changes:
     _announce(spark, out_dir, version, tables)
 
 
-def read_parts(spark: SparkSession, parts: list[dict]) -> DataFrame:
-    """The rows of a table's folders, without the partitions that later folders replaced."""
-    schema = spark.read.parquet(parts[0]["path"]).schema
+def marks(parts: list[dict]) -> set[str]:
+    """The names of the batches that a table's folders hold."""
+    return {mark for part in parts for mark in part.get("marks", [])}
+
+
+def add_folder(spark: SparkSession, out_dir: str, version: str, name: str, write: Callable[[str], None], mark: str) -> bool:
+    """Publish ``version`` anew with one more folder of table ``name``, which ``write(path)`` writes and which stands for
+    the batch ``mark``.  A batch that the table holds already changes nothing and returns False."""
+    last = _last(spark, out_dir, version)
+    tables = json.loads(last["paths"])
+    if mark in marks(tables[name]):
+        return False
+    path = f"{out_dir.rstrip('/')}/{version}-{uuid.uuid4().hex}/{name}"
+    write(path)
+    tables[name].append({"path": path, "marks": [mark]})
+    _announce_after(spark, out_dir, version, tables, last["at"])
+    return True
+
+
+def merge_folders(spark: SparkSession, out_dir: str, version: str, name: str, write: Callable[[str], None], base: int) -> None:
+    """Publish ``version`` anew with one folder, written by ``write(path)`` from the version published at ``base``, in place
+    of all folders of table ``name``; it holds their batches."""
+    tables = json.loads(_last(spark, out_dir, version)["paths"])
+    path = f"{out_dir.rstrip('/')}/{version}-{uuid.uuid4().hex}/{name}"
+    write(path)
+    tables[name] = [{"path": path, "marks": sorted(marks(tables[name]))}]
+    _announce_after(spark, out_dir, version, tables, base)
+
+
+def _announce_after(spark: SparkSession, out_dir: str, version: str, tables: dict[str, list[dict]], base: int) -> None:
+    if published_at(spark, out_dir, version) != base:
+        raise StaleBase(f"{version} in {out_dir} was published again")
+    _announce(spark, out_dir, version, tables)
+
+
+def read_parts(spark: SparkSession, parts: list[dict], schema: StructType | None = None) -> DataFrame:
+    """The rows of a table's folders, without the partitions that later folders replaced.  ``schema`` is needed where the
+    first folder may hold no rows."""
+    schema = schema or spark.read.parquet(parts[0]["path"]).schema
     found = []
     for part in parts:
         df = spark.read.schema(schema).parquet(part["path"])
