@@ -14,15 +14,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tillbook.operators import cube
 from tillbook.sources import versions
 
 VERSION = TABLE = "daily_cube"
 MONTH = "cube_month"
-SCHEMA = T.StructType.fromDDL("sale_date date, payment_method string, level string, category string, " + ", ".join(
-    f"{c} {kind}" for c, kind in cube.FIGURES.items()) + f", {MONTH} string")
+SCHEMA = "sale_date date, payment_method string, level string, category string, " + ", ".join(
+    f"{c} {kind}" for c, kind in cube.FIGURES.items()) + f", {MONTH} string"
 
 
 def _write(df: DataFrame, path: str) -> None:

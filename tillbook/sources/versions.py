@@ -148,7 +148,7 @@ def _announce_after(spark: SparkSession, out_dir: str, version: str, tables: dic
     _announce(spark, out_dir, version, tables)
 
 
-def read_parts(spark: SparkSession, parts: list[dict], schema: StructType | None = None) -> DataFrame:
+def read_parts(spark: SparkSession, parts: list[dict], schema: StructType | str | None = None) -> DataFrame:
     """The rows of a table's folders, without the partitions that later folders replaced.  ``schema`` is needed where the
     first folder may hold no rows."""
     schema = schema or spark.read.parquet(parts[0]["path"]).schema
