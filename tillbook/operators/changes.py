@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tillbook.operators.inventory import floored_ledger, latest_wins, stock_ledger
 from tillbook.operators.posting import post_sales, sale_totals
-from tillbook.plans.session import written
+from tillbook.plans.session import staged
 from tillbook.sources import receipts, versions
 
 
@@ -172,7 +172,8 @@ def reset_stock_by_sku(products: DataFrame, baseline: DataFrame) -> DataFrame:
                       else F.col(c) for c in products.columns])
 
 
-def record_sales(headers: DataFrame, lines: DataFrame, products: DataFrame, out_dir: str, version: str, as_of) -> str:
+def record_sales(headers: DataFrame, lines: DataFrame, products: DataFrame, out_dir: str, version: str, as_of,
+                 carry: tuple[str, ...] = ()) -> str:
     """Record a batch of sales: totals (I1), journal (I2), stock log and
     new stock (E1 with the sales as negative changes).
 
@@ -190,7 +191,13 @@ def record_sales(headers: DataFrame, lines: DataFrame, products: DataFrame, out_
     spark = headers.sparkSession
     last = versions.latest(spark, out_dir) or {"at": 0, "tables": {}}
     index = last["tables"].get(receipts.TABLE, [])
-    judged = written(receipts.judge(spark, index, headers), "judged-sales")
+    carried = {name: last["tables"].get(name, []) for name in (receipts.TABLE, *carry)}
+    with staged(receipts.judge(spark, index, headers), "judged-sales") as judged:
+        return _record(judged, lines, products, out_dir, version, as_of, carried, last["at"])
+
+
+def _record(judged: DataFrame, lines: DataFrame, products: DataFrame, out_dir: str, version: str, as_of,
+            carried: dict[str, list[dict]], base_at: int) -> str:
     rejected = judged.filter("rejected is not null")
     headers = judged.filter("rejected is null").drop("rejected")
     lines = lines.join(headers.select("txn_id"), "txn_id", "left_semi")
@@ -224,7 +231,6 @@ def record_sales(headers: DataFrame, lines: DataFrame, products: DataFrame, out_
     tables = {"transactions": tx, "transaction_items": lines, "journal_entries": post_sales(tx, lines),
               "inventory_logs": stock_ledger(moves, products), "products": new_stock,
               "rejected_sales": rejected.select("txn_id", "receipt_no", "transaction_date", "rejected")}
-    if headers.isEmpty():          # nothing to add to the index
-        return versions.publish(out_dir, version, tables, write, {receipts.TABLE: index}, last["at"])
-    tables[receipts.TABLE] = headers.select("receipt_no", "txn_id")
-    return versions.publish(out_dir, version, tables, write, {receipts.TABLE: index}, last["at"])
+    if not headers.isEmpty():      # else nothing to add to the index
+        tables[receipts.TABLE] = headers.select("receipt_no", "txn_id")
+    return versions.publish(out_dir, version, tables, write, carried, base_at)

@@ -88,6 +88,11 @@ def _last(spark: SparkSession, out_dir: str, version: str | None) -> Row:
     return last
 
 
+def is_published(spark: SparkSession, out_dir: str, version: str) -> bool:
+    rows = spark.read.schema(MANIFEST).json(f"{out_dir.rstrip('/')}/_manifest")
+    return not rows.filter(F.col("version") == version).isEmpty()
+
+
 def published_at(spark: SparkSession, out_dir: str, version: str | None = None) -> int:
     """When the latest version was published: what a writer passes as its base."""
     return _last(spark, out_dir, version)["at"]
