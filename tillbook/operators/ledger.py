@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions.periods import in_period
+from tillbook.plans.session import written
 
 MONEY = "decimal(24,2)"  # width of sum(decimal(14,2)); totals of 100 TB fit
 
@@ -74,9 +75,10 @@ def journal_totals(journal: DataFrame, month=None, year=None) -> DataFrame:
 
 def with_footer(lines: DataFrame, month=None, year=None) -> DataFrame:
     """A journal listing with its column totals as a last row
-    (``row_kind`` 1): one pass over the lines and one over their sums."""
-    j = in_period(lines, "entry_date", month, year)
+    (``row_kind`` 1).  The period's lines are posted and written once; listing
+    and totals read what was written."""
     cols = ["entry_date", "description", "account_code", "reference_no", "line_no"]
+    j = written(in_period(lines, "entry_date", month, year).select(*cols, "debit", "credit"), "journal-listing")
     rows = j.select(F.lit(0).alias("row_kind"), *cols, F.col("debit").cast(MONEY).alias("debit"),
                     F.col("credit").cast(MONEY).alias("credit"))
     total = journal_totals(j).select(

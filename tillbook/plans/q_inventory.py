@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tillbook.operators import inventory as inv
+from tillbook.operators import inventory as inv, name_lists
 from tillbook.plans.catalog import AS_OF, MONTH, YEAR, query
 from tillbook.plans.oracle_sql import oracle
 from tillbook.plans.q_ledger import month_pred
+from tillbook.plans.session import scratch_dir
+from tillbook.sources import name_index
 
 E1_ORDER = "m.log_date, m.log_time, m.txn_id, m.line_seq, m.kind"
 EDITED_PRODUCT = 7         # the product whose recipe is edited
@@ -95,14 +99,25 @@ def q_material_list(m, spark):
 SEARCH_CATEGORY, SEARCH_TEXT = "Bread", "RING"
 
 
-@query("search_products", oracle(f"""
+SEARCH_SQL = f"""
 SELECT {PRODUCT_SQL} FROM products
-WHERE active AND category = '{SEARCH_CATEGORY}' AND contains(lower(name), lower('{SEARCH_TEXT}'))"""))
+WHERE active AND category = '{SEARCH_CATEGORY}' AND contains(lower(name), lower('{SEARCH_TEXT}'))"""
+
+
+@query("search_products", oracle(SEARCH_SQL))
 def q_search(m, spark):
     """One category, case-insensitive name search."""
     return inv.search_products(m["products"], SEARCH_CATEGORY, SEARCH_TEXT)
 
 
+@query("search_products_indexed", oracle(SEARCH_SQL))
+def q_search_indexed(m, spark):
+    """B4 through the stored grams of all product names."""
+    out = scratch_dir(spark, f"names-{uuid.uuid4().hex}")
+    name_index.write_name_index(spark, m["products"], out)
+    return name_index.search(spark, out, m["products"], SEARCH_CATEGORY, SEARCH_TEXT)
+
+
 @query("low_stock", oracle(f"SELECT {PRODUCT_SQL} FROM products WHERE active AND stock <= reorder_point"))
 def q_low_stock(m, spark):
     """B5."""
@@ -235,6 +250,31 @@ def q_ingredient_names(m, spark):
     return inv.ingredient_product_names(m["product_ingredients"], m["products"])
 
 
+NAMES_SQL = """
+SELECT {key}, CAST((rn - 1) // {size} + 1 AS BIGINT) AS part_no, COUNT(*) AS n_names, string_agg(name, ', ' ORDER BY rn) AS names
+FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY name, id) AS rn FROM {source}) GROUP BY 1, 2"""
+
+
+def _joined(lists):
+    return lists.withColumn("names", F.array_join("names", ", "))
+
+
+@query("ingredient_name_lists", oracle(NAMES_SQL.format(key="raw_material_id", size=name_lists.PART_SIZE, source="""(
+  SELECT DISTINCT pi.raw_material_id, p.name, 0 AS id
+  FROM product_ingredients pi JOIN products p ON p.product_id = pi.product_id AND p.active)""")))
+def q_ingredient_lists(m, spark):
+    """Every material's product names, in parts."""
+    return _joined(name_lists.ingredient_name_lists(m["product_ingredients"], m["products"]))
+
+
+@query("low_stock_names", oracle(NAMES_SQL.format(key="kind", size=name_lists.PART_SIZE, source="""(
+  SELECT 'products' AS kind, name, product_id AS id FROM products WHERE active AND stock <= reorder_point
+  UNION ALL SELECT 'materials', name, id FROM raw_materials WHERE stock_qty <= reorder_point)""")))
+def q_low_stock_names(m, spark):
+    """All names of the low-stock alert, in parts."""
+    return _joined(name_lists.low_stock_names(m["products"], m["raw_materials"]))
+
+
 @query("recipe_links", oracle("""
 SELECT CAST(COALESCE(SUM(n), 0) AS BIGINT) AS recipe_links
 FROM (SELECT raw_material_id, COUNT(DISTINCT product_id) AS n FROM product_ingredients GROUP BY 1)"""))
