@@ -73,12 +73,57 @@ def transactions_page(t, date=None, month=None, year=None, limit: int = 500, off
     src = transactions_query(t, date, month, year)
     ordered = src.orderBy(*newest_first(src))
     page = ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
+    return _numbered_page(t, page, offset)
+
+
+def _numbered_page(t, page: DataFrame, offset: int) -> DataFrame:
     nested = with_line_amounts(nest_items(page, sale_lines(t, page), empty_as_null_element=True))
     # the page holds at most ``limit`` rows
     return (nested.withColumn("row_no", F.row_number().over(Window.orderBy(*newest_first(nested))) + F.lit(offset))
             .orderBy("row_no"))
 
 
+def _span(counts: list[tuple], offset: int, limit: int) -> tuple[list, int]:
+    """Which groups of an ordered list of (group, rows) hold rows ``offset`` to ``offset + limit``, and where in the first
+    of them the rows begin."""
+    start, found, skipped = 0, [], 0
+    for group, n in counts:
+        if start + n <= offset:
+            skipped = start + n
+        elif start < offset + limit:
+            found.append(group)
+        start += n
+    return found, offset - skipped
+
+
+def _newest(counts: DataFrame) -> list[tuple]:
+    """(group, rows), newest first, null last, as ``newest_first`` orders them."""
+    return sorted(((r[0], r[1]) for r in counts.collect()), key=lambda r: (r[0] is not None, r[0] or r[1]), reverse=True)
+
+
+def _among(col: str, values: list):
+    some = F.col(col).isin([v for v in values if v is not None])
+    return some | F.col(col).isNull() if None in values else some
+
+
+def seek_page(t, limit: int = 500, offset: int = 0, month=None, year=None) -> DataFrame:
+    """F1 on the stored model: any page of the newest-first listing, however
+    deep, from the days that hold it.
+
+    Sales are counted by month (from the files' row counts, no column is
+    read), then by day in the page's months only; one row a month and a day
+    reaches the driver.  Headers are sorted for the page's days alone, and
+    lines are read from the page's months alone."""
+    src = in_period(t["transactions"], "transaction_date", month, year)
+    months, rest = _span(_newest(src.groupBy("sale_month").agg(F.count(F.lit(1)))), offset, limit)
+    inside = src.filter(_among("sale_month", months))
+    days, skip = _span(_newest(inside.groupBy("transaction_date").agg(F.count(F.lit(1)))), rest, limit)
+    wanted = inside.filter(_among("transaction_date", days))
+    page = wanted.orderBy(*newest_first(wanted)).offset(skip).limit(limit)
+    lines = t["transaction_items"].filter(_among("sale_month", months)).drop("transaction_date", "sale_month")
+    return _numbered_page({**t, "transaction_items": lines}, page, offset)
+
+
 def recent_transactions(t, n: int = 7) -> DataFrame:
     """the n most recent sales; only their lines are totalled."""
     src = period_headers(t)

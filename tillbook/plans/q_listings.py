@@ -28,19 +28,26 @@ PAGE_FIELDS = ["line_seq", "product_id", "quantity", "line_total"]
 PAGE_LIMIT, PAGE_OFFSET = 500, 100
 
 
-@query("transactions_page", oracle(f"""
+def page_sql(where: str, limit: int, offset: int) -> str:
+    return oracle(f"""
 SELECT {HDR_SQL}, COUNT(*) AS n_items, {digest_sql(PAGE_FIELDS)} AS items_digest,
-  {PAGE_OFFSET} + row_number() OVER (ORDER BY p.transaction_date DESC, p.transaction_time DESC, p.txn_id) AS row_no
+  {offset} + row_number() OVER (ORDER BY p.transaction_date DESC, p.transaction_time DESC, p.txn_id) AS row_no
 FROM page p LEFT JOIN transaction_items i ON i.txn_id = p.txn_id
 GROUP BY {HDR_GROUP} ORDER BY row_no""", f"""
-page AS (SELECT * FROM transactions WHERE {month_pred('transaction_date', None, YEAR_ONLY)}
-         ORDER BY transaction_date DESC, transaction_time DESC, txn_id LIMIT {PAGE_LIMIT} OFFSET {PAGE_OFFSET})"""))
+page AS (SELECT * FROM transactions WHERE {where}
+         ORDER BY transaction_date DESC, transaction_time DESC, txn_id LIMIT {limit} OFFSET {offset})""")
+
+
+def page_rows(page):
+    return page.select(*HDR_COLS, F.size("items").alias("n_items"),
+                       ls.items_digest(F.col("items"), PAGE_FIELDS).alias("items_digest"), "row_no")
+
+
+@query("transactions_page", page_sql(month_pred("transaction_date", None, YEAR_ONLY), PAGE_LIMIT, PAGE_OFFSET))
 def q_transactions_page(m, spark):
     """Newest-first page (limit 500, offset 100) of one year's sales
     with nested lines; a sale without lines has one all-null element."""
-    page = ls.transactions_page(m, None, None, YEAR_ONLY, PAGE_LIMIT, PAGE_OFFSET)
-    return page.select(*HDR_COLS, F.size("items").alias("n_items"),
-                       ls.items_digest(F.col("items"), PAGE_FIELDS).alias("items_digest"), "row_no")
+    return page_rows(ls.transactions_page(m, None, None, YEAR_ONLY, PAGE_LIMIT, PAGE_OFFSET))
 
 
 RECEIPT_FIELDS = ["line_seq", "product_name", "quantity", "unit_price", "line_total"]

@@ -15,7 +15,7 @@ from tillbook.plans.catalog import AS_OF, MONTH, YEAR, query
 from tillbook.plans.oracle_sql import oracle
 from tillbook.plans.q_inventory import E1_COLS, LEDGER_CTE
 from tillbook.plans.q_ledger import GL_SELECT, J_COLS, J_SQL, gl_cte
-from tillbook.plans.q_listings import ALIGNMENT_LITERAL_SQL, ALIGNMENT_SQL
+from tillbook.plans.q_listings import ALIGNMENT_LITERAL_SQL, ALIGNMENT_SQL, page_rows, page_sql
 from tillbook.plans.q_quality import HEADER_VS_LINES_SQL
 from tillbook.plans.q_reports import SUMMARY_SELECT, summary_ctes
 from tillbook.plans.session import scratch_dir
@@ -65,6 +65,15 @@ def q_stored_month_ledger(m, spark):
     return inv.month_stock_ledger(t["stock_movements"], load_stock_months(spark, out), t["products"], MONTH, YEAR).select(*E1_COLS)
 
 
+DEEP_PAGE, DEEP_OFFSET = 50, 900
+
+
+@query("stored_deep_page", page_sql("TRUE", DEEP_PAGE, DEEP_OFFSET))
+def q_deep_page(m, spark):
+    """a page far down the newest-first listing of all sales, read from its own days."""
+    return page_rows(listings.seek_page(stored(m, spark), DEEP_PAGE, DEEP_OFFSET))
+
+
 @query("stored_verify_day", oracle(f"""
 SELECT CAST(date_trunc('month', transaction_date) AS DATE)::VARCHAR AS month, COUNT(*) AS n_sales,
   COUNT(*) FILTER (WHERE verified OR transaction_date = DATE '{AS_OF}') AS n_verified, CAST(SUM(total) AS DOUBLE) AS total
