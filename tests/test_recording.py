@@ -7,6 +7,7 @@ from decimal import Decimal as D
 import pytest
 
 from tests.helpers import items, products, txns
+from tillbook.operators import changes
 from tillbook.plans.session import scratch_dir
 from tillbook.sources import versions
 from tillbook.streaming import recording
@@ -110,3 +111,25 @@ def test_odd_records(spark, shop):
     assert _stock(t) == {10: 6, 11: 2}
     assert recording.record_batch(batch.limit(0), out, "s-1")
     assert versions.read_published(spark, out)["transactions"].count() == 4
+
+
+def test_only_the_written_lines_are_read_again(spark, shop, monkeypatch):
+    base = _base(spark)
+    lines = items(spark, [(1, 1, 10, "Bread", 2, "100", "40"), (2, 1, 11, "Cake", 5, "200", "90"), (3, 1, 10, "Bread", 1, "100", "40")])
+    lines.write.parquet(f"{base}/given")
+    read, publish = {}, versions.publish
+
+    def watched(out_dir, version, tables, write=None, *rest):
+        def noted(name, df, path):
+            read[name] = any("/given/" in f for f in df.inputFiles())
+            write(name, df, path)
+        return publish(out_dir, version, tables, noted, *rest)
+
+    monkeypatch.setattr(versions, "publish", watched)
+    sales = txns(spark, [(1, "2026-05-20", "09:00:00", "Cash"), (2, "2026-05-20", "10:00:00", "Cash")])
+    changes.record_sales(sales, spark.read.parquet(f"{base}/given"), shop, f"{base}/books", "day", "2026-05-20")
+    assert [name for name in read if read[name]] == ["transaction_items"]
+    t = versions.read_published(spark, f"{base}/books")
+    assert t["transaction_items"].count() == 2 and _stock(t) == {10: 7, 11: 0}
+    assert sorted((r.product_name, r.reason, r.stock_after) for r in t["inventory_logs"].collect()) == [
+        ("p10", "Sale: RCP-0000001", 7), ("p11", "Sale: RCP-0000002", 0)]

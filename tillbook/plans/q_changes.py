@@ -3,6 +3,8 @@ the data by business rules."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from tillbook.operators import changes as ch
@@ -259,15 +261,25 @@ day_log AS (
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS stock_after FROM day_run)"""
 
 
+@contextmanager
+def _day_sales(m):
+    """Headers and lines of the as-of day, each written once.  The size of the written headers is known, so all lines
+    meet a small day without an exchange; a day of any size exchanges them once."""
+    from tillbook.plans.session import staged
+    from tillbook.sources.adapter import period_headers, sale_lines
+    with (staged(period_headers(m, day=AS_OF), "day-headers") as headers,
+          staged(sale_lines(m, headers).drop("line_key"), "day-lines") as lines):
+        yield headers, lines
+
+
 def _recorded(m, spark):
     """The as-of day's sales recorded as a batch and read back."""
     import uuid
     from tillbook.plans.session import scratch_dir
     from tillbook.sources import versions
-    from tillbook.sources.adapter import period_headers, sale_lines
-    hdr = period_headers(m, day=AS_OF)
     out = scratch_dir(spark, f"recorded-{uuid.uuid4().hex}")
-    ch.record_sales(hdr, sale_lines(m, hdr).drop("line_key"), m["products"], out, "day", AS_OF)
+    with _day_sales(m) as (hdr, lines):
+        ch.record_sales(hdr, lines, m["products"], out, "day", AS_OF)
     return versions.read_published(spark, out)
 
 
@@ -318,13 +330,11 @@ def q_record_sales_replayed(m, spark):
     import uuid
     from tillbook.plans.session import scratch_dir
     from tillbook.sources import versions
-    from tillbook.sources.adapter import period_headers, sale_lines
-    day = period_headers(m, day=AS_OF)
-    morning = day.filter("transaction_time < '12:00:00'")
     out = scratch_dir(spark, f"replayed-{uuid.uuid4().hex}")
-    ch.record_sales(morning, sale_lines(m, morning).drop("line_key"), m["products"], out, "morning", AS_OF)
-    products = versions.read_published(spark, out)["products"].drop("updated_at")
-    ch.record_sales(day, sale_lines(m, day).drop("line_key"), products, out, "day", AS_OF)
+    with _day_sales(m) as (day, lines):     # a batch takes the lines of its own sales
+        ch.record_sales(day.filter("transaction_time < '12:00:00'"), lines, m["products"], out, "morning", AS_OF)
+        products = versions.read_published(spark, out)["products"].drop("updated_at")
+        ch.record_sales(day, lines, products, out, "day", AS_OF)
     t = versions.read_published(spark, out)
 
     def row(name, amount):
