@@ -133,3 +133,20 @@ def test_scratch_folders_are_deleted(spark):
     assert df.count() == 5
     assert clear_scratch(spark) >= 1 and session._WRITTEN == []
     assert not glob.glob(f"{scratch_dir(spark, 'gone')}-*")
+
+
+def test_only_hot_keys_are_cut(spark, monkeypatch):
+    """Blocks are placed for the keys that need them: 300 keys of two rows add none, nor do undated rows get lost."""
+    monkeypatch.setattr(levels, "RUN_ROWS", 160)
+    moves = [(k, d, k * 2 + d, -3 if d else 2) for k in range(1, 301) for d in (0, 1)]
+    moves += [(0, i // 4 - 1 if i > 3 else None, 1000 + i, -2 if i % 3 else 5) for i in range(200)]
+    df = spark.createDataFrame(moves, "k long, block int, seq int, change int")
+    opens = spark.createDataFrame([(k, k % 4) for k in range(301)], "k long, opening long")
+    want, last = fold([(k, -9 if b is None else b, s, c) for k, b, s, c in moves], [(k, k % 4) for k in range(301)])
+    before = len(session._WRITTEN)
+    got = levels.floored_ledger(df, "k", "block", ["seq"], "change", opens, "opening").collect()
+    assert {(r.k, r.seq): r.stock_after for r in got} == want and {r.block for r in got} == {m[1] for m in moves}
+    closing = levels.floored_closing(df, "k", "block", ["seq"], "change", opens, "opening").collect()
+    assert {r.k: r.closing for r in closing} == last
+    placed = [spark.read.parquet(p).count() for p in session._WRITTEN[before:] if "/blocks-" in p]
+    assert placed == [50, 50]

@@ -15,7 +15,8 @@ so a scan may cut a key's movements wherever it likes:
    most ``FAN`` are left.  No window holds more than a run's or ``FAN`` rows, whatever key is hot;
 4. from the top down every level hands its offset and earlier minimum to the one below.
 
-Movements that fit one run altogether need no blocks: every key is one block.
+Only hot keys are cut: a key of at most ``RUN_ROWS // KEYS_IN_RUN`` rows is one block.  (Cut as well, cold keys would have
+about as many blocks as rows, and every step above would move them all again.)
 
 (total, low) of a month is also all that later months need to know of it: ``month_summaries`` are stored beside the
 movements, and a month's ledger reads its own movements only (``month_openings``).
@@ -30,6 +31,7 @@ from tillbook.plans.session import written
 
 RUN_ROWS = 1 << 20         # blocks of one run
 FAN = 1024                 # runs of one run of the next level
+KEYS_IN_RUN = 16           # a key with more than this part of a run's rows is cut into blocks
 
 
 def _before(key: list[str], order: str):
@@ -92,13 +94,23 @@ def _scanned(moves: DataFrame, key: str, block: str | None, order: list, change:
             .withColumn("_runmin", F.min("_run").over(w1)))
 
 
-def _blocks(rows: DataFrame, key: str, block: str) -> DataFrame:
-    ends = rows.filter("_last").select(key, block, F.col("_run").alias("_btot"), F.col("_runmin").alias("_bmin"))
-    return placed_blocks(ends, key, block)
+def _ends(rows: DataFrame, key: str, block: str) -> DataFrame:
+    """The summary of each block."""
+    return rows.filter("_last").select(key, block, F.col("_run").alias("_btot"), F.col("_runmin").alias("_bmin"))
 
 
-def _one_run(moves: DataFrame, key: str) -> bool:
-    return moves.select(key).count() <= RUN_ROWS
+def _hot_keys(moves: DataFrame, key: str) -> DataFrame | None:
+    """The keys with more rows than one window should hold (at most one a ``RUN_ROWS // KEYS_IN_RUN`` rows); None without any."""
+    counts = moves.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = written(counts.filter(F.col("_n") > RUN_ROWS // KEYS_IN_RUN).select(F.col(key).alias("_hot"), F.lit(True).alias("_cut")), "hot-keys")
+    return None if hot.isEmpty() else hot
+
+
+def _cut(moves: DataFrame, key: str, block: str, hot: DataFrame) -> DataFrame:
+    """``moves`` with ``block`` wrapped for hot keys and null for all others, which are one block each; ``_at`` is the
+    block as given."""
+    marked = moves.withColumn("_at", F.col(block)).join(hot, F.col(key).eqNullSafe(F.col("_hot")), "left")
+    return marked.withColumn(block, F.when(F.col("_cut"), F.struct(F.col(block).alias("b")))).drop("_hot", "_cut")
 
 
 def _floored(total, low):
@@ -114,27 +126,38 @@ def floored_ledger(moves: DataFrame, key: str, block: str, order: list, change:
     the blocks and the result are read from there."""
     opens = openings.select(key, F.col(opening_col).alias("_open"))
     opening = F.coalesce(F.col("_open"), F.lit(0))
-    if _one_run(moves, key):
-        out = _scanned(moves, key, None, [block, *order], change).join(opens, key, "left")
+
+    def uncut(rows: DataFrame) -> DataFrame:
         level = _floored(opening + F.col("_run"), F.least(opening, opening + F.col("_runmin")))
-        return out.withColumn(level_col, level).drop("_run", "_runmin", "_last", "_open")
-    rows = written(_scanned(moves, key, block, order, change), "movements")
-    blocks = _blocks(rows, key, block).join(opens, key, "left")
-    out = rows.join(blocks.select(key, block, (opening + F.col("_off")).alias("_boff"),
-                                  F.least(opening, opening + F.col("_low")).alias("_prevmin")), [key, block], "inner")
+        return rows.join(opens, key, "left").withColumn(level_col, level).drop("_run", "_runmin", "_last", "_open")
+
+    hot = _hot_keys(moves, key)
+    if hot is None:
+        return uncut(_scanned(moves, key, None, [block, *order], change))
+    rows = written(_scanned(_cut(moves, key, block, hot), key, block, ["_at", *order], change), "movements")
+    cut = rows.filter(F.col(block).isNotNull())
+    blocks = placed_blocks(_ends(cut, key, block), key, block).join(opens, key, "left")
+    blocks = blocks.select(F.col(key).alias("_k"), F.col(block).alias("_b"), (opening + F.col("_off")).alias("_boff"),
+                           F.least(opening, opening + F.col("_low")).alias("_prevmin"))
     low = F.least(F.col("_prevmin"), F.col("_boff") + F.col("_runmin"))
-    return (out.withColumn(level_col, _floored(F.col("_boff") + F.col("_run"), low))
-            .drop("_run", "_runmin", "_last", "_boff", "_prevmin"))
+    out = (cut.join(blocks, F.col(key).eqNullSafe(F.col("_k")) & (F.col(block) == F.col("_b")))
+           .withColumn(level_col, _floored(F.col("_boff") + F.col("_run"), low))
+           .drop("_run", "_runmin", "_last", "_boff", "_prevmin", "_k", "_b"))
+    out = uncut(rows.filter(F.col(block).isNull())).unionByName(out)
+    return out.withColumn(block, F.col("_at")).drop("_at")
 
 
 def _summaries(moves: DataFrame, key: str, block: str, order: list, change: str) -> DataFrame:
     """(key, total, low) of everything a key has; only the columns of the scan are read."""
     needed = moves.select(key, block, *order, change)
-    if _one_run(needed, key):
+    hot = _hot_keys(needed, key)
+    if hot is None:
         rows = _scanned(needed, key, None, [block, *order], change)
         return rows.filter("_last").select(key, F.col("_run").alias("total"), F.col("_runmin").alias("low"))
-    blocks = _blocks(_scanned(needed, key, block, order, change), key, block)
-    return blocks.groupBy(key).agg(F.sum("_btot").alias("total"), F.min(F.col("_off") + F.col("_bmin")).alias("low"))
+    ends = written(_ends(_scanned(_cut(needed, key, block, hot), key, block, ["_at", *order], change), key, block), "ends")
+    uncut = ends.filter(F.col(block).isNull()).select(key, F.col("_btot").alias("total"), F.col("_bmin").alias("low"))
+    blocks = placed_blocks(ends.filter(F.col(block).isNotNull()), key, block)
+    return uncut.unionByName(blocks.groupBy(key).agg(F.sum("_btot").alias("total"), F.min(F.col("_off") + F.col("_bmin")).alias("low")))
 
 
 def floored_closing(moves: DataFrame, key: str, block: str, order: list, change: str,
