@@ -83,3 +83,13 @@ def test_statements_scan_the_lines_once(model):
                reports.dashboard_kpis(model, day, 3, 1997), listings.transaction_detail(model, ids)):
         assert _line_scans(_plan(df)) == 1
     assert sum("o_orderkey" in ln and "FileScan" in ln for ln in _plan(listings.transaction_detail(model, ids)).splitlines()) <= 2
+
+
+def test_derived_columns_are_made_behind_the_exchange(model):
+    """Numbered lines and movements exchange the raw columns, not the line key that repeats them."""
+    for name in ("stock_movements", "transaction_items"):
+        plan = _plan(model[name])
+        key = next(i for i, ln in enumerate(plan.splitlines()) if "AS line_key#" in ln)
+        below = plan.splitlines()[key + 1:]      # a tree prints inputs after what reads them
+        assert any("Exchange hashpartitioning(l_orderkey" in ln for ln in below), name
+        assert not any("AS line_key#" in ln for ln in below), name

@@ -98,21 +98,21 @@ def items_from_lineitem(lineitem: DataFrame, products: DataFrame) -> DataFrame:
     p = products.select("product_id", F.col("name").alias("product_name"), "category",
                         F.col("price").alias("unit_price"), F.col("cost").alias("unit_cost"))
     qty = F.col("l_quantity").cast("int")
+    # raw columns are numbered, and what is derived from them (the line key repeats most) is made behind the window
     base = (lineitem.join(p, lineitem.l_partkey == p.product_id, "left")
-            .select(
-                F.col("l_orderkey").alias("txn_id"),
-                F.struct(*LINE_KEY).alias("line_key"),
-                F.col("l_partkey").alias("product_id"), "product_name", "category",
-                qty.alias("quantity"),
-                "unit_price", "unit_cost",
-                (F.col("unit_price") * qty).cast("decimal(14,2)").alias("line_total"),
-                F.col("l_returnflag").alias("return_flag"),
-                F.col("l_shipdate").cast("date").alias("ship_date"),
-                F.col("l_suppkey").alias("supp_id"),
-            ))
-    w = Window.partitionBy("txn_id").orderBy("line_key")
-    return base.select("txn_id", F.row_number().over(w).cast("int").alias("line_seq"),
-                       *[c for c in base.columns if c != "txn_id"])
+            .select("l_orderkey", *LINE_KEY, "l_returnflag", "product_name", "category", "unit_price", "unit_cost"))
+    w = Window.partitionBy("l_orderkey").orderBy(*LINE_KEY)
+    return base.withColumn("line_seq", F.row_number().over(w).cast("int")).select(
+        F.col("l_orderkey").alias("txn_id"), "line_seq",
+        F.struct(*LINE_KEY).alias("line_key"),
+        F.col("l_partkey").alias("product_id"), "product_name", "category",
+        qty.alias("quantity"),
+        "unit_price", "unit_cost",
+        (F.col("unit_price") * qty).cast("decimal(14,2)").alias("line_total"),
+        F.col("l_returnflag").alias("return_flag"),
+        F.col("l_shipdate").cast("date").alias("ship_date"),
+        F.col("l_suppkey").alias("supp_id"),
+    )
 
 
 def headers_from_orders(orders: DataFrame) -> DataFrame:
@@ -156,12 +156,12 @@ def recipes_from_lineitem(lineitem: DataFrame) -> DataFrame:
 LINE_KEY = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
 
 
-def _plain_lines(lineitem: DataFrame) -> DataFrame:
-    """The raw lines in the model's names, without anything from products."""
+def _plain_lines(lineitem: DataFrame, *others: str) -> DataFrame:
+    """The raw lines in the model's names, without anything from products; ``others`` are kept as they are."""
     return lineitem.select(
         F.col("l_orderkey").alias("txn_id"), F.struct(*LINE_KEY).alias("line_key"), F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("raw_material_id"), F.col("l_quantity").cast("int").alias("quantity"),
-        F.col("l_returnflag").alias("return_flag"), F.col("l_shipdate").cast("date").alias("ship_date"))
+        F.col("l_returnflag").alias("return_flag"), F.col("l_shipdate").cast("date").alias("ship_date"), *others)
 
 
 def _line_seq():
@@ -175,7 +175,11 @@ def stock_movements(lineitem: DataFrame, headers: DataFrame) -> DataFrame:
     The movement of a line without a sale header stays, without date and time.
     Names are not part of a movement; a ledger or listing adds them last."""
     hdr = headers.select("txn_id", "transaction_date", "transaction_time", "receipt_no", "cashier_name")
-    lines = _plain_lines(lineitem).select("*", _line_seq()).join(hdr, "txn_id", "left")
+    # the raw columns travel once: what is derived from them (the line key repeats most) is made behind the join
+    raw = lineitem.select("l_orderkey", *LINE_KEY, "l_returnflag")
+    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_KEY)).cast("int").alias("line_seq")
+    lines = raw.select("*", seq).join(hdr, F.col("l_orderkey") == F.col("txn_id"), "left")
+    lines = _plain_lines(lines, "line_seq", *hdr.columns[1:])
     both = F.array(
         F.struct(F.col("transaction_date").alias("log_date"),
                  F.col("transaction_time").alias("log_time"),
