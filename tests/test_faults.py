@@ -96,3 +96,16 @@ def test_unknown_products_in_adjustments_are_returned(spark):
     p = spark.createDataFrame([(1, "a", 3)], "product_id long, name string, stock int")
     adj = spark.createDataFrame([(1, 2, 1), (9, 4, 2)], "product_id long, qty_change int, seq int")
     assert [r.product_id for r in changes.rejected_adjustments(p, adj).collect()] == [9]
+
+
+def test_duplicate_keys_are_counted_in_bounded_tasks(spark, model, monkeypatch):
+    """A task counts KEYS_IN_TASK keys at most on average, and keys whose text is the same are one."""
+    t = dict(model)
+    t["products"] = spark.createDataFrame([("a",), ("a",), ("b",), ("",), (None,), (None,)], "sku string")
+    t["product_ingredients"] = spark.createDataFrame([(1, None), (None, 1), (2, 3), (2, 3), (4, 5)], "product_id long, raw_material_id long")
+    t["transactions"] = model["sale_headers"].select("receipt_no")
+    monkeypatch.setattr(quality, "KEYS_IN_TASK", 100)
+    found = quality.duplicate_keys(t)
+    assert sorted((r.key, r.n) for r in found.collect()) == [("", 3), ("1", 2), ("2|3", 2), ("a", 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert f"{-(-t['transactions'].count() // 100)}), REPARTITION_BY_NUM" in plan and "partial_count" in plan

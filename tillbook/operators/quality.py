@@ -62,12 +62,26 @@ def enum_violations(t: dict[str, DataFrame]) -> DataFrame:
     return _union(out)
 
 
+KEYS_IN_TASK = 1 << 18     # rows that one task of K2 counts
+
+
+def _key_tasks(t: dict[str, DataFrame], table: str, cols: list[str]) -> int:
+    """Tasks to count a table's keys in.  Recipes derived from lines are at most as many as the lines."""
+    rows = t["lineitem"] if table == "product_ingredients" and "lineitem" in t else t[table].select(*cols)
+    return max(1, -(-rows.count() // KEYS_IN_TASK))
+
+
 def duplicate_keys(t: dict[str, DataFrame]) -> DataFrame:
-    """K2: keys that must be unique but occur more than once."""
+    """K2: keys that must be unique but occur more than once.  Nearly every key is a group of its own, so rows are dealt
+    by key to as many tasks as their number asks for, and counted as they are; only repeated keys become text."""
     out = []
     for table, cols in UNIQUE_RULES:
+        counts = (t[table].select(*cols).repartition(_key_tasks(t, table, cols), *cols).groupBy(*cols)
+                  .agg(F.count(F.lit(1)).alias("n")))
         key = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
-        out.append(t[table].groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        # a text leaves nulls out: several keys may share such a one
+        shared = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols]) | (key == "")
+        out.append(counts.filter((F.col("n") > 1) | shared).groupBy(key.alias("key")).agg(F.sum("n").alias("n"))
                    .filter(F.col("n") > 1)
                    .select(F.lit(f"unique:{table}.{'+'.join(cols)}").alias("rule"), "key", "n"))
     return _union(out)
