@@ -44,3 +44,22 @@ def test_stored_movements_prune_by_month(spark, model):
     assert _rows(kept) == _rows(lazy)
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "log_month" in plan and "PartitionFilters" in plan
+
+
+def test_totals_are_made_from_the_stored_lines(spark, monkeypatch):
+    from tillbook.sources import adapter, versions
+    model = adapter.load(spark, "/root/testdata/sf0.001")
+    read, publish = {}, versions.publish
+
+    def watched(out_dir, version, tables, write):
+        def noted(name, df, path):
+            read[name] = {f.rstrip("/").split("/")[-1] for f in df.inputFiles()}
+            write(name, df, path)
+        return publish(out_dir, version, tables, noted)
+
+    monkeypatch.setattr(versions, "publish", watched)
+    out = scratch_dir(spark, f"model-{uuid.uuid4().hex}")
+    materialize_model(spark, model, out)
+    assert "orders.parquet" in read["transactions"] and not {"lineitem.parquet", "part.parquet"} & read["transactions"]
+    assert _rows(load_model(spark, out)["transactions"].select("txn_id", "subtotal", "tax", "total")) == \
+        _rows(model["transactions"].select("txn_id", "subtotal", "tax", "total"))

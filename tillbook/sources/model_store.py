@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tillbook.operators import changes, inventory
 from tillbook.sources import seeds, versions
+from tillbook.sources.adapter import with_sale_totals
 
 PARTITIONED = {
     "transactions": ("transaction_date", "sale_month", "txn_id"),
@@ -52,8 +53,10 @@ def materialize_model(spark: SparkSession, model: dict[str, DataFrame], out_dir:
     them.  Returns that folder."""
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dates = model["sale_headers"].select("txn_id", "transaction_date")
-    tables = {name: model[name] for name in [*PARTITIONED, *PLAIN]}
-    tables["transaction_items"] = model["transaction_items"].join(dates, "txn_id", "left")
+    # the lines are written first: sale totals come from them, not from another join of all lines with products
+    tables = {"transaction_items": model["transaction_items"].join(dates, "txn_id", "left"),
+              "transactions": lambda written: with_sale_totals(model["sale_headers"], written["transaction_items"])}
+    tables.update({name: model[name] for name in ["stock_movements", *PLAIN]})
 
     def write(name: str, df: DataFrame, path: str) -> None:
         if name not in PARTITIONED:
