@@ -63,3 +63,46 @@ def test_totals_are_made_from_the_stored_lines(spark, monkeypatch):
     assert "orders.parquet" in read["transactions"] and not {"lineitem.parquet", "part.parquet"} & read["transactions"]
     assert _rows(load_model(spark, out)["transactions"].select("txn_id", "subtotal", "tax", "total")) == \
         _rows(model["transactions"].select("txn_id", "subtotal", "tax", "total"))
+
+
+def _all_columns(df, other):
+    """Rows of ``df`` in the columns that both frames have, as text."""
+    names = [c for c in df.columns if c in other.columns]
+    return sorted(str(tuple(r)) for r in df.select(*names).collect())
+
+
+def test_lines_and_movements_are_numbered_once(spark, monkeypatch):
+    """Both tables come from one staged table of numbered lines, and have the rows of the lazy model; lines whose sale or
+    product is unknown and products listed twice included."""
+    from pyspark.sql import functions as F
+    from tillbook.sources import adapter, versions
+    model = adapter.load(spark, "/root/testdata/sf0.001")
+    made, read_rows = {}, spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(50)
+    odd = (read_rows.withColumn("l_orderkey", F.col("l_orderkey") + 10**9).unionByName(
+        read_rows.withColumn("l_partkey", F.col("l_partkey") + 10**9)).withColumn("l_returnflag", F.lit("R")))
+    lineitem = model["lineitem"].unionByName(odd.select(*model["lineitem"].columns))
+
+    def faulty(products):
+        return {**model, "lineitem": lineitem, "products": products,
+                "transaction_items": adapter.items_from_lineitem(lineitem, products),
+                "stock_movements": adapter.stock_movements(lineitem, model["sale_headers"])}
+
+    def watched(out_dir, version, tables, write, publish=versions.publish):
+        def noted(name, df, path):
+            write(name, df, path)
+            made[name] = spark.read.parquet(path).count()
+        return publish(out_dir, version, tables, noted)
+
+    monkeypatch.setattr(versions, "publish", watched)
+    numbered, seen = adapter.numbered_lines, []
+    monkeypatch.setattr("tillbook.sources.model_store.numbered_lines", lambda *a: seen.append(1) or numbered(*a))
+    twice = model["products"].unionByName(model["products"].limit(5))
+    for products, times in ((model["products"], 1), (twice, 0)):
+        t, out = faulty(products), scratch_dir(spark, f"model-{uuid.uuid4().hex}")
+        seen.clear()
+        materialize_model(spark, t, out)
+        assert len(seen) == times
+        stored = load_model(spark, out)
+        for name in ("transaction_items", "stock_movements"):
+            assert made[name] == t[name].count()
+            assert _all_columns(stored[name], t[name]) == _all_columns(t[name], stored[name])

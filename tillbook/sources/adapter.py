@@ -95,14 +95,27 @@ def items_from_lineitem(lineitem: DataFrame, products: DataFrame) -> DataFrame:
     semi join on ``txn_id`` (a page of sales) is pushed below the window and
     only the selected sales are numbered.  Plans that never read
     ``line_seq`` lose the window entirely."""
+    # raw columns are numbered, and what is derived from them (the line key repeats most) is made behind the window
+    return line_columns(priced_lines(lineitem, products).withColumn("line_seq", _numbered()))
+
+
+def _numbered() -> Column:
+    return F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_KEY)).cast("int")
+
+
+def priced_lines(lines: DataFrame, products: DataFrame) -> DataFrame:
+    """Raw lines with the columns of their product that a sale line shows."""
     p = products.select("product_id", F.col("name").alias("product_name"), "category",
                         F.col("price").alias("unit_price"), F.col("cost").alias("unit_cost"))
+    more = [c for c in lines.columns if c in ("line_seq", *SALE_COLUMNS)]
+    return (lines.join(p, lines.l_partkey == p.product_id, "left")
+            .select("l_orderkey", *LINE_KEY, "l_returnflag", "product_name", "category", "unit_price", "unit_cost", *more))
+
+
+def line_columns(priced: DataFrame, *others: str) -> DataFrame:
+    """The columns of a sale line from a priced and numbered raw line; ``others`` are kept as they are."""
     qty = F.col("l_quantity").cast("int")
-    # raw columns are numbered, and what is derived from them (the line key repeats most) is made behind the window
-    base = (lineitem.join(p, lineitem.l_partkey == p.product_id, "left")
-            .select("l_orderkey", *LINE_KEY, "l_returnflag", "product_name", "category", "unit_price", "unit_cost"))
-    w = Window.partitionBy("l_orderkey").orderBy(*LINE_KEY)
-    return base.withColumn("line_seq", F.row_number().over(w).cast("int")).select(
+    return priced.select(
         F.col("l_orderkey").alias("txn_id"), "line_seq",
         F.struct(*LINE_KEY).alias("line_key"),
         F.col("l_partkey").alias("product_id"), "product_name", "category",
@@ -111,7 +124,7 @@ def items_from_lineitem(lineitem: DataFrame, products: DataFrame) -> DataFrame:
         (F.col("unit_price") * qty).cast("decimal(14,2)").alias("line_total"),
         F.col("l_returnflag").alias("return_flag"),
         F.col("l_shipdate").cast("date").alias("ship_date"),
-        F.col("l_suppkey").alias("supp_id"),
+        F.col("l_suppkey").alias("supp_id"), *others,
     )
 
 
@@ -154,6 +167,7 @@ def recipes_from_lineitem(lineitem: DataFrame) -> DataFrame:
 
 
 LINE_KEY = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+SALE_COLUMNS = ("transaction_date", "transaction_time", "receipt_no", "cashier_name", "_part")   # of a sale, beside its lines
 
 
 def _plain_lines(lineitem: DataFrame, *others: str) -> DataFrame:
@@ -174,28 +188,35 @@ def stock_movements(lineitem: DataFrame, headers: DataFrame) -> DataFrame:
     1 return) completes the total order (date, time, txn_id, line_seq, kind).
     The movement of a line without a sale header stays, without date and time.
     Names are not part of a movement; a ledger or listing adds them last."""
-    hdr = headers.select("txn_id", "transaction_date", "transaction_time", "receipt_no", "cashier_name")
-    # the raw columns travel once: what is derived from them (the line key repeats most) is made behind the join
-    raw = lineitem.select("l_orderkey", *LINE_KEY, "l_returnflag")
-    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_KEY)).cast("int").alias("line_seq")
-    lines = raw.select("*", seq).join(hdr, F.col("l_orderkey") == F.col("txn_id"), "left")
-    lines = _plain_lines(lines, "line_seq", *hdr.columns[1:])
-    both = F.array(
-        F.struct(F.col("transaction_date").alias("log_date"),
-                 F.col("transaction_time").alias("log_time"),
-                 F.lit(0).alias("kind"), F.lit("Sale").alias("movement_type"),
-                 (-F.col("quantity")).alias("quantity_change"),
-                 F.concat(F.lit("Sale: "), F.col("receipt_no")).alias("reason")),
-        F.struct(F.col("ship_date").alias("log_date"), F.lit(RETURN_TIME).alias("log_time"),
-                 F.lit(1).alias("kind"), F.lit("Return").alias("movement_type"),
-                 F.col("quantity").alias("quantity_change"),
-                 F.concat(F.lit("Return: "), F.col("receipt_no")).alias("reason")),
-    )
-    # One pass: each line yields its sale and, when flagged, its return.
-    kept = F.filter(both, lambda m: (m["kind"] == 0) | (F.col("return_flag") == "R"))
-    return (lines.select("txn_id", "line_seq", "line_key", "product_id", "cashier_name", F.explode(kept).alias("m"))
-            .select("product_id", "m.log_date", "m.log_time", "txn_id", "line_seq", "line_key",
-                    "m.kind", "m.movement_type", "m.quantity_change", "m.reason", F.col("cashier_name").alias("performed_by")))
+    return movement_columns(moved_lines(numbered_lines(lineitem, headers)))
+
+
+def numbered_lines(lineitem: DataFrame, headers: DataFrame) -> DataFrame:
+    """The raw lines with ``line_seq`` and the columns of their sale that a movement shows; without a header they are null."""
+    raw = lineitem.select("l_orderkey", *LINE_KEY, "l_returnflag").withColumn("line_seq", _numbered())
+    hdr = headers.select("txn_id", *[c for c in headers.columns if c in SALE_COLUMNS])
+    return raw.join(hdr, F.col("l_orderkey") == F.col("txn_id"), "left").drop("txn_id")
+
+
+def moved_lines(numbered: DataFrame) -> DataFrame:
+    """One pass: each numbered line yields its sale and, when flagged, its return (``kind``), still in raw columns."""
+    kinds = F.when(F.col("l_returnflag") == "R", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return (numbered.withColumn("kind", F.explode(kinds))
+            .withColumn("log_date", F.when(F.col("kind") == 0, F.col("transaction_date")).otherwise(F.col("l_shipdate").cast("date")))
+            .drop("transaction_date", "l_returnflag"))
+
+
+def movement_columns(moved: DataFrame, *others: str) -> DataFrame:
+    """The columns of a movement from raw columns; ``others`` are kept as they are."""
+    sale, qty = F.col("kind") == 0, F.col("l_quantity").cast("int")
+    return moved.select(
+        F.col("l_partkey").alias("product_id"), "log_date",
+        F.when(sale, F.col("transaction_time")).otherwise(RETURN_TIME).alias("log_time"),
+        F.col("l_orderkey").alias("txn_id"), "line_seq", F.struct(*LINE_KEY).alias("line_key"), "kind",
+        F.when(sale, "Sale").otherwise("Return").alias("movement_type"),
+        F.when(sale, -qty).otherwise(qty).alias("quantity_change"),
+        F.concat(F.when(sale, "Sale: ").otherwise("Return: "), F.col("receipt_no")).alias("reason"),
+        F.col("cashier_name").alias("performed_by"), *others)
 
 
 def stock_movements_on(t: dict[str, DataFrame], day) -> DataFrame:

@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillbook.operators import changes, inventory
+from tillbook.plans.session import staged
 from tillbook.sources import seeds, versions
-from tillbook.sources.adapter import with_sale_totals
+from tillbook.sources.adapter import line_columns, moved_lines, movement_columns, numbered_lines, priced_lines, with_sale_totals
 
 PARTITIONED = {
     "transactions": ("transaction_date", "sale_month", "txn_id"),
@@ -44,18 +45,46 @@ PLAIN = ["products", "raw_materials", "product_ingredients"]
 
 
 def _month(col: str):
-    return F.date_format(F.col(col), "yyyy-MM")
+    """``yyyy-MM`` of a date column, from its ISO text (a formatter a row costs many times as much)."""
+    return F.substring_index(F.col(col).cast("string"), "-", 2)
+
+
+def _dealt(headers: DataFrame, n: int) -> DataFrame:
+    """Headers with ``_part``: the part of ``n`` that their lines are written in, by range of (month, sale id)."""
+    return headers.repartitionByRange(n, _month("transaction_date"), "txn_id").withColumn("_part", F.spark_partition_id())
+
+
+def _write_lines(lines: DataFrame, path: str, n: int) -> None:
+    """``priced_lines`` with ``_part``: moved in raw columns to the part of their sale, without a range sample of them."""
+    part = F.coalesce("_part", F.pmod(F.hash("l_orderkey"), F.lit(n)))
+    (line_columns(lines.withColumn("sale_month", _month("transaction_date")).repartitionById(n, part), "transaction_date", "sale_month")
+     .sortWithinPartitions("sale_month", "txn_id").write.partitionBy("sale_month").parquet(path))
+
+
+def _write_movements(moved: DataFrame, path: str, n: int) -> None:
+    """``moved_lines``, moved in raw columns by range of (month, product)."""
+    placed = moved.withColumn("log_month", _month("log_date")).repartitionByRange(n, "log_month", "l_partkey")
+    (movement_columns(placed, "log_month").sortWithinPartitions("log_month", "product_id")
+     .write.partitionBy("log_month").parquet(path))
+
+
+def _repeats(products: DataFrame) -> bool:
+    """Whether a product id occurs twice (K2): its lines then double before they are numbered."""
+    return not products.groupBy("product_id").count().filter("count > 1").isEmpty()
 
 
 def materialize_model(spark: SparkSession, model: dict[str, DataFrame], out_dir: str,
                       partitions: int | None = None) -> str:
     """Write the model tables to a new folder under ``out_dir`` and publish
-    them.  Returns that folder."""
+    them.  Returns that folder.
+
+    Where the raw lines are given, they are numbered and meet their sales once, in a staged table that the sale lines
+    and the movements are both made from."""
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dates = model["sale_headers"].select("txn_id", "transaction_date")
+    headers = model["sale_headers"]
     # the lines are written first: sale totals come from them, not from another join of all lines with products
-    tables = {"transaction_items": model["transaction_items"].join(dates, "txn_id", "left"),
-              "transactions": lambda written: with_sale_totals(model["sale_headers"], written["transaction_items"])}
+    tables = {"transaction_items": model["transaction_items"].join(headers.select("txn_id", "transaction_date"), "txn_id", "left"),
+              "transactions": lambda written: with_sale_totals(headers, written["transaction_items"])}
     tables.update({name: model[name] for name in ["stock_movements", *PLAIN]})
 
     def write(name: str, df: DataFrame, path: str) -> None:
@@ -66,7 +95,20 @@ def materialize_model(spark: SparkSession, model: dict[str, DataFrame], out_dir:
         (df.withColumn(part_col, _month(date_col)).repartitionByRange(n, part_col, order_col)
          .sortWithinPartitions(part_col, order_col).write.partitionBy(part_col).parquet(path))
 
-    return versions.publish(out_dir, "model", tables, write)
+    if "lineitem" not in model or _repeats(model["products"]):
+        return versions.publish(out_dir, "model", tables, write)
+    with staged(numbered_lines(model["lineitem"], _dealt(headers, n)), "numbered-lines") as lines:
+        raw = {"transaction_items": (_write_lines, priced_lines(lines, model["products"])),
+               "stock_movements": (_write_movements, moved_lines(lines.drop("_part")))}
+
+        def write_raw(name: str, df: DataFrame, path: str) -> None:
+            if name in raw:
+                way, rows = raw[name]
+                way(rows, path, n)
+            else:
+                write(name, df, path)
+
+        return versions.publish(out_dir, "model", tables, write_raw)
 
 
 def load_model(spark: SparkSession, model_dir: str) -> dict[str, DataFrame]:
