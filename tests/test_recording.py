@@ -133,3 +133,13 @@ def test_only_the_written_lines_are_read_again(spark, shop, monkeypatch):
     assert t["transaction_items"].count() == 2 and _stock(t) == {10: 7, 11: 0}
     assert sorted((r.product_name, r.reason, r.stock_after) for r in t["inventory_logs"].collect()) == [
         ("p10", "Sale: RCP-0000001", 7), ("p11", "Sale: RCP-0000002", 0)]
+
+
+def test_a_second_delivery_nests_no_line_again(spark, model, monkeypatch):
+    from tillbook.streaming import sales_stream
+    read, deliver = [], sales_stream.deliver
+    monkeypatch.setattr(sales_stream, "deliver", lambda sales, path: read.append(sales.inputFiles()) or deliver(sales, path))
+    posted = sales_stream.replay_and_post(spark, model["transactions"], model["transaction_items"], copies=3)
+    assert any("lineitem" in f for f in read[0]) and len(read) == 3
+    assert all("/incoming/" in f for files in read[1:] for f in files) and read[1] == read[2]
+    assert posted.select("reference_no", "line_no").distinct().count() == posted.count()

@@ -84,15 +84,26 @@ def start_posting_stream(spark: SparkSession, source_dir: str, sink_dir: str, ch
     return writer.start()
 
 
+def deliver(sales: DataFrame, source_dir: str) -> None:
+    """Upload nested sales: new files in ``source_dir``."""
+    sales.write.mode("append").parquet(source_dir)
+
+
+def delivered(spark: SparkSession, source_dir: str) -> DataFrame:
+    """The sales uploaded so far (later files are not among them): delivering them again copies them, and nests no line anew."""
+    return spark.read.schema(SALE_SCHEMA).parquet(source_dir)
+
+
 def replay_and_post(spark: SparkSession, transactions: DataFrame, items: DataFrame, copies: int = 2) -> DataFrame:
     """Stage the sales as terminal uploads (``copies`` deliveries of each, as
     an at-least-once replay would produce), run the posting stream to the end
     of the available input, and return the posted journal lines."""
     base = scratch_dir(spark, f"sales-stream-{uuid.uuid4().hex}")
     src, sink, ckpt = f"{base}/incoming", f"{base}/journal", f"{base}/_checkpoint"
-    sales = nested_sales(transactions, items)
-    for _ in range(copies):
-        sales.write.mode("append").parquet(src)
+    deliver(nested_sales(transactions, items), src)
+    again = delivered(spark, src)
+    for _ in range(copies - 1):
+        deliver(again, src)
     q = start_posting_stream(spark, src, sink, ckpt)
     q.awaitTermination()
     if q.exception() is not None:  # pragma: no cover - surfaced to the caller
