@@ -135,6 +135,20 @@ def test_only_the_written_lines_are_read_again(spark, shop, monkeypatch):
         ("p10", "Sale: RCP-0000001", 7), ("p11", "Sale: RCP-0000002", 0)]
 
 
+def test_a_batch_delivered_again_leaves_its_lines_unread(spark, shop, monkeypatch):
+    """A batch without a new receipt is rejected from its headers; one new receipt among known ones is recorded whole."""
+    base, seen, one_copy = scratch_dir(spark, f"again-{uuid.uuid4().hex}"), [], recording.one_copy
+    monkeypatch.setattr(recording, "one_copy", lambda sales: seen.append("items" in sales.columns) or one_copy(sales))
+    first, other = _sale(spark, 1, "2026-05-20", 2), _sale(spark, 2, "2026-05-21", 1)
+    counts = []
+    for batch in (first, first, first.unionByName(other)):
+        batch.write.mode("append").parquet(f"{base}/incoming")
+        t = _run(spark, base, shop)
+        counts.append([t[name].count() for name in ("transactions", "transaction_items", "receipts", "rejected_sales")])
+    assert seen == [True, False, True]
+    assert counts == [[1, 1, 1, 0], [1, 1, 1, 1], [2, 2, 2, 2]]
+
+
 def test_a_second_delivery_nests_no_line_again(spark, model, monkeypatch):
     from tillbook.streaming import sales_stream
     read, deliver = [], sales_stream.deliver

@@ -14,7 +14,7 @@ from tillbook.plans.q_ledger import J_COLS, J_SQL
 from tillbook.plans.session import scratch_dir
 from tillbook.sources import versions
 from tillbook.streaming.recording import start_recording_stream
-from tillbook.streaming.sales_stream import nested_sales, replay_and_post
+from tillbook.streaming.sales_stream import deliver, delivered, nested_sales, replay_and_post
 
 
 @query("stream_post_sales", oracle(f"SELECT {J_SQL} FROM sales_journal"))
@@ -40,8 +40,8 @@ def _recorded_twice(m, spark):
     """All sales uploaded and recorded; then all uploaded again, and the stream restarted."""
     base = scratch_dir(spark, f"recorded-stream-{uuid.uuid4().hex}")
     sales = nested_sales(m["transactions"], m["transaction_items"])
-    for _ in range(2):
-        sales.write.mode("append").parquet(f"{base}/incoming")
+    for time in range(2):
+        deliver(delivered(spark, f"{base}/incoming") if time else sales, f"{base}/incoming")
         q = start_recording_stream(spark, f"{base}/incoming", f"{base}/books", f"{base}/_checkpoint", m["products"])
         q.awaitTermination()
         if q.exception() is not None:  # pragma: no cover - surfaced to the caller

@@ -8,7 +8,8 @@ sale from counting twice:
 - copies of a sale within a batch are reduced to one before anything else;
 - a receipt that any earlier batch recorded is rejected by a join with the
   index of recorded receipts, however late it comes back: there is no horizon
-  and no state that grows in the stream;
+  and no state that grows in the stream; a batch without any new receipt is
+  rejected from its receipts and headers alone;
 - a batch is published under the stream's own id and its number.  If the
   driver is lost after publishing and before the checkpoint notes it, the
   batch runs again and finds its version there.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tillbook.operators import changes
 from tillbook.plans.session import staged
-from tillbook.sources import versions
+from tillbook.sources import receipts, versions
 from tillbook.streaming.sales_stream import SALE_SCHEMA
 
 # Tables that go on holding the rows of earlier batches; products are replaced by each batch.
@@ -53,13 +54,23 @@ def record_batch(sales: DataFrame, out_dir: str, version: str) -> bool:
     spark = sales.sparkSession
     if versions.is_published(spark, out_dir, version):
         return False
-    with staged(one_copy(sales), "arrived-sales") as arrived:
+    last = versions.latest(spark, out_dir)["tables"]
+    new = _has_new_receipts(sales, last.get(receipts.TABLE, []))
+    # no line of a batch without a new receipt is recorded: its sales are listed as rejected, and their lines stay unread
+    with staged(one_copy(sales if new else sales.drop("items")), "arrived-sales") as arrived:
         as_of = arrived.agg(F.coalesce(F.max("transaction_date"), F.current_date())).first()[0]
-        products = versions.read_parts(spark, versions.latest(spark, out_dir)["tables"]["products"])
-        changes.record_sales(arrived.drop("items"), sale_lines_of(arrived), products, out_dir, version, as_of, CARRIED)
+        lines = sale_lines_of(arrived if new else sales.filter(F.lit(False)))
+        changes.record_sales(arrived.drop("items"), lines, versions.read_parts(spark, last["products"]), out_dir, version, as_of, CARRIED)
     return True
 
 
+def _has_new_receipts(sales: DataFrame, index: list[dict]) -> bool:
+    """Whether a sale of the batch has a receipt that the index of recorded ones lacks."""
+    given = sales.select("receipt_no").filter("receipt_no is not null")
+    known = receipts.known(sales.sparkSession, index, given)
+    return known is None or not given.join(known, "receipt_no", "left_anti").isEmpty()
+
+
 def _stream_id(spark: SparkSession, checkpoint_dir: str) -> str:
     """The id that a stream's checkpoint holds: a new checkpoint is a new stream with batch numbers of its own."""
     return spark.read.schema("id string").json(f"{checkpoint_dir.rstrip('/')}/metadata").first()["id"]
