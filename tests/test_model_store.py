@@ -106,3 +106,68 @@ def test_lines_and_movements_are_numbered_once(spark, monkeypatch):
         for name in ("transaction_items", "stock_movements"):
             assert made[name] == t[name].count()
             assert _all_columns(stored[name], t[name]) == _all_columns(t[name], stored[name])
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in files.mkString("\n").split("\n") if "/shuffle_" in name}
+
+
+def test_a_written_model_leaves_no_shuffle_files(spark, model):
+    import time
+    before, out = _shuffle_files(spark), scratch_dir(spark, f"model-{uuid.uuid4().hex}")
+    materialize_model(spark, model, out)
+    for _ in range(50):
+        left = _shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_only_returns_are_moved_to_their_months(spark, model, monkeypatch):
+    """The movement of a sale lies in the month of its line: it is written from there, in order of product."""
+    from pyspark.sql import functions as F
+    moved, frame = [], type(spark.range(0))
+    ranged = frame.repartitionByRange
+
+    def watched(df, *args):
+        if "kind" in df.columns:
+            moved.extend(r[0] for r in df.select("kind").distinct().collect())
+        return ranged(df, *args)
+
+    monkeypatch.setattr(frame, "repartitionByRange", watched)
+    out = scratch_dir(spark, f"model-{uuid.uuid4().hex}")
+    materialize_model(spark, model, out)
+    assert moved == [1]
+    stored = load_model(spark, out)["stock_movements"]
+    later = stored.withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
+    rows = [(r.file, r.at, r.product_id) for r in later.select("file", "at", "product_id").collect()]
+    by_file = {}
+    for file, _, product in sorted(rows):
+        by_file.setdefault(file, []).append(product)
+    assert all(found == sorted(found) for found in by_file.values())
+
+
+def test_repeated_and_missing_sale_ids_keep_their_lines(spark, model):
+    """Sale ids that repeat in a month, in another month or without a date, and lines and sales without an id."""
+    from pyspark.sql import functions as F
+    from tillbook.sources import adapter
+    few = model["sale_headers"].filter("txn_id % 100 = 7")
+    headers = (model["sale_headers"].unionByName(few.withColumn("receipt_no", F.concat("receipt_no", F.lit("-b"))))
+               .unionByName(few.withColumn("transaction_date", F.add_months("transaction_date", 5)))
+               .unionByName(few.withColumn("transaction_date", F.lit(None).cast("date")))
+               .unionByName(few.withColumn("txn_id", F.lit(None).cast("long"))))
+    lineitem = model["lineitem"].unionByName(model["lineitem"].limit(40).withColumn("l_orderkey", F.lit(None).cast("long")))
+    items = adapter.items_from_lineitem(lineitem, model["products"])
+    t = {**model, "sale_headers": headers, "lineitem": lineitem, "transaction_items": items,
+         "transactions": adapter.with_sale_totals(headers, items), "stock_movements": adapter.stock_movements(lineitem, headers)}
+    dated = items.join(headers.select("txn_id", "transaction_date"), "txn_id", "left")
+    for parts in (1, 5):
+        out = scratch_dir(spark, f"model-{uuid.uuid4().hex}")
+        materialize_model(spark, t, out, parts)
+        stored = load_model(spark, out)
+        assert set(stored["transaction_items"].columns) == {*dated.columns, "sale_month"}
+        for name, want in (("transaction_items", dated), ("transactions", t["transactions"]), ("stock_movements", t["stock_movements"])):
+            assert _all_columns(stored[name], want) == _all_columns(want, stored[name])

@@ -70,6 +70,13 @@ def sale_totals(items: DataFrame) -> DataFrame:
                           _money(F.col("subtotal") + tax).alias("total"), "cogs", "n_lines")
 
 
+def with_amounts(sales: DataFrame) -> DataFrame:
+    """Tax and total beside the ``subtotal`` of each sale; a sale without one (no lines) gets zeros."""
+    kept = sales.withColumn("subtotal", F.coalesce("subtotal", F.lit(0).cast(MONEY)))
+    tax = _money(F.round(F.col("subtotal") * F.lit(seeds.VAT_RATE), 0))
+    return kept.select("*", tax.alias("tax"), _money(F.col("subtotal") + tax).alias("total"))
+
+
 def journal_line_array(receipt_no: Column, payment_method: Column, total: Column, tax: Column,
                        cogs: Column, cats: Column) -> Column:
     """The ordered journal lines of one sale as an array of structs.

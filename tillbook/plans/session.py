@@ -88,6 +88,26 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+# Columns of large tables lie on disk in about three quarters of the bytes of Spark's default codec.
+COMPACT = {"compression": "zstd"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with ``values`` set, for the length of a ``with`` block."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+# A finished write's shuffle files are deleted; else they stay until the driver happens to collect its garbage.
+DROP_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 _WRITTEN: list[str] = []
 
 
@@ -103,7 +123,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """As ``written``, for the length of a ``with`` block: the folder is deleted at its end."""
     path = f"{scratch_dir(df.sparkSession, name)}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**COMPACT).parquet(path)
     try:
         yield df.sparkSession.read.schema(df.schema).parquet(path)
     finally:
